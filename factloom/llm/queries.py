@@ -55,3 +55,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs, F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
