@@ -63,3 +63,10 @@ def op2_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs, F.array("source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
