@@ -70,3 +70,60 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.media import features
+
+    return features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.chat import conversation_digests
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    return conversation_digests(turns.unionByName(planted))
+
+
+#: The windows of op1 as SQL: budget 2048, history 512, a token for 4 code points and 4 for the marks.
+SQL["op1_chat_formatting"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), k AS (
+  SELECT *, CAST((length(text) + 3) // 4 + 4 AS BIGINT) AS tokens,
+    length(role) + length(text) + 14
+      + length(regexp_replace(role, '[^\\\[\]<>]', '', 'g')) + length(regexp_replace(text, '[^\\\[\]<>]', '', 'g')) AS chars
+  FROM t
+), n AS (
+  SELECT *, row_number() OVER w - 1 AS place, CAST(sum(tokens) OVER w - tokens AS BIGINT) AS before FROM k
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+), w AS (
+  SELECT *, before // 1536 AS win FROM n
+), f AS (
+  SELECT conv_id, win, min(before) AS start FROM w GROUP BY conv_id, win
+), h AS (
+  SELECT w.conv_id, w.chars FROM w JOIN f ON w.conv_id = f.conv_id AND f.win > w.win
+  WHERE (w.place > 0 OR w.role <> 'system') AND w.before >= f.start - 512
+), s AS (
+  SELECT w.conv_id, w.chars FROM w JOIN f ON w.conv_id = f.conv_id AND f.win > 0 WHERE w.place = 0 AND w.role = 'system'
+), r AS (
+  SELECT conv_id, sum(chars) AS chars, count(*) AS n FROM (SELECT * FROM h UNION ALL SELECT * FROM s) GROUP BY conv_id
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, count(DISTINCT win) AS n_windows,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum(chars + CASE WHEN role = 'assistant' THEN 4 ELSE 0 END) AS chars
+  FROM w GROUP BY conv_id
+)
+SELECT g.conv_id, CAST(g.n_turns AS BIGINT) AS n_turns, g.turns_sha256, CAST(length(g.loss) AS BIGINT) AS loss_chars, sha256(g.loss) AS loss_sha256,
+  CAST(g.chars + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars, CAST(g.n_windows AS BIGINT) AS n_windows, CAST(coalesce(r.n, 0) AS BIGINT) AS repeated_turns
+FROM g LEFT JOIN r ON g.conv_id = r.conv_id
+"""
