@@ -127,3 +127,10 @@ SELECT g.conv_id, CAST(g.n_turns AS BIGINT) AS n_turns, g.turns_sha256, CAST(len
   CAST(g.chars + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars, CAST(g.n_windows AS BIGINT) AS n_windows, CAST(coalesce(r.n, 0) AS BIGINT) AS repeated_turns
 FROM g LEFT JOIN r ON g.conv_id = r.conv_id
 """
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
