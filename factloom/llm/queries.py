@@ -134,3 +134,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.html_extract import extract
 
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.warc import read_archives, write_archives
+
+    manifest = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
