@@ -142,3 +142,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     manifest = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
