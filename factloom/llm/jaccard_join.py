@@ -2,9 +2,9 @@
 
 1. Every text becomes the set of its hashed word shingles. Documents of equal sets form one class.
    A count sketch over all shingles marks those that very many documents share.
-2. Prefix filter: two sets of similarity t or more share one of their first n - ceil(t n) + 1 shingles
-   in any common order; here marked shingles come last, then by hash. Tasks send those prefixes as
-   packed blocks to buckets, which connect the documents that share one and are of fitting sizes.
+2. Partition signatures: the universe of shingles is cut into partitions so that two sets of
+   similarity t or more agree on a whole partition that isn't empty. Tasks send the hashes of their
+   sets' partitions as packed blocks to buckets, which connect the documents that share one.
 3. Each connected part (a superset of true groups) is joined by a signature tree: nodes hold
    OR-combined bitmaps of their sets and size ranges; a dual traversal drops node pairs whose largest
    possible overlap is too small or whose documents are all in one component already; surviving
@@ -20,6 +20,8 @@ in the links; a row with null id links with nothing and has a null component.
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 
 from factloom.llm import words
 from factloom.llm.components import EDGE, Union, connected_components, edge_batch
-from factloom.session import discard, materialize, partitions, ship
+from factloom.session import discard, materialize, partitions, release, ship
 
 SHINGLE = 5
-PAIR = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<u4")])
-#: Bytes that a map task gathers before it sends blocks, and that a bucket is planned for.
-FLUSH, BUCKET = 8 << 20, 12 << 20
+#: Bytes that a map task gathers before it sends blocks, and signatures that a bucket is planned for.
+FLUSH, BUCKET = 12 << 20, 1_000_000
+#: Buckets at least; classes of copies that are broadcast at most (16 bytes each).
+BUCKETS, COPIED = 64, 500_000
 K1, K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -126,85 +129,152 @@ def _sum_blocks(threshold: float):
     return run
 
 
-# ---- 2. candidates by prefix
-
-
-def _send_prefixes(length: int, bits: int, common, buckets: int, num: int, den: int):
+# ---- 2. candidates by partition signatures
+
+
+def size_class(n: int, bounds: list[int]) -> int:
+    """The class c with bounds[c] <= n < bounds[c + 1]; bounds grow by half."""
+    while bounds[-1] <= n:
+        bounds.append(max(bounds[-1] + 1, -(-3 * bounds[-1] // 2)))
+    return bisect.bisect_right(bounds, n) - 1
+
+
+def density(num: int, den: int) -> float:
+    """Tokens a partition, so that random sets of n have over n (den - num) / num partitions with two tokens or more."""
+    x = 8.0
+    while x > 0.5 and (1 - math.exp(-x) * (1 + x)) / x <= 1.07 * (den - num) / num:
+        x -= 0.05
+    return x
+
+
+def signatures(s: np.ndarray, common: np.ndarray, bounds: list[int], per: float, num: int, den: int) -> np.ndarray:
+    """Hashes of which sets of similarity num / den or more share one.
+
+    The universe of tokens is cut into partitions, the same for all sets of a size class. Two such sets differ
+    by at most d = n (den - num) / num tokens, n being the smaller size, so of more than d partitions of
+    any kind in one set one is equal in both. Partitions of two rare tokens or more come first, as they seldom agree
+    by chance; only a set with too few of them sends those of one rare token, then those of common
+    tokens, and one with still too few its plain prefix. Kinds are added in the same order by every
+    set, so two sets agree on a kind that both send.
+    A set sends to its own size class, and to the next if a similar set may lie there.
+    """
+    n, out = len(s), []
+    c = size_class(n, bounds)
+    rare, often = s[~common], s[common]
+    for k in (c, c + 1):
+        if k > c and den * n < num * bounds[k]:
+            break
+        size_class(bounds[k], bounds)
+        cells = np.uint64(max(1, math.ceil(bounds[k + 1] / per)))
+        found = 0
+        for late, part in ((0, rare), (1, often)):
+            if len(part) and num * found <= (den - num) * n:
+                # hashes are sorted, and so are the partitions they fall in
+                cell = ((part >> np.uint64(32)) * cells) >> np.uint64(32)
+                first = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1])
+                several = np.diff([*first, len(part)]) > 1
+                sig = np.add.reduceat(words.mix(part ^ K1), first) + np.uint64(int(K2) * (2 * k + late) % (1 << 64))
+                for kind in (sig[several], sig[~several]):
+                    if num * found <= (den - num) * n:
+                        out.append(kind)
+                        found += len(kind)
+        if num * found <= (den - num) * n:
+            out.append(s[: n - needed(n, num, den) + 1])
+    return words.mix(np.concatenate(out))
+
+
+SENT = "bucket int, block binary"
+
+
+def _encode(ids: np.ndarray, row: np.ndarray, sig: np.ndarray) -> bytes:
+    """Ids once with their counts, then 40 bits of each signature; a chance agreement of those only adds a candidate."""
+    first = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
+    counts = np.diff([*first, len(row)]).astype("<u4")
+    return b"".join([np.array([len(first), len(sig)], dtype="<u8").tobytes(), ids[row[first]].astype("<i8").tobytes(), counts.tobytes(), (sig & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), ((sig >> np.uint64(32)) & np.uint64(0xFF)).astype("u1").tobytes()])
+
+
+def _decode(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows, n = (int(x) for x in np.frombuffer(block, dtype="<u8", count=2))
+    ids, at = np.frombuffer(block, dtype="<i8", count=rows, offset=16), 16 + 8 * rows
+    counts = np.frombuffer(block, dtype="<u4", count=rows, offset=at)
+    low = np.frombuffer(block, dtype="<u4", count=n, offset=at + 4 * rows)
+    high = np.frombuffer(block, dtype="u1", count=n, offset=at + 4 * rows + 4 * n)
+    return np.repeat(ids, counts), low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+
+
+def _send(length: int, bits: int, flags, copied, buckets: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, kept, size, seen = common.value, [], 0, set()
+        marks, bounds, per = flags.value, [1], density(num, den)
+        classes, least = copied.value
+        kept, rows, ids, size, seen = [], [], [], 0, set()
 
         def blocks() -> pa.RecordBatch:
-            rows = np.concatenate(kept)
-            to = (rows["token"] >> np.uint64(20)) % np.uint64(buckets)
+            sig, row, own = np.concatenate(kept), np.repeat(np.arange(len(kept)), rows), np.array(ids, dtype=np.int64)
+            to = (sig >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(to, kind="stable")
-            rows, to = rows[order], to[order]
-            cuts = np.flatnonzero(np.diff(to)) + 1
-            edges = [0, *cuts.tolist(), len(rows)]
-            return pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a in edges[:-1]], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], names=["bucket", "block"])
+            sig, row, to = sig[order], row[order], to[order]
+            edges = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(sig)]
+            cuts = list(zip(edges, edges[1:], strict=False))
+            return pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in cuts], pa.int32()), pa.array([_encode(own, row[a:b], sig[a:b]) for a, b in cuts], pa.binary())], names=["bucket", "block"])
 
         for batch in batches:
-            ids = batch.column(0)
+            keys = batch.column(0)
             for row, s in shingle_sets(batch.column(1), length):
-                key = ids[row].as_py()
+                key = keys[row].as_py()
                 if key is None or not len(s):
                     continue
                 own = fingerprint(s)
                 if own in seen:  # the class is represented already
                     continue
+                if len(classes) and classes[c := min(int(np.searchsorted(classes, own[0])), len(classes) - 1)] == own[0] and least[c] != key:
+                    continue
                 if len(seen) < 500_000:
                     seen.add(own)
                 at = s & np.uint64((1 << bits) - 1)
-                late = (flags[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-                prefix = np.concatenate([s[late == 0], s[late == 1]])[: len(s) - needed(len(s), num, den) + 1]
-                rows = np.empty(len(prefix), dtype=PAIR)
-                rows["token"], rows["id"], rows["n"] = prefix, key, len(s)
-                kept.append(rows)
-                size += rows.nbytes
+                common = ((marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                sig = signatures(s, common, bounds, per, num, den)
+                kept.append(sig)
+                rows.append(len(sig))
+                ids.append(key)
+                size += 16 * len(sig)
                 if size > FLUSH:
                     yield blocks()
-                    kept, size = [], 0
+                    kept, rows, ids, size = [], [], [], 0
         if kept:
             yield blocks()
 
     return run
 
 
-def _connect(num: int, den: int):
-    def edges(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(parts)
-        order = np.lexsort((rows["n"], rows["token"]))
-        rows = rows[order]
-        same = rows["token"][1:] == rows["token"][:-1]
-        fits = same & (den * rows["n"][:-1].astype(np.int64) >= num * rows["n"][1:].astype(np.int64))
-        if not fits.any():
-            return
-        # runs of rows that fit the one before; each is tied to its least id
-        run = np.concatenate([[0], np.cumsum(~fits)])
-        counts = np.bincount(run)
-        rows, run = rows[counts[run] > 1], run[counts[run] > 1]
-        first = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
-        least = np.minimum.reduceat(rows["id"], first)
-        hub = np.repeat(least, np.diff([*first, len(rows)]))
-        pairs = np.stack([rows["id"], hub], axis=1)[rows["id"] != hub]
-        if len(pairs):
-            pairs = np.unique(pairs, axis=0)
-            for lo in range(0, len(pairs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[lo : lo + 100_000, 0]), pa.array(pairs[lo : lo + 100_000, 1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks come sorted by bucket."""
-        current, parts = None, []
-        for batch in batches:
-            for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if bucket != current:
-                    if parts:
-                        yield from edges(parts)
-                    current, parts = bucket, []
-                parts.append(np.frombuffer(block.as_py(), dtype=PAIR))
-        if parts:
-            yield from edges(parts)
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges from every document to the least that shares a signature. Blocks come sorted by bucket."""
 
-    return run
+    def edges(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        both = [_decode(x) for x in parts]
+        ids, sig = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
+        order = np.argsort(sig, kind="stable")
+        ids, sig = ids[order], sig[order]
+        same = sig[1:] == sig[:-1]
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        ids, sig = ids[shared], sig[shared]
+        if not len(ids):
+            return
+        first = np.concatenate([[0], np.flatnonzero(np.diff(sig)) + 1])
+        hub = np.repeat(np.minimum.reduceat(ids, first), np.diff([*first, len(ids)]))
+        pairs = np.unique(np.stack([ids, hub], axis=1)[ids != hub], axis=0)
+        for lo in range(0, len(pairs), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[lo : lo + 100_000, 0]), pa.array(pairs[lo : lo + 100_000, 1])], names=["a", "b"])
+
+    current, parts = None, []
+    for batch in batches:
+        for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if bucket != current:
+                if parts:
+                    yield from edges(parts)
+                current, parts = bucket, []
+            parts.append(block.as_py())
+    if parts:
+        yield from edges(parts)
 
 
 # ---- 3. signature trees
@@ -327,44 +397,16 @@ def join_items(items: list[tuple[int, np.ndarray]], sets: Union, num: int, den:
     dual_join(tree, tree, sets, num, den)
 
 
-ITEM = "part bigint, task bigint, side int, id bigint, label bigint, members binary"
-
-
-def _items(length: int):
-    """Rows (part, task, side, id, label, text) to rows with the set instead of the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, blobs, size = [], [], 0
-
-            def out() -> pa.RecordBatch:
-                rows = pa.array(keep, pa.int64())
-                return pa.RecordBatch.from_arrays([*(batch.column(k).take(rows) for k in range(5)), pa.array(blobs, pa.binary())], names=["part", "task", "side", "id", "label", "members"])  # noqa: B023
-
-            for row, s in shingle_sets(batch.column(5), length):
-                if len(s):
-                    keep.append(row)
-                    blobs.append(s.tobytes())
-                    size += s.nbytes
-                    if size > 16 << 20:
-                        yield out()
-                        keep, blobs, size = [], [], 0
-            if keep:
-                yield out()
-
-    return run
-
-
-def _join_parts(num: int, den: int):
+def _join_parts(length: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by part and task. side 0 meets itself and 1; 1 meets 0 only."""
         current, left, right, labels = None, [], [], []
 
         def links() -> pa.RecordBatch:
-            sets, known = Union(), Union()
+            sets = Union()
             for node, label in labels:  # what earlier steps have united
-                sets.join(node, label) if label is not None else None
-                known.join(node, label) if label is not None else None
+                if label is not None:
+                    sets.join(node, label)
             if not right:
                 if len(left) > 1:
                     join_items(left, sets, num, den)
@@ -380,14 +422,16 @@ def _join_parts(num: int, den: int):
             return edge_batch([(a, r) for a in nodes if (r := sets.find(a)) != a])
 
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(k)) for k in ("part", "task", "side", "id", "label", "members")]
-            for part, task, side, node, label, blob in zip(*(c.to_pylist() for c in cols[:5]), cols[5], strict=True):
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+            for row, s in shingle_sets(batch.column(5), length):
+                part, task, side, node, label = keys[row]
                 if (part, task) != current:
                     if left or right:
                         yield links()
                     current, left, right, labels = (part, task), [], [], []
-                (right if side else left).append((node, np.frombuffer(blob.as_py(), dtype=np.uint64)))
-                labels.append((node, label))
+                if len(s):
+                    (right if side else left).append((node, s))
+                    labels.append((node, label))
         if left or right:
             yield links()
 
@@ -395,9 +439,10 @@ def _join_parts(num: int, den: int):
 
 
 def _run_parts(rows: DataFrame, length: int, num: int, den: int, name: str) -> DataFrame:
-    items = rows.select("part", "task", "side", "id", "label", "text").mapInArrow(_items(length), ITEM)
-    dealt = items.repartition(4 * partitions(rows.sparkSession), "part", "task").sortWithinPartitions("part", "task")
-    return materialize(dealt.mapInArrow(_join_parts(num, den), EDGE), name)
+    dealt = rows.select("part", "task", "side", "id", "label", "text").repartition(4 * partitions(rows.sparkSession), "part", "task").sortWithinPartitions("part", "task")
+    out = materialize(dealt.mapInArrow(_join_parts(length, num, den), EDGE), name)
+    release(rows.sparkSession)
+    return out
 
 
 # ---- the operator
@@ -408,22 +453,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    # the sketch's size follows the rows up to 2^24 counters; it only orders tokens
-    bits = min(24, max(18, (4 * texts.select("id").count()).bit_length()))
+    # the sketch's size follows the rows up to 2^24 counters; it only tells which partitions a token may use
+    bits = min(24, max(18, (16 * texts.select("id").count()).bit_length()))
     scanned = materialize(texts.mapInArrow(_scan(length, bits), SCANNED), "join-scan")
     rows = scanned.where("block is null").select("id", "n", "hi", "lo")
-    classes = materialize(rows.where("n > 0 and id is not null").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep")), "join-classes")
+    classes = materialize(rows.where("n > 0 and id is not null").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "join-classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     occurrences = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    threshold = 2 * occurrences / (1 << bits) + 64
+    mean = occurrences / (1 << bits)
+    threshold = mean + 6 * mean**0.5 + 48
     flags = np.zeros((1 << bits) // 8, dtype=np.uint8)
     blocks = scanned.where("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block")
     for r in blocks.mapInArrow(_sum_blocks(threshold), "block int, counts binary").collect():  # a bit for each counter: 2 MB at most
         flags[r[0] * BLOCK // 8 : (r[0] + 1) * BLOCK // 8] = np.frombuffer(r[1], dtype=np.uint8)
     common = spark.sparkContext.broadcast(flags)
-    buckets = max(partitions(spark), -(-total * (den - num) * PAIR.itemsize // (den * BUCKET)))
-    sent = texts.mapInArrow(_send_prefixes(length, bits, common, int(buckets), num, den), "bucket int, block binary")
-    near = materialize(sent.repartition(min(int(buckets), 100_000), "bucket").sortWithinPartitions("bucket").mapInArrow(_connect(num, den), EDGE), "join-near")
+    buckets = int(max(BUCKETS, partitions(spark), -(-total // (2 * BUCKET))))  # about half a signature a token
+    # which document stands for a class of copies: told to the tasks if the list is small, else all copies send
+    multi = classes.where("rows > 1").groupBy("hi").agg(F.min("rep").alias("rep"), F.count("*").alias("c")).where("c = 1").orderBy("hi")
+    told = multi.select("hi", "rep").collect() if multi.count() <= COPIED else []
+    copied = spark.sparkContext.broadcast(tuple(np.array([r[k] for r in told], dtype=np.int64) for k in (0, 1)))
+    sent = texts.mapInArrow(_send(length, bits, common, copied, buckets, num, den), SENT)
+    near = materialize(sent.repartition(min(buckets, 100_000), "bucket").sortWithinPartitions("bucket").mapInArrow(_connect, EDGE), "join-near")
+    release(spark)
 
     # candidates between classes; copies hang together already
     reps = rows.join(classes.select("hi", "lo", "n", "rep"), ["hi", "lo", "n"]).where("id is not null").select("id", "rep").where("id <> rep")
