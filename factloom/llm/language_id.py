@@ -252,6 +252,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return None
+    # a whole text is read or none of it
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, train_docs / r[1]))])
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     held = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("calibrate")), F.lit(5)) == 0

@@ -29,7 +29,7 @@ from factloom.session import materialize, ship, without
 #: What the words of a text are split at.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
-OUTPUT = ["size", "source_size", "target", "taken"]
+OUTPUT = ["size", "source_size", "target", "copies", "taken"]
 #: Bits of the draw that a histogram tells apart; the documents among which a remainder is filled.
 BITS, SMALL = 10, 2000
 
@@ -172,7 +172,7 @@ def _selection(sized: DataFrame, need: dict[int, int]) -> tuple[dict[int, int],
 
 
 def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = WEIGHTS, share: float = 1.5, copies: int = 2, seed: int = 0, max_patterns: int = 10_000) -> DataFrame:
-    """docs with size, source_size and target (of the first source of each row), and taken.
+    """docs with size, source_size and target (of the first source of each row), copies and taken.
 
     members: an array of source names, null for the unnamed source. weights repeat over the sources in
     order of their code points.
@@ -188,7 +188,7 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     if len(stats) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
     if not stats:
-        return full.select(*[F.col(f"`{c}`") for c in rows.columns], "size", F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("taken"))
+        return full.select(*[F.col(f"`{c}`") for c in rows.columns], "size", F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("taken"))
     stats.sort(key=lambda r: r[0])
     # by code point, null last: "=name" sorts before "null"
     sources = sorted({m for r in stats for m in r[0]})
@@ -215,5 +215,5 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     extra = spark.createDataFrame(singles, "_pattern int, _draw bigint, _key string").withColumn("_single", F.lit(1))
     full = full.join(F.broadcast(limits), "_pattern", "left").join(F.broadcast(extra), ["_pattern", "_draw", "_key"], "left")  # SMALL rows a pattern at most
     more = (F.col("_draw") < F.col("_bound")) | F.col("_single").isNotNull()
-    taken = F.col("size") * (F.col("_whole") + F.when(F.coalesce(more, F.lit(False)), F.lit(1)).otherwise(F.lit(0)))
-    return full.select(*[F.col(f"`{c}`") for c in rows.columns], "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    taken = (F.col("_whole") + F.when(F.coalesce(more, F.lit(False)), F.lit(1)).otherwise(F.lit(0))).cast("bigint")
+    return full.select(*[F.col(f"`{c}`") for c in rows.columns], "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken"))

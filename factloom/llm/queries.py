@@ -149,3 +149,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
