@@ -87,14 +87,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write(spark: SparkSession, folder: str, artifacts: dict[str, bytes]) -> None:
-    """Create the folder and write each file, over an old one if there is one."""
+    """Create the folder and write each file, over an old one if there is one; without checksum files beside it."""
     for name, data in artifacts.items():
         store, target = _hadoop(spark, f"{folder}/{name}")
-        out = store.create(target, True)
+        store.setWriteChecksum(False)
         try:
-            out.write(bytearray(data))
+            out = store.create(target, True)
+            try:
+                out.write(bytearray(data))
+            finally:
+                out.close()
         finally:
-            out.close()
+            store.setWriteChecksum(True)
 
 
 def digests(spark: SparkSession, artifacts: dict[str, bytes], normalise_eol: bool = False) -> DataFrame:

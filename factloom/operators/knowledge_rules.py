@@ -172,8 +172,8 @@ def _as_rows(found: Iterator[tuple[str, str, str]]) -> list[dict[str, str]]:
 
 def registry_rows(registry: DataFrame) -> DataFrame:
     """(path, place, entry JSON) of a registry read by read_yaml; no rows where `sources` isn't a list."""
-    entries = F.from_json(F.get_json_object("meta", "$.sources"), "array<string>")
-    return registry.select("path", F.posexplode(entries).alias("place", "entry"))
+    entries = F.try_variant_get(F.try_parse_json("meta"), "$.sources", "array<variant>")
+    return registry.select("path", F.posexplode(entries).alias("place", "v")).select("path", "place", F.to_json("v").alias("entry"))
 
 
 def check_registry(registry: DataFrame, v: Vocabulary) -> tuple[DataFrame, DataFrame]:
