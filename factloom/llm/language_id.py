@@ -247,7 +247,8 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 500, max_languages: int = 2000) -> Model | None:
     """Fit on about train_docs rows a language; the largest training table is train_docs * max_languages rows."""
-    counts = labelled.where(F.col(text_col).isNotNull()).groupBy(lang_col).count().limit(max_languages + 1).collect()
+    labelled = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    counts = labelled.groupBy(lang_col).count().limit(max_languages + 1).collect()
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
@@ -256,7 +257,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, train_docs / r[1]))])
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     held = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("calibrate")), F.lit(5)) == 0
-    rows = labelled.where(F.col(text_col).isNotNull() & (draw < share[F.col(lang_col)]))
+    rows = labelled.where(draw < share[F.col(lang_col)])
     sample = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), held.alias("held"), F.col(id_col).cast("string").alias("_id")).toPandas()
     return fit(sample.sort_values(["_id", "text"], kind="stable").reset_index(drop=True))
 
