@@ -11,7 +11,7 @@ The template marks a turn as `[INST]role` newline text `[/INST]` and a target's
 texts a backslash is put before every backslash, `[`, `]`, `<` and `>`, so no control string survives there and
 the text can be read back.
 
-Defined results: rows are ordered by turn (null first), then role, text; null role or text counts as
+Defined results: rows are ordered by turn (null first), then role, then a hash of the text; null role or text counts as
 empty; repeated rows are turns of their own; a null conversation id is one conversation; an empty table gives no rows.
 """
 
@@ -37,22 +37,27 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\\[\]<>])", "$1")
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text with `place` (0, 1, ...) and `before` (tokens of the earlier turns).
-
-    Turns are dealt to blocks by turn number, sums go over blocks, then within a block.
-    """
+def tokens_of(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, tie (orders equal turns), tokens and block of every row."""
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumn("tokens", (F.ceil(F.length("text") / CHARS_PER_TOKEN) + MARK_TOKENS).cast("bigint"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 62))).cast("bigint"))
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "tokens": (F.ceil(F.length("text") / CHARS_PER_TOKEN) + MARK_TOKENS).cast("bigint")})
+    return rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 62))).cast("bigint"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows of tokens_of with `place` (0, 1, ...) and `before` (tokens of the earlier turns).
+
+    Turns are dealt to blocks by turn number; sums go over blocks, then within a block. Only columns that
+    are used later travel with the blocks.
+    """
     sums = rows.groupBy("conv_id", "block").agg(F.count("*").alias("_n"), F.sum("tokens").alias("_t"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_place"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"_i": F.count("*").over(inside), "_s": F.coalesce(F.sum("tokens").over(inside), F.lit(0))})
     joined = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
-    return joined.select("conv_id", "turn", "role", "text", "tokens", (F.col("_place") + F.col("_i")).alias("place"), (F.col("_before") + F.col("_s")).alias("before"))
+    return joined.withColumns({"place": F.col("_place") + F.col("_i"), "before": F.col("_before") + F.col("_s")}).drop("_c", "_b", "_place", "_before", "_i", "_s")
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -60,25 +65,29 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
 
     conv_id, window, place, role, text, tokens, is_new, is_target, segment (the formatted turn).
     A window starts less than `budget - history` tokens of new turns; only a longer single turn exceeds it.
+    Where windows start is worked out on rows without texts; texts are dealt once, by block.
     """
     if not 0 <= history < budget:
         raise ValueError("history must be at least 0 and less than budget")
     stride = budget - history
-    rows = numbered(turns)
-    new = rows.withColumn("window", F.floor(F.col("before") / stride).cast("bigint"))
-    # the windows that exist, and the tokens before each one's first new turn
-    firsts = new.groupBy("conv_id", "window").agg(F.min("before").alias("start"))
-    # history: a turn reaches at most into the windows that start within `history` tokens after it,
-    # and those are found by their number: a start lies in [w * stride, (w + 1) * stride)
-    shown = new.select("conv_id", "window", "place", "role", "text", "tokens", F.lit(True).alias("is_new"))
-    span = F.sequence(F.col("window") + 1, F.floor((F.col("before") + F.lit(history)) / stride).cast("bigint") + 1)
-    reach = new.where((F.col("place") > 0) | (F.col("role") != "system")).withColumn("_w", F.explode(F.when(F.col("window") + 1 <= F.floor((F.col("before") + F.lit(history)) / stride) + 1, span)))
-    starts = firsts.select(F.col("conv_id").alias("_c"), F.col("window").alias("_v"), "start")
-    seen = reach.join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_w") == F.col("_v")))
-    repeated = seen.where(F.col("before") >= F.col("start") - F.lit(history)).select("conv_id", F.col("_w").alias("window"), "place", "role", "text", "tokens", F.lit(False).alias("is_new"))
-    systems = new.where("place = 0 and role = 'system'").select("conv_id", F.col("place"), "role", "text", "tokens")
-    later = starts.where("_v > 0").join(systems, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", F.col("_v").alias("window"), "place", "role", "text", "tokens", F.lit(False).alias("is_new"))
-    out = shown.unionByName(repeated).unionByName(later)
+    rows = numbered(tokens_of(turns)).withColumn("window", F.floor(F.col("before") / stride).cast("bigint"))
+    slim = rows.select("conv_id", "block", "window", "before")
+    starts = slim.groupBy("conv_id", "window").agg(F.min("before").alias("start")).select(F.col("conv_id").alias("_c"), F.col("window").alias("_v"), "start")
+    # the windows that may repeat turns of a block: window w starts at w * stride or later, so one that
+    # starts within `history` tokens after a turn is at most history // stride + 1 windows on
+    spans = slim.groupBy("conv_id", "block").agg(F.min("window").alias("_lo"), F.max("window").alias("_hi"))
+    spans = spans.where(F.lit(history > 0))
+    near = spans.withColumn("_w", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi") + F.lit(history // stride + 1)))).join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_w") == F.col("_v")))
+    near = near.groupBy("conv_id", "block").agg(F.collect_list(F.struct(F.col("_w").alias("w"), "start")).alias("_near")).select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), "_near")
+    placed = rows.join(near, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")), "left")
+    is_system = (F.col("place") == 0) & (F.col("role") == "system")
+    again = F.transform(F.filter("_near", lambda n: (n["w"] > F.col("window")) & (F.col("before") >= n["start"] - F.lit(history))), lambda n: F.struct(n["w"].alias("window"), F.lit(False).alias("is_new")))
+    new = F.array(F.struct(F.col("window"), F.lit(True).alias("is_new")))
+    where = F.when(is_system | F.col("_near").isNull(), new).otherwise(F.concat(new, again))
+    shown = placed.select("conv_id", "place", "role", "text", "tokens", F.explode(where).alias("_x")).select("conv_id", "_x.window", "place", "role", "text", "tokens", "_x.is_new")
+    systems = rows.where(is_system).select("conv_id", "place", "role", "text", "tokens")
+    later = systems.join(starts.where("_v > 0"), F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", F.col("_v").alias("window"), "place", "role", "text", "tokens", F.lit(False).alias("is_new"))
+    out = shown.unionByName(later)
     target = F.col("is_new") & (F.col("role") == "assistant")
     segment = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(CLOSE), F.when(target, F.lit(STOP)).otherwise(F.lit("")))
     return out.withColumns({"is_target": target, "segment": segment})
@@ -105,15 +114,18 @@ def conversation_digests(turns: DataFrame, budget: int = BUDGET, history: int =
     A digest is sequential, so a conversation's text meets in one row here, and here only.
     """
     read = read_back(windows(turns, budget, history))
-    fresh = read.where("is_new")
-    said = F.array_sort(F.collect_list(F.struct("place", F.col("read_role").alias("role"), F.col("read_text").alias("text"), F.col("read_target").alias("target"))))
-    per = fresh.groupBy("conv_id").agg(said.alias("said"))
+    turn = F.struct("place", F.col("read_role").alias("role"), F.col("read_text").alias("text"), F.col("read_target").alias("target"))
+    per = read.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("is_new"), turn))).alias("said"), F.sum(F.length("segment")).cast("bigint").alias("formatted_chars"),
+        F.count_if("is_new").alias("_new"), F.size(F.collect_set("window")).cast("bigint").alias("n_windows"), F.count_if(~F.col("is_new")).alias("repeated_turns"),
+    )
     turns_text = F.array_join(F.transform("said", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("said", lambda x: x["target"]), lambda x: x["text"]), "")
-    digests = per.select(F.col("conv_id"), F.size("said").cast("bigint").alias("n_turns"), F.sha2(F.encode(turns_text, "UTF-8"), 256).alias("turns_sha256"), F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"))
-    size = read.groupBy("conv_id").agg(F.sum(F.length("segment")).cast("bigint").alias("formatted_chars"), F.count_distinct("window").cast("bigint").alias("n_windows"), F.count_if(~F.col("is_new")).cast("bigint").alias("repeated_turns"))
-    size = size.withColumnRenamed("conv_id", "_c")
-    return digests.join(size, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
+    per = per.withColumn("_loss", loss)
+    return per.select(
+        "conv_id", F.col("_new").alias("n_turns"), F.sha2(F.encode(turns_text, "UTF-8"), 256).alias("turns_sha256"), F.length("_loss").cast("bigint").alias("loss_chars"),
+        F.sha2(F.encode("_loss", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars", "n_windows", "repeated_turns",
+    )
 
 
 def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:

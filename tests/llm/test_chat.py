@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import chat as C
@@ -39,20 +40,23 @@ def test_read_back(spark):
         assert got == expected(rows)
 
 
-def test_windows(spark):
+@pytest.mark.parametrize("budget,history", [(200, 50), (100, 95), (60, 0)])
+def test_windows(spark, budget, history):
     rows = conversations()
-    shown = C.windows(spark.createDataFrame(rows, SCHEMA), 200, 50).collect()
+    shown = C.windows(spark.createDataFrame(rows, SCHEMA), budget, history).collect()
     groups = {}
     for r in shown:
         groups.setdefault((r.conv_id, r.window), []).append(r)
-    before = {(r.conv_id, r.place): r.before for r in C.numbered(spark.createDataFrame(rows, SCHEMA)).collect()}
+    before = {(r.conv_id, r.place): r.before for r in C.numbered(C.tokens_of(spark.createDataFrame(rows, SCHEMA))).collect()}
     for (conv, window), turns in groups.items():
         turns.sort(key=lambda r: r.place)
         assert len({r.place for r in turns}) == len(turns)
         new = [r for r in turns if r.is_new]
         assert [r.place for r in new] == list(range(new[0].place, new[0].place + len(new)))
         old = [r for r in turns if not r.is_new and not (r.place == 0 and r.role == "system")]
-        assert all(before[conv, r.place] >= before[conv, new[0].place] - 50 for r in old)
+        start = before[conv, new[0].place]
+        first_is_system = any(r.place == 0 and r.role == "system" for r in groups[conv, 0])
+        assert [r.place for r in old] == sorted(p for (c, p), b in before.items() if c == conv and start - history <= b < start and not (p == 0 and first_is_system))
         if (conv, 0) in groups and any(r.role == "system" for r in groups[conv, 0]):
             assert turns[0].role == "system"
         assert all(not r.is_target for r in old)
@@ -62,7 +66,7 @@ def test_windows(spark):
 
 def test_many_turns(spark, monkeypatch):
     rows = [(1, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(1000)]
-    got = C.numbered(spark.createDataFrame(rows, SCHEMA)).orderBy("place").collect()
+    got = C.numbered(C.tokens_of(spark.createDataFrame(rows, SCHEMA))).orderBy("place").collect()
     assert [r.turn for r in got] == list(range(1000))
     assert [r.before for r in got] == [sum(x.tokens for x in got[:k]) for k in range(1000)]
 
