@@ -1,9 +1,10 @@
 """Hierarchical residual best-fit packing of token sequences.
 
-Each map task tokenises its documents and packs their pieces best-fit, longest first. Bins that are
-full to within `slack` tokens are final. The underfull bins of several tasks become the items of the
+Map tasks tokenise documents into pieces. The pieces, by number and length only, are dealt to
+partitions of about `round_items`, which pack them best-fit, longest first. Bins that are full to
+within `slack` tokens are final. The underfull bins of several partitions become the items of the
 next round, which packs them best-fit as wholes, again emitting nearly full bins, in a tree of ever
-fewer tasks. A round's task holds at most `round_items` items, so the tree ends at as many tasks as the
+fewer tasks. A round's task holds about `round_items` items, so the tree ends at as many tasks as the
 leftover needs, not always at one.
 
 Tokens come from a word cache in front of the tokenizer: its pre-tokenizer never joins text across
@@ -22,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import discard, materialize, partitions, ship
+from factloom.session import materialize, ship
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS, CACHED_LENGTH = 600_000, 64
-PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, _bin bigint, _at bigint, _fill bigint"
+CACHE_WORDS, CACHED_LENGTH = 1_000_000, 64
+PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, _bin bigint"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -47,10 +49,18 @@ class Tokens:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # lower-case letters up to U+00FF pass the normaliser unchanged and are one pre-token: the model alone does
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[bytes, bytes] = {}
+        # which ids end a pre-token
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[k] = token.endswith("</w>")
 
     @classmethod
     def of(cls, path: str) -> Tokens:
@@ -58,42 +68,89 @@ class Tokens:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words: one call for many, told apart by their offsets."""
-        texts = [w.decode("utf-8", "replace") for w in new]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ends = np.cumsum([len(t) + 1 for t in texts])
+    def learn(self, new: list[bytes], letters: bool) -> list[bytes]:
+        """Ids of words, many in one call. letters: all are of lower-case letters up to U+00FF only. Others are told apart by their offsets."""
+        joined = b" ".join(new).decode("utf-8", "replace")
+        if letters:
+            ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(new):
+                raw, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
+                return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        found = self.tokenizer.encode(joined, add_special_tokens=False)
         starts = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found.ids))
-        at = [0, *np.searchsorted(starts, ends).tolist()]
-        ids = np.array(found.ids, dtype="<u4").tobytes()
-        return {w: ids[4 * a : 4 * b] for w, a, b in zip(new, at, at[1:], strict=False)}
-
-    def stems(self, new: list[bytes]) -> Iterator[tuple[bytes, bytes, bytes]]:
-        """(word, stem, mark): a full stop or comma after an ASCII letter is a token of its own, and case doesn't count."""
+        at = [0, *np.searchsorted(starts, np.cumsum([len(w.decode("utf-8", "replace")) + 1 for w in new])).tolist()]
+        raw = np.array(found.ids, dtype="<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)]
+
+    def resolve(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the cache hasn't.
+
+        A full stop or comma after a letter is a token of its own, and case doesn't count. Words with characters
+        beyond U+00FF are left whole, as their case and composition aren't plain.
+        """
+        cache, stems = self.cache, []
+        letters: dict[bytes, bytes | None] = {}
+        others: dict[bytes, bytes | None] = {}
         for w in new:
-            low = w.lower()
-            mark = low[-1:] if low[-1:] in (b".", b",") and low[-2:-1].isalpha() else b""
-            yield w, low[: len(low) - len(mark)], mark
+            if w.isalpha() and w.islower():  # ASCII
+                letters[w] = None
+                continue
+            if w.isascii():
+                stem = w.lower()
+                mark = stem[-1:] if stem[-1:] in (b".", b",") and stem[-2:-1].isalpha() else b""
+                stem = stem[: len(stem) - len(mark)]
+                group = letters if stem.isalpha() else others
+            else:
+                text = w.decode("utf-8", "replace")
+                if latin := max(text) <= "\xff":
+                    text = text.lower()
+                mark = text[-1:].encode() if latin and text[-1:] in (".", ",") and text[-2:-1].isalpha() else b""
+                if mark:
+                    text = text[:-1]
+                stem, group = text.encode(), letters if latin and text.isalpha() else others
+            stems.append((w, stem, mark))
+            if stem not in cache:
+                group[stem] = None
+        for group, is_letters in ((letters, True), (others, False)):
+            todo = list(group)
+            for lo in range(0, len(todo), 300):
+                part = todo[lo : lo + 300]
+                group.update(zip(part, self.learn(part, is_letters), strict=True))
+        marks = dict(zip((b".", b","), self.learn([b".", b","], False), strict=True)) | {b"": b""}
+        for w, stem, mark in stems:
+            ids = letters.get(stem)
+            if ids is None and (ids := others.get(stem)) is None:
+                ids = cache[stem]
+            others[w] = ids + marks[mark]
+        letters |= others
+        cache.update(letters if len(max(letters, key=len, default=b"")) <= CACHED_LENGTH else {w: b for w, b in letters.items() if len(w) <= CACHED_LENGTH})
+        return letters
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        cache = self.cache
-        new = list({w for ws in split for w in ws if w not in cache})
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list({w for ws in split for w in ws})
-        rare: dict[bytes, bytes] = {}
-        stems = list(self.stems(new))
-        unknown = list({x for _, stem, mark in stems for x in (stem, mark) if x and x not in cache})
-        for lo in range(0, len(unknown), 200):
-            for w, b in self.learn(unknown[lo : lo + 200]).items():
-                (cache if len(w) <= CACHED_LENGTH else rare)[w] = b
-        for w, stem, mark in stems:
-            b = (cache[stem] if stem in cache else rare[stem]) + (cache[mark] if mark else b"")
-            (cache if len(w) <= CACHED_LENGTH else rare)[w] = b
-        if rare:
-            return [b"".join([cache[w] if w in cache else rare[w] for w in ws]) for ws in split]
-        return [b"".join([cache[w] for w in ws]) for ws in split]
+        words = set().union(*split)
+        # the batch has a dictionary of its own, which is small enough to be quick
+        local = dict(zip(words, map(self.cache.get, words), strict=True))
+        if new := [w for w, b in local.items() if b is None]:
+            if len(self.cache) > CACHE_WORDS:
+                self.cache.clear()
+            local |= self.resolve(new)
+        return [b"".join(map(local.__getitem__, ws)) for ws in split]
+
+
+#: Bytes of text that are tokenised together.
+TOGETHER = 6 << 20
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows dealt to runs of about TOGETHER bytes."""
+    sizes = np.cumsum([0, *(x or 0 for x in pc.binary_length(texts).to_pylist())])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + TOGETHER, side="right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -119,39 +176,23 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return where, at, fill
 
 
-def _pieces(path: str, capacity: int, end: int, with_ids: bool, round_items: int):
+def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, stop = Tokens.of(path), np.array([end], dtype="<u4").tobytes()
-        first = TaskContext.get().partitionId() << 33
-        rows: list[tuple] = []
-        held = 0
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            nonlocal first
-            where, at, fill = best_fit([r[3] for r in rows], capacity)
-            for lo in range(0, len(rows), 5000):
-                part, w = rows[lo : lo + 5000], where[lo : lo + 5000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int32()), *(pa.array([r[k] for r in part], pa.int64()) for k in (2, 3, 4)), pa.array([r[5] for r in part], pa.binary()),
-                     pa.array([first + b for b in w], pa.int64()), pa.array(at[lo : lo + 5000], pa.int64()), pa.array([fill[b] for b in w], pa.int64())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "_bin", "_at", "_fill"],
-                )
-            first += len(fill)
-
+        number = TaskContext.get().partitionId() << 33
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "_bin"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         for batch in batches:
             keys, column = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(keys), 500):
-                for key, ids in zip(keys[lo : lo + 500], tokens.ids(column[lo : lo + 500].to_pylist()), strict=True):
+            for lo, hi in runs(column):
+                rows: list[tuple] = []
+                for key, ids in zip(keys[lo:hi], tokens.ids(column[lo:hi].to_pylist()), strict=True):
                     ids += stop
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[a : a + 4 * capacity]
-                        rows.append((key, k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-                        held += 100 + len(part) * with_ids
-                if len(rows) >= round_items or held > 64 << 20:
-                    yield from packed()
-                    rows, held = [], 0
-        if rows:
-            yield from packed()
+                        rows.append((key, k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None, number))
+                        number += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
@@ -186,16 +227,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     spark = docs.sparkSession
     ship(spark)
     pairs = docs.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string"))
-    pieces = materialize(pairs.mapInArrow(_pieces(tokenizer or tokenizer_path(), capacity, end_id, with_ids, round_items), PIECE), "pack-pieces")
-    bins = pieces.groupBy("_bin").agg(F.first("_fill").alias("_fill"))
-    # where the bins of the first round go: (_bin, _seq, _base); bins that never move have no row
+    pieces = materialize(pairs.mapInArrow(_pieces(tokenizer or tokenizer_path(), capacity, end_id, with_ids), PIECE), "pack-pieces")
+    # where pieces go: (_bin, _seq, _base); those that fill a sequence alone have no row
     moved: DataFrame | None = None
-    under = materialize(bins.where(F.col("_fill") < capacity - slack), "pack-under-0")
-    count, tasks, level = under.count(), max(1, pieces.rdd.getNumPartitions()), 0
+    under = pieces.select("_bin", F.col("length").alias("_fill")).where(F.col("_fill") < capacity - slack)
+    count, tasks, level = under.count(), 0, 0
     while count > 1:
         level += 1
-        before, tasks = tasks, max(1, -(-tasks // fan_in), -(-count // round_items))
-        # ids of later rounds lie above those of earlier ones
+        before, least = tasks, -(-count // round_items)
+        tasks = least if level == 1 else max(least, -(-tasks // fan_in))
+        # numbers of later rounds lie above those of earlier ones
         packed = under.repartition(tasks, F.xxhash64("_bin", F.lit(level))).select("_bin", "_fill").mapInArrow(_round(capacity, round_items), "_bin bigint, _next bigint, _base bigint, _fill bigint")
         packed = materialize(packed.withColumn("_next", F.col("_next") + F.lit(level << 56)), f"pack-round-{level}")
         if moved is None:
@@ -203,16 +244,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         else:
             step = packed.select(F.col("_bin").alias("_seq"), "_next", F.col("_base").alias("_more"))
             moved = moved.join(step, "_seq", "left").select("_bin", F.coalesce("_next", "_seq").alias("_seq"), (F.col("_base") + F.coalesce("_more", F.lit(0))).alias("_base"))
+        if tasks == 1:
+            break  # one task has seen all of them
         left = materialize(packed.groupBy("_next").agg(F.first("_fill").alias("_fill")).where(F.col("_fill") < capacity - slack).withColumnRenamed("_next", "_bin"), f"pack-under-{level}")
-        discard(under)
-        gone, under, count = count - left.count(), left, left.count()
-        if before == 1 or tasks > 1 and before == tasks and gone < count // 100:
-            break  # one task has seen all of them, or nothing fits together any more
+        remain = left.count()
+        gone, under, count = count - remain, left, remain
+        if before == tasks and gone <= count // 100:
+            break  # nothing fits together any more
     if moved is None:
         moved = spark.createDataFrame([], "_bin bigint, _seq bigint, _base bigint")
     out = pieces.join(moved, "_bin", "left")
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return out.select(*cols, F.coalesce("_seq", "_bin").alias("sequence_id"), (F.col("_at") + F.coalesce("_base", F.lit(0))).alias("offset"), *(["ids"] if with_ids else []))
+    return out.select(*cols, F.coalesce("_seq", "_bin").alias("sequence_id"), F.coalesce("_base", F.lit(0)).cast("bigint").alias("offset"), *(["ids"] if with_ids else []))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

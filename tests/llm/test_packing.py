@@ -64,6 +64,7 @@ def test_best_fit_against_scan():
 def test_tokens_match_tokenizer():
     tokens = P.Tokens(P.tokenizer_path())
     texts = [t for _, t, *_ in TEXTS] + ["It's we'll I'M. ok,. a.b, É. é. ΑΣ. x\x1cy  z", "…", " "]
+    texts += [f"{chr(c) * 3} a{chr(c)}. {chr(c).upper()}b, {chr(c)}" for c in range(33, 1500)]
     for _ in range(2):
         for t, got in zip(texts, tokens.ids(texts), strict=True):
             assert got == np.array(tokens.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
