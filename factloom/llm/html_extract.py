@@ -43,9 +43,11 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 #: Words of a class or id that mark what isn't article text.
 DROPPED_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription popup modal overlay "
-    "sidebar aside rail widget widgets menu menus nav navbar navigation navigationbar breadcrumb breadcrumbs topbar masthead footer foot bottombar comment comments commentlist disqus respond replies "
+    "sidebar aside rail widget widgets menu menus nav navbar navigation navigationbar breadcrumb breadcrumbs topbar masthead footer foot bottombar comment comments commentlist usercomments discussion disqus respond reply replies "
     "share sharing social related recommended recommendations pagination pager toolbar skip login signup signin paywall".split()
 )
+#: The share of a host's pages from which a subtree goes even from within an article.
+ARTICLE_SHARE = 0.5
 HEADER_WORDS = frozenset("header siteheader pageheader".split())
 
 
@@ -153,9 +155,11 @@ def walk(root: Node) -> Iterator[Node]:
 
 def names(attributes: dict[str, str]) -> set[str]:
     found = set()
-    for word in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+    marks = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    for word in re.sub("([a-z])([A-Z])", r"\1-\2", marks).lower().split():
         if not word.startswith(("no-", "has-", "with-", "without-", "is-")):
-            found.update(re.split(r"[^a-z]+", word))
+            parts = re.split(r"[^a-z]+", word)
+            found.update((*parts, "".join(parts)))  # side-bar is sidebar too
     return found
 
 
@@ -193,7 +197,7 @@ def roots(page: Node) -> list[Node]:
     return [n for n in articles if n.words] or [n for n in mains if n.words][:1] or [page]
 
 
-def main_text(page: str | None, templates: dict[int, float] | None = None, article_share: float = 0.5) -> str:
+def main_text(page: str | None, templates: dict[int, float] | None = None, article_share: float = ARTICLE_SHARE) -> str:
     """templates: share of the host's pages for each recurring subtree; within an article only those of article_share or more go."""
     if not page:
         return ""
@@ -268,12 +272,17 @@ def _count(limit: int):
     return run
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 4, share: float = 0.1, task_entries: int = 300_000) -> DataFrame:
-    """(host, subtree, share) of subtrees on at least min_pages pages and that share of their host's pages."""
+def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 4, share: float = 0.1, article_pages: int = 10, article_share: float = ARTICLE_SHARE, task_entries: int = 300_000) -> DataFrame:
+    """(host, subtree, share) of subtrees on at least min_pages pages and that share of their host's pages.
+
+    A subtree on fewer than article_pages pages keeps a share under article_share, so that a text that
+    a small site shows on several pages isn't taken out of its articles.
+    """
     counted = pages.select(F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")).mapInArrow(_count(task_entries), COUNTED)
     sums = materialize(counted.groupBy("host", "subtree").agg(F.sum("pages").alias("pages")).where(F.col("subtree").isNull() | (F.col("pages") >= min_pages)), "html-counts")
     hosts = sums.where("subtree is null").select("host", F.col("pages").alias("all"))
     often = sums.where("subtree is not null").join(hosts, "host").withColumn("share", F.col("pages") / F.col("all"))
+    often = often.withColumn("share", F.when(F.col("pages") >= article_pages, F.col("share")).otherwise(F.least("share", F.lit(0.99 * article_share))))
     return often.where(F.col("share") >= share).select("host", "subtree", "share")
 
 
