@@ -138,7 +138,7 @@ def _write(folder: str, date: str, level: int):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, date: str = "2000-01-01T00:00:00Z", least: int = 0, level: int = 1, chunk_chars: int = CHUNK_CHARS, **names: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str | None = None, date: str = "2000-01-01T00:00:00Z", least: int = 0, level: int = 6, chunk_chars: int = CHUNK_CHARS, **names: str) -> DataFrame:
     """Write the archives; the result is their manifest (file, records, bytes)."""
     spark = pages.sparkSession
     ship(spark)
