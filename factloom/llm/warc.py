@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,29 +40,38 @@ READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type
 
 
 def record_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(record, page_id, url, chunk, chunks, payload), written to the shared folder."""
+    """(record, page_id, url, chunk, chunks, payload), payloads zstd-compressed chunk by chunk; written to the shared folder."""
     html = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("record"), F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), html.alias("_html"))
     rows = rows.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.length("_html") / chunk_chars)).cast("int"))
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     part = F.when(F.col("chunks") == 1, F.col("_html")).otherwise(F.substring(F.col("_html"), F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars)))
-    return materialize(rows.select("record", "page_id", "url", "chunk", "chunks", part.cast("binary").alias("payload")), "warc-chunks")
+    return materialize(rows.select("record", "page_id", "url", "chunk", "chunks", part.cast("binary").alias("payload")).mapInArrow(_squeeze, CHUNKS), "warc-chunks")
+
+
+CHUNKS = "record bigint, page_id bigint, url string, chunk int, chunks int, payload binary"
+
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([pack(x.as_buffer()) for x in batch.column(5)], pa.binary())], names=batch.schema.names)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (record, page_id, chunk, chunks, payload), a record's chunks in order and together."""
     sha1 = sha256 = None
-    n = 0
+    n, unpack = 0, zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out: list[tuple] = []
         keys = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
         for (record, page, chunk, chunks), payload in zip(keys, batch.column(4), strict=True):
             if chunk == 0:
                 sha1, sha256, n = hashlib.sha1(), hashlib.sha256(), 0
-            data = payload.as_buffer()
+            data = unpack(payload.as_buffer())
             sha1.update(data)
             sha256.update(data)
-            n += data.size
+            n += len(data)
             if chunk == chunks - 1:
                 out.append((record, page, n, base64.b32encode(sha1.digest()).decode(), sha256.hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["record", "page_id", "bytes", "sha1", "sha256"])
@@ -108,7 +118,7 @@ def _write(folder: str, date: str, level: int):
         store, base = fs.FileSystem.from_uri(folder)
         name = f"records-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
         out = squeeze = None
-        records = size = 0
+        records, size, unpack = 0, 0, zstandard.ZstdDecompressor().decompress
 
         def put(data: bytes) -> None:
             nonlocal size
@@ -126,7 +136,7 @@ def _write(folder: str, date: str, level: int):
                     squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
                     put(squeeze.compress(header(record, page, url, kind, n, sha1, of_record, of_page, date)))
                 if kind == "response":
-                    put(squeeze.compress(payload.as_buffer()))
+                    put(squeeze.compress(unpack(payload.as_buffer())))
                 if chunk == chunks - 1:
                     put(squeeze.compress(b"\r\n\r\n"))
                     put(squeeze.flush())
