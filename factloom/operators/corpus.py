@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import first_nonempty, rstrip
+from factloom.session import ship
 
 
 def evidence_rows(edges: DataFrame) -> DataFrame:
@@ -47,3 +51,37 @@ def corpus_text(docs: DataFrame, preamble: str) -> DataFrame:
 def leaked(text: DataFrame, tokens: DataFrame) -> DataFrame:
     """Tokens (ids of later batches, say) that a text must not contain. text: one row (corpus)."""
     return tokens.join(F.broadcast(text), F.expr("contains(corpus, token)")).select("token")
+
+
+def passage_counts(docs: DataFrame, passages: DataFrame, most: int = 200_000) -> DataFrame:
+    """(item_id, documents): in how many documents each passage stands; passages in none are left out.
+
+    docs: (text). passages: (item_id, passage), a checked number of them. All are searched in one walk over each
+    text by an Aho-Corasick automaton, so the cost doesn't grow with their number; tasks add up first.
+    """
+    import ahocorasick
+
+    ship(docs.sparkSession)
+    rows = passages.where("passage IS NOT NULL AND passage <> ''").select("item_id", "passage").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} passages to search for at once")
+    shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.passage) for r in rows])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: dict[str, list[int]] = {}
+        for item, passage in shared.value:
+            items.setdefault(passage, []).append(item)
+        automaton = ahocorasick.Automaton()
+        for passage, ids in items.items():
+            automaton.add_word(passage, ids)
+        automaton.make_automaton()
+        counts: dict[int, int] = {}
+        for batch in batches:
+            for text in batch.column(0) if items else ():
+                for item in {i for _, ids in automaton.iter(text.as_py() or "") for i in ids}:
+                    counts[item] = counts.get(item, 0) + 1
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["item_id", "documents"])
+
+    found = docs.select("text").mapInArrow(search, "item_id bigint, documents bigint")
+    return found.groupBy("item_id").agg(F.sum("documents").alias("documents"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as X
 from factloom.functions.canonical import ordered_digest
 from factloom.operators import evaluate, graph, integrity
+from factloom.operators.corpus import passage_counts
 from factloom.operators.rules import expect_counts, missing_and_extra, not_in
 from factloom.plans.tables import contains, entities, relations
 from factloom.session import ship, table
@@ -336,12 +337,9 @@ def first_violation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT b.item_id, CAST(count(d.doc_id) AS BIGINT) AS documents FROM benchmark b JOIN documents d ON strpos(d.text, substr(b.text, 1, 60)) > 0 GROUP BY b.item_id""")
 def leaked_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Suite passages whose first 60 characters stand in documents: the passage list is small and checked, documents are scanned once."""
-    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head"))
-    if items.count() > 100_000:
-        raise ValueError("too many passages to search for at once")
-    docs = table(spark, d, "documents").select("text")
-    return docs.join(F.broadcast(items), F.contains(F.col("text"), F.col("head"))).groupBy("item_id").agg(F.count("*").alias("documents"))
+    """Suite passages whose first 60 characters stand in documents."""
+    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("passage"))
+    return passage_counts(table(spark, d, "documents"), items)
 
 
 @query("""WITH asked AS (SELECT o_orderkey AS case_id, l_partkey AS claim_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey), lack AS (SELECT DISTINCT case_id, claim_id FROM asked WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = claim_id AND p_size > 3))

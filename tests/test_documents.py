@@ -217,3 +217,12 @@ def test_catalog_and_corpus(spark, tmp_path):
     assert body.startswith("# Corpus\n\n## host.h\n\n") and body.endswith("y\n") and body.index("host.h") < body.index("## parasite.p")
     tokens = spark.createDataFrame([("parasite.p",), ("nowhere",)], "token string")
     assert [r.token for r in corpus.leaked(text, tokens).collect()] == ["parasite.p"]
+
+
+def test_passage_counts(spark):
+    docs = spark.createDataFrame([("abc xyz abc",), ("xyz",), (None,), ("abcd",)], "text string").repartition(2)
+    items = spark.createDataFrame([(1, "abc"), (2, "xyz"), (3, "none"), (4, "abc"), (5, ""), (6, None), (7, "bcd")], "item_id bigint, passage string")
+    assert {r.item_id: r.documents for r in corpus.passage_counts(docs, items).collect()} == {1: 2, 4: 2, 2: 2, 7: 1}
+    assert corpus.passage_counts(docs, items.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="over 2 passages"):
+        corpus.passage_counts(docs, items, most=2)
