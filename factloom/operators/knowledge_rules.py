@@ -222,7 +222,7 @@ def check_documents(docs: DataFrame, v: Vocabulary, sources: DataFrame) -> DataF
     dangling = row(targets.join(index, "object", "left_anti"), "V22", F.col("locus"), F.concat(F.lit("object "), "object", F.lit(" has no document")))
     ranges = v.ranges(spark)
     placed = targets.join(index, "object").join(F.broadcast(ranges.select("predicate").distinct()), "predicate")
-    outside = row(not_in(placed, {"predicate": "predicate", "object_type": "object_type"}, ranges), "V22", F.col("locus"), F.concat("object_type", F.lit(" is no object of "), "predicate"))
+    outside = row(not_in(placed, {"predicate": "predicate", "object_type": "object_type"}, ranges, vocabulary=True), "V22", F.col("locus"), F.concat("object_type", F.lit(" is no object of "), "predicate"))
     return v9.unionByName(v10).unionByName(own).unionByName(dangling).unionByName(outside)
 
 

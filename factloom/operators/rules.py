@@ -50,9 +50,13 @@ def report(findings: DataFrame) -> tuple[list[str], int]:
     return [f"{r.level}: {r.path}: {r.message}" for r in rows], int(any(r.level == "ERROR" for r in rows))
 
 
-def not_in(rows: DataFrame, keys: dict[str, str], known: DataFrame) -> DataFrame:
-    """Rows without a partner in known; null keys are without one. keys: column of rows to column of known."""
-    right = known.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys.values())]).distinct()
+def not_in(rows: DataFrame, keys: dict[str, str], known: DataFrame, vocabulary: bool = False) -> DataFrame:
+    """Rows without a partner in known; null keys are without one. keys: column of rows to column of known.
+
+    vocabulary: known is a controlled vocabulary, small by nature, and is broadcast.
+    """
+    right = known.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys.values())])
+    right = F.broadcast(right) if vocabulary else right
     on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
     return rows.join(right, reduce(lambda a, b: a & b, on), "left_anti")
 

@@ -127,7 +127,7 @@ def domain_range_violations(spark: SparkSession, d: str) -> DataFrame:
     v = spark.createDataFrame(_VOCABULARY, "subject_type string, predicate string, object_type string")
     kind = lambda c: F.substring_index(c, ".", 1)
     rows = relations(spark, d).withColumns({"subject_type": kind("subject"), "object_type": kind("object")})
-    return not_in(rows, {c: c for c in v.columns}, v).select("subject", "predicate", "object")
+    return not_in(rows, {c: c for c in v.columns}, v, vocabulary=True).select("subject", "predicate", "object")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_suppkey AND s.s_acctbal >= 0)")

@@ -45,7 +45,8 @@ def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges `order contains part` with their evidence, one array entry for each line item, and qualifiers JSON."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
     entry = F.struct(F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"))
-    grouped = items.groupBy("l_orderkey", "l_partkey").agg(F.array_sort(F.collect_list(entry)).alias("items"), F.min("l_linestatus").alias("_lo"), F.max("l_linestatus").alias("_hi"))
+    # nearly every group has one row, so rows are dealt by group before and not as arrays after a partial aggregation
+    grouped = items.repartition("l_orderkey", "l_partkey").groupBy("l_orderkey", "l_partkey").agg(F.array_sort(F.collect_list(entry)).alias("items"), F.min("l_linestatus").alias("_lo"), F.max("l_linestatus").alias("_hi"))
     evidence = F.transform("items", lambda x: F.struct(F.concat(F.lit("supplier."), x["s"].cast("string")).alias("source_id"), x["n"].cast("string").alias("locator"), x["f"].alias("evidence_type")))
     status = F.when((F.col("_lo") == "F") & (F.col("_hi") == "F"), "reviewed").otherwise("draft")
     subject, target = ident("orders", "l_orderkey"), ident("part", "l_partkey")
