@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm import words
 from factloom.session import materialize, ship
 
 CAPACITY, END = 4096, 1
@@ -43,7 +43,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Tokens:
-    """Ids of texts as little-endian 32-bit bytes, by way of a bounded cache of words."""
+    """Ids of texts as little-endian 32-bit bytes, by way of bounded caches of words (by 64-bit hash) and their stems."""
 
     _made: dict[str, Tokens] = {}
 
@@ -56,7 +56,8 @@ class Tokens:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.cache: dict[bytes, bytes] = {}
+        self.cache: dict[int, bytes] = {}  # by the hash of the word
+        self.stems: dict[bytes, bytes] = {}
         # which ids end a pre-token
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -83,20 +84,21 @@ class Tokens:
         raw = np.array(found.ids, dtype="<u4").tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)]
 
-    def resolve(self, new: list[bytes]) -> dict[bytes, bytes]:
+    def resolve(self, new: list[bytes]) -> list[bytes]:
         """Ids of words that the cache hasn't.
 
         A full stop or comma after a letter is a token of its own, and case doesn't count. Words with characters
         beyond U+00FF are left whole, as their case and composition aren't plain.
         """
-        cache, stems = self.cache, []
+        if len(self.stems) > CACHE_WORDS:
+            self.stems.clear()
+        cache, stems = self.stems, []
         letters: dict[bytes, bytes | None] = {}
         others: dict[bytes, bytes | None] = {}
         for w in new:
             if w.isalpha() and w.islower():  # ASCII
-                letters[w] = None
-                continue
-            if w.isascii():
+                stem, mark, group = w, b"", letters
+            elif w.isascii():
                 stem = w.lower()
                 mark = stem[-1:] if stem[-1:] in (b".", b",") and stem[-2:-1].isalpha() else b""
                 stem = stem[: len(stem) - len(mark)]
@@ -118,39 +120,42 @@ class Tokens:
                 part = todo[lo : lo + 300]
                 group.update(zip(part, self.learn(part, is_letters), strict=True))
         marks = dict(zip((b".", b","), self.learn([b".", b","], False), strict=True)) | {b"": b""}
-        for w, stem, mark in stems:
-            ids = letters.get(stem)
-            if ids is None and (ids := others.get(stem)) is None:
-                ids = cache[stem]
-            others[w] = ids + marks[mark]
         letters |= others
+        out = [(letters[stem] if stem in letters else cache[stem]) + marks[mark] for _, stem, mark in stems]
         cache.update(letters if len(max(letters, key=len, default=b"")) <= CACHED_LENGTH else {w: b for w, b in letters.items() if len(w) <= CACHED_LENGTH})
-        return letters
+        return out
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        words = set().union(*split)
-        # the batch has a dictionary of its own, which is small enough to be quick
-        local = dict(zip(words, map(self.cache.get, words), strict=True))
-        if new := [w for w, b in local.items() if b is None]:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            local |= self.resolve(new)
-        return [b"".join(map(local.__getitem__, ws)) for ws in split]
-
-
-#: Bytes of text that are tokenised together.
-TOGETHER = 6 << 20
+    def of_column(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, null read as empty.
 
+        Words are hashed and told apart for a slice of the column at once; only distinct ones are looked up.
+        """
+        for _, _, offsets, data in words.groups(column):
+            starts, ends, first = words.spans(offsets, data)
+            distinct, at, inverse = np.unique(words.hashes(data, starts, ends), return_index=True, return_inverse=True)
+            keys = distinct.tolist()
+            found = list(map(self.cache.get, keys))
+            if missing := [k for k, b in enumerate(found) if b is None]:
+                raw, where = data.tobytes(), at[missing]
+                resolved = self.resolve([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+                if len(self.cache) > CACHE_WORDS:
+                    self.cache.clear()
+                for k, b in zip(missing, resolved, strict=True):
+                    found[k] = b
+                    if len(b) <= 4 * CACHED_LENGTH:
+                        self.cache[keys[k]] = b
+            flat = np.frombuffer(b"".join(found), dtype="<u4")
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+            begin = np.cumsum(sizes) - sizes
+            own = sizes[inverse]
+            ends_at = np.cumsum(own)
+            ids = flat[np.arange(int(ends_at[-1]) if len(own) else 0) - np.repeat(ends_at - own - begin[inverse], own)].tobytes()
+            cuts = 4 * np.concatenate([[0], ends_at])[first]
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                yield ids[a:b]
 
-def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Rows dealt to runs of about TOGETHER bytes."""
-    sizes = np.cumsum([0, *(x or 0 for x in pc.binary_length(texts).to_pylist())])
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + TOGETHER, side="right")) - 1)
-        yield lo, hi
-        lo = hi
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        return list(self.of_column(pa.array(texts, pa.string())))
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -183,16 +188,19 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "_bin"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         for batch in batches:
-            keys, column = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in runs(column):
-                rows: list[tuple] = []
-                for key, ids in zip(keys[lo:hi], tokens.ids(column[lo:hi].to_pylist()), strict=True):
-                    ids += stop
-                    for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[a : a + 4 * capacity]
-                        rows.append((key, k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None, number))
-                        number += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows: list[tuple] = []
+            out = lambda: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)  # noqa: B023, E731
+            for key, ids in zip(batch.column(0).to_pylist(), tokens.of_column(batch.column(1)), strict=True):
+                ids += stop
+                for k, a in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[a : a + 4 * capacity]
+                    rows.append((key, k, a // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None, number))
+                    number += 1
+                if len(rows) >= 2000:
+                    yield out()
+                    rows = []
+            if rows:
+                yield out()
 
     return run
 
