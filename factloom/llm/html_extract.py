@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -304,7 +305,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         known = spark.sparkContext.broadcast(table)
     else:
         per_host = templates.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("subtree", "share"))).alias("_templates"))
-        host = F.udf(host_of)  # of the url only, on the way of the join
+
+        @F.pandas_udf(T.StringType())
+        def host(urls: pd.Series) -> pd.Series:
+            return urls.map(host_of)
+
         rows = rows.withColumn("_host", host(url_col)).join(per_host, F.col("_host") == F.col("host"), "left").drop("host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
