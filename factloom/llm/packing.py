@@ -32,7 +32,7 @@ from factloom.session import materialize, ship
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS, CACHED_LENGTH = 400_000, 64
+CACHE_WORDS, CACHED_LENGTH = 900_000, 64
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, _bin bigint"
 
 
@@ -43,7 +43,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Tokens:
-    """Ids of texts as little-endian 32-bit bytes, by way of bounded caches of words (by 64-bit hash) and their stems."""
+    """Ids of texts as little-endian 32-bit bytes, by way of a bounded cache of words by 64-bit hash."""
 
     _made: dict[str, Tokens] = {}
 
@@ -57,7 +57,6 @@ class Tokens:
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[int, bytes] = {}  # by the hash of the word
-        self.stems: dict[bytes, bytes] = {}
         # which ids end a pre-token
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -90,9 +89,7 @@ class Tokens:
         A full stop or comma after a letter is a token of its own, and case doesn't count. Words with characters
         beyond U+00FF are left whole, as their case and composition aren't plain.
         """
-        if len(self.stems) > CACHE_WORDS:
-            self.stems.clear()
-        cache, stems = self.stems, []
+        stems = []
         letters: dict[bytes, bytes | None] = {}
         others: dict[bytes, bytes | None] = {}
         for w in new:
@@ -111,9 +108,8 @@ class Tokens:
                 if mark:
                     text = text[:-1]
                 stem, group = text.encode(), letters if latin and text.isalpha() else others
-            stems.append((w, stem, mark))
-            if stem not in cache:
-                group[stem] = None
+            stems.append((stem, mark))
+            group[stem] = None
         for group, is_letters in ((letters, True), (others, False)):
             todo = list(group)
             for lo in range(0, len(todo), 300):
@@ -121,9 +117,7 @@ class Tokens:
                 group.update(zip(part, self.learn(part, is_letters), strict=True))
         marks = dict(zip((b".", b","), self.learn([b".", b","], False), strict=True)) | {b"": b""}
         letters |= others
-        out = [(letters[stem] if stem in letters else cache[stem]) + marks[mark] for _, stem, mark in stems]
-        cache.update(letters if len(max(letters, key=len, default=b"")) <= CACHED_LENGTH else {w: b for w, b in letters.items() if len(w) <= CACHED_LENGTH})
-        return out
+        return [letters[stem] + marks[mark] for stem, mark in stems]
 
     def of_column(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each text, null read as empty.
