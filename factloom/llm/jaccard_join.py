@@ -337,13 +337,19 @@ def _meet(x: Tree, y: Tree, level: int, a: np.ndarray, b: np.ndarray, num: int,
     keep = (x.mixed[level][a] | y.mixed[level][b] | (x.labels[level][a] != y.labels[level][b])) & (den * ha[a] >= num * lb[b]) & (den * hb[b] >= num * la[a])
     a, b = a[keep], b[keep]
     # the largest possible overlap: shared bits, and the elements that share bits within their own set
-    most = np.bitwise_count(ma[a] & mb[b]).sum(axis=1, dtype=np.int64) + np.minimum(ea[a], eb[b])
+    shared = np.empty(len(a), dtype=np.int64)
+    step = max(1, MEET_BYTES // (8 * ma.shape[1]))  # long bitmaps are met a few at a time
+    for k in range(0, len(a), step):
+        shared[k : k + step] = np.bitwise_count(ma[a[k : k + step]] & mb[b[k : k + step]]).sum(axis=1, dtype=np.int64)
+    most = shared + np.minimum(ea[a], eb[b])
     most = np.minimum(most, np.minimum(ha[a], hb[b]))
     ok = (num + den) * most >= num * (la[a] + lb[b])
     return np.stack([a[ok], b[ok]], axis=1)
 
 
 PAIRS_AT_ONCE = 1 << 14
+#: Bytes of bitmaps met at once.
+MEET_BYTES = 4 << 20
 
 
 def dual_join(x: Tree, y: Tree, sets: Union, num: int, den: int) -> None:
