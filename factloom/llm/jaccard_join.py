@@ -35,7 +35,7 @@ from factloom.session import discard, materialize, partitions, release, ship
 
 SHINGLE = 5
 #: Bytes that a map task gathers before it sends blocks, and signatures that a bucket is planned for.
-FLUSH, BUCKET = 12 << 20, 1_000_000
+FLUSH, BUCKET = 6 << 20, 1_000_000
 #: Buckets at least; classes of copies that are broadcast at most (16 bytes each).
 BUCKETS, COPIED = 64, 500_000
 K1, K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
