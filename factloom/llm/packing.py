@@ -32,7 +32,7 @@ from factloom.session import materialize, ship
 
 CAPACITY, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS, CACHED_LENGTH = 350_000, 64
+CACHE_WORDS, CACHED_LENGTH = 500_000, 64
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, _bin bigint"
 
 
