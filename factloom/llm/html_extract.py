@@ -3,7 +3,9 @@
 Pages are parsed tolerantly into element trees; every element gets a hash of its subtree (tags and
 texts). Tasks count, merged map-side, on how many pages of a host each subtree occurs; subtrees that
 recur on many pages of their host are templates and are deleted, as are elements whose tag, role or
-class says that they aren't article text. What is left of the article (else of the main element,
+class says that they aren't article text. Within an article or a main element only whole classes
+say so, pieces of classes and ids (slugs of headings) don't; no class or id deletes a heading or hides
+a page's only article. What is left of the article (else of the main element,
 else of the body) is the text, block by block.
 
 The templates found are few for each host: one recurs on at least `share` of its pages, so there are at
@@ -40,6 +42,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: A start tag that ends an open element of the second kind, unless one of the third kind stands between.
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 DROPPED_TAGS = frozenset("script style noscript template svg math canvas iframe object embed audio video head title nav footer aside form button select textarea input dialog menu noembed noframes map".split())
+#: Those of them that no page shows.
+UNSHOWN = frozenset("script style noscript template head title iframe noembed noframes".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that mark what isn't article text.
 DROPPED_WORDS = frozenset(
@@ -60,12 +64,13 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    __slots__ = ("attributes", "children", "hash", "tag", "words")
+    __slots__ = ("attributes", "children", "hash", "holds", "tag", "words")
 
     def __init__(self, tag: str, attributes: str) -> None:
         self.tag, self.attributes = tag, attributes
         self.children: list[Node | str] = []
         self.hash = self.words = 0
+        self.holds = False  # a main element
 
     def close(self) -> None:
         """Hash the subtree: tag, texts with white space collapsed, hashes of the children."""
@@ -77,6 +82,7 @@ class Node:
                     h.update(b"\x00" + " ".join(parts).encode("utf-8", "replace"))
             else:
                 self.words += c.words
+                self.holds |= c.holds or c.tag == "main"
                 h.update(b"\x01" + c.hash.to_bytes(8, "little"))
         self.hash = h.intdigest()
 
@@ -164,30 +170,56 @@ def names(attributes: dict[str, str]) -> set[str]:
     return found
 
 
-def is_boilerplate(node: Node) -> bool:
+def marks(attributes: dict[str, str], whole: bool) -> set[str]:
+    """Whole classes only, or also the pieces of classes and of the id."""
+    return set(attributes.get("class", "").lower().split()) if whole else names(attributes)
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+
+
+def is_boilerplate(node: Node, whole: bool = False) -> bool:
     if node.tag in DROPPED_TAGS:
         return True
     if not node.attributes or node.tag in ("html", "body", "main", "article"):
         return False
     a = node.get()
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
+    if is_hidden(a) or a.get("role", "").lower() in DROPPED_ROLES:
         return True
-    return a.get("role", "").lower() in DROPPED_ROLES or not DROPPED_WORDS.isdisjoint(names(a))
+    return node.tag not in HEADINGS and not DROPPED_WORDS.isdisjoint(marks(a, whole))
+
+
+def is_header(node: Node, whole: bool = False) -> bool:
+    return node.tag == "header" or bool(node.attributes) and node.tag not in ("html", "body", "main", "article") and node.tag not in HEADINGS and not HEADER_WORDS.isdisjoint(marks(node.get(), whole))
+
 
+def hides(node: Node, anywhere: bool) -> bool:
+    """Whether no article is looked for in node: a whole class or id says that it holds none, and it doesn't hold the main element.
 
-def is_header(node: Node) -> bool:
-    return node.tag == "header" or bool(node.attributes) and node.tag not in ("html", "body", "main", "article") and not HEADER_WORDS.isdisjoint(names(node.get()))
+    anywhere: only what isn't shown hides an article.
+    """
+    if node.tag in UNSHOWN:
+        return True
+    a = node.get() if node.attributes and node.tag not in ("html", "body", "main") else {}
+    if node.tag != "article" and is_hidden(a):
+        return True
+    if anywhere or node.holds:
+        return False
+    return node.tag in DROPPED_TAGS or node.tag != "article" and (a.get("role", "").lower() in DROPPED_ROLES or a.get("id", "").lower() in DROPPED_WORDS) or not DROPPED_WORDS.isdisjoint(marks(a, True))
 
 
 def roots(page: Node) -> list[Node]:
-    """Outermost articles outside boilerplate, else main elements, else the page."""
+    """Outermost articles outside boilerplate, else main elements, else such within boilerplate, else the page."""
+    return _roots(page, False) or _roots(page, True) or [page]
+
+
+def _roots(page: Node, anywhere: bool) -> list[Node]:
     articles, mains = [], []
     todo = [page]
     while todo:
         node = todo.pop()
-        if is_boilerplate(node):
-            continue
-        if node.tag == "article" and node.attributes and not DROPPED_WORDS.isdisjoint(names(node.get())):
+        if hides(node, anywhere):
             continue
         if node.tag == "article":
             articles.append(node)
@@ -195,7 +227,7 @@ def roots(page: Node) -> list[Node]:
         if node.tag == "main" or "role" in node.attributes and node.get().get("role") == "main":
             mains.append(node)
         todo += [c for c in reversed(node.children) if not isinstance(c, str)]
-    return [n for n in articles if n.words] or [n for n in mains if n.words][:1] or [page]
+    return [n for n in articles if n.words] or [n for n in mains if n.words][:1]
 
 
 def main_text(page: str | None, templates: dict[int, float] | None = None, article_share: float = ARTICLE_SHARE) -> str:
@@ -212,6 +244,7 @@ def main_text(page: str | None, templates: dict[int, float] | None = None, artic
 
     for root in roots(parse(page)):
         inside = root.tag == "article"
+        whole = bool(root.tag)  # within an article or a main element
         least = article_share if inside else 0.0
         # entries: a text, a node to open, or None to end a block; heading: only headings of a header are kept
         todo: list[tuple[Node | str | None, bool]] = [(None, False), (root, False)]
@@ -224,11 +257,11 @@ def main_text(page: str | None, templates: dict[int, float] | None = None, artic
                     line.append(item)
             elif item.tag == "br":
                 line.append(" ")
-            elif item is root or not is_boilerplate(item):
+            elif item is root or not is_boilerplate(item, whole):
                 if item is not root and templates and templates.get(item.hash, -1.0) >= max(least, 1e-9):
                     line.append(" ")
                     continue
-                if item is not root and is_header(item):
+                if item is not root and is_header(item, whole):
                     if not inside:
                         continue
                     headings = True

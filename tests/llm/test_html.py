@@ -25,6 +25,20 @@ def test_malformed():
     assert H.main_text("<div class='side-bar'>a</div><div id='readerComments'>b</div><p class='user_comments'>c</p>d") == "d"
 
 
+def test_slugs_and_wrappers_keep_articles():
+    parts = '<h2 id="related-work">Related work</h2><section id="discussion"><h2 id="social-effects">Effects</h2><p>Text</p></section><div class="promotion-history" id="recommendations"><p>More</p></div><h3 id="header-files">Files</h3><div id="page-header"><p>Lead</p></div>'
+    said = "Related work\n\nEffects\n\nText\n\nMore\n\nFiles\n\nLead"
+    assert H.main_text(f'<article>{parts}<div class="box promo">Buy</div></article>') == said
+    assert H.main_text(f"<main>{parts}</main>") == said
+    for wrapper in ('div class="layout sidebar-right"', 'div class="page menu-open"', 'div class="menu"', 'div id="sidebar"', "form"):
+        tag = wrapper.split()[0]
+        assert H.main_text(f"<nav>n</nav><{wrapper}><article>{parts}</article></{tag}>") == said
+        assert H.main_text(f"<nav>n</nav><{wrapper}><main>{parts}</main></{tag}>") == said
+    assert H.main_text('<article id="post-1" class="post comment-open">a</article><aside><article>b</article></aside><div class="related"><article>c</article></div>') == "a"
+    assert H.main_text('<p>a</p><h2 id="related-work">b</h2>') == "a\n\nb"
+    assert H.main_text("<template><article>no</article></template><div hidden><article>no</article></div><p>a") == "a"
+
+
 def test_articles_of_small_sites_stay(spark):
     rows = [(i, f"http://small.example/{i}", f"<article><p>The same text on every page</p><p>Part {i}</p></article>") for i in range(6)]
     rows += [(100 + i, f"http://large.example/{i}", f"<article><div>Share this story</div><p>Story {i}</p></article>") for i in range(12)]
