@@ -8,8 +8,14 @@ say so, pieces of classes and ids (slugs of headings) don't; no class or id dele
 a page's only article. What is left of the article (else of the main element,
 else of the body) is the text, block by block.
 
+Within an article a subtree goes at article_share of the host's pages; a box (BOXES) goes, in and outside of
+articles, when it stands in article_pages different articles (else main elements, else pages) of its host, however many pages that
+has. Copies of an article count once, and where boxes hold more than half of the words none goes. A
+recurring line alone isn't taken for a template below these shares: it may be the article's own.
+
 The templates found are few for each host: one recurs on at least `share` of its pages, so there are at
-most 1 / share times the mean number of subtrees a page. They are broadcast while their number is
+most 1 / share times the mean number of subtrees a page; boxes are as many as the host has in
+article_pages articles. They are broadcast while their number is
 within `broadcast_rows`, which is checked; beyond that pages are joined with them by host.
 
 Defined results: null or empty html gives empty text; a null url belongs to the host ''; repeated rows and null
@@ -51,6 +57,8 @@ DROPPED_WORDS = frozenset(
     "sidebar aside rail widget widgets menu menus nav navbar navigation navigationbar breadcrumb breadcrumbs topbar masthead footer foot bottombar comment comments commentlist usercomments discussion disqus respond reply replies "
     "share sharing social related recommended recommendations pagination pager toolbar skip login signup signin paywall".split()
 )
+#: Elements that, when the same one recurs in several articles, are boxes put into them. A recurring line (p, h1, b) may be article text.
+BOXES = frozenset("div section fieldset details".split())
 #: The share of a host's pages from which a subtree goes even from within an article.
 ARTICLE_SHARE = 0.5
 HEADER_WORDS = frozenset("header siteheader pageheader".split())
@@ -230,8 +238,26 @@ def _roots(page: Node, anywhere: bool) -> list[Node]:
     return [n for n in articles if n.words] or [n for n in mains if n.words][:1]
 
 
-def main_text(page: str | None, templates: dict[int, float] | None = None, article_share: float = ARTICLE_SHARE) -> str:
-    """templates: share of the host's pages for each recurring subtree; within an article only those of article_share or more go."""
+def boxes_in(root: Node, boxes: frozenset[int] | set[int], whole: bool) -> set[int]:
+    """Recurring boxes of root to delete: none when they hold more than half of its words, as in a copied article."""
+    found, words, todo = set(), 0, list(root.children)
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or is_boilerplate(node, whole):
+            continue
+        if node.tag in BOXES and node.hash in boxes:
+            found.add(node.hash)
+            words += node.words
+        else:
+            todo += node.children
+    return found if 2 * words <= root.words else set()
+
+
+def main_text(page: str | None, templates: dict[int, float] | None = None, article_share: float = ARTICLE_SHARE, boxes: frozenset[int] | set[int] = frozenset()) -> str:
+    """templates: share of the host's pages for each recurring subtree; within an article only those of article_share or more go.
+
+    boxes: recurring boxes, which go at any share.
+    """
     if not page:
         return ""
     blocks, line = [], []
@@ -246,6 +272,7 @@ def main_text(page: str | None, templates: dict[int, float] | None = None, artic
         inside = root.tag == "article"
         whole = bool(root.tag)  # within an article or a main element
         least = article_share if inside else 0.0
+        gone = boxes_in(root, boxes, whole) if boxes else boxes
         # entries: a text, a node to open, or None to end a block; heading: only headings of a header are kept
         todo: list[tuple[Node | str | None, bool]] = [(None, False), (root, False)]
         while todo:
@@ -258,7 +285,7 @@ def main_text(page: str | None, templates: dict[int, float] | None = None, artic
             elif item.tag == "br":
                 line.append(" ")
             elif item is root or not is_boilerplate(item, whole):
-                if item is not root and templates and templates.get(item.hash, -1.0) >= max(least, 1e-9):
+                if item is not root and (item.hash in gone or templates and templates.get(item.hash, -1.0) >= max(least, 1e-9)):
                     line.append(" ")
                     continue
                 if item is not root and is_header(item, whole):
@@ -275,7 +302,7 @@ def main_text(page: str | None, templates: dict[int, float] | None = None, artic
     return "\n\n".join(blocks)
 
 
-COUNTED = "host string, subtree bigint, pages bigint"
+COUNTED = "host string, subtree bigint, content bigint, pages bigint"
 
 
 def _signed(x: int) -> int:
@@ -283,20 +310,28 @@ def _signed(x: int) -> int:
 
 
 def _count(limit: int):
-    """Pages of each host in all (subtree null) and for each subtree, as far as this task sees."""
+    """Pages of each host in all (subtree null), for each subtree, and for each box in each content, as far as this task sees.
+
+    content: the hash of the article (or main element or page) that a box stands in, null for the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, int | None], int] = {}
+        found: dict[tuple[str, int | None, int | None], int] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([s for _, s in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["host", "subtree", "pages"])
+            return pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in found], pa.string()), pa.array([s for _, s, _ in found], pa.int64()), pa.array([c for _, _, c in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["host", "subtree", "content", "pages"])
 
         for batch in batches:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 host = host_of(url)
-                found[host, None] = found.get((host, None), 0) + 1
-                for h in {_signed(n.hash) for n in walk(parse(page.as_py() or "")) if n.words and n.tag not in ("", "html", "body", "article", "main")}:
-                    found[host, h] = found.get((host, h), 0) + 1
+                found[host, None, None] = found.get((host, None, None), 0) + 1
+                tree = parse(page.as_py() or "")
+                for h in {_signed(n.hash) for n in walk(tree) if n.words and n.tag not in ("", "html", "body", "article", "main")}:
+                    found[host, h, None] = found.get((host, h, None), 0) + 1
+                for root in roots(tree):
+                    for n in walk(root):
+                        if n.tag in BOXES and n.words and n is not root:
+                            found[host, _signed(n.hash), _signed(root.hash)] = 1
                 if len(found) > limit:
                     yield out()
                     found.clear()
@@ -306,38 +341,68 @@ def _count(limit: int):
     return run
 
 
+def _counts(pages: DataFrame, url_col: str, html_col: str, min_pages: int, task_entries: int) -> DataFrame:
+    counted = pages.select(F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")).mapInArrow(_count(task_entries), COUNTED)
+    sums = counted.groupBy("host", "subtree", "content").agg(F.sum("pages").alias("pages"))
+    return materialize(sums.where(F.col("subtree").isNull() | F.col("content").isNotNull() | (F.col("pages") >= min_pages)), "html-counts")
+
+
+def _templates(sums: DataFrame, min_pages: int, share: float, article_pages: int, article_share: float) -> DataFrame:
+    hosts = sums.where("subtree is null").select("host", F.col("pages").alias("all"))
+    often = sums.where(f"subtree is not null and content is null and pages >= {min_pages}").join(hosts, "host").withColumn("share", F.col("pages") / F.col("all"))
+    often = often.withColumn("share", F.when(F.col("pages") >= article_pages, F.col("share")).otherwise(F.least("share", F.lit(0.99 * article_share))))
+    return often.where(F.col("share") >= share).select("host", "subtree", "share")
+
+
+def _boxes(sums: DataFrame, article_pages: int) -> DataFrame:
+    """(host, subtree) of boxes in at least article_pages different contents, however many pages the host has."""
+    return sums.where("content is not null").groupBy("host", "subtree").agg(F.count("*").alias("_n")).where(F.col("_n") >= article_pages).select("host", "subtree")
+
+
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 4, share: float = 0.1, article_pages: int = 10, article_share: float = ARTICLE_SHARE, task_entries: int = 300_000) -> DataFrame:
     """(host, subtree, share) of subtrees on at least min_pages pages and that share of their host's pages.
 
     A subtree on fewer than article_pages pages keeps a share under article_share, so that a text that
     a small site shows on several pages isn't taken out of its articles.
     """
-    counted = pages.select(F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")).mapInArrow(_count(task_entries), COUNTED)
-    sums = materialize(counted.groupBy("host", "subtree").agg(F.sum("pages").alias("pages")).where(F.col("subtree").isNull() | (F.col("pages") >= min_pages)), "html-counts")
-    hosts = sums.where("subtree is null").select("host", F.col("pages").alias("all"))
-    often = sums.where("subtree is not null").join(hosts, "host").withColumn("share", F.col("pages") / F.col("all"))
-    often = often.withColumn("share", F.when(F.col("pages") >= article_pages, F.col("share")).otherwise(F.least("share", F.lit(0.99 * article_share))))
-    return often.where(F.col("share") >= share).select("host", "subtree", "share")
+    return _templates(_counts(pages, url_col, html_col, min_pages, task_entries), min_pages, share, article_pages, article_share)
+
+
+def site_boxes(pages: DataFrame, url_col: str = "url", html_col: str = "html", article_pages: int = 10, task_entries: int = 300_000) -> DataFrame:
+    """(host, subtree) of the boxes that recur in at least article_pages different articles (or main elements, or pages) of their host."""
+    return _boxes(_counts(pages, url_col, html_col, article_pages, task_entries), article_pages)
 
 
 EXTRACTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 300_000, **counting: float) -> DataFrame:
+NOTHING: tuple[dict[int, float], set[int]] = ({}, set())
+
+
+def _split(found: list[tuple[int, float | None]]) -> tuple[dict[int, float], set[int]]:
+    """The shares of a host's templates, and its boxes."""
+    return {s % (1 << 64): p for s, p in found if p is not None}, {s % (1 << 64) for s, p in found if p is None}
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 300_000, min_pages: int = 4, share: float = 0.1, article_pages: int = 10, article_share: float = ARTICLE_SHARE, task_entries: int = 300_000) -> DataFrame:
     """(id, url, text, n_chars) for every page."""
     spark = pages.sparkSession
     ship(spark)
-    templates = materialize(site_templates(pages, url_col, html_col, **counting), "html-templates")
+    sums = _counts(pages, url_col, html_col, min_pages, task_entries)
+    # a box has no share
+    both = _templates(sums, min_pages, share, article_pages, article_share).unionByName(_boxes(sums, article_pages).withColumn("share", F.lit(None).cast("double")))
+    templates = materialize(both, "html-templates")
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField(url_col, T.StringType()), *EXTRACTED.fields])
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias(id_col), F.col(f"`{url_col}`").cast("string").alias(url_col), F.col(f"`{html_col}`").cast("string").alias("_html"))
     known = None
     if templates.count() <= broadcast_rows:
-        table: dict[str, dict[int, float]] = {}
+        table: dict[str, list[tuple[int, float | None]]] = {}
         for host, subtree, part in templates.collect():
-            table.setdefault(host, {})[subtree % (1 << 64)] = part
+            table.setdefault(host, []).append((subtree, part))
+        table = {host: _split(found) for host, found in table.items()}
         known = spark.sparkContext.broadcast(table)
     else:
-        per_host = templates.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("subtree", "share"))).alias("_templates"))
+        per_host = templates.groupBy("host").agg(F.collect_list(F.struct("subtree", "share")).alias("_templates"))
 
         @F.pandas_udf(T.StringType())
         def host(urls: pd.Series) -> pd.Series:
@@ -350,8 +415,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts: list[str] = []
             joined = batch.column(4) if known is None else None
             for k, (url, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
-                found = known.value.get(host_of(url)) if known is not None else {s % (1 << 64): p for s, p in joined[k].as_py() or []}
-                texts.append(main_text(page.as_py(), found))
+                found, boxes = known.value.get(host_of(url), NOTHING) if known is not None else _split([(x["subtree"], x["share"]) for x in joined[k].as_py() or []])
+                texts.append(main_text(page.as_py(), found, article_share, boxes))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     return rows.mapInArrow(run, schema)

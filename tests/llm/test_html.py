@@ -46,6 +46,21 @@ def test_articles_of_small_sites_stay(spark):
     assert got[3] == "The same text on every page\n\nPart 3" and got[103] == "Story 3"
 
 
+def test_boxes_in_articles_of_large_sites(spark):
+    promo = "<div><p>Sign up for</p><p>our letter</p></div>"
+    words = "with some more words that no other page has"
+    rows = [(i, f"http://large.example/{i}", f"<article>{'<h1>The same title</h1>' if i % 3 == 0 else ''}{promo if i < 12 else ''}<p>Story {i} {words}</p></article>") for i in range(120)]
+    # an article copied as it is, and one copied with another date each time
+    rows += [(200 + i, f"http://large.example/{i}/copy", f"<nav>{i}</nav><article><div><p>One article</p></div><p>as it is, copied whole and much longer</p></article>") for i in range(15)]
+    rows += [(300 + i, f"http://large.example/{i}/dated", f"<article><p>{i}</p><div><p>The same news</p></div><div><p>on every date</p></div></article>") for i in range(15)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    assert H.site_boxes(df, task_entries=5).count() == 3
+    for limit in (300_000, 0):
+        got = {r.page_id: r.text for r in H.extract(df, broadcast_rows=limit).collect()}
+        assert got[3] == f"The same title\n\nStory 3 {words}" and got[51] == f"The same title\n\nStory 51 {words}"
+        assert got[203].startswith("One article") and got[303] == "3\n\nThe same news\n\non every date"
+
+
 def pages(n):
     share = '<div class="box"><p>Follow us on every network there is</p></div>'
     return [(i, f"http://h.example/{i}", f"<body>{share}<p>Story number {i} is here</p><p>Another line {i * 7}</p></body>") for i in range(n)] + [(100, "http://other.example/", f"<body>{share}<p>alone</p></body>"), (101, None, None), (102, "::bad[", "<p>x"), (102, "::bad[", "<p>x")]
