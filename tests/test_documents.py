@@ -226,3 +226,12 @@ def test_passage_counts(spark):
     assert corpus.passage_counts(docs, items.limit(0)).count() == 0
     with pytest.raises(ValueError, match="over 2 passages"):
         corpus.passage_counts(docs, items, most=2)
+
+
+def test_leaked_passages_are_whole(spark, tmp_path):
+    from factloom.plans.queries import QUERIES
+
+    opening = "the same opening of more than sixty characters, word for word the same, "
+    spark.createDataFrame([(1, opening + "first end"), (2, opening + "second end"), (3, "short")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, f"a {opening}first end b"), (2, opening), (3, f"{opening}first end, short")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.item_id: r.documents for r in QUERIES["leaked_passages"](spark, str(tmp_path)).collect()} == {1: 2, 3: 1}
