@@ -11,6 +11,9 @@ The template marks a turn as `[INST]role` newline text `[/INST]` and a target's
 texts a backslash is put before every backslash, `[`, `]`, `<` and `>`, so no control string survives there and
 the text can be read back.
 
+Such windows pass the budget by as much as the last new turn overhangs, and by the system turn (`windows`, which the query's
+SQL follows). `format_chats` uses `fitted_windows`: there system turn, history and new turns stay within the budget together.
+
 Defined results: rows are ordered by turn (null first), then role, then a hash of the text; null role or text counts as
 empty; repeated rows are turns of their own; a null conversation id is one conversation; an empty table gives no rows.
 """
@@ -64,7 +67,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     """One row for each turn shown in a window.
 
     conv_id, window, place, role, text, tokens, is_new, is_target, segment (the formatted turn).
-    A window starts less than `budget - history` tokens of new turns; only a longer single turn exceeds it.
+    A window's new turns begin within `budget - history` tokens; the last of them may end beyond, and the system
+    turn comes on top, so a window may exceed the budget. fitted_windows keeps it.
     Where windows start is worked out on rows without texts; texts are dealt once, by block.
     """
     if not 0 <= history < budget:
@@ -88,11 +92,48 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     systems = rows.where(is_system).select("conv_id", "place", "role", "text", "tokens")
     later = systems.join(starts.where("_v > 0"), F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", F.col("_v").alias("window"), "place", "role", "text", "tokens", F.lit(False).alias("is_new"))
     out = shown.unionByName(later)
+    return _with_segments(out)
+
+
+def _with_segments(out: DataFrame) -> DataFrame:
     target = F.col("is_new") & (F.col("role") == "assistant")
     segment = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(CLOSE), F.when(target, F.lit(STOP)).otherwise(F.lit("")))
     return out.withColumns({"is_target": target, "segment": segment})
 
 
+def fitted_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """The rows of `windows`, with windows whose turns shown have at most `budget` tokens in all.
+
+    Only a turn that doesn't fit beside the system turn exceeds it, in a window without other turns. Turns are dealt by prefix
+    sum to cells of the tokens that system turn and history leave; a turn that ends beyond its cell stays
+    while it fits, with less history, and else has a window of its own. Windows are numbered from 0 on.
+    """
+    if not 0 <= history < budget:
+        raise ValueError("history must be at least 0 and less than budget")
+    rows = numbered(tokens_of(turns)).withColumn("is_system", (F.col("place") == 0) & (F.col("role") == "system"))
+    systems = rows.where("is_system").select("conv_id", "place", "role", "text", "tokens")
+    sizes = systems.select(F.col("conv_id").alias("_c"), F.col("tokens").alias("_system"))
+    rows = rows.join(sizes, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c").withColumn("_system", F.coalesce("_system", F.lit(0)))
+    rows = rows.withColumn("room", F.greatest(F.lit(budget) - F.col("_system"), F.lit(1)))
+    # at least half of the room, so that history reaches back over three cells at most
+    rows = rows.withColumn("stride", F.greatest(F.col("room") - history, F.ceil(F.col("room") / 2)).cast("bigint"))
+    rows = rows.withColumn("at", F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("before") - F.col("_system")))
+    rows = rows.withColumn("cell", F.floor(F.col("at") / F.col("stride")).cast("bigint"))
+    rows = rows.withColumn("alone", ~F.col("is_system") & (F.col("at") + F.col("tokens") - F.col("cell") * F.col("stride") > F.col("room")))
+    new = F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("tokens"))
+    wins = rows.groupBy("conv_id", "cell", "alone").agg(F.min("at").alias("start"), F.sum(new).alias("_new"), F.first("room").alias("room"), F.first("stride").alias("stride"))
+    wins = wins.withColumn("window", (F.row_number().over(Window.partitionBy("conv_id").orderBy("cell", "alone")) - 1).cast("bigint"))
+    wins = wins.withColumn("since", F.col("start") - F.greatest(F.lit(0), F.least(F.lit(history), F.col("room") - F.col("_new"))))
+    wins = wins.select(F.col("conv_id").alias("_c"), F.col("cell").alias("_cell"), F.col("alone").alias("_alone"), "window", "start", "since", F.col("stride").alias("_stride"))
+    shown = ["conv_id", "window", "place", "role", "text", "tokens"]
+    same = F.col("conv_id").eqNullSafe(F.col("_c"))
+    said = rows.join(wins, same & (F.col("cell") == F.col("_cell")) & (F.col("alone") == F.col("_alone"))).select(*shown, F.lit(True).alias("is_new"))
+    back = wins.where("since < start and start > 0").withColumn("_cell", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col("since") / F.col("_stride"))).cast("bigint"), F.col("_cell"))))
+    again = rows.where("not is_system").join(back, same & (F.col("cell") == F.col("_cell")) & (F.col("at") >= F.col("since")) & (F.col("at") < F.col("start"))).select(*shown, F.lit(False).alias("is_new"))
+    later = systems.join(wins.where("window > 0"), same).select(*shown, F.lit(False).alias("is_new"))
+    return _with_segments(said.unionByName(again).unionByName(later))
+
+
 def read_back(segments: DataFrame) -> DataFrame:
     """Role and text of each shown turn, parsed from its segment alone, and whether it is a target."""
     body = F.substring(F.col("segment"), len(OPEN) + 1, F.length("segment"))
@@ -129,6 +170,6 @@ def conversation_digests(turns: DataFrame, budget: int = BUDGET, history: int =
 
 
 def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """(conv_id, window, formatted) of all conversations."""
+    """(conv_id, window, formatted) of all conversations, within the budget."""
     ship(turns.sparkSession)
-    return formatted(windows(turns, budget, history))
+    return formatted(fitted_windows(turns, budget, history))

@@ -64,6 +64,33 @@ def test_windows(spark, budget, history):
     assert len(new_places) == len(set(new_places)) == len(rows)
 
 
+def test_formatted_windows_keep_the_budget(spark):
+    rows = conversations()
+    rows += [(60, k, "system" if k == 0 else "user" if k % 2 else "assistant", "x" * (4 * ((26, 446)[k % 2 == 0] if k else 26))) for k in range(120)]
+    rows += [(61, k, "system" if k == 0 else "user" if k % 2 else "assistant", "y" * (400 if k else 7200)) for k in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for budget, history in ((2048, 512), (200, 50), (100, 95), (60, 0)):
+        shown = C.fitted_windows(df, budget, history).collect()
+        new = [(r.conv_id, r.place) for r in shown if r.is_new]
+        assert len(new) == len(set(new)) == len(rows) and sorted({r.window for r in shown if r.conv_id == 60})[0] == 0
+        groups = {}
+        for r in shown:
+            groups.setdefault((r.conv_id, r.window), []).append(r)
+        for turns in groups.values():
+            turns.sort(key=lambda r: r.place)
+            system = turns[0].place == 0 and turns[0].role == "system"
+            rest = [r for r in turns if not (r.place == 0 and r.role == "system")]
+            assert [r.place for r in rest] == list(range(rest[0].place, rest[0].place + len(rest))) if rest else system
+            assert [r.is_new for r in rest] == sorted(r.is_new for r in rest)
+            assert sum(r.tokens for r in turns) <= budget or len(rest) <= 1
+            assert sum(r.tokens for r in rest if not r.is_new) <= history
+        assert all(len({w for c, w in groups if c == k}) == 1 + max(w for c, w in groups if c == k) for k in (0, 60, 61))
+    texts = {(r.conv_id, r.window): r.formatted for r in C.format_chats(df).collect()}
+    assert sum(x.count("</s>") for (c, _), x in texts.items() if c == 60) == 59
+    assert max(len(x) / C.CHARS_PER_TOKEN for (c, _), x in texts.items() if c in (60, 61)) <= 2048
+    assert any(not r.is_new and r.place for r in C.fitted_windows(df.where("conv_id = 60")).collect())
+
+
 def test_many_turns(spark, monkeypatch):
     rows = [(1, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(1000)]
     got = C.numbered(C.tokens_of(spark.createDataFrame(rows, SCHEMA))).orderBy("place").collect()
