@@ -7,7 +7,8 @@ copies are used up everywhere before any document repeats. The flow is solved on
 patterns and sources only (at most `max_patterns`, which is checked); everything per document stays
 in Spark. Selection draws documents in the order of a seeded hash: histograms over its leading bits
 find the place where a pattern's taken tokens reach the flow, again on further bits until the
-bucket there is small, and that bucket is filled with the documents that still fit.
+bucket there is small, and that bucket is filled with the documents that still fit; while a
+remainder is left the same goes on with the later documents that aren't larger.
 
 Defined results: null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in
 order; a reserved mark keeps it apart from any name. Rows that share an id, source and size are
@@ -30,7 +31,7 @@ from factloom.session import materialize, ship, without
 SPACE = "[\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
 OUTPUT = ["size", "source_size", "target", "copies", "taken"]
-#: Bits of the draw that a histogram tells apart; the documents among which a remainder is filled.
+#: Bits of the draw that a histogram tells apart; the documents among which a remainder is filled at once.
 BITS, SMALL = 10, 2000
 
 
@@ -120,22 +121,38 @@ def min_cost_flow(patterns: Sequence[tuple[frozenset[int], int]], quotas: Sequen
     return out
 
 
-def _selection(sized: DataFrame, need: dict[int, int]) -> tuple[dict[int, int], list[tuple[int, int, str]]]:
-    """For each pattern the draw below which all is taken, and single documents (pattern, draw, id) beyond it.
+def _selection(sized: DataFrame, need: dict[int, int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, str, int]]]:
+    """What is taken of each pattern: (pattern, first draw, draw after the last, greatest size) and single documents (pattern, draw, id, greatest size).
 
+    Documents are tried in the order of their draws and taken while they fit. A round takes what lies before the document that
+    passes the rest, tries single documents from there on, and leaves the later ones to a
+    round of those that are no larger than what is left then, until none is.
     need: pattern to tokens, each less than the pattern holds. sized: (_pattern, _draw, _key, size).
     """
+    ranges: list[tuple[int, int, int, int]] = []
+    singles: list[tuple[int, int, str, int]] = []
+    start, left, most = {p: 0 for p in need}, dict(need), {p: (1 << 62) for p in need}
+    trying = set(need)
+    while trying:
+        base, end = _round(sized, {p: start[p] for p in trying}, left, most, singles)
+        ranges += [(p, start[p], base[p], most[p]) for p in sorted(trying) if base[p] > start[p]]
+        start.update(end)
+        most = dict(left)
+        trying = {p for p in trying if left[p] > 0 and start[p] < 1 << 60}
+    return ranges, singles
+
+
+def _round(sized: DataFrame, base: dict[int, int], left: dict[int, int], most: dict[int, int], singles: list[tuple[int, int, str, int]]) -> tuple[dict[int, int], dict[int, int]]:
+    """For each pattern the draw below which all of at most its greatest size is taken, and the draw below which all is tried. Changes left and singles."""
     spark = sized.sparkSession
-    bound: dict[int, int] = {}
-    singles: list[tuple[int, int, str]] = []
-    base, left = {p: 0 for p in need}, dict(need)  # a pattern's draws below base are taken
-    open_, width = set(need), 60
+    end: dict[int, int] = {}
+    open_, width = set(base), 60  # a pattern's draws below base are taken
     while open_:
         bits = min(width, BITS if len(open_) <= 500 else 4)  # half a million bins at most come to the driver
         width -= bits
-        at = spark.createDataFrame([(p, base[p]) for p in sorted(open_)], "_p int, _base bigint")
+        at = spark.createDataFrame([(p, base[p], most[p]) for p in sorted(open_)], "_p int, _base bigint, _most bigint")
         inside = sized.join(F.broadcast(at), F.col("_pattern") == F.col("_p"))  # a row for each open pattern at most
-        inside = inside.where((F.col("_draw") >= F.col("_base")) & (F.col("_draw") < F.col("_base") + F.lit(1 << (width + bits))))
+        inside = inside.where((F.col("size") > 0) & (F.col("size") <= F.col("_most")) & (F.col("_draw") >= F.col("_base")) & (F.col("_draw") < F.col("_base") + F.lit(1 << (width + bits))))
         bins = inside.groupBy("_pattern", F.shiftright(F.col("_draw") - F.col("_base"), width).cast("int").alias("_bin")).agg(F.sum("size").alias("_sum"), F.count("*").alias("_rows")).collect()
         fill = {}
         for p in sorted(open_):
@@ -143,7 +160,7 @@ def _selection(sized: DataFrame, need: dict[int, int]) -> tuple[dict[int, int],
             for k, b in enumerate(own):
                 if b[2] > left[p]:
                     if b[3] <= SMALL or width == 0:
-                        # what follows may fit too, up to SMALL documents
+                        # what follows may fit too: SMALL documents at once
                         rows, last = 0, b[1]
                         for after in own[k:]:
                             rows += after[3]
@@ -154,21 +171,23 @@ def _selection(sized: DataFrame, need: dict[int, int]) -> tuple[dict[int, int],
                     base[p] += b[1] << width
                     break
                 left[p] -= b[2]
+            else:  # all that are left fit
+                base[p] = end[p] = 1 << 60
         if fill:
-            at = spark.createDataFrame([(p, base[p], end) for p, end in fill.items()], "_p int, _base bigint, _end bigint")
+            at = spark.createDataFrame([(p, base[p], stop, most[p]) for p, stop in fill.items()], "_p int, _base bigint, _end bigint, _most bigint")
             tail = sized.join(F.broadcast(at), F.col("_pattern") == F.col("_p"))
-            tail = tail.where((F.col("_draw") >= F.col("_base")) & (F.col("_draw") < F.col("_end")) & (F.col("size") > 0))
+            tail = tail.where((F.col("_draw") >= F.col("_base")) & (F.col("_draw") < F.col("_end")) & (F.col("size") > 0) & (F.col("size") <= F.col("_most")))
             found: dict[int, list] = {}
             for r in tail.groupBy("_pattern", "_draw", "_key").agg(F.sum("size").alias("size")).collect():  # about SMALL rows a pattern
                 found.setdefault(r[0], []).append(r)
             for p in fill:
-                bound[p] = base[p]
                 for r in sorted(found.get(p, []), key=lambda r: (r[1], r[2])):
                     if r[3] <= left[p]:
-                        singles.append((p, r[1], r[2]))
+                        singles.append((p, r[1], r[2], most[p]))
                         left[p] -= r[3]
-            open_ -= fill.keys()
-    return bound, singles
+            end.update(fill)
+        open_ -= end.keys()
+    return base, end
 
 
 def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] = WEIGHTS, share: float = 1.5, copies: int = 2, seed: int = 0, max_patterns: int = 10_000) -> DataFrame:
@@ -209,11 +228,15 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     plan = F.broadcast(plan)  # max_patterns rows at most
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_key"), F.concat_ws("\x00", "_members")), 4)
     sized = slim.join(plan, F.col("_members") == F.col("_m")).select("_pattern", draw.alias("_draw"), "_key", "size")
-    bound, singles = _selection(sized, need)
+    ranges, singles = _selection(sized, need)
     full = full.withColumns({"_key": key}).join(plan, F.col("_members") == F.col("_m")).withColumn("_draw", draw)
-    limits = spark.createDataFrame([(p, b) for p, b in sorted(bound.items())], "_pattern int, _bound bigint")
-    extra = spark.createDataFrame(singles, "_pattern int, _draw bigint, _key string").withColumn("_single", F.lit(1))
-    full = full.join(F.broadcast(limits), "_pattern", "left").join(F.broadcast(extra), ["_pattern", "_draw", "_key"], "left")  # SMALL rows a pattern at most
-    more = (F.col("_draw") < F.col("_bound")) | F.col("_single").isNotNull()
+    own: dict[int, list[tuple[int, int, int]]] = {}
+    for p, lo, hi, most in ranges:
+        own.setdefault(p, []).append((lo, hi, most))
+    limits = spark.createDataFrame(sorted(own.items()), "_pattern int, _ranges array<struct<lo: bigint, hi: bigint, most: bigint>>")
+    extra = spark.createDataFrame(singles, "_pattern int, _draw bigint, _key string, _most bigint")
+    full = full.join(F.broadcast(limits), "_pattern", "left").join(F.broadcast(extra), ["_pattern", "_draw", "_key"], "left")  # SMALL rows a pattern and round at most
+    within = F.exists("_ranges", lambda r: (F.col("_draw") >= r["lo"]) & (F.col("_draw") < r["hi"]) & (F.col("size") <= r["most"]))
+    more = F.coalesce(within, F.lit(False)) | (F.col("size") <= F.col("_most"))
     taken = (F.col("_whole") + F.when(F.coalesce(more, F.lit(False)), F.lit(1)).otherwise(F.lit(0))).cast("bigint")
     return full.select(*[F.col(f"`{c}`") for c in rows.columns], "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken"))

@@ -70,3 +70,12 @@ def test_refinement(spark, corpus, monkeypatch):
     monkeypatch.setattr(M, "BITS", 2)
     for taken, target in M.mix(docs, F.array("source")).groupBy("source").agg(F.sum("taken"), F.max("target")).select("sum(taken)", "max(target)").collect():
         assert abs(taken - target) < 400
+
+
+def test_remainder_is_filled_from_all_documents(spark, monkeypatch):
+    # half of 1600 words again: the long document never fits, all 200 short ones do
+    docs = spark.createDataFrame([(0, "w " * 1000, "s")] + [(i, "a b c", "s") for i in range(1, 201)], "doc_id bigint, text string, source string")
+    monkeypatch.setattr(M, "SMALL", 3)
+    monkeypatch.setattr(M, "BITS", 4)
+    for seed in (0, 1):
+        assert M.mix(docs, F.array("source"), seed=seed).agg(F.sum("taken")).first()[0] == 2200
