@@ -1,8 +1,8 @@
 """Media columns: PCM WAV files as a binary column, their spectra and peak-pair fingerprints.
 
 `encode` stores bytes losslessly as the 8-bit samples of a WAV file, `decode` reads them back with the
-wave module. `fingerprint` takes short-time Fourier transforms in blocks, keeps each frame's local
-spectral peaks and pairs every peak with the next ones; a pair is the two frequency bins and their
+wave module. `fingerprint` takes short-time Fourier transforms in blocks, keeps the strongest local
+spectral peak of each frame (one at most) and pairs it with those of the next frames; a pair is the two frequency bins and their
 distance in frames, stored with its time as `time << 32 | f1 << 20 | f2 << 8 | distance`.
 
 Defined results: null text is empty; a payload is padded with blanks to a positive multiple of 192
