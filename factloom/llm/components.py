@@ -1,8 +1,8 @@
 """Connected components of an edge table, each named by its smallest node.
 
 Tasks first contract their own edges with union-find; then rounds of large-star and small-star run
-until nothing changes. Minima are aggregated map-side and joined back, so a node with very many
-neighbours isn't gathered in one place; every round is written to the shared folder.
+until nothing changes. Minima are aggregated map-side and joined back, the nodes with very many
+neighbours by broadcast, so none is gathered in one place; every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -17,6 +17,23 @@ from pyspark.sql import functions as F
 from factloom.session import discard, materialize
 
 EDGE = "a bigint, b bigint"
+#: A key is hot with over HOT rows and over one in HOT_KEYS of all; so there are at most HOT_KEYS hot keys.
+HOT, HOT_KEYS = 500, 50_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int | None = None) -> DataFrame:
+    """The inner join of rows with keyed, which has one row for each key and the number of rows that have it (total: of all).
+
+    Hot keys are broadcast, at most HOT_KEYS by their definition, so no task gets all rows of one; the others meet by shuffle.
+    """
+    if total is None:
+        total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    bound = max(HOT, total // HOT_KEYS)
+    hot, cold = keyed.where(F.col(count) > bound), keyed.where(F.col(count) <= bound)
+    if hot.isEmpty():
+        return rows.join(keyed, on)
+    told = rows.join(F.broadcast(hot), on)
+    return told.unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on))
 
 
 class Union:
@@ -83,14 +100,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, task_nodes: int
             break
         # large-star: a node's larger neighbours go to the least of its neighbourhood
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "u")
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("c")).where("c > 0"), f"cc-large-{k}")
+        large = join_counted(both.where("b > a"), least, ["a"], "c", state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small-star: a node and its smaller neighbours go to the least of them
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = down.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        down = materialize(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), f"cc-down-{k}")
+        lower = materialize(down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")), f"cc-small-{k}")
+        small = join_counted(down, lower, ["a"], "c", state[0]).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         after = materialize(small.where("a <> b").distinct(), f"cc-{k + 1}")
-        discard(now)
+        for done in (now, least, down, lower):
+            discard(done)
         now, before, state = after, state, _state(after)
         if state == before:
             break

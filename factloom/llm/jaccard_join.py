@@ -1,18 +1,22 @@
-"""N-gram Jaccard self-join with signature trees, exact, as components of linked documents.
+"""N-gram Jaccard self-join with signature trees, as components of linked documents.
 
 1. Every text becomes the set of its hashed word shingles. Documents of equal sets form one class.
    A count sketch over all shingles marks those that very many documents share.
-2. Partition signatures: the universe of shingles is cut into partitions so that two sets of
-   similarity t or more agree on a whole partition that isn't empty. Tasks send the hashes of their
-   sets' partitions as packed blocks to buckets, which connect the documents that share one.
-3. Each connected part (a superset of true groups) is joined by a signature tree: nodes hold
-   OR-combined bitmaps of their sets and size ranges; a dual traversal drops node pairs whose largest
-   possible overlap is too small or whose documents are all in one component already; surviving
-   pairs are verified on whole sets.
+2. Dealing: the universe of shingles is cut into partitions so that two sets of similarity t or more
+   agree on a whole partition that isn't empty. Tasks send the hashes of their sets' partitions as packed
+   blocks to buckets, which connect the documents that share one. These parts only say which
+   sets must meet in one task.
+3. Each task puts the sets of its parts, up to `tree_shingles` at once, into one signature tree over sets ordered by
+   size class: nodes hold OR-combined bitmaps of their sets and size ranges; a dual traversal drops node
+   pairs whose largest possible overlap is too small or whose documents are all in one component
+   already; surviving pairs are verified on whole sets.
 4. A part beyond `part_shingles` is cut into blocks. First every block meets one of them, in linear work,
    which settles a group of near copies; the documents outside the part's largest component then
    meet all blocks. No pair is left out and no task holds more than two blocks.
 
+Shingles are 64-bit hashes of the words' bytes. No pair is left out by steps 2 to 4; a size or a link differs from the words' own only
+where two different shingles within one pair of documents agree by chance, n * n / 2^65 for n shingles.
+
 Defined results: null or empty text gives an empty set, which links with nothing; fewer words than
 the shingle length make one shingle of the whole sequence; rows with equal ids count as one document
 in the links; a row with null id links with nothing and has a null component.
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import words
-from factloom.llm.components import EDGE, Union, connected_components, edge_batch
+from factloom.llm.components import EDGE, Union, connected_components, edge_batch, join_counted
 from factloom.session import discard, materialize, partitions, release, ship
 
 SHINGLE = 5
@@ -279,14 +283,15 @@ def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---- 3. signature trees
 
-LEAF, FAN = 8, 8
+LEAF, FAN = 4, 8
 
 
 class Tree:
     """Levels of nodes over items; an item is a set, a node the OR of bitmaps and the size range below."""
 
     def __init__(self, nodes: list[int], sets: list[np.ndarray], bits: int) -> None:
-        order = sorted(range(len(sets)), key=lambda i: (sets[i][0], len(sets[i]), nodes[i]))  # near copies stand close: they mostly share their least hash
+        # by size class, and near copies stand close within one: they mostly share their least hash
+        order = sorted(range(len(sets)), key=lambda i: (int(math.log2(len(sets[i])) / math.log2(1.25)), sets[i][0], len(sets[i]), nodes[i]))
         self.nodes, self.sets = [nodes[i] for i in order], [sets[i] for i in order]
         self.n = np.array([len(s) for s in self.sets], dtype=np.int64)
         maps = np.zeros((len(order), bits // 8), dtype=np.uint8)
@@ -303,6 +308,8 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(m, at, axis=0), np.maximum.reduceat(e, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)))
             step = FAN
         self.labels: list[np.ndarray] = []
+        #: Pairs of nodes that a traversal has looked at, dropped above the items, and verified on sets.
+        self.seen = self.pruned = self.verified = 0
 
     def label(self, sets: Union) -> None:
         """For each node the component of all items below it, or -1 where they are in several."""
@@ -363,7 +370,13 @@ def dual_join(x: Tree, y: Tree, sets: Union, num: int, den: int) -> None:
         if len(pairs) > PAIRS_AT_ONCE:
             stack += [(level, pairs[PAIRS_AT_ONCE:]), (level, pairs[:PAIRS_AT_ONCE])]
             continue
+        looked = len(pairs)
         pairs = _meet(x, y, level, pairs[:, 0], pairs[:, 1], num, den)
+        x.seen += looked
+        if level:
+            x.pruned += looked - len(pairs)
+        else:
+            x.verified += len(pairs)
         if not len(pairs):
             continue
         if level == 0:
@@ -384,69 +397,88 @@ def dual_join(x: Tree, y: Tree, sets: Union, num: int, den: int) -> None:
 
 def bitmap_bits(sizes: list[int]) -> int:
     typical = int(np.median(sizes))
-    return 1 << min(16, max(8, (4 * typical - 1).bit_length()))
+    return 1 << min(16, max(8, (16 * typical - 1).bit_length()))
 
 
-def join_items(items: list[tuple[int, np.ndarray]], sets: Union, num: int, den: int) -> None:
-    """Unite similar items. Chains first, as near copies stand side by side; then the tree."""
-    if len(items) == 2:
-        (a, s), (b, t) = items
-        if sets.find(a) != sets.find(b) and similar(s, t, num, den):
-            sets.join(a, b)
-        return
+def join_items(items: list[tuple[int, np.ndarray]], sets: Union, num: int, den: int) -> Tree:
+    """Unite similar items by a tree over them. Its neighbours come first, so that nodes of near copies soon hold one component."""
     tree = Tree([a for a, _ in items], [s for _, s in items], bitmap_bits([len(s) for _, s in items]))
     for k in range(1, len(tree.nodes)):
-        for j in (k - 1, 0):
-            if sets.find(tree.nodes[j]) != sets.find(tree.nodes[k]) and similar(tree.sets[j], tree.sets[k], num, den):
-                sets.join(tree.nodes[j], tree.nodes[k])
+        if sets.find(tree.nodes[k - 1]) != sets.find(tree.nodes[k]) and similar(tree.sets[k - 1], tree.sets[k], num, den):
+            sets.join(tree.nodes[k - 1], tree.nodes[k])
     tree.label(sets)
     dual_join(tree, tree, sets, num, den)
+    return tree
+
+
+#: Sets that one tree of several parts holds at most; a single part's tree may hold more.
+TREE_SETS = 2048
 
 
-def _join_parts(length: int, num: int, den: int):
+def _join_parts(length: int, num: int, den: int, tree_shingles: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by part and task. side 0 meets itself and 1; 1 meets 0 only."""
+        """Rows come sorted by part and task. side 0 meets itself and 1; 1 meets 0 only. Parts of side 0 alone share trees."""
         current, left, right, labels = None, [], [], []
+        waiting, known, size = [], [], 0  # items and labels of whole parts
 
-        def links() -> pa.RecordBatch:
+        def united(pairs: list) -> Union:
             sets = Union()
-            for node, label in labels:  # what earlier steps have united
+            for node, label in pairs:  # what earlier steps have united
                 if label is not None:
                     sets.join(node, label)
-            if not right:
-                if len(left) > 1:
-                    join_items(left, sets, num, den)
-            elif left:
-                bits = bitmap_bits([len(s) for _, s in left + right])
-                x, y = (Tree([a for a, _ in z], [s for _, s in z], bits) for z in (left, right))
-                x.label(sets)
-                y.label(sets)
-                dual_join(x, x, sets, num, den)
-                y.label(sets)
-                dual_join(x, y, sets, num, den)
-            nodes = {a for a, _ in left} | {a for a, _ in right}
+            return sets
+
+        def edges(nodes: set[int], sets: Union) -> pa.RecordBatch:
             return edge_batch([(a, r) for a in nodes if (r := sets.find(a)) != a])
 
+        def one_tree() -> pa.RecordBatch:
+            sets = united(known)
+            join_items(waiting, sets, num, den)
+            return edges({a for a, _ in waiting}, sets)
+
+        def two_trees() -> pa.RecordBatch:
+            sets = united(labels)
+            bits = bitmap_bits([len(s) for _, s in left + right])
+            x, y = (Tree([a for a, _ in z], [s for _, s in z], bits) for z in (left, right))
+            x.label(sets)
+            y.label(sets)
+            dual_join(x, x, sets, num, den)
+            y.label(sets)
+            dual_join(x, y, sets, num, den)
+            return edges({a for a, _ in left} | {a for a, _ in right}, sets)
+
+        def part_done() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, known, size
+            if right:
+                if left:
+                    yield two_trees()
+                return
+            own = sum(len(s) for _, s in left)
+            if waiting and (size + own > tree_shingles or len(waiting) + len(left) > TREE_SETS):
+                yield one_tree()
+                waiting, known, size = [], [], 0
+            waiting, known, size = waiting + left, known + labels, size + own
+
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
             for row, s in shingle_sets(batch.column(5), length):
                 part, task, side, node, label = keys[row]
                 if (part, task) != current:
-                    if left or right:
-                        yield links()
+                    yield from part_done()
                     current, left, right, labels = (part, task), [], [], []
                 if len(s):
                     (right if side else left).append((node, s))
                     labels.append((node, label))
-        if left or right:
-            yield links()
+        yield from part_done()
+        if waiting:
+            yield one_tree()
 
     return run
 
 
-def _run_parts(rows: DataFrame, length: int, num: int, den: int, name: str) -> DataFrame:
+def _run_parts(rows: DataFrame, length: int, num: int, den: int, name: str, tree_shingles: int = 1_000_000) -> DataFrame:
     dealt = rows.select("part", "task", "side", "id", "label", "text").repartition(4 * partitions(rows.sparkSession), "part", "task").sortWithinPartitions("part", "task")
-    out = materialize(dealt.mapInArrow(_join_parts(length, num, den), EDGE), name)
+    out = materialize(dealt.mapInArrow(_join_parts(length, num, den, tree_shingles), EDGE), name)
     release(rows.sparkSession)
     return out
 
@@ -454,7 +486,7 @@ def _run_parts(rows: DataFrame, length: int, num: int, den: int, name: str) -> D
 # ---- the operator
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, num: int = 4, den: int = 5, part_shingles: int = 4_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, num: int = 4, den: int = 5, part_shingles: int = 4_000_000, tree_shingles: int = 1_000_000) -> DataFrame:
     """(id, n_shingles, component_id), one row for each row of docs; similarity num / den or more links."""
     spark = docs.sparkSession
     ship(spark)
@@ -483,11 +515,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(spark)
 
     # candidates between classes; copies hang together already
-    reps = rows.join(classes.select("hi", "lo", "n", "rep"), ["hi", "lo", "n"]).where("id is not null").select("id", "rep").where("id <> rep")
-    named = near.distinct()
-    for side in ("a", "b"):
-        named = named.join(reps.select(F.col("id").alias(side), F.col("rep").alias("_rep")).distinct(), side, "left").withColumn(side, F.coalesce("_rep", side)).drop("_rep")
-    weak = connected_components(named.where("a <> b").distinct())
+    members = rows.where("n > 0 and id is not null")
+    several = classes.where("rows > 1").select("hi", "lo", "n", "rep", "rows")
+    copies = join_counted(members, several, ["hi", "lo", "n"], "rows").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    weak = connected_components(near.unionByName(copies))
     sizes = classes.select(F.col("rep").alias("node"), "n")
     weak = materialize(weak.join(sizes.groupBy("node").agg(F.sum("n").alias("n")), "node"), "join-weak")
     per_part = weak.groupBy("component").agg(F.sum("n").alias("total"))
@@ -497,17 +528,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     candidates = texts.join(member.select(F.col("node").alias("id"), F.col("component").alias("part"), "_total"), "id").withColumn("label", F.lit(None).cast("bigint"))
     if giants.isEmpty():
         small = candidates.withColumns({"task": F.lit(0).cast("bigint"), "side": F.lit(0)})
-        links = _run_parts(small, length, num, den, "join-links")
+        links = _run_parts(small, length, num, den, "join-links", tree_shingles)
     else:
         candidates = materialize(candidates, "join-candidates")
         small = candidates.where("_total is null").withColumns({"task": F.lit(0).cast("bigint"), "side": F.lit(0)})
-        links = _run_parts(small, length, num, den, "join-links").unionByName(_giant_links(candidates.where("_total is not null"), part_shingles, length, num, den))
+        links = _run_parts(small, length, num, den, "join-links", tree_shingles).unionByName(_giant_links(candidates.where("_total is not null"), part_shingles, length, num, den))
     final = connected_components(links)
-    named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("_component"))
-    out = rows.join(named, ["hi", "lo", "n"], "left")
-    own = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("_component", "id"))
+    named = materialize(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n", "rows", F.coalesce("component", "rep").alias("_component")), "join-named")
     discard(near)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.cast("bigint").alias("component_id"))
+    linked = join_counted(members, named, ["hi", "lo", "n"], "rows").select("id", "n", "_component")
+    out = linked.unionByName(rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("_component")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_component").cast("bigint").alias("component_id"))
 
 
 def _giant_links(rows: DataFrame, part_shingles: int, length: int, num: int, den: int) -> DataFrame:

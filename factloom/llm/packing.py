@@ -43,7 +43,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Tokens:
-    """Ids of texts as little-endian 32-bit bytes, by way of a bounded cache of words by 64-bit hash."""
+    """Ids of texts as little-endian 32-bit bytes, by way of a bounded cache of words."""
 
     _made: dict[str, Tokens] = {}
 
@@ -56,7 +56,7 @@ class Tokens:
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.cache: dict[int, bytes] = {}  # by the hash of the word
+        self.cache: dict[bytes, bytes] = {}
         # which ids end a pre-token
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
         for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -122,16 +122,20 @@ class Tokens:
     def of_column(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of each text, null read as empty.
 
-        Words are hashed and told apart for a slice of the column at once; only distinct ones are looked up.
+        Words are told apart by hash for a slice of the column at once, and checked byte by byte; only distinct ones are looked up.
         """
         for _, _, offsets, data in words.groups(column):
             starts, ends, first = words.spans(offsets, data)
-            distinct, at, inverse = np.unique(words.hashes(data, starts, ends), return_index=True, return_inverse=True)
-            keys = distinct.tolist()
+            raw = data.tobytes()
+            _, at, inverse = np.unique(words.hashes(data, starts, ends), return_index=True, return_inverse=True)
+            if not words.same_words(data, starts, ends, at[inverse]):  # different words of one hash
+                number: dict[bytes, int] = {}
+                inverse = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+                at = np.unique(inverse, return_index=True)[1]
+            keys = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             found = list(map(self.cache.get, keys))
             if missing := [k for k, b in enumerate(found) if b is None]:
-                raw, where = data.tobytes(), at[missing]
-                resolved = self.resolve([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+                resolved = self.resolve([keys[k] for k in missing])
                 if len(self.cache) > CACHE_WORDS:
                     self.cache.clear()
                 for k, b in zip(missing, resolved, strict=True):

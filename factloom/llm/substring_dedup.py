@@ -6,8 +6,13 @@ a hash of both, so naming is global without any exchange. At the top, runs of eq
 by symbol and length. Every symbol carries the word range that determines it: wherever those words
 recur, the same symbol recurs. Spark then counts the symbols of three words and more over all
 documents. A window that determines a symbol nobody shares can't be repeated, so only windows
-whose determined symbols are all shared are candidates. Those are compared across all documents by
-96-bit fingerprints of their whole word sequences, and every one but the first is repeated.
+whose determined symbols are all shared are candidates. Those are compared across all documents by 128-bit fingerprints of
+their whole word sequences, made of two independent hashes of each word, and every one but the first
+is repeated. So a result is wrong only where two such fingerprints agree by chance.
+
+Departure from the method's name: a round needs no exchange, as a pair's name is a hash of both sides and so the same in
+every task; all rounds of a chunk run in the task that holds it, and Spark's rounds are the two that count
+symbols and compare windows.
 
 Documents are worked on in chunks of about CHUNK bytes, held zstd-compressed in a table in the shared folder. Chunks send
 packed blocks to buckets by name and get bits back; each distinct name or window goes once from a
@@ -31,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import words
+from factloom.llm.components import join_counted
 from factloom.session import materialize, partitions, release, ship
 
 WINDOW = 20
@@ -118,6 +124,7 @@ class Chunk:
         self.window = window
         self.starts, self.ends, self.first = words.spans(self.offsets, self.data)
         self.names = words.hashes(self.data, self.starts, self.ends)
+        self.others = words.hashes(self.data, self.starts, self.ends, seed=1)
         self.doc = np.repeat(np.arange(n), np.diff(self.first))
         self.active = np.ones(n, dtype=bool)
         self.active[copies or []] = False
@@ -142,8 +149,8 @@ class Chunk:
         return np.flatnonzero(room & self.active[self.doc] & (np.cumsum(bars[:n]) == 0))
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, fingerprint, its second part) of the first of each distinct window in document order, and the starts of the others."""
-        one, two = window_hashes(self.names, self.window, K1)[at], (window_hashes(self.names, self.window, K2)[at] >> np.uint64(32)).astype(np.uint32)
+        """(start, the two halves of the fingerprint) of the first of each distinct window in document order, and the starts of the others."""
+        one, two = window_hashes(self.names, self.window, K1)[at], window_hashes(self.others, self.window, K2)[at]
         rank = np.empty(len(self.keys), dtype=np.int64)
         rank[np.lexsort((np.arange(len(self.keys)), self.keys))] = np.arange(len(self.keys))
         order = np.lexsort((at, rank[self.doc[at]], two, one))
@@ -184,10 +191,10 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, offsets, data in words.groups(batch.column(1)):
             raw = b"".join([np.array([b - a], dtype="<i8").tobytes(), keys[a:b].tobytes(), offsets.astype("<i8").tobytes(), data.tobytes()])
             starts, ends, first = words.spans(offsets, data)
-            h = words.hashes(data, starts, ends)
+            hashed = words.hashes(data, starts, ends), words.hashes(data, starts, ends, seed=1)
             # fingerprints of whole word sequences: positions count
-            place = np.arange(len(h), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
-            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(h + words.mix(place + k)), dtype=np.uint64)]) for k in (K1, K2)]
+            place = np.arange(len(starts), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
+            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(h + words.mix(place + k)), dtype=np.uint64)]) for h, k in zip(hashed, (K1, K2), strict=True)]
             hi, lo = ((s[first[1:]] - s[first[:-1]]).astype(np.int64) for s in sums)
             n, m = b - a, number
             yield pa.RecordBatch.from_arrays([pa.array([m], pa.int64()), pa.array([squeeze.compress(raw)], pa.binary()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * 4], names=["chunk", "blob", "row", "key", "n", "hi", "lo"])
@@ -275,7 +282,7 @@ def _send_windows(window: int, symbol_buckets: int, buckets: int):
                 blocks = []
                 for a, b in cuts:
                     key, inverse = np.unique(keys[a:b], return_inverse=True)
-                    blocks.append(b"".join([np.array([len(key), b - a], dtype="<u8").tobytes(), key.astype("<i8").tobytes(), inverse.astype("<u4").tobytes(), one[a:b].astype("<u8").tobytes(), two[a:b].astype("<u4").tobytes()]))
+                    blocks.append(b"".join([np.array([len(key), b - a], dtype="<u8").tobytes(), key.astype("<i8").tobytes(), inverse.astype("<u4").tobytes(), one[a:b].astype("<u8").tobytes(), two[a:b].astype("<u8").tobytes()]))
                 yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in cuts], pa.int32()), pa.array([chunk] * len(cuts), pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "chunk", "block"])
 
     return run
@@ -296,7 +303,7 @@ def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             key = np.frombuffer(block, dtype="<i8", count=docs, offset=16)
             at = 16 + 8 * docs
             which = np.frombuffer(block, dtype="<u4", count=n, offset=at)
-            one, two = np.frombuffer(block, dtype="<u8", count=n, offset=at + 4 * n), np.frombuffer(block, dtype="<u4", count=n, offset=at + 12 * n)
+            one, two = np.frombuffer(block, dtype="<u8", count=n, offset=at + 4 * n), np.frombuffer(block, dtype="<u8", count=n, offset=at + 12 * n)
             parts.append((one, two, key[which], np.full(n, chunk)))
             sizes.append(n)
         one, two, key, chunk = (np.concatenate([p[k] for p in parts]) for k in range(4))
@@ -353,8 +360,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stored = materialize(docs.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_store, STORED), "repeats-chunks")
     rows = stored.where("row is not null").select("chunk", "row", "key", "n", "hi", "lo")
     # documents of equal word sequences: all but the first are copies
-    groups = rows.where(F.col("n") >= window).groupBy("hi", "lo", "n").agg(F.min(F.struct("key", "chunk", "row")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    copies = rows.join(groups, ["hi", "lo", "n"]).where("struct(key, chunk, row) <> first").groupBy("chunk").agg(F.collect_list("row").alias("copies"))
+    long = rows.where(F.col("n") >= window)
+    groups = materialize(long.groupBy("hi", "lo", "n").agg(F.min(F.struct("key", "chunk", "row")).alias("first"), F.count("*").alias("c")).where("c > 1"), "repeats-groups")
+    copies = join_counted(long, groups, ["hi", "lo", "n"], "c").where("struct(key, chunk, row) <> first").groupBy("chunk").agg(F.collect_list("row").alias("copies"))
     copies = materialize(copies, "repeats-copies")
     words_in_all = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(n, words_in_all // (2 * BUCKET))

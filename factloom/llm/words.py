@@ -12,15 +12,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE = 1 << 21
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Longer words are hashed one by one.
+LONG = 64
+ODD = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,20 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n + 1:
-        size = max(n, SLICE) + 1
-        kept = []
-        for base in (BASE, INVERSE):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            kept.append(np.multiply.accumulate(p))
-        if n > 4 * SLICE:
-            return kept[0], kept[1]
-        _POWERS[:] = kept
-    return _POWERS[0], _POWERS[1]
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The offsets and bytes of a string column, null read as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -92,13 +79,59 @@ def spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as numbers; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def _lane(lanes: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes at each place, those beyond `left` (1 at least) as zeros."""
+    unused = (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)).astype(np.uint64)
+    return (lanes[at] << unused) >> unused
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same wherever the word stands; seeds give independent hashes.
+
+    Eight bytes at a time go through the finaliser, words over LONG bytes through XXH3. Different words may agree by chance only.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers(len(data))
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((_LOWER[data] if lower else data).astype(np.uint64) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + mix((ends - starts).astype(np.uint64)))
+    if lower:
+        data = _LOWER[data]
+    lanes, sizes = _lanes(data), ends - starts
+    h = mix(sizes.astype(np.uint64) * np.uint64(ODD) + np.uint64((seed + 1) * ODD * ODD % (1 << 64)))
+    h = mix(h ^ _lane(lanes, starts, sizes))
+    todo = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+    k = 8
+    while len(todo):
+        h[todo] = mix(h[todo] * np.uint64(ODD) ^ _lane(lanes, starts[todo] + k, sizes[todo] - k))
+        k += 8
+        todo = todo[sizes[todo] > k]
+    if len(long := np.flatnonzero(sizes > LONG)):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word numbered other beside it."""
+    sizes = ends - starts
+    if not len(starts):
+        return True
+    if not np.array_equal(sizes, sizes[other]):
+        return False
+    lanes = _lanes(data)
+    first = _lane(lanes, starts, sizes)
+    if not np.array_equal(first, first[other]):
+        return False
+    todo, k = np.flatnonzero((sizes > 8) & (sizes <= LONG) & (other != np.arange(len(starts)))), 8
+    while len(todo):
+        left = sizes[todo] - k
+        if not np.array_equal(_lane(lanes, starts[todo] + k, left), _lane(lanes, starts[other[todo]] + k, left)):
+            return False
+        k += 8
+        todo = todo[sizes[todo] > k]
+    raw = memoryview(np.ascontiguousarray(data))
+    return all(raw[starts[i] : ends[i]] == raw[starts[o] : ends[o]] for i in np.flatnonzero(sizes > LONG).tolist() if (o := int(other[i])) != i)

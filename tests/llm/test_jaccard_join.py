@@ -1,8 +1,10 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from factloom.llm.components import connected_components
+from factloom.llm import jaccard_join as J
 from factloom.llm.jaccard_join import jaccard_components
 
 from .conftest import SCHEMA, TEXTS
@@ -65,3 +67,19 @@ def test_components(spark):
     for n, c in found.items():
         groups[c].add(n)
     assert groups == {0: set(range(51)), 100: {200, *range(100, 120)}}
+
+
+def test_tree_prunes_node_pairs():
+    """Unrelated sets are dropped as nodes: few pairs of sets are left to verify, and none that links."""
+    r = np.random.default_rng(3)
+    items, sizes = [], r.integers(40, 60, 300)
+    for k in range(100):
+        base = r.integers(0, 1 << 63, int(sizes[k]), dtype=np.uint64)
+        for c in range(3):  # three near copies
+            s = base.copy()
+            s[:c] = r.integers(0, 1 << 63, c, dtype=np.uint64)
+            items.append((3 * k + c, np.unique(s)))
+    sets = J.Union()
+    tree = J.join_items(items, sets, 4, 5)
+    assert {a: sets.find(a) for a, _ in items} == {a: a - a % 3 for a, _ in items}
+    assert tree.pruned > 0.5 * tree.seen and tree.verified < 0.001 * len(items) ** 2
