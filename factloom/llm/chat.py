@@ -8,14 +8,15 @@ turns within `history` tokens before its first new turn, then its new turns. Rep
 system turn are masked; each assistant text is a target once, where it is new.
 
 The template marks a turn as `[INST]role` newline text `[/INST]` and a target's end as `</s>`. Inside roles and
-texts a backslash is put before every backslash, `[`, `]`, `<` and `>`, so no control string survives there and
-the text can be read back.
+texts a backslash is put before every backslash, `[`, `]`, `<` and `>`, and a line end in a role is written as a
+backslash and n, so no control string survives there and the text can be read back.
 
-Such windows pass the budget by as much as the last new turn overhangs, and by the system turn (`windows`, which the query's
-SQL follows). `format_chats` uses `fitted_windows`: there system turn, history and new turns stay within the budget together.
+`fitted_windows`, which `format_chats` and the digests use, keeps system turn, history and new turns together within
+the budget. `windows` is a plain grid, which its last new turn and the system turn may pass.
 
-Defined results: rows are ordered by turn (null first), then role, then a hash of the text; null role or text counts as
-empty; repeated rows are turns of their own; a null conversation id is one conversation; an empty table gives no rows.
+Defined results: rows are ordered by turn (null first), then role, then text; null role or text counts as
+empty; repeated rows are turns of their own; a null conversation id is one conversation; an empty table gives no rows; other input
+columns are not carried. Rows of one conversation and BLOCK_TURNS turn numbers are sorted in one task (spilling, not held).
 """
 
 from __future__ import annotations
@@ -40,27 +41,50 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\\[\]<>])", "$1")
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
+
+
 def tokens_of(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, tie (orders equal turns), tokens and block of every row."""
+    """conv_id (also as key and no_id, which joins can use), turn, role, text, tokens and block of every row."""
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumns({"tie": F.xxhash64("text"), "tokens": (F.ceil(F.length("text") / CHARS_PER_TOKEN) + MARK_TOKENS).cast("bigint")})
+    rows = rows.withColumns({"key": F.coalesce("conv_id", F.lit(0)), "no_id": F.col("conv_id").isNull(), "tokens": (F.ceil(F.length("text") / CHARS_PER_TOKEN) + MARK_TOKENS).cast("bigint")})
     return rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 62))).cast("bigint"))
 
 
+CONVERSATION, BLOCK = ["key", "no_id"], ["key", "no_id", "block"]
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows with their place (_i) and the tokens before them (_s) within their block."""
+    inside = Window.partitionBy(*BLOCK).orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({"_i": F.count("*").over(inside), "_s": F.coalesce(F.sum("tokens").over(inside), F.lit(0))})
+
+
+def _earlier_blocks(rows: DataFrame) -> DataFrame:
+    """Rows and tokens in the earlier blocks of each block's conversation."""
+    sums = rows.groupBy(*BLOCK).agg(F.count("*").alias("_n"), F.sum("tokens").alias("_t"))
+    earlier = Window.partitionBy(*CONVERSATION).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_place"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
+
+
+def _place(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    joined = rows.join(sums, BLOCK)
+    return joined.withColumns({"place": F.col("_place") + F.col("_i"), "before": F.col("_before") + F.col("_s")}).drop("_place", "_before", "_i", "_s")
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """rows of tokens_of with `place` (0, 1, ...) and `before` (tokens of the earlier turns).
 
-    Turns are dealt to blocks by turn number; sums go over blocks, then within a block. Only columns that
-    are used later travel with the blocks.
+    Turns are dealt to blocks by turn number; sums go over blocks, then within a block. The joins are on the keys that the
+    rows are dealt by, so texts move once.
     """
-    sums = rows.groupBy("conv_id", "block").agg(F.count("*").alias("_n"), F.sum("tokens").alias("_t"))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_place"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"_i": F.count("*").over(inside), "_s": F.coalesce(F.sum("tokens").over(inside), F.lit(0))})
-    joined = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
-    return joined.withColumns({"place": F.col("_place") + F.col("_i"), "before": F.col("_before") + F.col("_s")}).drop("_c", "_b", "_place", "_before", "_i", "_s")
+    return _place(_in_blocks(rows), _earlier_blocks(rows))
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -97,7 +121,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
 
 def _with_segments(out: DataFrame) -> DataFrame:
     target = F.col("is_new") & (F.col("role") == "assistant")
-    segment = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(CLOSE), F.when(target, F.lit(STOP)).otherwise(F.lit("")))
+    segment = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(CLOSE), F.when(target, F.lit(STOP)).otherwise(F.lit("")))
     return out.withColumns({"is_target": target, "segment": segment})
 
 
@@ -110,10 +134,11 @@ def fitted_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     """
     if not 0 <= history < budget:
         raise ValueError("history must be at least 0 and less than budget")
-    rows = numbered(tokens_of(turns)).withColumn("is_system", (F.col("place") == 0) & (F.col("role") == "system"))
-    systems = rows.where("is_system").select("conv_id", "place", "role", "text", "tokens")
-    sizes = systems.select(F.col("conv_id").alias("_c"), F.col("tokens").alias("_system"))
-    rows = rows.join(sizes, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c").withColumn("_system", F.coalesce("_system", F.lit(0)))
+    rows = tokens_of(turns)
+    dealt, sums = _in_blocks(rows), _earlier_blocks(rows)
+    systems = _place(dealt, sums).where((F.col("place") == 0) & (F.col("role") == "system")).select(*CONVERSATION, "conv_id", "place", "role", "text", "tokens")
+    sums = sums.join(systems.select(*CONVERSATION, F.col("tokens").alias("_system")), CONVERSATION, "left").withColumn("_system", F.coalesce("_system", F.lit(0)))
+    rows = _place(dealt, sums).withColumn("is_system", (F.col("place") == 0) & (F.col("role") == "system"))
     rows = rows.withColumn("room", F.greatest(F.lit(budget) - F.col("_system"), F.lit(1)))
     # at least half of the room, so that history reaches back over three cells at most
     rows = rows.withColumn("stride", F.greatest(F.col("room") - history, F.ceil(F.col("room") / 2)).cast("bigint"))
@@ -121,17 +146,28 @@ def fitted_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     rows = rows.withColumn("cell", F.floor(F.col("at") / F.col("stride")).cast("bigint"))
     rows = rows.withColumn("alone", ~F.col("is_system") & (F.col("at") + F.col("tokens") - F.col("cell") * F.col("stride") > F.col("room")))
     new = F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("tokens"))
-    wins = rows.groupBy("conv_id", "cell", "alone").agg(F.min("at").alias("start"), F.sum(new).alias("_new"), F.first("room").alias("room"), F.first("stride").alias("stride"))
-    wins = wins.withColumn("window", (F.row_number().over(Window.partitionBy("conv_id").orderBy("cell", "alone")) - 1).cast("bigint"))
-    wins = wins.withColumn("since", F.col("start") - F.greatest(F.lit(0), F.least(F.lit(history), F.col("room") - F.col("_new"))))
-    wins = wins.select(F.col("conv_id").alias("_c"), F.col("cell").alias("_cell"), F.col("alone").alias("_alone"), "window", "start", "since", F.col("stride").alias("_stride"))
-    shown = ["conv_id", "window", "place", "role", "text", "tokens"]
-    same = F.col("conv_id").eqNullSafe(F.col("_c"))
-    said = rows.join(wins, same & (F.col("cell") == F.col("_cell")) & (F.col("alone") == F.col("_alone"))).select(*shown, F.lit(True).alias("is_new"))
-    back = wins.where("since < start and start > 0").withColumn("_cell", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col("since") / F.col("_stride"))).cast("bigint"), F.col("_cell"))))
-    again = rows.where("not is_system").join(back, same & (F.col("cell") == F.col("_cell")) & (F.col("at") >= F.col("since")) & (F.col("at") < F.col("start"))).select(*shown, F.lit(False).alias("is_new"))
-    later = systems.join(wins.where("window > 0"), same).select(*shown, F.lit(False).alias("is_new"))
-    return _with_segments(said.unionByName(again).unionByName(later))
+    wins = rows.groupBy(*CONVERSATION, "cell", "alone").agg(F.min("at").alias("start"), F.sum(new).alias("_new"), F.first("room").alias("room"))
+    wins = _number(wins).withColumn("since", F.col("start") - F.greatest(F.lit(0), F.least(F.lit(history), F.col("room") - F.col("_new"))))
+    # the windows that may show turns of a block: those of its cells and of the next two
+    cells = rows.select(*BLOCK, F.explode(F.array("cell", F.col("cell") + 1, F.col("cell") + 2)).alias("cell")).distinct()
+    near = cells.join(wins, [*CONVERSATION, "cell"]).groupBy(*BLOCK).agg(F.collect_list(F.struct("cell", "alone", "window", "start", "since")).alias("_near"))
+    own = F.transform(F.filter("_near", lambda w: (w["cell"] == F.col("cell")) & (w["alone"] == F.col("alone"))), lambda w: F.struct(w["window"].alias("window"), F.lit(True).alias("is_new")))
+    back = F.filter("_near", lambda w: ~F.col("is_system") & (F.col("at") >= w["since"]) & (F.col("at") < w["start"]))
+    again = F.transform(back, lambda w: F.struct(w["window"].alias("window"), F.lit(False).alias("is_new")))
+    said = ["place", "role", "text", "tokens"]
+    shown = rows.join(near, BLOCK).select("conv_id", *said, F.explode(F.concat(own, again)).alias("_x")).select("conv_id", "_x.window", *said, "_x.is_new")
+    later = systems.join(wins.where("window > 0").select(*CONVERSATION, "window"), CONVERSATION).select("conv_id", "window", *said, F.lit(False).alias("is_new"))
+    return _with_segments(shown.unionByName(later))
+
+
+def _number(wins: DataFrame) -> DataFrame:
+    """Windows of each conversation numbered from 0 on by cell, over runs of cells first and then within them."""
+    wins = wins.withColumn("_run", F.floor(F.col("cell") / 4096))
+    runs = wins.groupBy(*CONVERSATION, "_run").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*CONVERSATION).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*CONVERSATION, "_run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy(*CONVERSATION, "_run").orderBy("cell", "alone"))
+    return wins.withColumn("_k", within).join(runs, [*CONVERSATION, "_run"]).withColumn("window", (F.col("_first") + F.col("_k") - 1).cast("bigint")).drop("_run", "_k", "_first")
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -140,7 +176,7 @@ def read_back(segments: DataFrame) -> DataFrame:
     stop = F.endswith(F.col("segment"), F.lit(CLOSE + STOP))
     body = F.substring(body, F.lit(1), F.length(body) - F.when(stop, F.lit(len(CLOSE + STOP))).otherwise(F.lit(len(CLOSE))))
     cut = F.locate("\n", body)
-    return segments.withColumns({"_body": body, "_cut": cut, "read_target": stop}).withColumns({"read_role": unescape(F.expr("substring(_body, 1, _cut - 1)")), "read_text": unescape(F.expr("substring(_body, _cut + 1)"))}).drop("_body", "_cut")
+    return segments.withColumns({"_body": body, "_cut": cut, "read_target": stop}).withColumns({"read_role": unescape_role(F.expr("substring(_body, 1, _cut - 1)")), "read_text": unescape(F.expr("substring(_body, _cut + 1)"))}).drop("_body", "_cut")
 
 
 def formatted(segments: DataFrame) -> DataFrame:
@@ -154,7 +190,7 @@ def conversation_digests(turns: DataFrame, budget: int = BUDGET, history: int =
 
     A digest is sequential, so a conversation's text meets in one row here, and here only.
     """
-    read = read_back(windows(turns, budget, history))
+    read = read_back(fitted_windows(turns, budget, history))
     turn = F.struct("place", F.col("read_role").alias("role"), F.col("read_text").alias("text"), F.col("read_target").alias("target"))
     per = read.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("is_new"), turn))).alias("said"), F.sum(F.length("segment")).cast("bigint").alias("formatted_chars"),

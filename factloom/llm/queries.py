@@ -100,32 +100,40 @@ WITH t AS (
 ), k AS (
   SELECT *, CAST((length(text) + 3) // 4 + 4 AS BIGINT) AS tokens,
     length(role) + length(text) + 14
-      + length(regexp_replace(role, '[^\\\[\]<>]', '', 'g')) + length(regexp_replace(text, '[^\\\[\]<>]', '', 'g')) AS chars
+      + length(regexp_replace(role, '[^\\\[\]<>\n]', '', 'g')) + length(regexp_replace(text, '[^\\\[\]<>]', '', 'g')) AS chars
   FROM t
 ), n AS (
   SELECT *, row_number() OVER w - 1 AS place, CAST(sum(tokens) OVER w - tokens AS BIGINT) AS before FROM k
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
-), w AS (
-  SELECT *, before // 1536 AS win FROM n
-), f AS (
-  SELECT conv_id, win, min(before) AS start FROM w GROUP BY conv_id, win
-), h AS (
-  SELECT w.conv_id, w.chars FROM w JOIN f ON w.conv_id = f.conv_id AND f.win > w.win
-  WHERE (w.place > 0 OR w.role <> 'system') AND w.before >= f.start - 512
 ), s AS (
-  SELECT w.conv_id, w.chars FROM w JOIN f ON w.conv_id = f.conv_id AND f.win > 0 WHERE w.place = 0 AND w.role = 'system'
+  SELECT conv_id, tokens, chars FROM n WHERE place = 0 AND role = 'system'
 ), r AS (
-  SELECT conv_id, sum(chars) AS chars, count(*) AS n FROM (SELECT * FROM h UNION ALL SELECT * FROM s) GROUP BY conv_id
+  SELECT n.*, place = 0 AND role = 'system' AS is_system, coalesce(s.tokens, 0) AS system, greatest(2048 - coalesce(s.tokens, 0), 1) AS room
+  FROM n LEFT JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id
+), p AS (
+  SELECT *, greatest(room - 512, (room + 1) // 2) AS stride, CASE WHEN is_system THEN 0 ELSE before - system END AS pos FROM r
+), c AS (
+  SELECT *, pos // stride AS cell, NOT is_system AND pos + tokens - (pos // stride) * stride > room AS alone FROM p
+), w AS (
+  SELECT conv_id, cell, alone, min(pos) AS start, min(pos) - greatest(0, least(512, min(room) - sum(CASE WHEN is_system THEN 0 ELSE tokens END))) AS since
+  FROM c GROUP BY conv_id, cell, alone
+), h AS (
+  SELECT c.conv_id, sum(c.chars) AS chars, count(*) AS n FROM c JOIN w ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.pos >= w.since AND c.pos < w.start
+  WHERE NOT c.is_system GROUP BY c.conv_id
+), v AS (
+  SELECT conv_id, count(*) AS n FROM w GROUP BY conv_id
 ), g AS (
-  SELECT conv_id, count(*) AS n_turns, count(DISTINCT win) AS n_windows,
+  SELECT conv_id, count(*) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
     coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS loss,
     sum(chars + CASE WHEN role = 'assistant' THEN 4 ELSE 0 END) AS chars
-  FROM w GROUP BY conv_id
+  FROM n GROUP BY conv_id
 )
 SELECT g.conv_id, CAST(g.n_turns AS BIGINT) AS n_turns, g.turns_sha256, CAST(length(g.loss) AS BIGINT) AS loss_chars, sha256(g.loss) AS loss_sha256,
-  CAST(g.chars + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars, CAST(g.n_windows AS BIGINT) AS n_windows, CAST(coalesce(r.n, 0) AS BIGINT) AS repeated_turns
-FROM g LEFT JOIN r ON g.conv_id = r.conv_id
+  CAST(g.chars + coalesce(h.chars, 0) + (v.n - 1) * coalesce(s.chars, 0) AS BIGINT) AS formatted_chars, CAST(v.n AS BIGINT) AS n_windows,
+  CAST(coalesce(h.n, 0) + CASE WHEN s.conv_id IS NULL AND s.chars IS NULL THEN 0 ELSE v.n - 1 END AS BIGINT) AS repeated_turns
+FROM g JOIN v ON g.conv_id IS NOT DISTINCT FROM v.conv_id
+LEFT JOIN h ON g.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN s ON g.conv_id IS NOT DISTINCT FROM s.conv_id
 """
 
 

@@ -2,9 +2,12 @@ import hashlib
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factloom.llm import chat as C
+from factloom.llm.queries import CONTROL, SQL
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
@@ -110,3 +113,40 @@ def test_formatted_and_empty(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a")]
     assert C.format_chats(spark.createDataFrame(rows, SCHEMA)).first().formatted == "[INST]system\ns[/INST][INST]user\nq[/INST][INST]assistant\na[/INST]</s>"
     assert C.conversation_digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(0, 600)), st.sampled_from(["system", "user", "assistant", "as\nsist\\n", None]), st.integers(0, 500)), max_size=60))
+def test_budget_and_sql_on_random_turns(spark, rows):
+    """Windows keep the budget, and the query's SQL gives the same rows, ties and roles with line ends included."""
+    import duckdb
+
+    rows = [(c, t, role, "x[" * (n // 2) + "é" * (n % 2) if c else "y" * 20 * n) for c, t, role, n in rows]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    groups = {}
+    for r in C.fitted_windows(df).collect():
+        groups.setdefault((r.conv_id, r.window), []).append(r)
+    for turns in groups.values():
+        rest = [r for r in turns if not (r.place == 0 and r.role == "system")]
+        assert sum(r.tokens for r in turns) <= C.BUDGET or len(rest) <= 1
+    planted = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], SCHEMA)
+    got = C.conversation_digests(df.unionByName(planted))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    if rows:
+        con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    key = lambda r: str(r[0])
+    assert sorted([tuple(r) for r in got.collect()], key=key) == sorted(con.execute(SQL["op1_chat_formatting"]).fetchall(), key=key)
+
+
+def test_roles_are_read_back(spark):
+    rows = [(1, 0, "a\nb", "x\ny"), (1, 1, "a\\n", "x"), (1, 2, "\n\n\\\n", ""), (1, 3, "[/INST]\n</s>", "</s>")]
+    got = C.read_back(C.fitted_windows(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert sorted((r.place, r.read_role, r.read_text) for r in got) == [(k, role, text) for _, k, role, text in rows]
+
+
+def test_texts_move_twice(spark):
+    """Texts are dealt to blocks once and gathered once for the digests; other exchanges carry numbers, or system turns."""
+    df = spark.createDataFrame(conversations(), SCHEMA)
+    plan = C.conversation_digests(df)._jdf.queryExecution().executedPlan().toString()
+    assert "eqNullSafe" not in plan and "<=>" not in plan
