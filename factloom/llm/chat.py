@@ -14,7 +14,7 @@ backslash and n, so no control string survives there and the text can be read ba
 `fitted_windows`, which `format_chats` and the digests use, keeps system turn, history and new turns together within
 the budget. `windows` is a plain grid, which its last new turn and the system turn may pass.
 
-Defined results: rows are ordered by turn (null first), then role, then text; null role or text counts as
+Defined results: rows are ordered by turn (null first), then role, then the MD5 digest of the text; null role or text counts as
 empty; repeated rows are turns of their own; a null conversation id is one conversation; an empty table gives no rows; other input
 columns are not carried. Rows of one conversation and BLOCK_TURNS turn numbers are sorted in one task (spilling, not held).
 """
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.session import ship
+from factloom.session import materialize, ship
 
 CHARS_PER_TOKEN, MARK_TOKENS = 4, 4
 BUDGET, HISTORY = 2048, 512
@@ -50,10 +50,10 @@ def unescape_role(role: Column) -> Column:
 
 
 def tokens_of(turns: DataFrame) -> DataFrame:
-    """conv_id (also as key and no_id, which joins can use), turn, role, text, tokens and block of every row."""
+    """conv_id (also as key and no_id, which joins can use), turn, role, text, tie (orders equal turns), tokens and block of every row."""
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumns({"key": F.coalesce("conv_id", F.lit(0)), "no_id": F.col("conv_id").isNull(), "tokens": (F.ceil(F.length("text") / CHARS_PER_TOKEN) + MARK_TOKENS).cast("bigint")})
+    rows = rows.withColumns({"key": F.coalesce("conv_id", F.lit(0)), "no_id": F.col("conv_id").isNull(), "tie": F.md5("text"), "tokens": (F.ceil(F.length("text") / CHARS_PER_TOKEN) + MARK_TOKENS).cast("bigint")})
     return rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 62))).cast("bigint"))
 
 
@@ -62,7 +62,7 @@ CONVERSATION, BLOCK = ["key", "no_id"], ["key", "no_id", "block"]
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
     """rows with their place (_i) and the tokens before them (_s) within their block."""
-    inside = Window.partitionBy(*BLOCK).orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*BLOCK).orderBy(F.col("turn").asc_nulls_first(), "role", "tie").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumns({"_i": F.count("*").over(inside), "_s": F.coalesce(F.sum("tokens").over(inside), F.lit(0))})
 
 
@@ -81,8 +81,7 @@ def _place(rows: DataFrame, sums: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame) -> DataFrame:
     """rows of tokens_of with `place` (0, 1, ...) and `before` (tokens of the earlier turns).
 
-    Turns are dealt to blocks by turn number; sums go over blocks, then within a block. The joins are on the keys that the
-    rows are dealt by, so texts move once.
+    Turns are dealt to blocks by turn number; sums go over blocks, then within a block.
     """
     return _place(_in_blocks(rows), _earlier_blocks(rows))
 
@@ -132,32 +131,58 @@ def fitted_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     sum to cells of the tokens that system turn and history leave; a turn that ends beyond its cell stays
     while it fits, with less history, and else has a window of its own. Windows are numbered from 0 on.
     """
+    shown, later = _fitted(turns, budget, history, BLOCK)
+    cols = ["conv_id", "window", "place", "role", "text", "tokens", "is_new"]
+    return _with_segments(shown.select(cols).unionByName(later.select(cols)))
+
+
+def _fitted(turns: DataFrame, budget: int, history: int, deal: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The turns shown in windows, and apart from them the system turns that later windows show again.
+
+    Windows are worked out on a table of numbers, written once. Texts are dealt once, by block, or by conversation if the
+    caller brings each conversation together anyway; what a block has to know meets them by the same keys.
+    """
     if not 0 <= history < budget:
         raise ValueError("history must be at least 0 and less than budget")
     rows = tokens_of(turns)
-    dealt, sums = _in_blocks(rows), _earlier_blocks(rows)
-    systems = _place(dealt, sums).where((F.col("place") == 0) & (F.col("role") == "system")).select(*CONVERSATION, "conv_id", "place", "role", "text", "tokens")
-    sums = sums.join(systems.select(*CONVERSATION, F.col("tokens").alias("_system")), CONVERSATION, "left").withColumn("_system", F.coalesce("_system", F.lit(0)))
-    rows = _place(dealt, sums).withColumn("is_system", (F.col("place") == 0) & (F.col("role") == "system"))
-    rows = rows.withColumn("room", F.greatest(F.lit(budget) - F.col("_system"), F.lit(1)))
-    # at least half of the room, so that history reaches back over three cells at most
-    rows = rows.withColumn("stride", F.greatest(F.col("room") - history, F.ceil(F.col("room") / 2)).cast("bigint"))
-    rows = rows.withColumn("at", F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("before") - F.col("_system")))
-    rows = rows.withColumn("cell", F.floor(F.col("at") / F.col("stride")).cast("bigint"))
-    rows = rows.withColumn("alone", ~F.col("is_system") & (F.col("at") + F.col("tokens") - F.col("cell") * F.col("stride") > F.col("room")))
+    slim = numbered(rows.drop("text")).withColumn("is_system", (F.col("place") == 0) & (F.col("role") == "system"))
+    slim = materialize(slim.select(*BLOCK, "place", "before", "tokens", "is_system"), "chat-turns")
+    sizes = slim.where("is_system").select(*CONVERSATION, F.col("tokens").alias("_system"))
+    firsts = slim.groupBy(*BLOCK).agg(F.min("place").alias("_place"), F.min("before").alias("_before"), F.max("place").alias("_last"))
+    firsts = firsts.join(sizes, CONVERSATION, "left").withColumn("_system", F.coalesce("_system", F.lit(0)))
+    placed = _cells(slim.join(firsts, BLOCK), budget, history)
     new = F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("tokens"))
-    wins = rows.groupBy(*CONVERSATION, "cell", "alone").agg(F.min("at").alias("start"), F.sum(new).alias("_new"), F.first("room").alias("room"))
+    wins = placed.groupBy(*CONVERSATION, "cell", "alone").agg(F.min("at").alias("start"), F.sum(new).alias("_new"), F.first("room").alias("room"))
     wins = _number(wins).withColumn("since", F.col("start") - F.greatest(F.lit(0), F.least(F.lit(history), F.col("room") - F.col("_new"))))
+    wins = materialize(wins.select(*CONVERSATION, "cell", "alone", "window", "start", "since"), "chat-windows")
     # the windows that may show turns of a block: those of its cells and of the next two
-    cells = rows.select(*BLOCK, F.explode(F.array("cell", F.col("cell") + 1, F.col("cell") + 2)).alias("cell")).distinct()
+    cells = placed.select(*BLOCK, F.explode(F.array("cell", F.col("cell") + 1, F.col("cell") + 2)).alias("cell")).distinct()
     near = cells.join(wins, [*CONVERSATION, "cell"]).groupBy(*BLOCK).agg(F.collect_list(F.struct("cell", "alone", "window", "start", "since")).alias("_near"))
+    facts = firsts.join(near, BLOCK).groupBy(*deal).agg(F.map_from_entries(F.collect_list(F.struct("block", F.struct("_place", "_before", "_system", "_near")))).alias("_facts"))
+    dealt = rows if deal == BLOCK else rows.repartition(*deal)
+    known = _in_blocks(dealt).join(facts, deal).withColumn("_known", F.element_at("_facts", F.col("block"))).drop("_facts")
+    known = known.withColumns({"place": F.col("_known._place") + F.col("_i"), "before": F.col("_known._before") + F.col("_s"), "_system": F.col("_known._system"), "_near": F.col("_known._near")})
+    known = _cells(known.withColumn("is_system", (F.col("place") == 0) & (F.col("role") == "system")), budget, history)
     own = F.transform(F.filter("_near", lambda w: (w["cell"] == F.col("cell")) & (w["alone"] == F.col("alone"))), lambda w: F.struct(w["window"].alias("window"), F.lit(True).alias("is_new")))
     back = F.filter("_near", lambda w: ~F.col("is_system") & (F.col("at") >= w["since"]) & (F.col("at") < w["start"]))
     again = F.transform(back, lambda w: F.struct(w["window"].alias("window"), F.lit(False).alias("is_new")))
-    said = ["place", "role", "text", "tokens"]
-    shown = rows.join(near, BLOCK).select("conv_id", *said, F.explode(F.concat(own, again)).alias("_x")).select("conv_id", "_x.window", *said, "_x.is_new")
-    later = systems.join(wins.where("window > 0").select(*CONVERSATION, "window"), CONVERSATION).select("conv_id", "window", *said, F.lit(False).alias("is_new"))
-    return _with_segments(shown.unionByName(later))
+    said = [*CONVERSATION, "conv_id", "place", "role", "text", "tokens"]
+    shown = known.select(*said, F.explode(F.concat(own, again)).alias("_x")).select(*said, "_x.window", "_x.is_new")
+    # a system turn in the first place is the least of its conversation's system turns
+    least = F.min(F.struct(F.col("turn").isNotNull(), "turn", "tie", "conv_id", "role", "text", "tokens")).alias("_s")
+    systems = rows.where("role = 'system'").groupBy(*CONVERSATION).agg(least).join(sizes.select(*CONVERSATION), CONVERSATION).select(*CONVERSATION, "_s.conv_id", F.lit(0).cast("bigint").alias("place"), "_s.role", "_s.text", "_s.tokens")
+    later = systems.join(wins.where("window > 0").select(*CONVERSATION, "window"), CONVERSATION).select(*said, "window", F.lit(False).alias("is_new"))
+    return shown, later
+
+
+def _cells(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """room and stride of a conversation's windows; at (tokens before, but for the system turn), cell and alone of each turn."""
+    rows = rows.withColumn("room", F.greatest(F.lit(budget) - F.col("_system"), F.lit(1)))
+    # at least half of the room, so that history reaches back over three cells at most
+    rows = rows.withColumn("stride", F.greatest(F.col("room") - history, F.ceil(F.col("room") / 2)).cast("bigint"))
+    rows = rows.withColumn("at", F.when(F.col("is_system"), F.lit(0)).otherwise(F.col("before") - F.col("_system")))
+    rows = rows.withColumn("cell", F.floor(F.col("at") / F.col("stride")).cast("bigint"))
+    return rows.withColumn("alone", ~F.col("is_system") & (F.col("at") + F.col("tokens") - F.col("cell") * F.col("stride") > F.col("room")))
 
 
 def _number(wins: DataFrame) -> DataFrame:
@@ -190,12 +215,14 @@ def conversation_digests(turns: DataFrame, budget: int = BUDGET, history: int =
 
     A digest is sequential, so a conversation's text meets in one row here, and here only.
     """
-    read = read_back(fitted_windows(turns, budget, history))
+    shown, later = _fitted(turns, budget, history, CONVERSATION)
     turn = F.struct("place", F.col("read_role").alias("role"), F.col("read_text").alias("text"), F.col("read_target").alias("target"))
-    per = read.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_new"), turn))).alias("said"), F.sum(F.length("segment")).cast("bigint").alias("formatted_chars"),
-        F.count_if("is_new").alias("_new"), F.size(F.collect_set("window")).cast("bigint").alias("n_windows"), F.count_if(~F.col("is_new")).alias("repeated_turns"),
+    per = read_back(_with_segments(shown)).groupBy(*CONVERSATION).agg(
+        F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.when(F.col("is_new"), turn))).alias("said"), F.sum(F.length("segment")).alias("_chars"),
+        F.count_if("is_new").alias("_new"), F.size(F.collect_set(F.when(F.col("is_new"), F.col("window")))).cast("bigint").alias("n_windows"), F.count_if(~F.col("is_new")).alias("_again"),
     )
+    more = _with_segments(later).groupBy(*CONVERSATION).agg(F.sum(F.length("segment")).alias("_more"), F.count("*").alias("_systems"))
+    per = per.join(more, CONVERSATION, "left").withColumns({"formatted_chars": F.col("_chars") + F.coalesce("_more", F.lit(0)), "repeated_turns": F.col("_again") + F.coalesce("_systems", F.lit(0))})
     turns_text = F.array_join(F.transform("said", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("said", lambda x: x["target"]), lambda x: x["text"]), "")
     per = per.withColumn("_loss", loss)

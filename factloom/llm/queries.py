@@ -104,7 +104,7 @@ WITH t AS (
   FROM t
 ), n AS (
   SELECT *, row_number() OVER w - 1 AS place, CAST(sum(tokens) OVER w - tokens AS BIGINT) AS before FROM k
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text) ROWS UNBOUNDED PRECEDING)
 ), s AS (
   SELECT conv_id, tokens, chars FROM n WHERE place = 0 AND role = 'system'
 ), r AS (
