@@ -1,12 +1,19 @@
 """Main text of web pages, with the templates of their site removed.
 
-Pages are parsed tolerantly into element trees; every element gets a hash of its subtree (tags and
-texts). Tasks count, merged map-side, on how many pages of a host each subtree occurs; subtrees that
-recur on many pages of their host are templates and are deleted, as are elements whose tag, role or
-class says that they aren't article text. Within an article or a main element only whole classes
-say so, pieces of classes and ids (slugs of headings) don't; no class or id deletes a heading or hides
-a page's only article. What is left of the article (else of the main element,
-else of the body) is the text, block by block.
+Pages are parsed tolerantly into element trees; every element gets two hashes of its subtree: of tags and
+texts, and of its shape (tags, classes, ids and roles with texts masked and repeated children folded).
+Tasks count, merged map-side, on how many pages of a host each occurs. Subtrees that recur on many pages
+of their host are templates and are deleted: by shape where the page's text doesn't lie (a menu, an
+advert or a footer recurs in shape while its words change), by tags and texts everywhere. The host's pages
+also tell whether its template marks the main text by an article or main element; if so, what else is
+left outside of it goes too. The rest is the text, block by block.
+
+On a page without such an element the innermost container of over half of the words that aren't links stands for it; beside
+that, containers and lists of links go by shape, prose doesn't.
+
+What HTML itself says isn't text (UNSHOWN, DROPPED_TAGS, DROPPED_ROLES) is never text. Lists of class words (DROPPED_WORDS)
+decide in two places only: on hosts of fewer than `min_pages` pages, where nothing can recur, and for whole classes
+within articles, where text recurs in shape as well. No class or id deletes a heading or hides a page's only article.
 
 Within an article a subtree goes at article_share of the host's pages; a box (BOXES) goes, in and outside of
 articles, when it stands in article_pages different articles (else main elements, else pages) of its host, however many pages that
@@ -19,7 +26,7 @@ article_pages articles. They are broadcast while their number is
 within `broadcast_rows`, which is checked; beyond that pages are joined with them by host.
 
 Defined results: null or empty html gives empty text; a null url belongs to the host ''; repeated rows and null
-ids are kept, each row alone; malformed markup never fails: an unclosed comment hides the rest, a
+ids are kept, each row alone; malformed markup never fails and takes linear time: an unclosed comment hides the rest, a
 `<` that opens no tag is text. Other input columns are not carried.
 """
 
@@ -27,7 +34,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -39,7 +48,8 @@ from pyspark.sql import types as T
 
 from factloom.session import materialize, ship
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^>]*>""", re.S)
+TOKEN = re.compile(r"""<!--(?:-?>|.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^>]*>""", re.S)
+DIGITS = re.compile("[0-9]+")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -59,6 +69,8 @@ DROPPED_WORDS = frozenset(
 )
 #: Elements that, when the same one recurs in several articles, are boxes put into them. A recurring line (p, h1, b) may be article text.
 BOXES = frozenset("div section fieldset details".split())
+#: Elements that hold prose: on pages without a main element their shape is no sign of a template.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li ul ol dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: The share of a host's pages from which a subtree goes even from within an article.
 ARTICLE_SHARE = 0.5
 HEADER_WORDS = frozenset("header siteheader pageheader".split())
@@ -72,27 +84,38 @@ def host_of(url: str | None) -> str:
 
 
 class Node:
-    __slots__ = ("attributes", "children", "hash", "holds", "tag", "words")
+    __slots__ = ("attributes", "children", "hash", "holds", "links", "shape", "tag", "words")
 
     def __init__(self, tag: str, attributes: str) -> None:
         self.tag, self.attributes = tag, attributes
         self.children: list[Node | str] = []
-        self.hash = self.words = 0
+        self.hash = self.shape = self.words = self.links = 0  # links: the words within links
         self.holds = False  # a main element
 
-    def close(self) -> None:
-        """Hash the subtree: tag, texts with white space collapsed, hashes of the children."""
+    def close(self, shaped: bool) -> None:
+        """Hash the subtree: tag, texts with white space collapsed, hashes of the children; and its shape if asked for."""
         h = xxhash.xxh64(self.tag.encode("utf-8", "replace"))
+        shapes = set()
         for c in self.children:
             if isinstance(c, str):
                 if parts := c.split():
                     self.words += len(parts)
                     h.update(b"\x00" + " ".join(parts).encode("utf-8", "replace"))
+                    shapes.add(1)
             else:
                 self.words += c.words
+                self.links += c.links
                 self.holds |= c.holds or c.tag == "main"
                 h.update(b"\x01" + c.hash.to_bytes(8, "little"))
+                if c.words:
+                    shapes.add(c.shape)
         self.hash = h.intdigest()
+        if self.tag == "a":
+            self.links = self.words
+        if shaped and self.words:
+            a = self.get() if self.attributes else {}
+            marks = [*sorted(DIGITS.sub("0", a.get("class", "")).split()), "#", DIGITS.sub("0", a.get("id", "")), "@", a.get("role", "")]
+            self.shape = xxhash.xxh64_intdigest("\x00".join([self.tag, *marks, *map(str, sorted(shapes))]).encode("utf-8", "replace"))
 
     def get(self) -> dict[str, str]:
         return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.attributes)} if self.attributes else {}
@@ -101,10 +124,19 @@ class Node:
 def parse(page: str) -> Node:
     root = Node("", "")
     stack, at = [root], 0
+    # where on the stack each open tag stands, and where blocks and buttons do: no step looks through the stack
+    where: dict[str, list[int]] = defaultdict(list)
+    blocks: list[int] = []
+    article, main = where["article"], where["main"]
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            stack.pop().close()
+            node = stack.pop()
+            if stack:
+                where[node.tag].pop()
+                if node.tag in BLOCKS or node.tag == "button":
+                    blocks.pop()
+            node.close(not article and not main)
 
     def text(lo: int, hi: int) -> None:
         if hi > lo:
@@ -119,41 +151,33 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
-            else:
-                if tag in ("br", "p"):
-                    stack[-1].children.append("\n")
+            if tag in where and where[tag]:
+                pop_to(where[tag][-1])
+            elif tag in ("br", "p"):
+                stack[-1].children.append("\n")
             continue
-        if tag in BLOCKS:  # a block ends an open paragraph
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    pop_to(k)
-                    break
-                if stack[k].tag in BLOCKS or stack[k].tag == "button":
-                    break
+        if tag in BLOCKS and blocks and stack[blocks[-1]].tag == "p":  # a block ends an open paragraph
+            pop_to(blocks[-1])
         if tag in CLOSES:
             ends, bars = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends.split():
-                    pop_to(k)
-                    break
-                if stack[k].tag in bars:
-                    break
+            last = max((where[t][-1] for t in ends.split() if where[t]), default=0)
+            if last > max((where[t][-1] for t in bars if where[t]), default=0):
+                pop_to(last)
         attributes = m[3] or m[6] or ""
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW:
-            node.close()
+            node.close(False)
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             if tag in ("title", "textarea"):
                 node.children.append(entities.unescape(page[at : end.start() if end else len(page)]))
-            node.close()
+            node.close(False)
             at = end.end() if end else len(page)
         else:
+            where[tag].append(len(stack))
+            if tag in BLOCKS or tag == "button":
+                blocks.append(len(stack))
             stack.append(node)
     text(at, len(page))
     pop_to(0)
@@ -187,7 +211,8 @@ def is_hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
 
 
-def is_boilerplate(node: Node, whole: bool = False) -> bool:
+def is_boilerplate(node: Node, whole: bool = False, listed: bool = True) -> bool:
+    """listed: classes count, whole ones or also their pieces."""
     if node.tag in DROPPED_TAGS:
         return True
     if not node.attributes or node.tag in ("html", "body", "main", "article"):
@@ -195,11 +220,11 @@ def is_boilerplate(node: Node, whole: bool = False) -> bool:
     a = node.get()
     if is_hidden(a) or a.get("role", "").lower() in DROPPED_ROLES:
         return True
-    return node.tag not in HEADINGS and not DROPPED_WORDS.isdisjoint(marks(a, whole))
+    return listed and node.tag not in HEADINGS and not DROPPED_WORDS.isdisjoint(marks(a, whole))
 
 
-def is_header(node: Node, whole: bool = False) -> bool:
-    return node.tag == "header" or bool(node.attributes) and node.tag not in ("html", "body", "main", "article") and node.tag not in HEADINGS and not HEADER_WORDS.isdisjoint(marks(node.get(), whole))
+def is_header(node: Node, whole: bool = False, listed: bool = True) -> bool:
+    return node.tag == "header" or listed and bool(node.attributes) and node.tag not in ("html", "body", "main", "article") and node.tag not in HEADINGS and not HEADER_WORDS.isdisjoint(marks(node.get(), whole))
 
 
 def hides(node: Node, anywhere: bool) -> bool:
@@ -218,7 +243,10 @@ def hides(node: Node, anywhere: bool) -> bool:
 
 
 def roots(page: Node) -> list[Node]:
-    """Outermost articles outside boilerplate, else main elements, else such within boilerplate, else the page."""
+    """Outermost articles outside boilerplate, else main elements, else such within boilerplate, else the page.
+
+    Where articles stand among other text of a main element, that is taken for them.
+    """
     return _roots(page, False) or _roots(page, True) or [page]
 
 
@@ -235,7 +263,12 @@ def _roots(page: Node, anywhere: bool) -> list[Node]:
         if node.tag == "main" or "role" in node.attributes and node.get().get("role") == "main":
             mains.append(node)
         todo += [c for c in reversed(node.children) if not isinstance(c, str)]
-    return [n for n in articles if n.words] or [n for n in mains if n.words][:1]
+    articles, mains = [n for n in articles if n.words], [n for n in mains if n.words][:1]
+    inner = {id(n) for m in mains for n in walk(m)} if articles and mains else set()
+    if any(id(n) in inner for n in articles):
+        if sum(n.words for n in articles if id(n) in inner) < mains[0].words:
+            return [n for n in articles if id(n) not in inner] + mains
+    return articles or mains
 
 
 def boxes_in(root: Node, boxes: frozenset[int] | set[int], whole: bool) -> set[int]:
@@ -253,13 +286,82 @@ def boxes_in(root: Node, boxes: frozenset[int] | set[int], whole: bool) -> set[i
     return found if 2 * words <= root.words else set()
 
 
-def main_text(page: str | None, templates: dict[int, float] | None = None, article_share: float = ARTICLE_SHARE, boxes: frozenset[int] | set[int] = frozenset()) -> str:
-    """templates: share of the host's pages for each recurring subtree; within an article only those of article_share or more go.
+@dataclass
+class Site:
+    """What a host's pages have in common."""
+
+    #: It has min_pages pages or more; else nothing can recur, and class words decide.
+    counted: bool = False
+    #: The share of pages of each recurring subtree; boxes and shapes that recur; whether most pages mark their main text.
+    shares: dict[int, float] = field(default_factory=dict)
+    boxes: set[int] = field(default_factory=set)
+    shapes: set[int] = field(default_factory=set)
+    marked: bool = False
+
+
+def shape_of(node: Node, marked: bool) -> int:
+    """The shape on pages with, or without, a main text that is marked."""
+    return node.shape ^ 0x5BD1E995 if marked else node.shape
 
-    boxes: recurring boxes, which go at any share.
+
+def main_parts(tree: Node) -> tuple[list[Node], bool]:
+    """The elements that hold the main text, and whether the page marks them."""
+    found = roots(tree)
+    if found[0] is not tree:
+        return found, True
+    node, most = tree, (tree.words - tree.links) / 2
+    while inner := [c for c in node.children if not isinstance(c, str) and c.words - c.links > most and c.tag not in PROSE]:
+        node = inner[0]
+    return [node], False
+
+
+def holders_of(tree: Node, kept: list[Node]) -> set[int]:
+    """The elements around those of the main text."""
+    up: dict[int, Node] = {}
+    for node in walk(tree):
+        for c in node.children:
+            if not isinstance(c, str):
+                up[id(c)] = node
+    holders: set[int] = set()
+    for n in kept:
+        while id(n) in up and id(up[id(n)]) not in holders:
+            n = up[id(n)]
+            holders.add(id(n))
+    return holders
+
+
+def may_be_frame(node: Node, marked: bool) -> bool:
+    """Whether an element beside the main text may go by its shape: on pages that don't mark that text, prose may not, but lists of links may."""
+    return marked or node.tag not in PROSE or node.links == node.words and node.tag in BLOCKS
+
+
+def outside(tree: Node, kept: list[Node], marked: bool) -> Iterator[Node]:
+    """The elements beside the main text that may be templates by their shape."""
+    holders, inner, todo = holders_of(tree, kept), {id(n) for n in kept}, [tree]
+    while todo:
+        node = todo.pop()
+        if id(node) in inner:
+            continue
+        if node.words and id(node) not in holders and node.tag not in ("", "html", "body") and may_be_frame(node, marked):
+            yield node
+        todo += [c for c in node.children if not isinstance(c, str)]
+
+
+def main_text(page: str | None, site: Site | None = None, article_share: float = ARTICLE_SHARE) -> str:
+    """The text of a page; site: of its host, None for a page on its own.
+
+    Within an article only subtrees of article_share of the host's pages go, and boxes at any share.
     """
     if not page:
         return ""
+    site = site or Site()
+    tree = parse(page)
+    found, marked = main_parts(tree)
+    listed = not site.counted  # class words outside of articles
+    # the whole page is gone through unless its main text is marked, by it alone or as on most pages of its host
+    starts = found if marked and (site.marked or listed) else [tree]
+    kept = {id(n) for n in found} if marked or not listed else set()
+    holders = holders_of(tree, found) if kept and starts is not found else set()
     blocks, line = [], []
 
     def flush() -> None:
@@ -268,41 +370,49 @@ def main_text(page: str | None, templates: dict[int, float] | None = None, artic
             blocks.append(joined)
         line.clear()
 
-    for root in roots(parse(page)):
-        inside = root.tag == "article"
-        whole = bool(root.tag)  # within an article or a main element
-        least = article_share if inside else 0.0
-        gone = boxes_in(root, boxes, whole) if boxes else boxes
-        # entries: a text, a node to open, or None to end a block; heading: only headings of a header are kept
-        todo: list[tuple[Node | str | None, bool]] = [(None, False), (root, False)]
+    for root in starts:
+        gone = {h for n in (found if root is tree else [root]) for h in boxes_in(n, site.boxes, marked)} if site.boxes else site.boxes
+        # entries: a text, a node to open, or None to end a block; of a header only headings are kept; whether in the main text, and in an article
+        todo: list[tuple[Node | str | None, bool, bool, bool]] = [(None, False, False, False), (root, False, False, False)]
         while todo:
-            item, headings = todo.pop()
+            item, headings, main, inside = todo.pop()
             if item is None:
                 flush()
-            elif isinstance(item, str):
+                continue
+            if isinstance(item, str):
                 if not headings:
                     line.append(item)
-            elif item.tag == "br":
+                continue
+            if item.tag == "br":
                 line.append(" ")
-            elif item is root or not is_boilerplate(item, whole):
-                if item is not root and (item.hash in gone or templates and templates.get(item.hash, -1.0) >= max(least, 1e-9)):
+                continue
+            if id(item) in kept:
+                headings, main, inside = False, True, inside or item.tag == "article"
+            elif item is not root and id(item) not in holders:
+                if is_boilerplate(item, main, listed or main):
+                    continue
+                inside = inside or main and item.tag == "article"
+                shaped = not main and shape_of(item, marked) in site.shapes and may_be_frame(item, marked)
+                if shaped or item.hash in gone or site.shares.get(item.hash, -1.0) >= (article_share if inside else 1e-9):
                     line.append(" ")
                     continue
-                if item is not root and is_header(item, whole):
+                if is_header(item, main, listed or main):
                     if not inside:
                         continue
                     headings = True
                 elif item.tag in HEADINGS:
                     headings = False
-                if item.tag in BLOCKS:
-                    flush()
-                    todo.append((None, False))
-                todo += [(c, headings) for c in reversed(item.children)]
+            if item.tag in BLOCKS:
+                flush()
+                todo.append((None, False, False, False))
+            todo += [(c, headings, main, inside) for c in reversed(item.children)]
         flush()
     return "\n\n".join(blocks)
 
 
-COUNTED = "host string, subtree bigint, content bigint, pages bigint"
+COUNTED = "host string, kind int, subtree bigint, content bigint, pages bigint"
+#: What a count is of: a host's pages, a subtree, a box in a content, a shape, and pages with a marked main text.
+PAGES, SUBTREE, BOX, SHAPE, MARKED = range(5)
 
 
 def _signed(x: int) -> int:
@@ -310,28 +420,32 @@ def _signed(x: int) -> int:
 
 
 def _count(limit: int):
-    """Pages of each host in all (subtree null), for each subtree, and for each box in each content, as far as this task sees.
+    """Pages of each host for each kind and subtree, as far as this task sees.
 
     content: the hash of the article (or main element or page) that a box stands in, null for the others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, int | None, int | None], int] = {}
+        found: dict[tuple[str, int, int | None, int | None], int] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in found], pa.string()), pa.array([s for _, s, _ in found], pa.int64()), pa.array([c for _, _, c in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["host", "subtree", "content", "pages"])
+            keys = list(zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.int64()), pa.array(keys[3], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["host", "kind", "subtree", "content", "pages"])
 
         for batch in batches:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 host = host_of(url)
-                found[host, None, None] = found.get((host, None, None), 0) + 1
                 tree = parse(page.as_py() or "")
-                for h in {_signed(n.hash) for n in walk(tree) if n.words and n.tag not in ("", "html", "body", "article", "main")}:
-                    found[host, h, None] = found.get((host, h, None), 0) + 1
-                for root in roots(tree):
+                texts, marked = main_parts(tree)
+                once = {(host, PAGES, None, None)} | ({(host, MARKED, None, None)} if marked else set())
+                once |= {(host, SUBTREE, _signed(n.hash), None) for n in walk(tree) if n.words and n.tag not in ("", "html", "body", "article", "main")}
+                once |= {(host, SHAPE, _signed(shape_of(n, marked)), None) for n in outside(tree, texts, marked)}
+                for key in once:
+                    found[key] = found.get(key, 0) + 1
+                for root in texts if marked else [tree]:
                     for n in walk(root):
                         if n.tag in BOXES and n.words and n is not root:
-                            found[host, _signed(n.hash), _signed(root.hash)] = 1
+                            found[host, BOX, _signed(n.hash), _signed(root.hash)] = 1
                 if len(found) > limit:
                     yield out()
                     found.clear()
@@ -343,20 +457,24 @@ def _count(limit: int):
 
 def _counts(pages: DataFrame, url_col: str, html_col: str, min_pages: int, task_entries: int) -> DataFrame:
     counted = pages.select(F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")).mapInArrow(_count(task_entries), COUNTED)
-    sums = counted.groupBy("host", "subtree", "content").agg(F.sum("pages").alias("pages"))
-    return materialize(sums.where(F.col("subtree").isNull() | F.col("content").isNotNull() | (F.col("pages") >= min_pages)), "html-counts")
+    sums = counted.groupBy("host", "kind", "subtree", "content").agg(F.sum("pages").alias("pages"))
+    return materialize(sums.where((F.col("kind") == BOX) | (F.col("pages") >= min_pages)), "html-counts")
 
 
-def _templates(sums: DataFrame, min_pages: int, share: float, article_pages: int, article_share: float) -> DataFrame:
-    hosts = sums.where("subtree is null").select("host", F.col("pages").alias("all"))
-    often = sums.where(f"subtree is not null and content is null and pages >= {min_pages}").join(hosts, "host").withColumn("share", F.col("pages") / F.col("all"))
-    often = often.withColumn("share", F.when(F.col("pages") >= article_pages, F.col("share")).otherwise(F.least("share", F.lit(0.99 * article_share))))
+def _shares(sums: DataFrame, kind: int, share: float) -> DataFrame:
+    hosts = sums.where(F.col("kind") == PAGES).select("host", F.col("pages").alias("all"))
+    often = sums.where(F.col("kind") == kind).join(hosts, "host").withColumn("share", F.col("pages") / F.col("all"))
+    return often.where(F.col("share") >= share)
+
+
+def _templates(sums: DataFrame, share: float, article_pages: int, article_share: float) -> DataFrame:
+    often = _shares(sums, SUBTREE, share).withColumn("share", F.when(F.col("pages") >= article_pages, F.col("share")).otherwise(F.least("share", F.lit(0.99 * article_share))))
     return often.where(F.col("share") >= share).select("host", "subtree", "share")
 
 
 def _boxes(sums: DataFrame, article_pages: int) -> DataFrame:
     """(host, subtree) of boxes in at least article_pages different contents, however many pages the host has."""
-    return sums.where("content is not null").groupBy("host", "subtree").agg(F.count("*").alias("_n")).where(F.col("_n") >= article_pages).select("host", "subtree")
+    return sums.where(F.col("kind") == BOX).groupBy("host", "subtree").agg(F.count("*").alias("_n")).where(F.col("_n") >= article_pages).select("host", "subtree")
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 4, share: float = 0.1, article_pages: int = 10, article_share: float = ARTICLE_SHARE, task_entries: int = 300_000) -> DataFrame:
@@ -365,7 +483,12 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     A subtree on fewer than article_pages pages keeps a share under article_share, so that a text that
     a small site shows on several pages isn't taken out of its articles.
     """
-    return _templates(_counts(pages, url_col, html_col, min_pages, task_entries), min_pages, share, article_pages, article_share)
+    return _templates(_counts(pages, url_col, html_col, min_pages, task_entries), share, article_pages, article_share)
+
+
+def site_shapes(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 4, share: float = 0.1, task_entries: int = 300_000) -> DataFrame:
+    """(host, subtree, share) of the shapes outside of main texts on at least min_pages pages and that share of their host's pages."""
+    return _shares(_counts(pages, url_col, html_col, min_pages, task_entries), SHAPE, share).select("host", "subtree", "share")
 
 
 def site_boxes(pages: DataFrame, url_col: str = "url", html_col: str = "html", article_pages: int = 10, task_entries: int = 300_000) -> DataFrame:
@@ -373,36 +496,59 @@ def site_boxes(pages: DataFrame, url_col: str = "url", html_col: str = "html", a
     return _boxes(_counts(pages, url_col, html_col, article_pages, task_entries), article_pages)
 
 
-EXTRACTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+def _all_templates(sums: DataFrame, share: float, article_pages: int, article_share: float) -> DataFrame:
+    """(host, kind, subtree, share): what _site reads."""
+    kind = lambda k: F.lit(k).alias("kind")
+    nothing, number = F.lit(None).cast("double").alias("share"), F.lit(None).cast("bigint").alias("subtree")
+    parts = [
+        sums.where(F.col("kind") == PAGES).select("host", kind(PAGES), number, nothing),
+        _templates(sums, share, article_pages, article_share).select("host", kind(SUBTREE), "subtree", "share"),
+        _boxes(sums, article_pages).select("host", kind(BOX), "subtree", nothing),
+        _shares(sums, SHAPE, share).select("host", kind(SHAPE), "subtree", "share"),
+        _shares(sums, MARKED, 0.5).select("host", kind(MARKED), number, "share"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _site(found: list[tuple[int, int | None, float | None]]) -> Site:
+    site = Site()
+    for kind, subtree, share in found:
+        if kind == PAGES:
+            site.counted = True
+        elif kind == MARKED:
+            site.marked = True
+        elif kind == SUBTREE:
+            site.shares[subtree % (1 << 64)] = share
+        else:
+            (site.boxes if kind == BOX else site.shapes).add(subtree % (1 << 64))
+    return site
 
 
-NOTHING: tuple[dict[int, float], set[int]] = ({}, set())
+EXTRACTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
 
-def _split(found: list[tuple[int, float | None]]) -> tuple[dict[int, float], set[int]]:
-    """The shares of a host's templates, and its boxes."""
-    return {s % (1 << 64): p for s, p in found if p is not None}, {s % (1 << 64) for s, p in found if p is None}
+ALONE = Site()
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_rows: int = 300_000, min_pages: int = 4, share: float = 0.1, article_pages: int = 10, article_share: float = ARTICLE_SHARE, task_entries: int = 300_000) -> DataFrame:
     """(id, url, text, n_chars) for every page."""
     spark = pages.sparkSession
     ship(spark)
-    sums = _counts(pages, url_col, html_col, min_pages, task_entries)
-    # a box has no share
-    both = _templates(sums, min_pages, share, article_pages, article_share).unionByName(_boxes(sums, article_pages).withColumn("share", F.lit(None).cast("double")))
-    templates = materialize(both, "html-templates")
+    templates = materialize(_all_templates(_counts(pages, url_col, html_col, min_pages, task_entries), share, article_pages, article_share), "html-templates")
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField(url_col, T.StringType()), *EXTRACTED.fields])
     rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias(id_col), F.col(f"`{url_col}`").cast("string").alias(url_col), F.col(f"`{html_col}`").cast("string").alias("_html"))
     known = None
     if templates.count() <= broadcast_rows:
-        table: dict[str, list[tuple[int, float | None]]] = {}
-        for host, subtree, part in templates.collect():
-            table.setdefault(host, []).append((subtree, part))
-        table = {host: _split(found) for host, found in table.items()}
+        table: dict[str, list[tuple[int, int | None, float | None]]] = defaultdict(list)
+        for host, *found in templates.collect():
+            table[host].append(tuple(found))
+        table = {host: _site(found) for host, found in table.items()}
         known = spark.sparkContext.broadcast(table)
     else:
-        per_host = templates.groupBy("host").agg(F.collect_list(F.struct("subtree", "share")).alias("_templates"))
+        per_host = templates.groupBy("host").agg(F.collect_list(F.struct("kind", "subtree", "share")).alias("_templates"))
 
         @F.pandas_udf(T.StringType())
         def host(urls: pd.Series) -> pd.Series:
@@ -415,8 +561,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts: list[str] = []
             joined = batch.column(4) if known is None else None
             for k, (url, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
-                found, boxes = known.value.get(host_of(url), NOTHING) if known is not None else _split([(x["subtree"], x["share"]) for x in joined[k].as_py() or []])
-                texts.append(main_text(page.as_py(), found, article_share, boxes))
+                site = known.value.get(host_of(url), ALONE) if known is not None else _site([(x["kind"], x["subtree"], x["share"]) for x in joined[k].as_py() or []])
+                texts.append(main_text(page.as_py(), site, article_share))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     return rows.mapInArrow(run, schema)

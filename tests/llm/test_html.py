@@ -89,3 +89,69 @@ def test_counts_match_brute_force(spark):
     want = {(h, s): n / hosts[h] if n >= 10 else min(n / hosts[h], 0.495) for (h, s), n in counts.items() if n >= 4 and n / hosts[h] >= 0.1}
     got = {(r.host, r.subtree % (1 << 64)): r.share for r in H.site_templates(df, task_entries=5).collect()}
     assert got == want and want
+
+
+def test_comments_and_wrappers():
+    assert H.main_text("<p>one</p><!--><p>two</p>") == H.main_text("<p>one</p><!---><p>two</p>") == "one\n\ntwo"
+    assert H.main_text("a<!-- x --!>b") == "ab"
+    parts = '<p class="share-price">Up</p><p class="light-rail">Tram</p><p id="reply">Reply</p>'
+    assert H.main_text(f"<article>{parts}</article>") == H.main_text(f"<main>{parts}</main>") == "Up\n\nTram\n\nReply"
+    assert H.main_text("<nav>n</nav><main><h1>Title</h1><p>Lead</p><article><p>Body</p></article><p>End</p></main><div>x</div>") == "Title\n\nLead\n\nBody\n\nEnd"
+    assert H.main_text("<main><article>a</article><article>b</article></main>c") == "a\n\nb"
+
+
+def test_unmatched_tags_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert H.main_text("<b>" * 16000 + "</x>" * 16000 + "text") == "text"
+    assert H.main_text("<p><button>" + "<b>" * 16000 + "<div></div>" * 16000 + "<ul>" + "<li></li>" * 16000) == ""
+    assert time.perf_counter() - began < 4
+
+
+def site(n, host="h.example", other=False):
+    """Pages whose menu, advert and footer have other words on each page."""
+    def page(i):
+        frame = f'<ul class="menu">{"".join(f"<li><a href=/{k}>link {i * k}</a></li>" for k in range(3 + i % 3))}</ul><div class="box">Buy number {i}</div>'
+        text = f"<h1>Title {i}</h1><p>Story {i} is here.</p>" + "".join(f"<p>Part {i}.{k}, with many more words than all the rest of the page has.</p>" for k in range(1 + i % 2))
+        text = f'<div class="text">{text}</div>' if other else f"<article>{text}</article>"
+        return f"<body><div id='p{i}'>{frame}{text}<div class='end'>Page {i} of <b>{host}</b></div></div></body>"
+
+    said = lambda i: f"Title {i}\n\nStory {i} is here." + "".join(f"\n\nPart {i}.{k}, with many more words than all the rest of the page has." for k in range(1 + i % 2))
+    return [(i, f"http://{host}/{i}", page(i), said(i)) for i in range(n)]
+
+
+def test_shapes_recur_while_words_change(spark):
+    """Without class words: 'box', 'end' and 'text' are in no list."""
+    rows = site(12) + [(100 + i, u, h, t) for i, u, h, t in site(12, "o.example", other=True)]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id bigint, url string, html string").repartition(3)
+    for limit in (300_000, 0):
+        got = {r.page_id: r.text for r in H.extract(df, broadcast_rows=limit).collect()}
+        assert all(got[i] == text for i, _, _, text in rows if i < 100)
+        assert all("Buy" not in got[i] and "Page" not in got[i] and got[i].startswith("Title") for i, _, _, _ in rows if i >= 100)
+    off = H.Site(counted=True)
+    assert all(H.main_text(html, off) != text for _, _, html, text in rows)
+    # the marked text alone says nothing on a host that marks it on few pages
+    shapes = {r.subtree % (1 << 64) for r in H.site_shapes(df.where("page_id < 100")).collect()}
+    assert all(H.main_text(html, H.Site(counted=True, shapes=shapes)) == text for i, _, html, text in rows if i < 100)
+
+
+def test_templates_decide_on_the_tables(spark):
+    """With the templates of the hosts left out nearly every page has another text."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    rows = pq.read_table(path).to_pylist()
+    got = {r.page_id: r.text for r in H.extract(spark.read.parquet(path)).collect()}
+    hosts = {}
+    for r in rows:
+        hosts[H.host_of(r["url"])] = hosts.get(H.host_of(r["url"]), 0) + 1
+    counted = [r for r in rows if hosts[H.host_of(r["url"])] >= 4]
+    changed = sum(H.main_text(r["html"], H.Site(counted=True)) != got[r["page_id"]] for r in counted)
+    assert len(counted) > 100 and changed == len(counted)
+    # all shapes but no mark: the subtrees that recur by shape are all that goes
+    shapes = {}
+    for r in H.site_shapes(spark.read.parquet(path)).collect():
+        shapes.setdefault(r.host, set()).add(r.subtree % (1 << 64))
+    same = sum(H.main_text(r["html"], H.Site(counted=True, shapes=shapes.get(H.host_of(r["url"]), set()))) == got[r["page_id"]] for r in counted)
+    assert same > 0.98 * len(counted)
