@@ -11,34 +11,34 @@ bucket there is small, and that bucket is filled with the documents that still f
 remainder is left the same goes on with the later documents that aren't larger.
 
 Defined results: null or empty text has size 0 and is taken 0 words; a null source is a source of its own, last in
-order; a reserved mark keeps it apart from any name. Rows that share an id, source and size are
-decided together. An empty table gives an empty result. Reruns agree.
+order; a reserved mark keeps it apart from any name. Rows that share id, text and
+sources are decided together; of a null id the text alone counts. An empty table gives an empty result. Reruns agree.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
-from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm import words
 from factloom.session import materialize, ship, without
 
-#: What the words of a text are split at.
-SPACE = "[\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
 OUTPUT = ["size", "source_size", "target", "copies", "taken"]
 #: Bits of the draw that a histogram tells apart; the documents among which a remainder is filled at once.
 BITS, SMALL = 10, 2000
 
 
-def words_in(text: Column) -> Column:
-    """The number of maximal runs of other characters than blank, tab and line breaks."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("bigint")
+@F.arrow_udf(T.LongType())
+def words_in(texts: pa.Array) -> pa.Array:
+    """The number of maximal runs of other characters than blank, tab and line breaks; null has none."""
+    counts = [np.diff(words.spans(offsets, data)[2]) for _, _, offsets, data in words.groups(texts)]
+    return pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -58,67 +58,70 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5,
     return out
 
 
-@dataclass
-class Arc:
-    to: int
-    room: int
-    cost: int
-    back: int
+def _augment(start: int, end: int, arcs: list[list[int]], to: list[int], room: list[int]) -> None:
+    """Dinic's algorithm: blocking flows over shortest paths until none is left. Arc k ^ 1 is the reverse of arc k."""
+    while True:
+        level = [-1] * len(arcs)
+        level[start], queue = 0, [start]
+        for u in queue:
+            for k in arcs[u]:
+                if room[k] and level[to[k]] < 0:
+                    level[to[k]] = level[u] + 1
+                    queue.append(to[k])
+        if level[end] < 0:
+            return
+        at, path, u = [0] * len(arcs), [], start
+        while True:
+            if u == end:
+                push = min(room[k] for k in path)
+                for k in path:
+                    room[k] -= push
+                    room[k ^ 1] += push
+                full = next(i for i, k in enumerate(path) if not room[k])
+                u = to[path[full] ^ 1]
+                del path[full:]
+            while at[u] < len(arcs[u]) and not (room[arcs[u][at[u]]] and level[to[arcs[u][at[u]]]] == level[u] + 1):
+                at[u] += 1
+            if at[u] < len(arcs[u]):
+                path.append(arcs[u][at[u]])
+                u = to[path[-1]]
+            elif path:
+                u = to[path.pop() ^ 1]
+                at[u] += 1
+            else:
+                break
 
 
 def min_cost_flow(patterns: Sequence[tuple[frozenset[int], int]], quotas: Sequence[int], copies: int = 2) -> list[dict[int, int]]:
     """For each (sources, capacity) pattern the tokens it gives to each source.
 
-    Arcs: start to pattern once for every copy at a cost of its number (convex), pattern to its
-    sources, source to end up to its quota. Successive shortest paths with potentials.
+    Arcs: start to pattern once for every copy, pattern to its sources, source to end up to its quota. A copy costs more
+    than the one before, for every pattern alike, and nothing else costs anything. So the cheapest paths are always
+    those of the least copy: flow is augmented as far as it goes copy by copy, which may route what earlier copies
+    give to other sources.
     """
     n = len(patterns) + len(quotas) + 2
-    start, end, graph = n - 2, n - 1, [[] for _ in range(n)]
-
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        graph[a].append(Arc(b, room, cost, len(graph[b])))
-        graph[b].append(Arc(a, 0, -cost, len(graph[a]) - 1))
-
-    for p, (sources, capacity) in enumerate(patterns):
-        for copy in range(copies):
-            arc(start, p, capacity, copy * copy)
-        for s in sorted(sources):
-            arc(p, len(patterns) + s, copies * capacity, 0)
+    start, end = n - 2, n - 1
+    arcs: list[list[int]] = [[] for _ in range(n)]
+    to: list[int] = []
+    room: list[int] = []
+
+    def arc(a: int, b: int, most: int) -> int:
+        for u, v, r in ((a, b, most), (b, a, 0)):
+            arcs[u].append(len(to))
+            to.append(v)
+            room.append(r)
+        return len(to) - 2
+
+    into = [arc(start, p, 0) for p in range(len(patterns))]
+    gives = [{s: arc(p, len(patterns) + s, copies * capacity) for s in sorted(sources)} for p, (sources, capacity) in enumerate(patterns)]
     for s, quota in enumerate(quotas):
-        arc(len(patterns) + s, end, quota, 0)
-    potential = [0] * n
-    while True:
-        far = [None] * n
-        via: list[tuple[int, int] | None] = [None] * n
-        far[start], queue = 0, [(0, start)]
-        while queue:
-            d, u = heapq.heappop(queue)
-            if d > far[u]:
-                continue
-            for k, e in enumerate(graph[u]):
-                if e.room > 0:
-                    at = d + e.cost + potential[u] - potential[e.to]
-                    if far[e.to] is None or at < far[e.to]:
-                        far[e.to], via[e.to] = at, (u, k)
-                        heapq.heappush(queue, (at, e.to))
-        if far[end] is None:
-            break
-        potential = [p + (d if d is not None else far[end]) for p, d in zip(potential, far, strict=True)]
-        push, v = None, end
-        while v != start:
-            u, k = via[v]
-            push = graph[u][k].room if push is None else min(push, graph[u][k].room)
-            v = u
-        v = end
-        while v != start:
-            u, k = via[v]
-            graph[u][k].room -= push
-            graph[v][graph[u][k].back].room += push
-            v = u
-    out = []
-    for p in range(len(patterns)):
-        out.append({e.to - len(patterns): graph[e.to][e.back].room for e in graph[p] if len(patterns) <= e.to < n - 2 and graph[e.to][e.back].room > 0})
-    return out
+        arc(len(patterns) + s, end, quota)
+    for _ in range(copies):
+        for k, (_, capacity) in zip(into, patterns, strict=True):
+            room[k] = capacity
+        _augment(start, end, arcs, to, room)
+    return [{s: room[k ^ 1] for s, k in of.items() if room[k ^ 1]} for of in gives]
 
 
 def _selection(sized: DataFrame, need: dict[int, int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, str, int]]]:
@@ -201,7 +204,7 @@ def mix(docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str
     rows = without(docs, [*OUTPUT, "_members", "_pattern", "_draw", "_key"])
     names = F.transform(members, lambda x: F.coalesce(F.concat(F.lit("="), x.cast("string")), F.lit("null")))
     full = rows.withColumns({"_members": F.array_sort(F.array_distinct(names)), "size": words_in(F.col(f"`{text_col}`").cast("string"))})
-    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
+    key = F.concat_ws(":", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.xxhash64(F.col(f"`{text_col}`").cast("string")))
     slim = materialize(full.select("_members", "size", key.alias("_key")), "mix-sizes")
     stats = slim.groupBy("_members").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(stats) > max_patterns:

@@ -79,3 +79,48 @@ def test_remainder_is_filled_from_all_documents(spark, monkeypatch):
     monkeypatch.setattr(M, "BITS", 4)
     for seed in (0, 1):
         assert M.mix(docs, F.array("source"), seed=seed).agg(F.sum("taken")).first()[0] == 2200
+
+
+def test_flow_of_many_patterns_is_fast():
+    import time
+
+    r = random.Random(1)
+    patterns = [(frozenset(r.sample(range(60), r.randint(1, 4))), r.randint(1, 1000)) for _ in range(10_000)]
+    quotas = [3 * sum(c for _, c in patterns) // 120] * 60
+    began = time.perf_counter()
+    flow = M.min_cost_flow(patterns, quotas)
+    assert time.perf_counter() - began < 10
+    assert all(sum(f.values()) <= 2 * c and f.keys() <= s for f, (s, c) in zip(flow, patterns, strict=True))
+    assert sum(sum(f.values()) for f in flow) == sum(quotas)
+
+
+def test_words_in(spark):
+    texts = [None, "", " ", "a", " a\tb\x0bc\x0c\r\nd ", "a\u00a0b \u2003 c", "x" * 100]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3).select("i", M.words_in("t").alias("n")).collect()
+    assert [r.n for r in sorted(got)] == [len((t or "").encode().split()) for t in texts]
+
+
+def test_selection_matches_brute_force(spark, corpus, monkeypatch):
+    """Overlapping sources: each pattern's documents are taken in the order of their draws while they fit what the flow gives it."""
+    monkeypatch.setattr(M, "SMALL", 4)
+    monkeypatch.setattr(M, "BITS", 3)
+    docs = spark.createDataFrame(corpus, "doc_id bigint, text string, lang string, source string")
+    members = F.when(F.col("source") == "s0", F.array(F.lit("s0"), F.lit("s1"))).when(F.col("source") == "s2", F.array(F.lit("s1"), F.lit("s2"), F.lit(None))).otherwise(F.array("source"))
+    got = {r.doc_id: r for r in M.mix(docs, members).collect()}
+    groups = {}
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(0), F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text")), F.concat_ws("\x00", F.array_sort(F.array_distinct(F.transform(members, lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("null"))))))), 4)
+    for r in docs.select("doc_id", draw.alias("draw"), F.array_join(members, ",", "null").alias("m")).collect():
+        groups.setdefault(r.m, []).append((r.draw, r.doc_id))
+    names = ["s0", "s1", "s2", "s3", "s4", None]
+    of = {m: frozenset(names.index(None if x == "null" else x) for x in m.split(",")) for m in groups}
+    patterns = [(of[m], sum(got[i].size for _, i in g)) for m, g in groups.items()]
+    sizes = [sum(c for s, c in patterns if k in s) for k in range(6)]
+    flow = M.min_cost_flow(sorted(patterns, key=lambda x: [("null" if names[k] is None else "=" + names[k]) for k in sorted(x[0])]), [round(t) for t in M.targets(sizes, [3, 1, 2, 3, 1, 2])])
+    total = dict(zip([s for s, _ in sorted(patterns, key=lambda x: [("null" if names[k] is None else "=" + names[k]) for k in sorted(x[0])])], [sum(f.values()) for f in flow], strict=True))
+    for m, group in groups.items():
+        capacity = sum(got[i].size for _, i in group)
+        whole, left = min(2, total[of[m]] // capacity), total[of[m]] % capacity if total[of[m]] < 2 * capacity else 0
+        for _, i in sorted(group):
+            more = 0 < got[i].size <= left
+            left -= got[i].size if more else 0
+            assert got[i].copies == whole + more
