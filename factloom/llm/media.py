@@ -7,7 +7,8 @@ distance in frames, stored with its time as `time << 32 | f1 << 20 | f2 << 8 | d
 
 Defined results: null text is empty; a payload is padded with blanks to a positive multiple of 192
 bytes, so the empty text is 192 blanks; equal texts have equal values; every row is treated alone, so
-repeated rows and null ids are kept; input columns named like an output column are replaced.
+repeated rows and null ids are kept; input columns named like an output column are replaced;
+other columns are kept.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.session import ship, without
+from factloom.session import materialize, ship, without
 
 UNIT, RATE = 192, 8000
 FRAME, HOP, FAN, REACH = 256, 128, 3, 64
@@ -60,9 +61,13 @@ def decode(media: bytes) -> bytes:
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
+def frames_of(samples: int) -> int:
+    return max(1, -(-(samples - FRAME) // HOP) + 1)
+
+
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, int]:
     """(frame, bin) of each frame's strongest local maximum, and the number of frames. Whole frames, the last one padded with silence."""
-    frames = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
+    frames = frames_of(len(samples))
     need = (frames - 1) * HOP + FRAME
     x = np.full(need, 128, dtype=np.uint8)
     x[: len(samples)] = samples
@@ -108,18 +113,17 @@ def fingerprints(media: pd.Series) -> pd.Series:
     return media.map(lambda m: None if m is None else fingerprint(m)[0])
 
 
-def _features(text: str | None) -> tuple:
-    n, media = _media(text)
+def _features(n: int, media: bytes, codes: np.ndarray) -> tuple:
     payload = decode(media)
-    codes, frames = fingerprint(media)
-    feature = hashlib.sha256(codes.astype("<i8").tobytes()).hexdigest()
-    return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), frames, len(codes), feature
+    feature = hashlib.sha256(np.asarray(codes, dtype="<i8").tobytes()).hexdigest()
+    samples = len(payload)
+    return n, samples, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), frames_of(samples), len(codes), feature
 
 
 @F.pandas_udf(FEATURES)
-def media_features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        yield pd.DataFrame([_features(t) for t in texts], columns=FEATURES.names)
+def media_features(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for n, media, codes in batches:
+        yield pd.DataFrame([_features(*x) for x in zip(n, media, codes, strict=True)], columns=FEATURES.names)
 
 
 def with_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -130,9 +134,16 @@ def with_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("fingerprint", fingerprints("media"))
 
 
-def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with digests of the stored media and of its fingerprint, one column for each field of FEATURES."""
-    ship(docs.sparkSession)
-    rows = without(docs, [*FEATURES.names, "_m"])
-    out = rows.withColumn("_m", media_features(F.col(f"`{text_col}`").cast("string")))
-    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"_m.{n}").alias(n) for n in FEATURES.names])
+def features(docs: DataFrame, text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """docs with digests of the stored media and of its fingerprint, one column for each field of FEATURES.
+
+    Media and fingerprints are written as a table in the shared folder and read back; with_text: the text column is carried.
+    """
+    rows = without(docs, [*FEATURES.names, "_m", "_n"])
+    held = rows.withColumn("_n", F.octet_length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).cast("bigint"))
+    kept = [c for c in held.columns if with_text or c != text_col]
+    # columns of those names are put aside, the stored ones are the operator's
+    aside = {c: f"_own_{c}" for c in kept if c.lower() in ("media", "fingerprint")}
+    stored = materialize(with_media(held.withColumnsRenamed(aside), text_col).select(*[aside.get(c, c) for c in kept], "media", "fingerprint"), "media")
+    out = stored.withColumn("_m", media_features("_n", "media", "fingerprint")).drop("media", "fingerprint").withColumnsRenamed({v: k for k, v in aside.items()})
+    return out.select(*[F.col(f"`{c}`") for c in kept if c != "_n"], *[F.col(f"_m.{n}").alias(n) for n in FEATURES.names])

@@ -76,7 +76,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.media import features
 
-    return features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return features(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
 
 
 CONTROL = "</s>[INST] ok [/INST]"

@@ -50,3 +50,28 @@ def test_features(spark, docs, empty):
     assert M.features(empty).count() == 0
     r = M.with_media(docs.where("doc_id = 10")).first()
     assert M.decode(bytes(r.media)) == M.pad(r.text.encode()) and r.fingerprint == M.fingerprint(bytes(r.media))[0].tolist()
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([("a", 1, b"own", "f", 5, "x")], "text string, doc_id int, media binary, Fingerprint string, n_bytes int, extra string")
+    r = M.features(rows).first()
+    assert (bytes(r.media), r.Fingerprint, r.n_bytes, r.extra, r.text) == (b"own", "f", 1, "x", "a")
+    assert M.features(rows, with_text=False).columns[0] == "doc_id"
+    r = M.with_media(rows).first()
+    assert M.decode(bytes(r.media)) == M.pad(b"a") and r.n_bytes == 5
+
+
+def brute_pairs(found):
+    return sorted((f << 32) | (a << 20) | (b << 8) | (g - f) for i, (f, a) in enumerate(found) for g, b in found[i + 1 : i + 1 + M.FAN] if g - f <= M.REACH)
+
+
+def test_query_matches_brute_force(spark, docs):
+    """Every column of the query by plain Python, from the text to the pairs of peaks."""
+    for r in M.features(docs, with_text=True).collect():
+        payload = M.pad((r.text or "").encode())
+        found, frames = brute_peaks(np.frombuffer(payload, dtype=np.uint8))
+        want = brute_pairs(found)
+        media = M.encode(payload)
+        assert media[-len(payload) :] == payload and media[:4] == b"RIFF"
+        assert (r.media_bytes, r.media_sha256, r.n_frames, r.n_pairs) == (len(media), hashlib.sha256(media).hexdigest(), frames, len(want))
+        assert r.feature == hashlib.sha256(np.array(want, dtype="<i8").tobytes()).hexdigest()
