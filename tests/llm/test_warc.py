@@ -46,3 +46,38 @@ def test_least_and_empty(spark):
     kinds = {r.record_type for r in W.read_archives(W.write_archives(df, least=5)).where("payload_bytes < 5").collect()}
     assert kinds == {"response"}
     assert W.read_archives(W.write_archives(df.limit(0))).count() == 0
+
+
+def test_headers_and_files_left_behind(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    (tmp_path / "records-000000-99999.warc.gz").write_bytes(b"of a lost attempt")
+    manifest = W.write_archives(spark.createDataFrame(ROWS, SCHEMA).repartition(2), folder=folder, date="2024-05-06T07:08:09Z")
+    files = {urlparse(r.file).path for r in manifest.collect()}
+    assert {str(p) for p in tmp_path.iterdir() if not p.name.startswith(".")} == files
+    for name in files:
+        text = gzip.open(name).read()
+        assert text.startswith(b"WARC/1.1\r\nWARC-Record-ID: ") and text.count(b"WARC-Type: warcinfo") == 1
+        for record in text.split(b"WARC/1.1\r\nWARC-Type: ")[1:]:
+            head, http, body = record.split(b"\r\n\r\n", 2)
+            headers = dict(line.split(b": ", 1) for line in (b"WARC-Type: " + head).split(b"\r\n"))
+            block = (http + b"\r\n\r\n" + body)[: int(headers[b"Content-Length"])]
+            assert headers[b"WARC-Block-Digest"] == b"sha1:" + base64.b32encode(hashlib.sha1(block).digest())
+            assert headers[b"WARC-Date"] == b"2024-05-06T07:08:09Z"
+            assert (headers[b"WARC-Type"] == b"revisit") == (b"WARC-Refers-To" in headers)
+            assert headers.get(b"X-Refers-To-Page") == b"3" or (b"WARC-Refers-To-Target-URI" in headers) == (b"WARC-Refers-To" in headers)  # page 3 has no url
+
+
+def test_large_payload_is_cut_in_linear_time(spark):
+    import time
+
+    page = "é" * (8 << 20)
+    began = time.perf_counter()
+    manifest = W.write_archives(spark.createDataFrame([(1, "u", page)], SCHEMA), chunk_chars=1 << 12)
+    r = W.read_archives(manifest).first()
+    assert r.payload_digest == base64.b32encode(hashlib.sha1(page.encode()).digest()).decode() and time.perf_counter() - began < 60
+
+
+def test_store_names():
+    assert W.store_of("file:///tmp/x", None)[1] == "/tmp/x"
+    local = W.fs.LocalFileSystem()
+    assert W.store_of("s3a://bucket/a/b", local) == (local, "bucket/a/b") and W.store_of("hdfs://host:8020/a", local)[1] == "/a"
