@@ -10,7 +10,7 @@
    size class: nodes hold OR-combined bitmaps of their sets and size ranges; a dual traversal drops node
    pairs whose largest possible overlap is too small or whose documents are all in one component
    already; surviving pairs are verified on whole sets.
-4. A part beyond `part_shingles` is cut into blocks. First every block meets one of them, in linear work,
+4. A part beyond `part_shingles`, or of over `part_sets` sets, is cut into blocks. First every block meets one of them, in linear work,
    which settles a group of near copies; the documents outside the part's largest component then
    meet all blocks. No pair is left out and no task holds more than two blocks.
 
@@ -411,6 +411,8 @@ def join_items(items: list[tuple[int, np.ndarray]], sets: Union, num: int, den:
     return tree
 
 
+#: Blocks that a part is cut into for its number of sets.
+SPREAD = 64
 #: Sets that one tree of several parts holds at most; a single part's tree may hold more.
 TREE_SETS = 2048
 
@@ -486,7 +488,7 @@ def _run_parts(rows: DataFrame, length: int, num: int, den: int, name: str, tree
 # ---- the operator
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, num: int = 4, den: int = 5, part_shingles: int = 4_000_000, tree_shingles: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, num: int = 4, den: int = 5, part_shingles: int = 4_000_000, tree_shingles: int = 1_000_000, part_sets: int = 256) -> DataFrame:
     """(id, n_shingles, component_id), one row for each row of docs; similarity num / den or more links."""
     spark = docs.sparkSession
     ship(spark)
@@ -521,18 +523,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     weak = connected_components(near.unionByName(copies))
     sizes = classes.select(F.col("rep").alias("node"), "n")
     weak = materialize(weak.join(sizes.groupBy("node").agg(F.sum("n").alias("n")), "node"), "join-weak")
-    per_part = weak.groupBy("component").agg(F.sum("n").alias("total"))
-    giants = materialize(per_part.where(F.col("total") > part_shingles), "join-giants")
-    member = weak.join(giants.withColumnRenamed("total", "_total"), "component", "left")
+    per_part = weak.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
+    # many sets are spread over up to SPREAD blocks so that no task has much more than others; more blocks only by shingles, as blocks meet blocks
+    spread = F.least(F.ceil(F.col("sets") / part_sets), F.lit(SPREAD))
+    sized = per_part.withColumn("_blocks", F.greatest(F.ceil(F.col("total") / part_shingles), spread).cast("bigint"))
+    giants = materialize(sized.where("_blocks > 1").select("component", F.col("_blocks") + 1, F.col("sets").alias("_sets")).toDF("component", "_blocks", "_sets"), "join-giants")
+    member = join_counted(weak, giants, ["component"], "_sets").select("node", "component", "_blocks").unionByName(weak.join(giants.select("component"), "component", "left_anti").select("node", "component", F.lit(None).cast("bigint").alias("_blocks")))
     # a table of the candidates' texts only
-    candidates = texts.join(member.select(F.col("node").alias("id"), F.col("component").alias("part"), "_total"), "id").withColumn("label", F.lit(None).cast("bigint"))
+    candidates = texts.join(member.select(F.col("node").alias("id"), F.col("component").alias("part"), "_blocks"), "id").withColumn("label", F.lit(None).cast("bigint"))
     if giants.isEmpty():
         small = candidates.withColumns({"task": F.lit(0).cast("bigint"), "side": F.lit(0)})
         links = _run_parts(small, length, num, den, "join-links", tree_shingles)
     else:
         candidates = materialize(candidates, "join-candidates")
-        small = candidates.where("_total is null").withColumns({"task": F.lit(0).cast("bigint"), "side": F.lit(0)})
-        links = _run_parts(small, length, num, den, "join-links", tree_shingles).unionByName(_giant_links(candidates.where("_total is not null"), part_shingles, length, num, den))
+        small = candidates.where("_blocks is null").withColumns({"task": F.lit(0).cast("bigint"), "side": F.lit(0)})
+        links = _run_parts(small, length, num, den, "join-links", tree_shingles).unionByName(_giant_links(candidates.where("_blocks is not null"), part_shingles, length, num, den))
     final = connected_components(links)
     named = materialize(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", "n", "rows", F.coalesce("component", "rep").alias("_component")), "join-named")
     discard(near)
@@ -542,10 +547,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _giant_links(rows: DataFrame, part_shingles: int, length: int, num: int, den: int) -> DataFrame:
-    """Parts of more than part_shingles, block by block."""
+    """Parts of several blocks, block by block."""
     spark = rows.sparkSession
-    count = F.ceil(F.col("_total") / part_shingles).cast("bigint") + 1
-    blocked = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    blocked = rows.withColumnRenamed("_blocks", "blocks").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # every block meets itself and block 0
     zero = blocked.where("block = 0").withColumn("task", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("blocks") - 1))).withColumn("side", F.lit(0))
     own = blocked.where("block > 0").withColumn("task", F.col("block")).withColumn("side", F.lit(0))
