@@ -15,7 +15,7 @@ from factloom.llm.jaccard_join import jaccard_components
 from factloom.llm.language_id import identify, training_rows
 from factloom.llm.mixing import mix
 from factloom.llm.packing import pack
-from factloom.session import materialize, table
+from factloom.session import discard, materialize, table
 
 #: The stages of language ID and best-fit packing have no SQL form.
 ORACLE_SQL = None
@@ -42,9 +42,14 @@ def unique_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unlike_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays; null ids stay."""
+    """Of each group of near copies the document of smallest id stays; null ids stay.
+
+    An id names the one document to drop; rows that share an id with another row all stay, copies or not.
+    """
     groups = jaccard_components(docs)
-    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = groups.where("component_id <> doc_id").groupBy("doc_id").count().select("doc_id")
+    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return docs.join(gone.join(several, "doc_id", "left_anti"), "doc_id", "left_anti").select(docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +74,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            discard(before)
+        before = docs
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)  # its tokens lie in tables of their own by now
+    return packed
