@@ -7,11 +7,14 @@ whole; the language of lowest cross-entropy per character wins. A text is reject
 letter or when its cross-entropy lies beyond what held-back training texts of the winner show.
 
 Training reads at most about `train_docs` labelled rows a language, chosen by a hash of their id (the
-documented bound of the sample); everything else covers all rows.
+documented bound of the sample); everything else covers all rows. The sample's letters and n-grams are counted in
+Spark, and what its held-back rows show is measured there; the driver gets counts, never texts. Symbols have 16 bits: beyond
+the ALPHABET most frequent letters of the sample all are one symbol. A language without held-back rows has
+the limit of a cross-entropy of 5. Where two languages tie, the first by name wins.
 
 Defined results: null text, empty text and text without a letter give `und`, score 0 and are
 rejected; without any labelled row every text is `und`; rows are independent of each other, so
-repeated rows get equal values; input columns named like an output column are replaced.
+repeated rows get equal values; input columns named like an output column are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.session import ship, without
+from factloom.session import discard, materialize, ship, without
 
 ORDER = 4
 UNKNOWN = "und"
@@ -85,22 +89,63 @@ def packed(sym: np.ndarray, order: int) -> np.ndarray:
     return h
 
 
+#: Letters told apart.
+ALPHABET = 65_000
+
+
+def alphabet_of(letter: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The most frequent code points, ties to the smaller one, sorted."""
+    order = np.lexsort((letter, -n))[:ALPHABET]
+    return np.sort(letter[order])
+
+
+def gram_counts(texts: list[np.ndarray], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of the highest order in code-point sequences, and how often each occurs."""
+    raw = [packed(symbols(c, alphabet), ORDER)[1:] for c in texts]
+    return np.unique(np.concatenate(raw) if raw else np.zeros(0, np.uint64), return_counts=True)
+
+
 def fit(samples: pd.DataFrame) -> Model | None:
-    """Models from rows (lang, text, held): held rows set the limits of rejection only."""
-    samples = samples[samples.text.map(lambda t: bool(t) and bool(letters()[codes(t)].any()))]
-    langs = sorted(samples.lang.unique())
-    if not langs:
+    """Models from rows (lang, text, held) at hand: held rows set the limits of rejection only."""
+    samples = samples[samples.text.map(has_letter)]
+    if not len(samples):
         return None
     seen = [codes(t) for t in samples.text]
-    alphabet, n = np.unique(np.concatenate(seen), return_counts=True)
-    alphabet = alphabet[(alphabet != 32)]
-    model = Model(langs, alphabet[: 65_000])
+    letter, n = np.unique(np.concatenate(seen), return_counts=True)
+    alphabet = alphabet_of(letter[letter != 32], n[letter != 32])
+    counts = {}
+    for lang in samples.lang.unique():
+        of = [c for c, x, held in zip(seen, samples.lang, samples.held, strict=True) if x == lang and not held]
+        counts[lang] = gram_counts(of or [c for c, x in zip(seen, samples.lang, strict=True) if x == lang], alphabet)
+    model = fit_counts(alphabet, counts)
+    entropy = {lang: [] for lang in model.langs}
+    for c, x, held in zip(seen, samples.lang, samples.held, strict=True):
+        if held:
+            entropy[x].append(cross_entropy(model, c)[model.langs.index(x)])
+    return calibrate(model, entropy)
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and bool(letters()[codes(text)].any())
+
+
+def calibrate(model: Model, entropy: dict[str, list[float]]) -> Model:
+    """Sets the limits from the cross-entropies of held rows under their own language."""
+    model.limit, model.spread = np.zeros(len(model.langs)), np.zeros(len(model.langs))
+    for j, lang in enumerate(model.langs):
+        e = np.array(entropy.get(lang) or [5.0])
+        model.limit[j] = np.quantile(e, 0.99) + 0.75
+        model.spread[j] = max(0.25, e.std())
+    return model
+
+
+def fit_counts(alphabet: np.ndarray, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """Models from each language's sorted n-grams of the highest order and their counts; without limits."""
+    langs = sorted(counts)
+    model = Model(langs, alphabet)
     per: list[list[tuple[np.ndarray, np.ndarray]]] = []
     for lang in langs:
-        of = [symbols(c, model.alphabet) for c, x, held in zip(seen, samples.lang, samples.held, strict=True) if x == lang and not held]
-        of = of or [symbols(c, model.alphabet) for c, x in zip(seen, samples.lang, strict=True) if x == lang]
-        raw = np.concatenate([packed(s, ORDER)[1:] for s in of])
-        grams, n = np.unique(raw, return_counts=True)
+        grams, n = counts[lang]
         orders = [(grams, n.astype(np.float64))]
         for k in range(ORDER - 1, 0, -1):
             # lower orders count the distinct n-grams that end in theirs
@@ -130,16 +175,6 @@ def fit(samples: pd.DataFrame) -> Model | None:
         model.logp.append(np.log(p).astype(np.float32))
         model.contexts.append(context)
         model.weights.append(np.log(weight).astype(np.float32))
-    entropy = [[] for _ in langs]
-    for c, x, held in zip(seen, samples.lang, samples.held, strict=True):
-        if held or len(samples) < 50:
-            j = langs.index(x)
-            entropy[j].append(cross_entropy(model, c)[j])
-    model.limit, model.spread = np.zeros(size), np.zeros(size)
-    for j, e in enumerate(entropy):
-        e = np.array(e or [5.0])
-        model.limit[j] = np.quantile(e, 0.99) + 0.75
-        model.spread[j] = max(0.25, e.std())
     return model
 
 
@@ -258,8 +293,57 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("train")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     held = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("calibrate")), F.lit(5)) == 0
     rows = labelled.where(draw < share[F.col(lang_col)])
-    sample = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), held.alias("held"), F.col(id_col).cast("string").alias("_id")).toPandas()
-    return fit(sample.sort_values(["_id", "text"], kind="stable").reset_index(drop=True))
+    sample = materialize(rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), held.alias("held")), "language-sample")
+    spark = sample.sparkSession
+    ship(spark)
+    found = sample.select("text").mapInArrow(_letters_of, "letter bigint, n bigint").groupBy("letter").agg(F.sum("n").alias("n")).collect()  # code points, whatever the sample
+    if not found:
+        return None
+    alphabet = alphabet_of(np.array([r[0] for r in found], dtype=np.uint32), np.array([r[1] for r in found], dtype=np.int64))
+    grams = sample.mapInArrow(_grams_of(alphabet), "lang string, held boolean, gram bigint, n bigint").groupBy("lang", "held", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = {}
+    for lang, own in grams.groupby("lang"):
+        own = own[~own.held] if not own.held.all() else own
+        gram, order = own.gram.to_numpy().view(np.uint64), np.argsort(own.gram.to_numpy().view(np.uint64))
+        counts[lang] = gram[order], own.n.to_numpy()[order]
+    model = fit_counts(alphabet, counts)
+    told = spark.sparkContext.broadcast(model)
+    entropy: dict[str, list[float]] = {}
+    for lang, e in sample.where("held").mapInArrow(_entropies_of(told), "lang string, entropy double").collect():  # train_docs a language at most
+        entropy.setdefault(lang, []).append(e)
+    discard(sample)
+    return calibrate(model, {lang: sorted(e) for lang, e in entropy.items()})
+
+
+def _letters_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        of = [codes(t) for t in batch.column(0).to_pylist() if has_letter(t)]
+        letter, n = np.unique(np.concatenate(of) if of else np.zeros(0, np.uint32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(letter[letter != 32].astype(np.int64)), pa.array(n[letter != 32].astype(np.int64))], names=["letter", "n"])
+
+
+def _grams_of(alphabet: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups: dict[tuple[str, bool], list[np.ndarray]] = {}
+            for lang, text, held in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if has_letter(text):
+                    groups.setdefault((lang, held), []).append(codes(text))
+            for (lang, held), of in groups.items():
+                gram, n = gram_counts(of, alphabet)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array([held] * len(gram), pa.bool_()), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "held", "gram", "n"])
+
+    return run
+
+
+def _entropies_of(told):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = told.value
+        for batch in batches:
+            rows = [(lang, float(cross_entropy(model, codes(text))[model.langs.index(lang)])) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([e for _, e in rows], pa.float64())], names=["lang", "entropy"])
+
+    return run
 
 
 def identify(docs: DataFrame, labelled: DataFrame, text_col: str = "text", **training: int) -> DataFrame:

@@ -62,3 +62,70 @@ def test_held_out_accuracy(spark):
     got = L.identify(rows, rows.where(L.training_rows(rows))).toPandas()
     held = got[got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)]
     assert (held.lang_pred == held.lang).mean() > 0.98 and got.accepted.mean() > 0.99
+
+
+def brute_entropy(texts, alphabet, cp):
+    """Nats per symbol by dictionaries: interpolated Kneser-Ney straight from its definition."""
+    import math
+    from collections import Counter, defaultdict
+
+    def of(c):
+        return [L.OTHER if x == 32 else (alphabet.index(x) + L.FIRST if x in alphabet else L.NEW) for x in c.tolist()]
+
+    alphabet = alphabet.tolist()
+    grams = [Counter() for _ in range(L.ORDER + 1)]
+    for c in texts:
+        s = [L.PAD] * (L.ORDER - 1) + of(c)
+        for i in range(L.ORDER, len(s)):
+            grams[L.ORDER][tuple(s[i - L.ORDER + 1 : i + 1])] += 1
+    for k in range(L.ORDER - 1, 0, -1):
+        for g in grams[k + 1]:
+            grams[k][g[1:]] += 1
+    discount, total, kinds = {}, defaultdict(int), defaultdict(int)
+    for k in range(1, L.ORDER + 1):
+        n1, n2 = (sum(1 for n in grams[k].values() if n == x) for x in (1, 2))
+        discount[k] = min(0.95, max(0.1, n1 / max(1, n1 + 2 * n2)))
+        for g, n in grams[k].items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+
+    def p(g):
+        if not g:
+            return 1 / (len(alphabet) + L.FIRST)
+        k, context = len(g), g[:-1]
+        lower = p(g[1:])
+        if context not in total or not total[context]:
+            return lower
+        return max(0, grams[k][g] - discount[k] if g in grams[k] else 0) / total[context] + discount[k] * kinds[context] / total[context] * lower
+
+    s = [L.PAD] * (L.ORDER - 1) + of(cp)
+    at = range(L.ORDER, len(s))
+    return -sum(math.log(p(tuple(s[i - L.ORDER + 1 : i + 1]))) for i in at) / len(at)
+
+
+def test_model_matches_dictionaries():
+    model = L.fit(samples())
+    for text in (EN, "the dog", "Hündchen und cats qqq", "ж x", "a"):
+        got = L.cross_entropy(model, L.codes(text))
+        for j, lang in enumerate(model.langs):
+            of = [L.codes(t) for x, t, held in samples().itertuples(index=False) if x == lang and not held]
+            assert got[j] == pytest.approx(brute_entropy(of, model.alphabet, L.codes(text)), rel=1e-4)
+
+
+def test_spark_training_is_the_same(spark):
+    """The query's rows by a model that is fitted and applied in this process."""
+    rows = samples().drop(columns="held").assign(doc_id=range(120))
+    df = spark.createDataFrame(rows).repartition(3)
+    got = {r.doc_id: r for r in L.identify(df, df).collect()}
+    held = {r.doc_id: r.h for r in df.select("doc_id", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("calibrate")), F.lit(5)) == 0).alias("h")).collect()}
+    model = L.fit(rows.assign(held=[held[i] for i in rows.doc_id]))
+    want = L.predict(model, rows.text)
+    assert all(got[i].lang_pred == w.lang_pred and got[i].score == pytest.approx(w.score) and got[i].accepted == w.accepted for i, w in enumerate(want.itertuples()))
+
+
+def test_alphabet_keeps_the_most_frequent(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(L, "ALPHABET", 2)
+    assert L.alphabet_of(np.array([9, 5, 7]), np.array([3, 1, 3])).tolist() == [7, 9]
+    assert L.alphabet_of(np.array([9, 5, 7]), np.array([1, 1, 1])).tolist() == [5, 7]
