@@ -138,7 +138,8 @@ def normal_digest(text: pd.Series) -> pd.Series:
 def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 48 << 20, merge_bytes: int = 32 << 20, max_levels: int = 6) -> DataFrame:
     """One row for each distinct normalised text: digest, rows, largest id and how many rows bear it.
 
-    table_bytes bounds the distinct content of a bucket, unless it is one longer text.
+    table_bytes bounds the distinct content of a bucket, unless it is one longer text; a bucket that is still larger after
+    max_levels partitionings, each on other hash bits, is one table whatever its size.
     """
     spark = docs.sparkSession
     pairs = docs.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string"))
@@ -150,17 +151,17 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         total = distinct.agg(F.sum("_bytes")).first()[0] or 0
         fanout = max(partitions(spark), -(-2 * total // table_bytes))
         bucket = F.pmod(F.xxhash64("_hash", F.lit(level)), F.lit(fanout))
-        oversize = []
+        tagged, oversize = pending.withColumn("_bucket", bucket), None
         if level < max_levels - 1 and total > table_bytes:
             sizes = distinct.groupBy(bucket.alias("_bucket")).agg(F.sum("_bytes").alias("_total"), F.count("*").alias("_texts"))
-            oversize = [r[0] for r in sizes.where((F.col("_total") > table_bytes) & (F.col("_texts") > 1)).select("_bucket").collect()]  # at most total / table_bytes of them
-        tagged = pending.withColumn("_bucket", bucket)
-        fits = tagged.where(~F.col("_bucket").isin(oversize)) if oversize else tagged
-        fits = fits.repartition(fanout if fanout < 100_000 else 100_000, "_bucket").sortWithinPartitions("_bucket")
+            large = materialize(sizes.where((F.col("_total") > table_bytes) & (F.col("_texts") > 1)).select("_bucket"), f"dedup-large-{level}")
+            oversize = None if large.isEmpty() else large
+        fits = tagged if oversize is None else tagged.join(oversize, "_bucket", "left_anti")
+        fits = fits.select("_bucket", *pending.columns).repartition(fanout if fanout < 100_000 else 100_000, "_bucket").sortWithinPartitions("_bucket")
         done.append(materialize(fits.mapInArrow(_bucket_tables, GROUP), f"dedup-groups-{level}"))
-        if not oversize:
+        if oversize is None:
             break
-        pending = materialize(tagged.where(F.col("_bucket").isin(oversize)).drop("_bucket"), f"dedup-spill-{level + 1}")
+        pending = materialize(tagged.join(oversize, "_bucket", "left_semi").drop("_bucket"), f"dedup-spill-{level + 1}")
         spilt.append(pending)
     out = done[0]
     for more in done[1:]:
