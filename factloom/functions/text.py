@@ -66,7 +66,13 @@ def same_multiset(a: Column, b: Column) -> Column:
 
 def dense_ids(prefix: str, first: int, last: int, width: int = 3) -> Column:
     """The ids prefix-001, prefix-002, ... as an array."""
-    return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda i: F.concat(F.lit(prefix), F.lpad(i.cast("string"), width, "0")))
+    return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda i: numbered_id(prefix, i, width))
+
+
+def numbered_id(prefix: str, number: Column, width: int = 3) -> Column:
+    """prefix and the number, padded with zeros to the width; longer numbers are kept whole."""
+    digits = number.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits))
 
 
 def variant_at(variant: Column, path: str, kind: str = "string") -> Column:

@@ -12,10 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions.canonical import same_json
 from factloom.functions.text import is_subset, same_multiset, same_set
 from factloom.operators.model import S, struct
 
 
+#: Fixed values of the response format: the unit types.
+CLAIM_UNIT, GAP_UNIT = "MATERIAL_CLAIM", "COVERAGE_GAP"
+#: Dispositions that serve claims.
+SERVED = ("ANSWER", "PARTIAL")
+
 UNIT = struct(unit_id=S, unit_type=S, claim_id=S, citation_ids=T.ArrayType(S), gap_code=S)
 CLAIM = struct(claim_id=S, entity_ids=T.ArrayType(S), qualifiers=S)
 CITATION = struct(citation_id=S, claim_id=S, source_id=S, source_label=S, locator=S, visible_to_student=T.BooleanType())
@@ -30,16 +36,17 @@ def responses_of(records: DataFrame, column: str = "record") -> DataFrame:
     return records.withColumn("r", F.from_json(column, RESPONSE)).select("r.*", *[c for c in records.columns if c == "sha256"])
 
 
-def render_answers(responses: DataFrame, claims: DataFrame, gaps: DataFrame, notices: DataFrame) -> DataFrame:
-    """(request_id, rendered): claim texts with the notices of their qualifiers, or gap texts, joined by line ends in unit order.
+def render_answers(responses: DataFrame, claims: DataFrame, gaps: DataFrame, notices: DataFrame, claim_unit: str = CLAIM_UNIT) -> DataFrame:
+    """(request_id, rendered): the lines of all units in order. A claim's line is followed by the line of its notice, if it has one.
 
-    claims: (claim_id, render_text). gaps: (gap_code, text). notices: (claim_id, notice).
+    claims: (claim_id, render_text). gaps: (gap_code, text). notices: (claim_id, notice). Units of another type than claim_unit are gaps.
     """
     units = responses.select("request_id", F.posexplode("answer_units").alias("place", "u")).select("request_id", "place", "u.unit_type", "u.claim_id", "u.gap_code")
     told = units.join(claims.select("claim_id", "render_text"), "claim_id", "left").join(notices, "claim_id", "left").join(F.broadcast(gaps), "gap_code", "left")
-    text = F.when(F.col("unit_type") == "claim", F.concat("render_text", F.coalesce("notice", F.lit("")))).otherwise(F.col("text"))
-    parts = F.array_sort(F.collect_list(F.struct("place", F.coalesce(text, F.lit("")).alias("t"))))
-    joined = told.groupBy("request_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("rendered"))
+    of_claim = F.array_compact(F.array(F.coalesce("render_text", F.lit("")), "notice"))
+    lines = F.when(F.col("unit_type") == claim_unit, of_claim).otherwise(F.array(F.coalesce("text", F.lit(""))))
+    parts = F.array_sort(F.collect_list(F.struct("place", lines.alias("lines"))))
+    joined = told.groupBy("request_id").agg(F.array_join(F.flatten(F.transform(parts, lambda p: p["lines"])), "\n").alias("rendered"))
     return responses.select("request_id").join(joined, "request_id", "left").select("request_id", F.coalesce("rendered", F.lit("")).alias("rendered"))
 
 
@@ -48,22 +55,23 @@ def _rule(rows: DataFrame, rule: str, message: str | Column, when: Column | None
     return found.select(F.col(key).alias("key"), F.lit(rule).alias("rule"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
 
 
-def response_violations(responses: DataFrame, requests: DataFrame, claims: DataFrame, sources: DataFrame, required_qualifiers: DataFrame, rendered: DataFrame, contract_id: str) -> DataFrame:
+def response_violations(responses: DataFrame, requests: DataFrame, claims: DataFrame, sources: DataFrame, required_qualifiers: DataFrame, rendered: DataFrame, contract_id: str, claim_unit: str = CLAIM_UNIT, gap_unit: str = GAP_UNIT) -> DataFrame:
     """(key, rule, message) of responses that must not be served.
 
     claims: (claim_id, entity_ids, evidence). sources: (source_id, title). required_qualifiers: (claim_id, qualifiers JSON); other claims send {}.
+    Qualifiers are compared as mappings, whatever their order and spacing.
     """
     r = responses
     asked = r.join(requests.select("request_id", F.col("knowledge_version").alias("asked_version")), "request_id", "left")
     material = r.select("request_id", F.explode("material_claims").alias("c")).select("request_id", "c.*")
     cited = r.select("request_id", F.explode("citations").alias("c")).select("request_id", "c.*")
-    units = r.select("request_id", F.explode("answer_units").alias("u")).select("request_id", "u.*").where("unit_type = 'claim'")
+    units = r.select("request_id", F.explode("answer_units").alias("u")).select("request_id", "u.*").where(F.col("unit_type") == claim_unit)
     pairs = units.select("request_id", "claim_id", F.explode("citation_ids").alias("citation_id"))
     known = claims.select("claim_id", F.col("entity_ids").alias("own"), "evidence")
     located = known.select("claim_id", F.explode("evidence").alias("e")).select("claim_id", "e.source_id", "e.locator").distinct()
     ids = lambda c, f: F.transform(c, lambda x: x[f])
-    claim_units = F.filter("answer_units", lambda u: u["unit_type"] == "claim")
-    gap_units = F.filter("answer_units", lambda u: u["unit_type"] == "gap")
+    claim_units = F.filter("answer_units", lambda u: u["unit_type"] == claim_unit)
+    gap_units = F.filter("answer_units", lambda u: u["unit_type"] == gap_unit)
     joined = material.join(known, "claim_id", "left")
     controlled = material.join(required_qualifiers.select("claim_id", F.col("qualifiers").alias("must")), "claim_id", "left")
     labels = cited.join(sources.select("source_id", "title"), "source_id", "left")
@@ -76,7 +84,7 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
         _rule(r, "units_distinct", "unit id is listed twice", F.size("answer_units") != F.size(F.array_distinct(ids("answer_units", "unit_id")))),
         _rule(joined, "claim_known", F.concat(F.lit("unknown claim "), "claim_id"), F.col("own").isNull()),
         _rule(joined.where("own IS NOT NULL"), "claim_entities", F.concat(F.lit("entities of "), "claim_id", F.lit(" differ")), ~same_set(F.col("entity_ids"), F.col("own"))),
-        _rule(controlled, "claim_qualifiers", F.concat(F.lit("qualifiers of "), "claim_id", F.lit(" differ")), F.coalesce("qualifiers", F.lit("{}")) != F.coalesce("must", F.lit("{}"))),
+        _rule(controlled, "claim_qualifiers", F.concat(F.lit("qualifiers of "), "claim_id", F.lit(" differ")), ~same_json(F.coalesce("qualifiers", F.lit("{}")), F.coalesce("must", F.lit("{}")))),
         _rule(cited.join(material.select("request_id", "claim_id").distinct(), ["request_id", "claim_id"], "left_anti"), "citation_claim", F.concat(F.lit("citation of a claim that isn't made: "), "citation_id")),
         _rule(labels, "citation_label", F.concat(F.lit("label of "), "citation_id", F.lit(" is not the source's title")), ~F.coalesce(F.col("source_label") == F.col("title"), F.lit(False))),
         _rule(cited.join(located, ["claim_id", "source_id", "locator"], "left_anti"), "citation_evidence", F.concat("citation_id", F.lit(" is not among the claim's evidence"))),
@@ -92,8 +100,8 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
     return reduce(DataFrame.unionByName, rules)
 
 
-def audit_violations(audits: DataFrame, requests: DataFrame, responses: DataFrame, contract_version: str) -> DataFrame:
-    """(key, rule, message) of audits that aren't bound to their request and response.
+def audit_violations(audits: DataFrame, requests: DataFrame, responses: DataFrame, contract_version: str, claims: DataFrame | None = None) -> DataFrame:
+    """(key, rule, message) of audits that aren't bound to their request and response. claims: (claim_id) of the authority, where it is at hand.
 
     audits: audit_id, request_id, request_sha256, request_schema_version, response_sha256, hash_verified, bundle_sha256, candidate_claim_ids, admitted_claim_ids,
     disposition, material_claim_ids, coverage_gaps, result, hard_fail_codes, citation_count. requests: request_id, sha256, schema_version.
@@ -105,7 +113,7 @@ def audit_violations(audits: DataFrame, requests: DataFrame, responses: DataFram
         F.size(F.filter("citations", lambda c: c["visible_to_student"])).alias("visible"), F.col("runtime_bundle_sha256").alias("bundle"), F.col("validation.result").alias("validated"), F.col("validation.hard_fail_codes").alias("codes"),
     )
     row = row.join(answer, "request_id", "left")
-    served = F.col("response_sha256").isNotNull() | F.col("disposition").isin("ANSWER", "PARTIAL")
+    served = F.col("response_sha256").isNotNull() | F.col("disposition").isin(*SERVED)
     has = F.col("response_hash").isNotNull()
     checks = [
         ("request_known", "request is unknown", F.col("request_hash").isNull()),
@@ -113,6 +121,7 @@ def audit_violations(audits: DataFrame, requests: DataFrame, responses: DataFram
         ("request_version", "request schema version differs", F.col("request_version").isNotNull() & (F.col("request_version") != F.col("request_schema_version"))),
         ("admitted_subset", "a claim was admitted that wasn't retrieved", ~is_subset(F.col("admitted_claim_ids"), F.col("candidate_claim_ids"))),
         ("decided_subset", "a claim was used that wasn't admitted", ~is_subset(F.col("material_claim_ids"), F.col("admitted_claim_ids"))),
+        ("citations_cover", "fewer citations than claims", F.col("disposition").isin(*SERVED) & (F.col("citation_count") < F.size(F.array_distinct("material_claim_ids")))),
         ("response_needed", "the response is missing", served & ~has),
         ("response_hash", "response hash differs", has & ~F.col("response_hash").eqNullSafe(F.col("response_sha256"))),
         ("disposition", "disposition differs", has & (F.col("answered") != F.col("disposition"))),
@@ -125,4 +134,9 @@ def audit_violations(audits: DataFrame, requests: DataFrame, responses: DataFram
         ("unverified", "an unverified bundle must abstain without a response", ~F.col("hash_verified") & (F.col("response_sha256").isNotNull() | (F.col("disposition") != "ABSTAIN"))),
         ("version", "request schema version is not the contract's", F.col("request_schema_version") != contract_version),
     ]
-    return reduce(DataFrame.unionByName, [_rule(row, name, message, F.coalesce(when, F.lit(False)), "audit_id") for name, message, when in checks])
+    found = [_rule(row, name, message, F.coalesce(when, F.lit(False)), "audit_id") for name, message, when in checks]
+    if claims is not None:
+        admitted = audits.select("audit_id", F.explode(F.array_distinct("admitted_claim_ids")).alias("claim_id"))
+        unknown = admitted.join(claims.select("claim_id").distinct(), "claim_id", "left_anti")
+        found.append(_rule(unknown, "admitted_known", F.concat(F.lit("unknown claim was admitted: "), "claim_id"), key="audit_id"))
+    return reduce(DataFrame.unionByName, found)

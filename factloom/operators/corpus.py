@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ def evidence_rows(edges: DataFrame) -> DataFrame:
 
 
 def used_sources(edges: DataFrame) -> DataFrame:
-    """(source_id, allowed_evidence_types, locators), both sorted and distinct."""
-    found = evidence_rows(edges).groupBy("source_id").agg(F.array_sort(F.collect_set("evidence_type")).alias("allowed_evidence_types"), F.array_sort(F.collect_set("locator")).alias("locators"))
+    """(source_id, allowed_evidence_types, locators, cited): both sorted and distinct, and how often it is evidence."""
+    found = evidence_rows(edges).groupBy("source_id").agg(F.array_sort(F.collect_set("evidence_type")).alias("allowed_evidence_types"), F.array_sort(F.collect_set("locator")).alias("locators"), F.count("*").alias("cited"))
     return found
 
 
@@ -50,7 +51,37 @@ def corpus_text(docs: DataFrame, preamble: str) -> DataFrame:
 
 def leaked(text: DataFrame, tokens: DataFrame) -> DataFrame:
     """Tokens (ids of later batches, say) that a text must not contain. text: one row (corpus)."""
-    return tokens.join(F.broadcast(text), F.expr("contains(corpus, token)")).select("token")
+    return found_in(text, "corpus", tokens, "token").select("token").distinct()
+
+
+def _automaton(words):
+    import ahocorasick
+
+    built = ahocorasick.Automaton()
+    for word in words:
+        built.add_word(word, word)
+    built.make_automaton()
+    return built
+
+
+def found_in(rows: DataFrame, column: str, words: DataFrame, word: str, most: int = 200_000) -> DataFrame:
+    """rows with one of the words that their text contains, a row for each. words: a checked number of them, told to all tasks.
+
+    All are searched in one walk over each text by an Aho-Corasick automaton.
+    """
+    ship(rows.sparkSession)
+    known = [r[0] for r in words.where(F.col(word).isNotNull() & (F.col(word) != "")).select(word).distinct().limit(most + 1).collect()]
+    if len(known) > most:
+        raise ValueError(f"over {most} words to search for at once")
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("array<string>")
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = _automaton(shared.value) if shared.value else None
+        for texts in batches:
+            yield texts.map(lambda t: sorted({w for _, w in automaton.iter(t)}) if automaton and t else [])
+
+    return rows.withColumn(word, F.explode(search(F.col(column))))
 
 
 def passage_counts(docs: DataFrame, passages: DataFrame, most: int = 200_000) -> DataFrame:

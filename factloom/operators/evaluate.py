@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import atom_id
@@ -16,6 +16,11 @@ def claim_universe(*claims: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def narrative_claims(claims: DataFrame, role: str = "narrative_fact") -> DataFrame:
+    """The claims of a role, by id. claims: (claim_id, claim_role, ...)."""
+    return claims.where(F.col("claim_role") == role).orderBy("claim_id")
+
+
 def claim_records(edges: DataFrame, narrative: DataFrame, supporting: DataFrame) -> DataFrame:
     """One record a claim: relation claims, over which narrative and then supporting ones take precedence.
 
@@ -50,8 +55,10 @@ def boundary_failures(expected: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def excluded_terms(edges: DataFrame, terms: DataFrame) -> DataFrame:
-    """(claim_id, term): statements that contain a term they must not. terms: (term), a vocabulary's size."""
-    return edges.join(F.broadcast(terms), F.expr("contains(statement_zh, term)")).select(atom_id().alias("claim_id"), "term")
+    """(claim_id, term): statements that contain a term they must not. terms: (term), a vocabulary's size, which is checked."""
+    from factloom.operators.corpus import found_in
+
+    return found_in(edges.select(atom_id().alias("claim_id"), "statement_zh"), "statement_zh", terms, "term").select("claim_id", "term")
 
 
 def regression(cases: DataFrame, claims: DataFrame) -> DataFrame:
@@ -64,6 +71,11 @@ def regression_totals(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") == "FAIL").alias("failed"))
 
 
+def disposition_of(has_claims: Column, has_gaps: Column) -> Column:
+    """The disposition that an answer's parts stand for: without claims it abstains, with a gap beside them it is partial."""
+    return F.when(~has_claims, "ABSTAIN").when(has_gaps, "PARTIAL").otherwise("ANSWER")
+
+
 def disposition_contract(cases: DataFrame) -> DataFrame:
     """(case_id, problem): cases whose fields don't fit their disposition.
 
@@ -114,9 +126,14 @@ def score_run(responses: DataFrame, cases: DataFrame, edges: DataFrame) -> DataF
     )
 
 
+def rubric_totals(rubric: DataFrame, *by: str) -> DataFrame:
+    """(by..., total, criteria): the points of each rubric and how many criteria give them. rubric: (by..., points)."""
+    return rubric.groupBy(*by).agg(F.sum("points").alias("total"), F.count("*").alias("criteria"))
+
+
 def rubric_points(rubric: DataFrame, declared: int) -> DataFrame:
     """One row where criteria's points don't sum to the declared total. rubric: (criterion, points)."""
-    return rubric.agg(F.sum("points").alias("total")).where(~F.col("total").eqNullSafe(F.lit(declared)))
+    return rubric_totals(rubric).select("total").where(~F.col("total").eqNullSafe(F.lit(declared)))
 
 
 def score_gates(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:
@@ -136,7 +153,7 @@ def score_gates(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     return values.select(pairs.alias("x")).select("x.*").withColumn("met", F.coalesce(F.col("value") >= F.col("threshold"), F.lit(False)))
 
 
-def stable_runs(runs: DataFrame, times: int = 3) -> DataFrame:
-    """(request_id, runs, variants, stable): requests answered `times` times with one content hash. runs: (request_id, run, response_sha256)."""
+def stable_runs(runs: DataFrame, times: int = 3, or_more: bool = False) -> DataFrame:
+    """(request_id, runs, variants, stable): requests answered `times` times (or more) with one content hash. runs: (request_id, run, response_sha256)."""
     found = runs.groupBy("request_id").agg(F.count_distinct("run").alias("runs"), F.count_distinct("response_sha256").alias("variants"))
-    return found.withColumn("stable", (F.col("runs") == times) & (F.col("variants") == 1))
+    return found.withColumn("stable", (F.col("runs") >= times if or_more else F.col("runs") == times) & (F.col("variants") == 1))

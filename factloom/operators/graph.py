@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import document_chunk, ordered_digest
-from factloom.functions.text import dense_ids
+from factloom.functions.text import numbered_id
 from factloom.operators.model import EDGE_COLUMNS, NODE_COLUMNS, TRIPLE_COLUMNS, typed
 
 
-def in_batch(docs: DataFrame, batch: str, reviewed_only: bool = True) -> DataFrame:
-    """Typed documents admitted in the batch; by default only reviewed ones."""
+def in_batch(docs: DataFrame, batch: str | Column, reviewed_only: bool = True) -> DataFrame:
+    """Typed documents admitted in the batch (a column: in their own); by default only reviewed ones."""
     keep = F.col("m.admission.batch_id") == F.lit(batch)
     return typed(docs.where("parse_error IS NULL")).where(keep & (F.col("m.review_status") == "reviewed") if reviewed_only else keep)
 
@@ -77,7 +77,7 @@ def union_digest(base: DataFrame, documents: DataFrame, extensions: DataFrame, c
 
 def coverage(found: DataFrame, prefix: str, first: int, last: int, width: int = 3) -> DataFrame:
     """(id, problem) where ids prefix-first to prefix-last aren't each there exactly once: missing, extra or repeated."""
-    wanted = found.sparkSession.range(1).select(F.explode(dense_ids(prefix, first, last, width)).alias("id"))
+    wanted = found.sparkSession.range(first, last + 1).select(numbered_id(prefix, F.col("id"), width).alias("id"))
     have = found.groupBy(F.col("id")).agg(F.count("*").alias("n"))
     both = wanted.withColumn("w", F.lit(True)).join(have, "id", "full_outer")
     problem = F.when(F.col("n").isNull(), "missing").when(F.col("w").isNull(), "extra").when(F.col("n") > 1, "repeated")
@@ -88,6 +88,21 @@ def repeated(found: DataFrame, *keys: str) -> DataFrame:
     return found.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def first_wins(found: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of the rows that share keys the first in the order, and as `n` how many they are."""
+    return _one_of(found, keys, order, F.min_by)
+
+
+def last_wins(found: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of the rows that share keys the last in the order, and as `n` how many they are."""
+    return _one_of(found, keys, order, F.max_by)
+
+
+def _one_of(found: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
+    others = [c for c in found.columns if c not in keys]
+    return found.groupBy(*keys).agg(pick(F.struct(*others), F.struct(*order)).alias("_r"), F.count("*").alias("n")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others], "n")
+
+
 @dataclass
 class Graph:
     nodes: DataFrame

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import blob_sha1, file_sha256
+from factloom.functions.text import every
 from factloom.operators.graph import atom_id, triples
 from factloom.operators.rules import missing_and_extra, multiset_difference
 
@@ -51,21 +52,29 @@ def triples_differ(stored: DataFrame, edges: DataFrame) -> DataFrame:
     return multiset_difference(stored.select("subject", "predicate", "object", "relation_status", "source_atom_id", "evidence_source_ids"), triples(edges))
 
 
-def eligible(required: str = "complete", allowed_conclusions: tuple[str, ...] = ("PASS", "PASS_WITH_NOTES"), allowed_recommendations: tuple[str, ...] = ("RELEASE", "RELEASE_WITH_NOTES"), barred: str = "INCOMPLETE_SCORES") -> Column:
-    """Whether a reviewer's record may be aggregated: seven conditions, null counting as not met."""
-    met = [
-        F.col("completion_status") == required,
-        F.col("metadata_valid"),
-        F.col("all_required_case_scores_present"),
-        F.col("top_level_conclusion").isin(*allowed_conclusions),
-        F.col("release_recommendation").isin(*allowed_recommendations),
-        ~F.array_contains(F.coalesce("defects", F.array().cast("array<string>")), barred),
-        F.coalesce(F.col("critical_disagreement.status"), F.lit("none")) != "unresolved",
-    ]
-    out = F.lit(True)
-    for m in met:
-        out = out & F.coalesce(m, F.lit(False))
-    return out
+#: Fixed values of the review protocol: what each field of a reviewer's record must be for it to be aggregated.
+AGGREGATED = {
+    "completion_status": ("COMPLETE",),
+    "all_required_case_scores_present": (True,),
+    "top_level_conclusion": ("PASS", "CHANGES_REQUIRED", "FAIL"),
+    "release_recommendation": ("RECOMMEND_RELEASE", "DO_NOT_RELEASE"),
+    "metadata_valid": (True,),
+}
+#: Defects and states of a critical disagreement that bar it.
+BARRED_DEFECTS = ("ALL_REQUIRED_CASE_SCORES_MISSING",)
+OPEN_DISAGREEMENTS = ("UNRESOLVED_REQUIRES_ADJUDICATION",)
+
+
+def eligible(allowed: dict[str, tuple] = AGGREGATED, barred_defects: tuple[str, ...] = BARRED_DEFECTS, open_disagreements: tuple[str, ...] = OPEN_DISAGREEMENTS) -> Column:
+    """Whether a reviewer's record may be aggregated: every field has an allowed value (null is none), no defect and no open disagreement bars it."""
+    defects = F.coalesce("defects", F.array().cast("array<string>"))
+    barred = F.arrays_overlap(defects, F.array(*[F.lit(x) for x in barred_defects])) | F.coalesce(F.col("critical_disagreement.status").isin(*open_disagreements), F.lit(False))
+    return every(*[F.col(name).isin(*values) for name, values in allowed.items()], ~F.coalesce(barred, F.lit(False)))
+
+
+def release_blocked(records: DataFrame, open_disagreements: tuple[str, ...] = OPEN_DISAGREEMENTS) -> DataFrame:
+    """(reviewer_id): records whose critical disagreement is open; one is enough to block a release, whatever the scores say."""
+    return records.where(F.coalesce(F.col("critical_disagreement.status").isin(*open_disagreements), F.lit(False))).select("reviewer_id")
 
 
 def all_true(flags: DataFrame) -> DataFrame:

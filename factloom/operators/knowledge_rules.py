@@ -26,6 +26,10 @@ EVIDENCE_FIELDS = ["source_id", "locator", "evidence_type"]
 SOURCE_FIELDS = ["source_id", "source_type", "title", "roles", "access_level", "full_text_status"]
 ID_PATTERN = r"[a-z][a-z0-9_]*\.[a-z0-9][a-z0-9_]*"
 SOURCE_PATTERN = r"source\.[a-z0-9][a-z0-9_]*"
+#: Fixed values of extension documents.
+EXTENSION_PREFIX, EXTENSION_REVIEWER = "extension.", "course_lead"
+#: Source ids that are sent to the tasks at most.
+MOST_SOURCES = 1_000_000
 FOUND = T.ArrayType(T.StructType([T.StructField("rule_id", T.StringType()), T.StructField("locus", T.StringType()), T.StructField("message", T.StringType())]))
 
 
@@ -198,10 +202,7 @@ def check_registry(registry: DataFrame, v: Vocabulary) -> tuple[DataFrame, DataF
 def check_documents(docs: DataFrame, v: Vocabulary, sources: DataFrame) -> DataFrame:
     """Findings V9 to V22 of documents read by read_documents; sources: (source_id), a registry's size."""
     spark = docs.sparkSession
-    known = {r[0] for r in sources.limit(1_000_001).collect()}
-    if len(known) > 1_000_000:
-        raise ValueError("over a million sources; check evidence with corpus.unregistered")
-    shared = spark.sparkContext.broadcast((v, known))
+    shared = spark.sparkContext.broadcast((v, _known_sources(sources)))
 
     @F.pandas_udf(FOUND)
     def local(metas: pd.Series, bodies: pd.Series) -> pd.Series:
@@ -226,10 +227,17 @@ def check_documents(docs: DataFrame, v: Vocabulary, sources: DataFrame) -> DataF
     return v9.unionByName(v10).unionByName(own).unionByName(dangling).unionByName(outside)
 
 
-def check_extensions(extensions: DataFrame, nodes: DataFrame, v: Vocabulary, sources: DataFrame, batch: str) -> DataFrame:
-    """Findings V23 of extension documents: their fields and state, base entity, relations, and atoms within the admitted ones."""
+def _known_sources(sources: DataFrame) -> set[str]:
+    known = {r[0] for r in sources.limit(MOST_SOURCES + 1).collect()}
+    if len(known) > MOST_SOURCES:
+        raise ValueError("over a million sources; check evidence with corpus.unregistered")
+    return known
+
+
+def check_extensions(extensions: DataFrame, nodes: DataFrame, v: Vocabulary, sources: DataFrame, batch: str, prefix: str = EXTENSION_PREFIX, reviewer: str = EXTENSION_REVIEWER) -> DataFrame:
+    """Findings V23 of extension documents: their fields and state, ids, reviewer, base entity, relations, and atoms within the admitted ones."""
     spark = extensions.sparkSession
-    shared = spark.sparkContext.broadcast((v, {r[0] for r in sources.collect()}))
+    shared = spark.sparkContext.broadcast((v, _known_sources(sources)))
 
     def one(meta: dict[str, Any], base_type: str | None) -> Iterator[tuple[str, str, str]]:
         vocabulary, known = shared.value
@@ -237,15 +245,15 @@ def check_extensions(extensions: DataFrame, nodes: DataFrame, v: Vocabulary, sou
         if lacking:
             yield "V23", "", f"missing fields: {', '.join(lacking)}"
             return
-        if meta["extension_id"] != f"{meta['extends_entity']}.extension" and blank(meta["extension_id"]):
-            yield "V23", "extension_id", "extension id is blank"
+        if blank(meta["extension_id"]) or not meta["extension_id"].startswith(prefix):
+            yield "V23", "extension_id", f"extension id doesn't start with {prefix}"
         if meta["review_status"] != "reviewed":
             yield "V23", "review_status", "extension is not reviewed"
         admission = meta["admission"] if isinstance(meta["admission"], dict) else {}
         if admission.get("batch_id") != batch or not admission.get("atom_ids"):
             yield "V23", "admission", "extension is not admitted in the batch"
-        if not isinstance(meta["review"], dict) or not meta["review"].get("reviewed_by") or not meta["review"].get("last_reviewed"):
-            yield "V23", "review", "reviewer or date is missing"
+        if not isinstance(meta["review"], dict) or meta["review"].get("reviewed_by") != reviewer or not meta["review"].get("last_reviewed"):
+            yield "V23", "review", f"not reviewed by {reviewer}, or without a date"
         if base_type is None:
             yield "V23", "extends_entity", f"entity {meta['extends_entity']} is unknown"
             return
@@ -271,4 +279,7 @@ def check_extensions(extensions: DataFrame, nodes: DataFrame, v: Vocabulary, sou
     placed = parsed.join(nodes.select(F.col("id").alias("extends_entity"), F.col("entity_type").alias("base_type")), "extends_entity", "left")
     found = placed.select("path", F.explode(local("meta", "base_type")).alias("f")).select(F.lit("ERROR").alias("level"), "f.rule_id", F.lit(23).alias("ordinal"), "path", "f.locus", "f.message")
     unparsed = extensions.where("parse_error IS NOT NULL").select(F.lit("ERROR").alias("level"), F.lit("V23").alias("rule_id"), F.lit(23).alias("ordinal"), "path", F.lit("").alias("locus"), F.col("parse_error").alias("message"))
-    return found.unionByName(unparsed)
+    ids = parsed.select("path", F.get_json_object("meta", "$.extension_id").alias("id")).where("id IS NOT NULL")
+    again = ids.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("path"))).where("nth > 1")
+    repeated = again.select(F.lit("ERROR").alias("level"), F.lit("V23").alias("rule_id"), F.lit(23).alias("ordinal"), "path", F.lit("extension_id").alias("locus"), F.concat(F.lit("repeated extension id "), "id").alias("message"))
+    return found.unionByName(unparsed).unionByName(repeated)

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
-from factloom.functions.canonical import ordered_digest
-from factloom.operators import evaluate, graph, integrity
+from factloom.functions.canonical import canonical_sha256, file_sha256, ordered_digest
+from factloom.operators import contract, corpus, evaluate, graph, integrity
 from factloom.operators.corpus import passage_counts
-from factloom.operators.rules import expect_counts, missing_and_extra, not_in
-from factloom.plans.tables import contains, entities, relations
+from factloom.operators.rules import expect_counts, missing_and_extra, multiset_difference, not_in
+from factloom.plans.tables import contains, conversation_answers, entities, line_edges, order_documents, relations, supplier_registry, turn_id
 from factloom.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,14 +90,15 @@ def unreviewed_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = (SELECT min(o_orderpriority) FROM orders)")
 def reviewed_batch_selection(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    first = o.agg(F.min("o_orderpriority").alias("batch"))
-    return o.where("o_orderstatus = 'F'").join(F.broadcast(first), F.col("o_orderpriority") == F.col("batch"), "left_semi").select("o_orderkey", "o_custkey", "o_orderpriority")
+    docs = order_documents(spark, d)
+    first = docs.agg(F.min("o_orderpriority")).first()[0]
+    return graph.in_batch(docs, first).select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
 @query("SELECT o_orderpriority AS batch_id, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (WHERE o_orderstatus <> 'F') AS BIGINT) AS not_reviewed FROM orders GROUP BY o_orderpriority")
 def batch_review_state(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("batch_id")).agg(F.count("*").alias("documents"), F.count_if(F.col("o_orderstatus") != "F").alias("not_reviewed"))
+    chosen = graph.in_batch(order_documents(spark, d), F.col("o_orderpriority"), reviewed_only=False)
+    return chosen.groupBy(F.col("m.admission.batch_id").alias("batch_id")).agg(F.count("*").alias("documents"), F.count_if(F.col("m.review_status") != "reviewed").alias("not_reviewed"))
 
 
 @query(f"WITH {WITH_ENTITIES}, {WITH_RELATIONS} SELECT CAST((SELECT count(*) FROM e) AS BIGINT) AS nodes, CAST((SELECT count(*) FROM r) AS BIGINT) AS edges, CAST((SELECT count(DISTINCT object) FROM r) AS BIGINT) AS targets")
@@ -144,13 +145,14 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT text_key, doc_id AS first_doc_id, n FROM (SELECT md5(coalesce(text, '')) AS text_key, min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1) x")
 def first_wins_index(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_key")).agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n"))
+    rows = table(spark, d, "documents").select(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_key"), F.col("doc_id").alias("first_doc_id"))
+    return graph.first_wins(rows, ["text_key"], ["first_doc_id"])
 
 
 @query("SELECT event_type, event_id AS last_event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k = 1")
 def last_wins_index(spark: SparkSession, d: str) -> DataFrame:
-    last = table(spark, d, "events").groupBy("event_type").agg(F.max_by(F.struct("event_id", "user_id"), F.struct("ts", "event_id")).alias("r"))
-    return last.select("event_type", F.col("r.event_id").alias("last_event_id"), "r.user_id")
+    rows = table(spark, d, "events").select("event_type", F.col("event_id").alias("last_event_id"), "user_id", "ts")
+    return graph.last_wins(rows, ["event_type"], ["ts", "last_event_id"]).select("event_type", "last_event_id", "user_id")
 
 
 @query(f"WITH {WITH_RELATIONS} SELECT predicate, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT subject) AS BIGINT) AS subjects, CAST(count(DISTINCT object) AS BIGINT) AS objects FROM r GROUP BY predicate")
@@ -164,10 +166,8 @@ def distinct_vs_total(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'supplier.' || l_suppkey AS source_id, any_value(s_name) AS title, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS evidence_types,
   string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), '|' ORDER BY CAST(l_linenumber AS VARCHAR)) AS locators FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_suppkey""")
 def evidence_catalog(spark: SparkSession, d: str) -> DataFrame:
-    # the sets are partial on the map side; names join after the aggregation
-    items = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), "|").alias("evidence_types"), F.array_join(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))), "|").alias("locators"))
-    named = items.join(table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("title")), F.col("s_suppkey") == F.col("l_suppkey"))
-    return named.select(F.concat(F.lit("supplier."), F.col("l_suppkey").cast("string")).alias("source_id"), "title", "evidence_types", "locators")
+    found = corpus.source_catalog(line_edges(spark, d), supplier_registry(spark, d))
+    return found.select("source_id", "title", F.array_join("allowed_evidence_types", "|").alias("evidence_types"), F.array_join("locators", "|").alias("locators"))
 
 
 @query("SELECT doc_id, coalesce(nullif(lang, ''), nullif(source, ''), 'unknown') AS label, coalesce(nullif(CASE WHEN lang = 'en' THEN '' ELSE lang END, ''), nullif(source, ''), 'none') AS fallback FROM documents")
@@ -178,14 +178,19 @@ def fallback_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS rendered, CAST(count(*) AS BIGINT) AS units FROM conversations GROUP BY conv_id")
 def answer_rendering(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t"))))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("rendered"), F.count("*").alias("units"))
+    """Conversations as answers: each turn is a claim unit."""
+    turns = table(spark, d, "conversations")
+    responses = conversation_answers(turns)
+    claims = turns.select(turn_id().alias("claim_id"), F.concat("role", F.lit(": "), "text").alias("render_text"))
+    gaps, notices = (spark.createDataFrame([], f"{k} string, {v} string") for k, v in (("gap_code", "text"), ("claim_id", "notice")))
+    told = contract.render_answers(responses, claims, gaps, notices)
+    return told.join(responses.select("request_id", F.size("answer_units").cast("bigint").alias("units")), "request_id").select(F.col("request_id").cast("bigint").alias("conv_id"), "rendered", "units")
 
 
 @query("SELECT p_brand, sha256(string_agg(p_partkey || ':' || p_name || chr(10), '' ORDER BY p_partkey)) AS corpus_sha256, CAST(sum(length(p_name)) AS BIGINT) AS chars FROM part GROUP BY p_brand")
 def corpus_sections(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("p_partkey", F.concat(F.col("p_partkey").cast("string"), F.lit(":"), "p_name", F.lit("\n")).alias("t"))))
-    return table(spark, d, "part").groupBy("p_brand").agg(F.sha2(F.encode(F.array_join(F.transform(parts, lambda p: p["t"]), ""), "UTF-8"), 256).alias("corpus_sha256"), F.sum(F.length("p_name")).alias("chars"))
+    chunk = F.encode(F.concat(F.col("p_partkey").cast("string"), F.lit(":"), "p_name", F.lit("\n")), "UTF-8")
+    return table(spark, d, "part").groupBy("p_brand").agg(ordered_digest(F.col("p_partkey"), chunk).alias("corpus_sha256"), F.sum(F.length("p_name")).alias("chars"))
 
 
 # ---- counts and sets
@@ -199,7 +204,8 @@ def group_count_vs_expected(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, CAST(count(*) AS BIGINT) AS items, CAST(max(l_linenumber) AS BIGINT) AS declared FROM lineitem GROUP BY l_orderkey HAVING count(*) <> max(l_linenumber)")
 def declared_vs_actual_length(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("items"), F.max("l_linenumber").cast("bigint").alias("declared")).where("items <> declared")
+    classes = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").cast("bigint").alias("count"), F.collect_list("l_linenumber").alias("atom_ids"))
+    return integrity.declared_counts(classes).select("l_orderkey", F.size("atom_ids").cast("bigint").alias("items"), F.col("count").alias("declared"))
 
 
 @query("""WITH c AS (SELECT p_partkey AS atom_id, 'small' AS class FROM part WHERE p_size <= 20 UNION ALL SELECT p_partkey, 'cheap' FROM part WHERE p_retailprice < 1000 UNION ALL SELECT p_partkey, 'large' FROM part WHERE p_size > 40)
@@ -223,10 +229,12 @@ def missing_and_extra_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' INTERSECT SELECT l_orderkey, l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01'")
 def later_batch_leakage(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
-    late = F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp")
-    # one aggregation in place of two scans and a join
-    return items.groupBy("l_orderkey", "l_partkey").agg(F.bool_or(late).alias("l"), F.bool_or(~late).alias("e")).where("l AND e").select("l_orderkey", "l_partkey")
+    """Orders as cases that ask for the parts they got early; the parts they got late belong to a later batch."""
+    atom = F.concat_ws("-", "l_orderkey", "l_partkey")
+    items = table(spark, d, "lineitem").select("l_orderkey", atom.alias("atom_id"), (F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp")).alias("late"))
+    cases = items.where(~F.col("late")).groupBy(F.col("l_orderkey").alias("case_id")).agg(F.collect_set("atom_id").alias("required_relation_atom_ids"))
+    found = evaluate.leakage(cases, items.where("late"))
+    return found.select(F.col("case_id").alias("l_orderkey"), F.substring_index("atom_id", "-", -1).cast("bigint").alias("l_partkey"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN n = k THEN 'subset' ELSE 'not_subset' END AS relation FROM (SELECT o_orderkey, count(DISTINCT l_suppkey) AS n, count(DISTINCT CASE WHEN s_acctbal >= 1000 THEN l_suppkey END) AS k
@@ -235,17 +243,19 @@ def subset_of_allowed(spark: SparkSession, d: str) -> DataFrame:
     """Whether an order's suppliers are a subset of those with a balance of 1000 or more."""
     good = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") >= 1000).alias("ok"))
     items = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(good, F.col("l_suppkey") == F.col("s_suppkey"))
-    per = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.every("ok").alias("all_ok"))
+    key = F.col("l_suppkey").cast("string")
+    per = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(key).alias("used"), F.collect_set(F.when(F.col("ok"), key)).alias("allowed"))
     rows = table(spark, d, "orders").select("o_orderkey").join(per, "o_orderkey")
-    return rows.select("o_orderkey", F.when(F.col("all_ok"), "subset").otherwise("not_subset").alias("relation"))
+    return rows.select("o_orderkey", F.when(X.is_subset(F.col("used"), F.col("allowed")), "subset").otherwise("not_subset").alias("relation"))
 
 
 @query("""WITH a AS (SELECT o_custkey AS custkey, o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderpriority < '3' GROUP BY 1, 2), b AS (SELECT o_custkey AS custkey, o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderpriority >= '3' GROUP BY 1, 2)
 SELECT coalesce(a.custkey, b.custkey) AS custkey, coalesce(a.status, b.status) AS status, CAST(coalesce(a.n, 0) - coalesce(b.n, 0) AS BIGINT) AS surplus FROM a FULL JOIN b ON a.custkey = b.custkey AND a.status = b.status WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
 def multiset_equality(spark: SparkSession, d: str) -> DataFrame:
-    """How often (customer, status) is in one half of the orders more than in the other: a multiset difference in one aggregation."""
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderpriority") < "3", 1).otherwise(-1).alias("side"))
-    return o.groupBy("custkey", "status").agg(F.sum("side").alias("surplus")).where("surplus <> 0")
+    """How often (customer, status) is in one half of the orders more than in the other."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderstatus").alias("status"), (F.col("o_orderpriority") < "3").alias("left"))
+    rows = multiset_difference(o.where("left").drop("left"), o.where("not left").drop("left"))
+    return rows.groupBy("custkey", "status").agg(F.sum(F.when(F.col("side") == "left", 1).otherwise(-1)).alias("surplus"))
 
 
 @query("SELECT part_no AS missing_key FROM (SELECT unnest(generate_series(1, (SELECT max(p_partkey) FROM part))) AS part_no) s WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = part_no AND p.p_size > 5)")
@@ -253,8 +263,9 @@ def dense_id_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Ids of the dense sequence that no part of a size over 5 has."""
     p = table(spark, d, "part")
     last = p.agg(F.max("p_partkey")).first()[0] or 0
-    have = p.where("p_size > 5").select(F.col("p_partkey").alias("missing_key"))
-    return spark.range(1, last + 1).select(F.col("id").alias("missing_key")).join(have, "missing_key", "left_anti")
+    have = p.where("p_size > 5").select(X.numbered_id("P-", F.col("p_partkey")).alias("id"))
+    found = graph.coverage(have, "P-", 1, last).where("problem = 'missing'")
+    return found.select(F.substring_index("id", "-", -1).cast("bigint").alias("missing_key"))
 
 
 @query("SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS sources, CAST(count(*) FILTER (WHERE l_quantity > 25) AS BIGINT) AS large FROM lineitem GROUP BY 1, 2")
@@ -272,8 +283,13 @@ def required_key_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT e.event_id, CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS have, e.user_id % 7 AS want FROM events e WHERE CAST(json_extract_string(e.props, '$.k') AS BIGINT) <> e.user_id % 7")
 def json_qualifier_expectations(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select("event_id", X.variant_at(F.try_parse_json("props"), "$.k", "bigint").alias("have"), (F.col("user_id") % 7).alias("want"))
-    return rows.where("have <> want")
+    """Events as edges whose qualifier k must be the user's number modulo 7."""
+    events = table(spark, d, "events").select(F.col("event_id").cast("string").alias("claim_id"), "props", "user_id")
+    edges = events.select(F.concat(F.lit('{"source_atom_id":"'), "claim_id", F.lit('",'), F.substring("props", 2, 1_000_000)).alias("qualifiers"))
+    expected = events.select("claim_id", F.lit("k").alias("key"), (F.col("user_id") % 7).cast("string").alias("value"))
+    failed = evaluate.boundary_failures(expected, edges).where("problem = 'qualifier differs'")
+    rows = events.join(failed.select("claim_id"), "claim_id")
+    return rows.select(F.col("claim_id").cast("bigint").alias("event_id"), X.variant_at(F.try_parse_json("props"), "$.k", "bigint").alias("have"), (F.col("user_id") % 7).alias("want"))
 
 
 @query(r"SELECT doc_id, regexp_full_match(source, 'src[0-9]') AS short_source, contains(text, 'License') AS has_license, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) = 0 AS is_blank, starts_with(text, 'The') AS starts_the FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
@@ -294,13 +310,14 @@ def leak_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
+    rows = table(spark, d, "documents").where("text IS NOT NULL")
+    return rows.select("doc_id", file_sha256(F.encode("text", "UTF-8")).alias("text_sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
 
 
 @query("""SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') AS row_sha256 FROM customer""")
 def canonical_row_hash(spark: SparkSession, d: str) -> DataFrame:
-    canonical = F.to_json(F.struct("c_custkey", "c_mktsegment", "c_name", "c_nationkey"))
-    return table(spark, d, "customer").select("c_custkey", F.sha2(F.encode(canonical, "UTF-8"), 256).alias("row_sha256"))
+    unsorted = F.to_json(F.struct("c_nationkey", "c_name", "c_custkey", "c_mktsegment"))
+    return table(spark, d, "customer").select("c_custkey", canonical_sha256(unsorted).alias("row_sha256"))
 
 
 @query("SELECT n_regionkey, sha256(string_agg(n_nationkey || ':' || n_name || ';', '' ORDER BY n_name)) AS digest FROM nation GROUP BY n_regionkey")
@@ -309,14 +326,14 @@ def ordered_digest_by_region(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").groupBy("n_regionkey").agg(ordered_digest(F.col("n_name"), chunk).alias("digest"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS name, md5(o_orderstatus || o_orderpriority) AS h FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS name, md5(CASE WHEN o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END || o_orderpriority) AS h FROM orders WHERE o_orderkey % 4 <> 0)
+@query("""WITH a AS (SELECT o_orderkey AS name, md5(o_orderstatus || o_orderpriority) AS h FROM orders WHERE o_orderpriority <> '5-LOW'), b AS (SELECT o_orderkey AS name, md5(CASE WHEN o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END || o_orderpriority) AS h FROM orders WHERE o_orderpriority <> '1-URGENT')
 SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'EXTRA' WHEN b.name IS NULL THEN 'MISSING' WHEN a.h <> b.h THEN 'STALE' ELSE 'OK' END AS status FROM a FULL JOIN b ON a.name = b.name""")
 def artifact_drift(spark: SparkSession, d: str) -> DataFrame:
     from factloom.operators.artifacts import drift
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("name"), "o_orderstatus", "o_orderpriority", "o_totalprice")
-    want = o.where("name % 3 <> 0").select("name", F.md5(F.concat("o_orderstatus", "o_orderpriority")).alias("sha256"))
-    have = o.where("name % 4 <> 0").select("name", F.md5(F.concat(F.when(F.col("o_totalprice") > 200000, "X").otherwise(F.col("o_orderstatus")), "o_orderpriority")).alias("sha256"))
+    want = o.where("o_orderpriority <> '5-LOW'").select("name", F.md5(F.concat("o_orderstatus", "o_orderpriority")).alias("sha256"))
+    have = o.where("o_orderpriority <> '1-URGENT'").select("name", F.md5(F.concat(F.when(F.col("o_totalprice") > 200000, "X").otherwise(F.col("o_orderstatus")), "o_orderpriority")).alias("sha256"))
     return drift(want, have)
 
 
@@ -335,9 +352,9 @@ def first_violation(spark: SparkSession, d: str) -> DataFrame:
 # ---- suites, reviewers, citations, audits
 
 
-@query("""SELECT b.item_id, CAST(count(d.doc_id) AS BIGINT) AS documents FROM benchmark b JOIN documents d ON strpos(d.text, substr(b.text, 1, 60)) > 0 GROUP BY b.item_id""")
+@query("""SELECT b.item_id, CAST(count(d.doc_id) AS BIGINT) AS documents FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0 GROUP BY b.item_id""")
 def leaked_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Suite passages that stand whole in documents. The SQL looks for their first 60 characters only and agrees on sf0.001 to sf0.1."""
+    """Suite passages that stand whole in documents."""
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     return passage_counts(table(spark, d, "documents"), items)
 
@@ -361,22 +378,36 @@ def suite_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT CAST(count(*) AS BIGINT) AS responses, CAST(count(*) FILTER (WHERE o_orderstatus = ls) AS BIGINT) AS disposition_matches, CAST(count(*) FILTER (WHERE cited) AS BIGINT) AS provenance_matches, CAST(count(*) FILTER (WHERE o_orderstatus = ls AND o_orderstatus = 'F') AS BIGINT) AS boundary_abstentions
 FROM orders JOIN (SELECT l_orderkey, min(l_linestatus) AS ls, bool_and(l_returnflag <> 'N' OR l_discount < 0.05) AS cited FROM lineitem GROUP BY 1) x ON l_orderkey = o_orderkey""")
 def run_scoring(spark: SparkSession, d: str) -> DataFrame:
-    responses = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_linestatus").alias("ls"), F.every((F.col("l_returnflag") != "N") | (F.col("l_discount") < 0.05)).alias("cited"))
-    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(responses, F.col("l_orderkey") == F.col("o_orderkey"))
-    match = F.col("o_orderstatus") == F.col("ls")
-    return rows.agg(F.count("*").alias("responses"), F.count_if(match).alias("disposition_matches"), F.count_if(F.col("cited")).alias("provenance_matches"), F.count_if(match & (F.col("o_orderstatus") == "F")).alias("boundary_abstentions"))
+    """Orders as cases that need their line items as claims; an item is cited unless it is neither returned nor sold below 5 % off."""
+    disposition = lambda c: F.when(F.col(c) == "F", "ABSTAIN").otherwise(F.col(c))
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linestatus", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_returnflag", "l_discount").alias("atom"), ((F.col("l_returnflag") != "N") | (F.col("l_discount") < 0.05)).alias("cited"))
+    per = items.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.min("l_linestatus").alias("status"), F.collect_list("atom").alias("used_relation_atom_ids"), F.collect_list(F.when(F.col("cited"), F.col("atom"))).alias("cited_source_ids"))
+    responses = per.select("case_id", disposition("status").alias("disposition"), "used_relation_atom_ids", "cited_source_ids")
+    cases = table(spark, d, "orders").join(per.select("case_id", "used_relation_atom_ids"), F.col("case_id") == F.col("o_orderkey"))
+    cases = cases.select("case_id", disposition("o_orderstatus").alias("expected_disposition"), F.col("used_relation_atom_ids").alias("required_relation_atom_ids"))
+    entry = F.array(F.struct(F.col("atom").alias("source_id"), F.lit("line").alias("locator"), F.lit("item").alias("evidence_type")))
+    edges = items.select(F.concat(F.lit('{"source_atom_id":"'), "atom", F.lit('"}')).alias("qualifiers"), entry.alias("evidence"))
+    return evaluate.score_run(responses, cases, edges)
 
 
 @query("SELECT d.doc_id, l.quality IS NOT NULL AS reviewed, coalesce(l.quality = 1 AND l.toxic = 0 AND d.lang IN ('en', 'de') AND d.n_chars >= 100, FALSE) AS eligible FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def reviewer_eligibility(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as reviewers' records: toxic ones have an open disagreement, short texts lack scores, other languages a conclusion."""
     rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id", "left")
-    ok = X.every(F.col("quality") == 1, F.col("toxic") == 0, F.col("lang").isin("en", "de"), F.col("n_chars") >= 100)
-    return rows.select("doc_id", F.col("quality").isNotNull().alias("reviewed"), ok.alias("eligible"))
+    records = rows.select(
+        "doc_id", F.col("quality").isNotNull().alias("reviewed"), F.when(F.col("quality") == 1, "COMPLETE").otherwise("IN_PROGRESS").alias("completion_status"), F.col("toxic").isNotNull().alias("all_required_case_scores_present"),
+        F.when(F.col("lang").isin("en", "de"), "PASS").otherwise("PENDING").alias("top_level_conclusion"), F.lit("RECOMMEND_RELEASE").alias("release_recommendation"), F.col("n_chars").isNotNull().alias("metadata_valid"),
+        F.when(F.col("n_chars") < 100, F.array(F.lit(integrity.BARRED_DEFECTS[0]))).alias("defects"), F.when(F.col("toxic") == 1, F.struct(F.lit(integrity.OPEN_DISAGREEMENTS[0]).alias("status"))).alias("critical_disagreement"),
+    )
+    return records.select("doc_id", "reviewed", integrity.eligible().alias("eligible"))
 
 
 @query("SELECT o_custkey, bool_and(o_orderstatus <> 'P') AS all_true, bool_or(o_totalprice > 300000) AS any_true FROM orders GROUP BY o_custkey")
 def all_true_gate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.every(F.col("o_orderstatus") != "P").alias("all_true"), F.bool_or(F.col("o_totalprice") > 300000).alias("any_true"))
+    o = table(spark, d, "orders")
+    failed = integrity.all_true(o.select(F.col("o_custkey").alias("name"), (F.col("o_orderstatus") != "P").alias("value"))).distinct()
+    per = o.groupBy("o_custkey").agg(F.bool_or(F.col("o_totalprice") > 300000).alias("any_true"))
+    return per.join(failed, F.col("name") == F.col("o_custkey"), "left").select("o_custkey", F.col("name").isNull().alias("all_true"), "any_true")
 
 
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem c WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM lineitem e WHERE e.l_returnflag = 'A' AND e.l_partkey = c.l_partkey AND e.l_suppkey = c.l_suppkey AND e.l_linenumber = c.l_linenumber)""")
@@ -395,20 +426,29 @@ def uncited_claims(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH q AS (SELECT conv_id, turn, md5(text) AS h FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'assistant')
 SELECT a.conv_id, a.turn, q.h AS request_hash, CASE WHEN q.h IS NULL THEN 'request missing' WHEN a.n < 20 THEN 'answer short' ELSE 'bound' END AS state FROM a LEFT JOIN q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1""")
 def audit_binding(spark: SparkSession, d: str) -> DataFrame:
-    """Each assistant turn with the user turn right before it, by one window instead of a self join."""
-    c = table(spark, d, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = c.select("conv_id", "turn", "role", F.length("text").alias("n"), F.lag("turn").over(w).alias("pt"), F.lag("role").over(w).alias("pr"), F.lag(F.md5(F.encode("text", "UTF-8"))).over(w).alias("ph"))
-    bound = (F.col("pr") == "user") & (F.col("pt") == F.col("turn") - 1)
-    h = F.when(bound, F.col("ph"))
-    return rows.where("role = 'assistant'").select("conv_id", "turn", h.alias("request_hash"), F.when(h.isNull(), "request missing").when(F.col("n") < 20, "answer short").otherwise("bound").alias("state"))
+    """Each assistant turn as the audit of an answer to the turn before it; a short answer has no citation for its claim."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    requests = c.where("role = 'user'").select(turn_id().alias("request_id"), F.md5(F.encode("text", "UTF-8")).alias("sha256"), F.lit("1").alias("schema_version"))
+    none = F.array().cast("array<string>")
+    claim = F.array(turn_id())
+    answers = c.where("role = 'assistant'").withColumn("request_id", F.concat_ws(":", "conv_id", F.col("turn") - 1)).join(requests.select("request_id", F.col("sha256").alias("request_hash")), "request_id", "left")
+    audits = answers.select(
+        "conv_id", "turn", "request_hash", turn_id().alias("audit_id"), "request_id", F.col("request_hash").alias("request_sha256"), F.lit("1").alias("request_schema_version"), F.lit(None).cast("string").alias("response_sha256"), F.lit(True).alias("hash_verified"),
+        F.lit("b").alias("bundle_sha256"), claim.alias("candidate_claim_ids"), claim.alias("admitted_claim_ids"), F.lit("ANSWER").alias("disposition"), claim.alias("material_claim_ids"), none.alias("coverage_gaps"), F.lit("PASS").alias("result"), none.alias("hard_fail_codes"),
+        F.when(F.length("text") < 20, 0).otherwise(1).alias("citation_count"),
+    )
+    nothing = spark.createDataFrame([], contract.RESPONSE).withColumn("sha256", F.lit(None).cast("string"))
+    found = contract.audit_violations(audits.drop("conv_id", "turn", "request_hash"), requests, nothing, "1", answers.select(turn_id().alias("claim_id")))
+    rules = found.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+    state = F.when(F.array_contains("rules", "request_known"), "request missing").when(F.array_contains("rules", "citations_cover"), "answer short").otherwise("bound")
+    return audits.join(rules, F.col("key") == F.col("audit_id"), "left").select("conv_id", "turn", "request_hash", state.alias("state"))
 
 
 @query("SELECT conv_id, bool_or(role = 'assistant') AS answered, CASE WHEN NOT bool_or(role = 'assistant') THEN 'ABSTAIN' WHEN bool_or(role = 'system') THEN 'PARTIAL' ELSE 'ANSWER' END AS disposition FROM conversations GROUP BY conv_id")
 def disposition_state(spark: SparkSession, d: str) -> DataFrame:
     has = lambda r: F.bool_or(F.col("role") == r)
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(has("assistant").alias("answered"), has("system").alias("_s"))
-    return rows.select("conv_id", "answered", F.when(~F.col("answered"), "ABSTAIN").when(F.col("_s"), "PARTIAL").otherwise("ANSWER").alias("disposition"))
+    return rows.select("conv_id", "answered", evaluate.disposition_of(F.col("answered"), F.col("_s")).alias("disposition"))
 
 
 @query("""SELECT n_name AS nation, CAST(count(*) AS BIGINT) AS relations, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS sources FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
@@ -427,13 +467,13 @@ def reviewed_evidence_by_nation(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'A' THEN 2 WHEN l_returnflag = 'N' THEN 1 ELSE 0 END)::BIGINT AS points, CAST(count(*) AS BIGINT) AS criteria FROM lineitem GROUP BY l_orderkey")
 def rubric_points(spark: SparkSession, d: str) -> DataFrame:
     points = F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 1).otherwise(0)
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(points).alias("points"), F.count("*").alias("criteria"))
+    return evaluate.rubric_totals(table(spark, d, "lineitem").select("l_orderkey", points.alias("points")), "l_orderkey").withColumnRenamed("total", "points")
 
 
 @query("SELECT user_id, CAST(count(DISTINCT event_type) AS BIGINT) AS variants, CAST(count(*) AS BIGINT) AS runs, count(DISTINCT event_type) = 1 AND count(*) >= 3 AS stable FROM events GROUP BY user_id")
 def stable_runs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("variants"), F.count("*").alias("runs"))
-    return rows.withColumn("stable", (F.col("variants") == 1) & (F.col("runs") >= 3))
+    runs = table(spark, d, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("run"), F.col("event_type").alias("response_sha256"))
+    return evaluate.stable_runs(runs, or_more=True).withColumnRenamed("request_id", "user_id")
 
 
 @query(f"WITH {WITH_RELATIONS} SELECT object AS subject, CASE predicate WHEN 'in_nation' THEN 'has_member' WHEN 'in_region' THEN 'has_nation' ELSE 'placed' END AS label, subject AS object FROM r")
@@ -450,8 +490,9 @@ def background_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_suppkey AS source_id, CAST(count(*) AS BIGINT) AS cited, CAST(min(l_linenumber) AS INTEGER) AS first_locator FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_acctbal >= 0 GROUP BY 1")
 def source_use(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("cited"), F.min("l_linenumber").alias("first_locator"))
-    return used.join(table(spark, d, "supplier").where("s_acctbal >= 0").select("s_suppkey"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_suppkey").alias("source_id"), "cited", "first_locator")
+    registered = supplier_registry(spark, d).where("s_acctbal >= 0").select("source_id")
+    used = corpus.used_sources(line_edges(spark, d)).join(registered, "source_id")
+    return used.select(F.substring_index("source_id", ".", -1).cast("bigint").alias("source_id"), "cited", F.array_min("locators").cast("int").alias("first_locator"))
 
 
 # ---- over a document folder made of the tables, without a SQL form

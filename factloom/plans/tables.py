@@ -52,3 +52,36 @@ def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     subject, target = ident("orders", "l_orderkey"), ident("part", "l_partkey")
     atom = F.concat(F.lit('{"source_atom_id":"'), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"), F.lit('"}'))
     return grouped.select(subject.alias("subject"), F.lit("contains").alias("predicate"), target.alias("object"), F.concat(subject, F.lit(" contains "), target).alias("statement_zh"), status.alias("relation_status"), evidence.alias("evidence"), atom.alias("qualifiers"), F.lit("lineitem").alias("source_file"))
+
+
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as parsed documents: priority is the batch, status F reviewed."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    meta = F.struct(ident("orders", "o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "reviewed").otherwise("draft").alias("review_status"), F.struct(F.col("o_orderpriority").alias("batch_id")).alias("admission"))
+    return o.withColumns({"path": F.concat(ident("orders", "o_orderkey"), F.lit(".md")), "meta": F.to_json(meta), "parse_error": F.lit(None).cast("string")})
+
+
+def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line item as an edge with itself as evidence."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    entry = F.struct(ident("supplier", "l_suppkey").alias("source_id"), F.col("l_linenumber").cast("string").alias("locator"), F.col("l_returnflag").alias("evidence_type"))
+    return items.select(ident("orders", "l_orderkey").alias("subject"), F.lit("contains").alias("predicate"), ident("part", "l_partkey").alias("object"), F.array(entry).alias("evidence"))
+
+
+def supplier_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as registered sources, with their balance."""
+    no_text = lambda name: F.lit(None).cast("string").alias(name)
+    fields = [F.lit("supplier").alias("source_type"), F.col("s_name").alias("title"), F.lit("open").alias("access_level"), F.lit(None).cast("array<string>").alias("creators")]
+    return table(spark, sf_dir, "supplier").select(ident("supplier", "s_suppkey").alias("source_id"), *fields, *[no_text(n) for n in ("url", "publication_date", "page_date", "page_last_reviewed")], "s_acctbal")
+
+
+def turn_id():
+    return F.concat_ws(":", "conv_id", "turn")
+
+
+def conversation_answers(turns: DataFrame, kind=None) -> DataFrame:
+    """(request_id, answer_units): conversations as answers of a unit for each turn. kind: the unit type, claims if not given; a gap's code is its role."""
+    kind = F.lit("MATERIAL_CLAIM") if kind is None else kind
+    none = F.lit(None).cast("string")
+    unit = F.struct("turn", turn_id().alias("unit_id"), kind.alias("unit_type"), F.when(kind == "MATERIAL_CLAIM", turn_id()).otherwise(none).alias("claim_id"), F.when(kind != "MATERIAL_CLAIM", F.col("role")).otherwise(none).alias("gap_code"))
+    return turns.groupBy(F.col("conv_id").cast("string").alias("request_id")).agg(F.array_sort(F.collect_list(unit)).alias("answer_units"))

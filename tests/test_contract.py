@@ -11,8 +11,8 @@ from factloom.operators import integrity as I
 
 EVIDENCE = "array<struct<source_id:string,locator:string,evidence_type:string>>"
 GOOD = {
-    "schema_version": "1", "request_id": "r1", "knowledge_version": "k1", "source_commit": "c", "runtime_bundle_sha256": "b", "disposition": "PARTIAL", "answer_text": "Text one (note)\nGap text",
-    "answer_units": [{"unit_id": "u1", "unit_type": "claim", "claim_id": "C1", "citation_ids": ["x1"]}, {"unit_id": "u2", "unit_type": "gap", "gap_code": "G1"}],
+    "schema_version": "1", "request_id": "r1", "knowledge_version": "k1", "source_commit": "c", "runtime_bundle_sha256": "b", "disposition": "PARTIAL", "answer_text": "Text one\nNote\nGap text",
+    "answer_units": [{"unit_id": "u1", "unit_type": "MATERIAL_CLAIM", "claim_id": "C1", "citation_ids": ["x1"]}, {"unit_id": "u2", "unit_type": "COVERAGE_GAP", "gap_code": "G1"}],
     "material_claims": [{"claim_id": "C1", "entity_ids": ["b", "a"], "qualifiers": {"role": "x"}}], "citations": [{"citation_id": "x1", "claim_id": "C1", "source_id": "s1", "source_label": "Title", "locator": "p1", "visible_to_student": True}],
     "coverage_gaps": [{"gap_code": "G1"}], "validation": {"result": "PASS", "checked_contract_id": "K", "hard_fail_codes": []},
 }
@@ -23,7 +23,7 @@ def context(spark):
     claims = spark.createDataFrame([("C1", ["a", "b"], [("s1", "p1", "d")], "Text one"), ("C2", ["a"], [("s1", "p2", "d")], "Text two")], f"claim_id string, entity_ids array<string>, evidence {EVIDENCE}, render_text string")
     return {
         "claims": claims, "requests": spark.createDataFrame([("r1", "k1")], "request_id string, knowledge_version string"), "sources": spark.createDataFrame([("s1", "Title")], "source_id string, title string"),
-        "required": spark.createDataFrame([("C1", '{"role":"x"}')], "claim_id string, qualifiers string"), "gaps": spark.createDataFrame([("G1", "Gap text")], "gap_code string, text string"), "notices": spark.createDataFrame([("C1", " (note)")], "claim_id string, notice string"),
+        "required": spark.createDataFrame([("C1", '{"role":"x"}')], "claim_id string, qualifiers string"), "gaps": spark.createDataFrame([("G1", "Gap text")], "gap_code string, text string"), "notices": spark.createDataFrame([("C1", "Note")], "claim_id string, notice string"),
     }
 
 
@@ -55,6 +55,17 @@ MUTATIONS = [
 ]
 
 
+def test_rendering_and_qualifiers(spark, context):
+    """A notice is a line of its own; qualifiers are mappings; other words for unit types can be given."""
+    df = C.responses_of(spark.createDataFrame([(json.dumps(GOOD),)], "record string"))
+    assert C.render_answers(df, context["claims"], context["gaps"], context["notices"]).first().rendered == "Text one\nNote\nGap text"
+    spaced = context | {"required": spark.createDataFrame([("C1", ' { "role" : "x" } ')], "claim_id string, qualifiers string")}
+    assert violations(spark, spaced, [GOOD]) == set()
+    told = json.dumps(GOOD).replace("MATERIAL_CLAIM", "claim")
+    df = C.responses_of(spark.createDataFrame([(told,)], "record string"))
+    assert C.render_answers(df, context["claims"], context["gaps"], context["notices"], claim_unit="claim").first().rendered == "Text one\nNote\nGap text"
+
+
 def test_mutated_responses(spark, context):
     changed = [change(path, value) | {"request_id": f"r{k}"} for k, (path, value, _) in enumerate(MUTATIONS, 2)]
     wider = context | {"requests": spark.createDataFrame([(f"r{k}", "k1") for k in range(1, len(MUTATIONS) + 2)], "request_id string, knowledge_version string")}
@@ -78,6 +89,11 @@ def test_audit(spark):
     for r in C.audit_violations(spark.createDataFrame(rows, schema), requests, responses, "1").collect():
         found.setdefault(r.key, set()).add(r.rule)
     assert "a1" not in found
+    known = spark.createDataFrame([("C2",)], "claim_id string")
+    assert ("a1", "admitted_known") in {(r.key, r.rule) for r in C.audit_violations(spark.createDataFrame(rows, schema), requests, responses, "1", known).collect()}
+    few = [("few", *good[1:14], 0), ("none", *good[1:9], "ABSTAIN", *good[10:14], 0)]
+    cover = {(r.key, r.rule) for r in C.audit_violations(spark.createDataFrame(few, schema), requests, responses, "1").collect() if r.rule == "citations_cover"}
+    assert cover == {("few", "citations_cover")}
     for n in mutations:
         assert ("citations" if n == "citation_count" else n) in found[f"m_{n}"], n
 
@@ -153,11 +169,13 @@ def test_integrity(spark, edges):
 
 def test_reviewers(spark):
     schema = "reviewer_id string, completion_status string, metadata_valid boolean, all_required_case_scores_present boolean, top_level_conclusion string, release_recommendation string, defects array<string>, critical_disagreement struct<status:string>"
-    good = ["complete", True, True, "PASS", "RELEASE", None, None]
-    rows = [("ok", *good)]
-    for k, v in enumerate(["partial", False, None, "FAIL", "HOLD", ["INCOMPLETE_SCORES"], ("unresolved",)]):
+    good = ["COMPLETE", True, True, "PASS", "RECOMMEND_RELEASE", None, None]
+    rows = [("ok", *good), ("settled", *good[:5], ["OTHER"], ("RESOLVED",)), ("critical", "COMPLETE", True, True, "FAIL", "DO_NOT_RELEASE", [], None)]
+    for k, v in enumerate(["PARTIAL", False, None, "PENDING", "PENDING", ["ALL_REQUIRED_CASE_SCORES_MISSING"], ("UNRESOLVED_REQUIRES_ADJUDICATION",)]):
         rows.append((f"bad{k}", *good[:k], v, *good[k + 1 :]))
-    assert [r.reviewer_id for r in spark.createDataFrame(rows, schema).where(I.eligible()).collect()] == ["ok"]
+    records = spark.createDataFrame(rows, schema)
+    assert [r.reviewer_id for r in records.where(I.eligible()).collect()] == ["ok", "settled", "critical"]
+    assert [r.reviewer_id for r in I.release_blocked(records).collect()] == ["bad6"]
 
 
 def test_audit_stream(spark, tmp_path):

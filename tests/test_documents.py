@@ -178,9 +178,11 @@ def test_registry(spark, tmp_path):
 
 
 def test_extensions(spark, tmp_path, sources):
-    ext = {"schema_version": "1", "extension_id": "e", "extends_entity": "parasite.p", "review_status": "reviewed", "admission": {"batch_id": "B2", "atom_ids": ["A-002"]}, "relations": [relation("host.h", "A-002")], "review": {"reviewed_by": "x", "last_reviewed": "d"}}
+    ext = {"schema_version": "1", "extension_id": "extension.e", "extends_entity": "parasite.p", "review_status": "reviewed", "admission": {"batch_id": "B2", "atom_ids": ["A-002"]}, "relations": [relation("host.h", "A-002")], "review": {"reviewed_by": "course_lead", "last_reviewed": "d"}}
     nodes = spark.createDataFrame([("parasite.p", "parasite"), ("host.h", "host")], "id string, entity_type string")
-    files = {"ok.md": ext, "draft.md": ext | {"review_status": "draft"}, "base.md": ext | {"extends_entity": "parasite.q"}, "atom.md": ext | {"relations": [relation("host.h", "A-009")]}, "role.md": ext | {"review": {}}, "fields.md": {"extension_id": "e"}, "batch.md": ext | {"admission": {"batch_id": "B1", "atom_ids": ["A-002"]}}}
+    files = {"ok.md": ext, "draft.md": ext | {"review_status": "draft"}, "base.md": ext | {"extends_entity": "parasite.q"}, "atom.md": ext | {"relations": [relation("host.h", "A-009")]}, "role.md": ext | {"review": {}}, "fields.md": {"extension_id": "e"}, "prefix.md": ext | {"extension_id": "e"}, "who.md": ext | {"review": {"reviewed_by": "x", "last_reviewed": "d"}}, "batch.md": ext | {"admission": {"batch_id": "B1", "atom_ids": ["A-002"]}}}
+    files = {k: v | ({"extension_id": f"extension.{k[:-3]}"} if k not in ("fields.md", "prefix.md") else {}) for k, v in files.items()}
+    files["twice.md"] = files["ok.md"]  # repeats the id of a document before it
     docs = D.read_extensions(spark, folder(tmp_path, {k: markdown(v) for k, v in files.items()}))
     assert {r.path for r in K.check_extensions(docs, nodes, V, sources, "B2").collect()} == set(files) - {"ok.md"}
 
