@@ -36,7 +36,7 @@ from factloom.session import discard, materialize, partitions, scratch_path, shi
 CHUNK_CHARS = 1 << 18
 SPACE = uuid.UUID("6f1f1c1e-4a1f-5d58-9f5b-0f3f1a4ce0a1")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DIGESTS = "record bigint, page_id bigint, url string, bytes bigint, sha1 string, sha256 string, block string"
+DIGESTS = "record bigint, page_id bigint, url string, bytes bigint, sha1 binary, sha256 binary, block binary"
 MANIFEST = "file string, records bigint, bytes bigint"
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, chunk int, payload binary"
 
@@ -93,13 +93,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest.update(data)
             n += len(data)
             if chunk == chunks - 1:
-                out.append((record, page, url, n, _base32(sha1), sha256.hexdigest(), _base32(block)))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+                out.append((record, page, url, n, sha1.digest(), sha256.digest(), block.digest()))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["record", "page_id", "url", "bytes", "sha1", "sha256", "block"])
 
 
-def _base32(digest) -> str:
-    return base64.b32encode(digest.digest()).decode()
+def _base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
 
 
 def record_types(chunks: DataFrame, least: int = 0) -> DataFrame:
@@ -130,13 +130,13 @@ def _uri(url: str) -> str:
     return quote(url, safe=":/?#[]@!$&()*+,;=%~" + chr(39))
 
 
-def header(record: int, page: int | None, url: str | None, kind: str, n: int, sha1: str, block: str, of_record: int | None, of_page: int | None, of_url: str | None, date: str) -> bytes:
+def header(record: int, page: int | None, url: str | None, kind: str, n: int, sha1: bytes, block: bytes, of_record: int | None, of_page: int | None, of_url: str | None, date: str) -> bytes:
     """The WARC header and the HTTP header of the block."""
     http = http_header(n)
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(record)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_uri(url)}")
-    lines += [f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha1:{block if kind == 'response' else _base32(hashlib.sha1(http))}", "Content-Type: application/http;msgtype=response"]
+    lines += [f"WARC-Payload-Digest: sha1:{_base32(sha1)}", f"WARC-Block-Digest: sha1:{_base32(block if kind == 'response' else hashlib.sha1(http).digest())}", "Content-Type: application/http;msgtype=response"]
     if kind == "revisit":
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(of_record)}", f"WARC-Refers-To-Date: {date}"]
         if of_url is not None:
