@@ -315,24 +315,50 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return calibrate(model, {lang: sorted(e) for lang, e in entropy.items()})
 
 
+#: Code points that are counted at once.
+COUNTED = 1 << 20
+
+
 def _letters_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts() -> pa.RecordBatch:
+        letter, n = np.unique(np.concatenate(of), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(letter[letter != 32].astype(np.int64)), pa.array(n[letter != 32].astype(np.int64))], names=["letter", "n"])
+
+    of: list[np.ndarray] = []
+    size = 0
     for batch in batches:
-        of = [codes(t) for t in batch.column(0).to_pylist() if has_letter(t)]
-        letter, n = np.unique(np.concatenate(of) if of else np.zeros(0, np.uint32), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(letter[letter != 32].astype(np.int64)), pa.array(n[letter != 32].astype(np.int64))], names=["letter", "n"])
+        for text in batch.column(0):
+            if has_letter(t := text.as_py()):
+                of.append(codes(t))
+                size += len(of[-1])
+                if size > COUNTED:
+                    yield counts()
+                    of, size = [], 0
+    if of:
+        yield counts()
 
 
 def _grams_of(alphabet: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            groups: dict[tuple[str, bool], list[np.ndarray]] = {}
-            for lang, text, held in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if has_letter(text):
-                    groups.setdefault((lang, held), []).append(codes(text))
+        groups: dict[tuple[str, bool], list[np.ndarray]] = {}
+        size = 0
+
+        def counts() -> Iterator[pa.RecordBatch]:
             for (lang, held), of in groups.items():
                 gram, n = gram_counts(of, alphabet)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array([held] * len(gram), pa.bool_()), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "held", "gram", "n"])
 
+        for batch in batches:
+            for lang, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                if has_letter(t := text.as_py()):
+                    own = codes(t)
+                    groups.setdefault((lang, held), []).append(own)
+                    size += len(own)
+                    if size > COUNTED:
+                        yield from counts()
+                        groups, size = {}, 0
+        yield from counts()
+
     return run
 
 
