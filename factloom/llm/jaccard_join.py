@@ -19,7 +19,8 @@ where two different shingles within one pair of documents agree by chance, n * n
 
 Defined results: null or empty text gives an empty set, which links with nothing; fewer words than
 the shingle length make one shingle of the whole sequence; rows with equal ids count as one document
-in the links; a row with null id links with nothing and has a null component.
+in the links; a row with null id links with nothing and has a null component; an empty table gives
+no rows; other input columns are not carried.
 """
 
 from __future__ import annotations
@@ -558,17 +559,19 @@ def _giant_links(rows: DataFrame, part_shingles: int, length: int, num: int, den
     named = materialize(blocked.join(labels, "id", "left").withColumn("label", F.coalesce("_label", "id")).drop("_label"), "join-giant-labels")
     # the largest component of each part needs no more joins within itself
     counts = named.groupBy("part", "label").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("part").agg(F.max_by("label", F.struct("c", "label")).alias("_largest"))
-    split = named.join(F.broadcast(largest) if largest.count() < 10_000 else largest, "part")
+    largest = materialize(counts.groupBy("part").agg(F.max_by("label", F.struct("c", "label")).alias("_largest"), F.sum("c").alias("_rows")), "join-giant-largest")
+    split = materialize(join_counted(named, largest, ["part"], "_rows").drop("_rows"), "join-giant-split")
+    discard(named)
     others = split.where("label <> _largest")
     if others.isEmpty():
         return first
     sized = others.groupBy("part").agg(F.count("*").alias("_others"), F.sum(F.length("text")).alias("_chars"))
-    others = others.join(sized, "part").withColumn("groups", F.ceil(F.col("_chars") / (8 * part_shingles)).cast("bigint") + 1).withColumn("group", F.pmod(F.xxhash64("id", F.lit("other")), F.col("groups")))
-    per_part = others.groupBy("part").agg(F.max("groups").alias("groups"))
+    sized = materialize(sized.withColumn("groups", F.ceil(F.col("_chars") / (8 * part_shingles)).cast("bigint") + 1).drop("_chars"), "join-giant-sized")
+    others = join_counted(others, sized, ["part"], "_others").drop("_others").withColumn("group", F.pmod(F.xxhash64("id", F.lit("other")), F.col("groups")))
+    per_part = sized.join(largest.select("part", "_rows"), "part").select("part", "groups", "_rows")
     # task = group of others * blocks + block; a document is on either side at most once for each task
     left = others.withColumn("task", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda b: F.col("group") * F.col("blocks") + b))).withColumn("side", F.lit(0))
-    right = split.join(per_part, "part").withColumn("task", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1), lambda g: g * F.col("blocks") + F.col("block")))).withColumn("side", F.lit(1))
+    right = join_counted(split, per_part, ["part"], "_rows").withColumn("task", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1), lambda g: g * F.col("blocks") + F.col("block")))).withColumn("side", F.lit(1))
     cols = ["part", "task", "side", "id", "label", "text"]
     second = _run_parts(left.select(cols).unionByName(right.select(cols)), length, num, den, "join-giant-second")
     return first.unionByName(second)
