@@ -12,7 +12,7 @@ blank, tab and line breaks, so the ids of a text are those of its words one afte
 
 Defined results: null or empty text has only the end id and so one piece of one token; every row is
 a document of its own, also when rows or ids repeat; a null id is kept; an empty table gives no
-pieces. Only documents longer than the capacity are cut.
+pieces; other input columns are not carried. Only documents longer than the capacity are cut.
 """
 
 from __future__ import annotations
@@ -205,6 +205,7 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
 
 def _round(capacity: int, round_items: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Tokens._made.clear()  # workers that made the pieces don't need their word caches any more
         first = TaskContext.get().partitionId() << 33
         bins: list[int] = []
         fills: list[int] = []

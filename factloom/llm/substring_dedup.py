@@ -20,7 +20,8 @@ chunk, so a passage in very many documents costs one entry a chunk. Documents of
 sequences are found first and only the first of them takes part.
 
 Defined results: null or empty text has no words; texts under the window length lose nothing; rows that share an id
-are ordered as they come; null ids come last; an empty table gives no rows.
+are ordered as they come; null ids come last; an empty table gives no rows; other input columns are
+not carried.
 """
 
 from __future__ import annotations
