@@ -93,8 +93,13 @@ def files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = Tru
 
 def read_documents(spark: SparkSession, path: str, recursive: bool = True, skip: tuple[str, ...] = ("README.md",), parse: Callable[[str], tuple[str, str]] = parse_markdown, glob: str = "*.md") -> DataFrame:
     """(path, parts, name, bytes, content, text, meta, body, parse_error) of every document."""
-    ship(spark)
-    rows = files(spark, path, glob, recursive, skip).withColumn("text", normal_eol(F.decode("content", "UTF-8")))
+    return parse_texts(files(spark, path, glob, recursive, skip).withColumn("text", F.decode("content", "UTF-8")), parse)
+
+
+def parse_texts(rows: DataFrame, parse: Callable[[str], tuple[str, str]] = parse_markdown) -> DataFrame:
+    """rows with their `text` at LF line ends, and meta, body and parse_error of it."""
+    ship(rows.sparkSession)
+    rows = rows.withColumn("text", normal_eol(F.col("text")))
     return rows.withColumn("_p", _parser(parse)("text")).select("*", "_p.meta", "_p.body", "_p.parse_error").drop("_p")
 
 
