@@ -16,7 +16,9 @@ from factloom.plans.tables import conversation_answers, ident, line_edges, relat
 from factloom.session import materialize, scratch_path, table
 from factloom.sources import documents as sources
 
-NOTHING = F.lit(None).cast("string")
+
+def nothing() -> Column:
+    return F.lit(None).cast("string")
 
 
 def tallied(findings: DataFrame) -> DataFrame:
@@ -162,7 +164,7 @@ def registry_findings(spark: SparkSession, d: str) -> DataFrame:
     rows = s.select("s_nationkey", F.struct("s_suppkey", entry.alias("e")).alias("x")).groupBy("s_nationkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     listed = F.concat(F.lit('{"sources":['), F.array_join(F.transform("xs", lambda x: x["e"]), ","), F.lit("]}"))
     path = F.concat(F.lit("r"), F.lpad(k.cast("string"), 2, "0"), F.lit(".yml"))
-    registry = rows.select(path.alias("path"), F.when(k == 7, '{"sources":{}}').otherwise(listed).alias("meta"), NOTHING.alias("parse_error"))
+    registry = rows.select(path.alias("path"), F.when(k == 7, '{"sources":{}}').otherwise(listed).alias("meta"), nothing().alias("parse_error"))
     return tallied(knowledge_rules.check_registry(registry, v)[0])
 
 
@@ -197,7 +199,7 @@ def document_findings(spark: SparkSession, d: str) -> DataFrame:
     name = chosen((at(0), F.concat(F.lit("Customer "), "id")), (at(1), F.concat(F.lit("nation.x"), "id")), (at(15), F.lit("customer.twin")), default=F.concat(F.lit("customer.c"), "id"))
     head = F.to_json(F.struct(
         F.lit("1").alias("schema_version"), name.alias("id"), F.when(at(-1), "virus").otherwise("customer").alias("entity_type"), F.when(at(2), "　").otherwise(F.col("c_name")).alias("name_zh"), F.array().cast("array<string>").alias("aliases"),
-        F.array(F.when(at(3), "moon").otherwise("trade")).alias("one_health_domains"), F.when(at(-2), NOTHING).otherwise("s").alias("summary"), F.when(at(4), "done").otherwise("reviewed").alias("review_status"), F.create_map(F.lit("a"), F.lit("b")).alias("review"),
+        F.array(F.when(at(3), "moon").otherwise("trade")).alias("one_health_domains"), F.when(at(-2), nothing()).otherwise("s").alias("summary"), F.when(at(4), "done").otherwise("reviewed").alias("review_status"), F.create_map(F.lit("a"), F.lit("b")).alias("review"),
     ))
     meta = F.concat(F.substring(head, 1, 1_000_000).substr(F.lit(1), F.length(head) - 1), F.lit(',"relations":'), listed, F.lit("}"))
     path = F.concat(F.lit("c/"), "id", F.lit(".md"))
@@ -209,7 +211,7 @@ def document_findings(spark: SparkSession, d: str) -> DataFrame:
         F.lit("s").alias("summary"), F.lit("reviewed").alias("review_status"), F.array().cast("array<string>").alias("relations"), F.create_map(F.lit("a"), F.lit("b")).alias("review"),
     ))
     there = F.concat(F.lit("n/"), F.col("n_nationkey").cast("string"), F.lit(".md"))
-    nations = table(spark, d, "nation").select(there.alias("path"), F.split(there, "/").alias("parts"), plain.alias("meta"), F.lit("## Summary\n## Evidence").alias("body"), NOTHING.alias("parse_error"))
+    nations = table(spark, d, "nation").select(there.alias("path"), F.split(there, "/").alias("parts"), plain.alias("meta"), F.lit("## Summary\n## Evidence").alias("body"), nothing().alias("parse_error"))
     return tallied(knowledge_rules.check_documents(docs.unionByName(nations), v, spark.createDataFrame([("source.tables",)], "source_id string")))
 
 
@@ -228,13 +230,13 @@ def extension_findings(spark: SparkSession, d: str) -> DataFrame:
     item = F.array(F.struct(F.lit("source.tables").alias("source_id"), F.lit("1").alias("locator"), F.lit("direct_statement").alias("evidence_type")))
     atom = F.struct(F.when(at(10), "A-none").otherwise(F.concat(F.lit("A-"), key)).alias("source_atom_id"))
     relation = F.struct(F.when(at(8), "eats").otherwise("in_nation").alias("predicate"), F.concat(F.lit("nation.n"), nation).alias("object"), F.lit("lies there").alias("statement_zh"), F.when(at(9), "draft").otherwise("reviewed").alias("relation_status"), item.alias("evidence"), atom.alias("qualifiers"))
-    review = F.struct(F.when(at(4), "someone").otherwise("course_lead").alias("reviewed_by"), F.when(at(5), NOTHING).otherwise("2020").alias("last_reviewed"))
+    review = F.struct(F.when(at(4), "someone").otherwise("course_lead").alias("reviewed_by"), F.when(at(5), nothing()).otherwise("2020").alias("last_reviewed"))
     meta = F.to_json(F.struct(
         F.lit("1").alias("schema_version"), name.alias("extension_id"), F.when(at(6), F.lit("supplier.none")).otherwise(F.concat(F.lit("supplier.s"), key)).alias("extends_entity"), F.when(at(2), "draft").otherwise("reviewed").alias("review_status"),
         F.struct(F.when(at(3), "B1").otherwise("B2").alias("batch_id"), F.array(F.concat(F.lit("A-"), key)).alias("atom_ids")).alias("admission"), F.when(at(7), F.filter(F.array(relation), lambda r: F.lit(False))).otherwise(F.array(relation)).alias("relations"), F.when(~at(11), review).alias("review"),
     ))
     s = table(spark, d, "supplier")
-    docs = s.select(F.concat(key, F.lit(".md")).alias("path"), meta.alias("meta"), NOTHING.alias("parse_error"))
+    docs = s.select(F.concat(key, F.lit(".md")).alias("path"), meta.alias("meta"), nothing().alias("parse_error"))
     nodes = s.select(F.concat(F.lit("supplier.s"), key).alias("id"), F.lit("supplier").alias("entity_type"))
     return tallied(knowledge_rules.check_extensions(docs, nodes, v, spark.createDataFrame([("source.tables",)], "source_id string"), "B2"))
 
@@ -296,7 +298,7 @@ def response_findings(spark: SparkSession, d: str) -> DataFrame:
     claim = F.concat_ws("/", key, part)  # a claim is of one order
     qualifiers = '{"n": 1.0, "a": "x"}'
     entry = F.struct(
-        F.struct(F.lit("1").alias("unit_id"), F.lit(contract.CLAIM_UNIT).alias("unit_type"), claim.alias("claim_id"), F.array(place(F.lit("c"))).alias("citation_ids"), NOTHING.alias("gap_code")).alias("u"),
+        F.struct(F.lit("1").alias("unit_id"), F.lit(contract.CLAIM_UNIT).alias("unit_type"), claim.alias("claim_id"), F.array(place(F.lit("c"))).alias("citation_ids"), nothing().alias("gap_code")).alias("u"),
         F.struct(claim.alias("claim_id"), F.array(F.when(F.col("pr") == "1-URGENT", F.lit("other")).otherwise(source), part).alias("entity_ids"), F.when(F.col("pr") == "2-HIGH", "{}").otherwise('{"a":"x","n":1}').alias("qualifiers")).alias("m"),
         F.struct(place(F.lit("c")).alias("citation_id"), claim.alias("claim_id"), source.alias("source_id"), F.when(F.col("s_acctbal") < 0, "other").otherwise(F.col("s_name")).alias("source_label"), F.when(F.col("pr") == "3-MEDIUM", "none").otherwise(place(F.lit("x"))).alias("locator"), (F.col("s_acctbal") <= 9000).alias("visible_to_student")).alias("c"),
     )
@@ -464,7 +466,7 @@ def run_findings(spark: SparkSession, d: str) -> DataFrame:
     answered = o.select(
         F.concat(F.lit("C-"), F.col("o_orderkey").cast("string")).alias("case_id"), F.when(status == "F", "ANSWER").when(status == "O", "ABSTAIN").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "MAYBE").otherwise("PARTIAL").alias("disposition"),
         F.when(price < 10000, " ").otherwise("text").alias("answer_text"), F.array(ident("customer", "o_custkey")).alias("retrieved_entity_ids"), none.alias("used_relation_atom_ids"), none.alias("cited_source_ids"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", NOTHING).otherwise("R").alias("reason_code"), F.when(price < 100000, none).otherwise(F.array(F.lit("g"))).alias("missing_coverage"), "o_totalprice",
+        F.when(F.col("o_orderpriority") == "1-URGENT", nothing()).otherwise("R").alias("reason_code"), F.when(price < 100000, none).otherwise(F.array(F.lit("g"))).alias("missing_coverage"), "o_totalprice",
     )
     responses = answered.unionByName(answered.where("o_totalprice > 400000")).drop("o_totalprice")
     ids = spark.createDataFrame([], "id string")
