@@ -116,7 +116,7 @@ def test_formatted_and_empty(spark):
     assert C.conversation_digests(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(0, 600)), st.sampled_from(["system", "user", "assistant", "as\nsist\\n", None]), st.integers(0, 500)), max_size=60))
 def test_budget_and_sql_on_random_turns(spark, rows):
     """Windows keep the budget, and the query's SQL gives the same rows, ties and roles with line ends included."""
