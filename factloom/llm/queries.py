@@ -217,6 +217,65 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 """
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.merkle import fold, leaf_digest, manifest, path_digest
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = leaf_digest(*[F.col(c) for c in rows.columns])
+    altered = leaf_digest(*[F.col(c).cast("decimal(20,0)") + 1 if c == "n_chars" else F.col(c) for c in rows.columns])
+    given = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, altered).otherwise(leaf)
+    proofs = manifest(rows.select("doc_id", "lang", leaf.alias("leaf"), given.alias("given")), "lang", ["doc_id", "leaf"], "leaf")
+    told = proofs.select("doc_id", "leaf", "subroot", "root", path_digest(F.col("path")).alias("proof_sha256"), fold(F.col("given"), F.col("path")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: CRC-32 of an id's decimal digits, bit by bit; trees and paths level by level.
+SQL["op11_merkle_manifest"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, source, text, n_chars, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(8 * length(CAST(doc_id AS VARCHAR))), lambda i: CASE WHEN i % 8 = 0 THEN CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(i // 8 + 1 AS INTEGER), 1)) AS BIGINT) ELSE 0 END)),
+    lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END) AS inv
+  FROM documents
+), f AS (
+  SELECT doc_id, lang, (4294967295 - inv) % 7 = 0 AS bad, n_chars,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM d
+), l AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen(CAST(n_chars + CAST(bad AS INTEGER) AS VARCHAR)) || ':' || (n_chars + CAST(bad AS INTEGER)), '-') || tail) AS given
+  FROM f
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l
+), t(lang, lvl, pos, n, h) AS (
+  SELECT lang, 0, pos, n, leaf FROM o
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 2, n
+), s AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1
+), u(lvl, pos, n, h) AS (
+  SELECT 0, pos, n, subroot FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n
+), r AS (
+  SELECT h AS root FROM u WHERE n = 1
+), p(doc_id, leaf, lang, lvl, pos, n, path, now) AS (
+  SELECT doc_id, leaf, lang, 0, pos, n, '', given FROM o
+  UNION ALL
+  SELECT p.doc_id, p.leaf, p.lang, p.lvl + 1, p.pos // 2, (p.n + 1) // 2, path || coalesce(t.h, ''),
+    CASE WHEN t.h IS NULL THEN sha256(now) WHEN p.pos % 2 = 1 THEN sha256(t.h || now) ELSE sha256(now || t.h) END
+  FROM p LEFT JOIN t ON t.lang IS NOT DISTINCT FROM p.lang AND t.lvl = p.lvl AND t.pos = CASE WHEN p.pos % 2 = 1 THEN p.pos - 1 ELSE p.pos + 1 END WHERE p.n > 1
+), q(doc_id, leaf, subroot, lvl, pos, n, path, now) AS (
+  SELECT p.doc_id, p.leaf, s.subroot, 0, s.pos, s.n, p.path, p.now FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang WHERE p.n = 1
+  UNION ALL
+  SELECT q.doc_id, q.leaf, q.subroot, q.lvl + 1, q.pos // 2, (q.n + 1) // 2, path || coalesce(u.h, ''),
+    CASE WHEN u.h IS NULL THEN sha256(now) WHEN q.pos % 2 = 1 THEN sha256(u.h || now) ELSE sha256(now || u.h) END
+  FROM q LEFT JOIN u ON u.lvl = q.lvl AND u.pos = CASE WHEN q.pos % 2 = 1 THEN q.pos - 1 ELSE q.pos + 1 END WHERE q.n > 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, now AS folded_root, now = root AS verified FROM q CROSS JOIN r WHERE q.n = 1
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
