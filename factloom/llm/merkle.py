@@ -155,20 +155,24 @@ class Forest:
             messages = self.vertices[-1].filter(lambda v: v[1][0] > 1).map(lambda v: ((v[0][0], v[0][1] >> levels), (v[0][1] & width, v[1][0], v[1][1][-1][0], None)))
 
     def roots(self) -> RDD:
-        """(group, digest) of every tree."""
-        return self.vertices[0].context.union([v.filter(lambda x: x[1][0] == 1).map(lambda x: (x[0][0], x[1][1][-1][0])) for v in self.vertices])
+        """(group, digest, superstep that completed it) of every tree."""
+
+        def ended(k: int):
+            return lambda x: (x[0][0], x[1][1][-1][0], k)
+
+        return self.vertices[0].context.union([v.filter(lambda x: x[1][0] == 1).map(ended(k)) for k, v in enumerate(self.vertices)])
 
     def paths(self, above: RDD) -> RDD:
-        """(the group's facts, digest, siblings on the way, what it carries) of every leaf. above: (group, (siblings above its tree, facts))."""
-        tops, messages = above.map(lambda x: ((x[0], 0), x[1])), None
-        levels = self.levels
-        for k in range(len(self.vertices) - 1, -1, -1):
-            ends = tops.join(self.vertices[k].filter(lambda v: v[1][0] == 1).mapValues(lambda _: None), self.parts).mapValues(lambda x: x[0])
-            told = ends if messages is None else ends.union(messages)
-            met = self.vertices[k].join(told, self.parts)
-            if k:
-                messages = met.flatMap(_tell(levels))
-        return met.flatMap(_reach)
+        """(the group's facts, digest, siblings on the way, what it carries) of every leaf. above: (group, superstep that completed it, (siblings above its tree, facts))."""
+
+        def to_top(k: int) -> RDD:
+            return above.filter(lambda x: x[1] == k).map(lambda x: ((x[0], 0), x[2]))
+
+        last = len(self.vertices) - 1
+        told = to_top(last)
+        for k in range(last, 0, -1):
+            told = self.vertices[k].join(told, self.parts).flatMap(_tell(self.levels)).union(to_top(k - 1))
+        return self.vertices[0].join(told, self.parts).flatMap(_reach)
 
 
 def manifest(rows: DataFrame, group: str, order: list[str], leaf: str, levels: int = LEVELS) -> DataFrame:
@@ -183,7 +187,9 @@ def manifest(rows: DataFrame, group: str, order: list[str], leaf: str, levels: i
     kept = without(rows, T.StructType.fromDDL(RESULT).names)
     schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(RESULT).fields])
     at = {c: f"c{k}" for k, c in enumerate(kept.columns)}  # names that don't meet those of ranked()
-    placed = ranked(kept.toDF(*at.values()), at[group], [at[c] for c in order])
+    given = materialize(kept.toDF(*at.values()), "merkle-leaves")  # the range sort reads its input twice
+    placed = ranked(given, at[group], [at[c] for c in order])
+    discard(given)
     longest = placed.agg(F.max("_n")).first()[0]
     if not longest:
         return spark.createDataFrame([], schema)
@@ -191,10 +197,10 @@ def manifest(rows: DataFrame, group: str, order: list[str], leaf: str, levels: i
     leaves = placed.select(*at.values(), "_pos", "_n", "_name").rdd.map(lambda r: (r[width + 2], r[width], r[width + 1], r[digest], r[: width + 2]))
     forest = Forest(leaves, longest, n, levels)
     discard(placed)
-    tops = ranked(spark.createDataFrame(forest.roots(), "name string, digest string"), None, ["name"])
+    tops = ranked(spark.createDataFrame(forest.roots(), "name string, digest string, step int"), None, ["name"])
     count = tops.count()
-    crown = Forest(tops.select("name", "digest", "_pos", "_n").rdd.map(lambda r: (0, r[2], r[3], r[1], r[0])), count, min(n, 1 + (count >> levels)), levels)
+    crown = Forest(tops.select("name", "step", "digest", "_pos", "_n").rdd.map(lambda r: (0, r[3], r[4], r[2], (r[0], r[1]))), count, min(n, 1 + (count >> levels)), levels)
     discard(tops)
     # a group's facts are its subroot and the root; its tree goes on below the siblings of its subroot
-    above = _held(crown.paths(crown.roots().map(lambda r: (r[0], ([], r[1])))).map(lambda x: (x[3], (x[2], (x[1], x[0])))))
+    above = _held(crown.paths(crown.roots().map(lambda r: (r[0], r[2], ([], r[1])))).map(lambda x: (*x[3], (x[2], (x[1], x[0])))))
     return spark.createDataFrame(forest.paths(above).map(lambda x: (*x[3], *x[0], x[2])), schema, verifySchema=False)
