@@ -276,6 +276,13 @@ SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, now AS folded_
 """
 
 
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
