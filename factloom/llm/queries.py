@@ -283,6 +283,33 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+@query
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "n_links", "component_id", "kept")
+
+
+SQL["op12_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), u AS (
+  SELECT *, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS s FROM v
+), f AS (
+  SELECT k, vec_id, list_transform(x, lambda e: e / s) AS x, len(x) AS d FROM u WHERE s > 0 AND isfinite(s) AND len(list_filter(x, lambda e: e IS NULL)) = 0
+), l AS (
+  SELECT a.k AS a, b.k AS b FROM f a JOIN f b ON a.k <> b.k AND a.d = b.d AND list_inner_product(a.x, b.x) >= 0.9
+), r(a, b) AS (
+  SELECT k, k FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+), m AS (
+  SELECT r.a, min(v.vec_id) AS component_id FROM r JOIN v ON v.k = r.b GROUP BY r.a
+), n AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.component_id, v.vec_id = m.component_id AS kept FROM v JOIN m ON m.a = v.k LEFT JOIN n ON n.a = v.k
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
