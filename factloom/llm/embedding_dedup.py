@@ -183,8 +183,8 @@ def find_balls(items: DataFrame, threshold: float, crowd: int = CROWD, chunk: in
 
 
 def _thresholds(x: np.ndarray, tree: int, depth: int, levels: int, overlap: float, leaf: float) -> np.ndarray:
-    """(low, high) of each node of a subtree fitted on x, in heap order; nan where a node has `leaf` items or less and isn't split."""
-    bounds = np.full((2 ** (levels + 1), 2), np.nan)
+    """(low, high) of each node of a subtree fitted on x, in heap order; infinite where a node has `leaf` items or less and isn't split."""
+    bounds = np.full((2 ** (levels + 1), 2), np.inf)
     inside = {1: np.arange(len(x))}
     for level in range(levels):
         p = x @ directions(1000 + tree * 1000 + depth + level, 1, x.shape[1])[:, 0]
@@ -203,7 +203,7 @@ def _place(x: np.ndarray, spread: np.ndarray, bounds: np.ndarray, tree: int, dep
     row, node, ended = np.arange(len(x)), np.ones(len(x), dtype=np.int64), []
     for level in range(levels):
         low, high = bounds[node, 0], bounds[node, 1]
-        stays = np.isnan(low)
+        stays = np.isinf(low)
         ended.append((row[stays], node[stays]))
         row, node, low, high = row[~stays], node[~stays], low[~stays], high[~stays]
         p = x[row] @ directions(1000 + tree * 1000 + depth + level, 1, x.shape[1])[:, 0]
