@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.canonical import document_chunk, ordered_digest
+from factloom.functions.canonical import document_chunk
 from factloom.functions.text import numbered_id
 from factloom.operators.model import EDGE_COLUMNS, NODE_COLUMNS, TRIPLE_COLUMNS, typed
+from factloom.operators.sink import stream_digest
 
 
 def in_batch(docs: DataFrame, batch: str | Column, reviewed_only: bool = True) -> DataFrame:
@@ -59,7 +60,7 @@ def sorted_triples(found: DataFrame) -> DataFrame:
 def batch_digest(selected: DataFrame, path: str | Column = "path", text: str = "text") -> DataFrame:
     """One row: SHA-256 over path and text of the documents in path-component order."""
     at = F.col(path) if isinstance(path, str) else path
-    return selected.agg(ordered_digest(F.split(at, "/"), document_chunk(at, F.col(text))).alias("digest"))
+    return stream_digest(selected, [F.split(at, "/")], document_chunk(at, F.col(text))).select("digest")
 
 
 def union_digest(base: DataFrame, documents: DataFrame, extensions: DataFrame, catalogs: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def union_digest(base: DataFrame, documents: DataFrame, extensions: DataFrame, c
     doc = lambda df, seg: df.select(F.lit(seg).alias("seg"), F.split("path", "/").alias("k"), document_chunk(F.col("path"), F.col("text")).alias("chunk"))
     tail = catalogs.select(F.lit(3).alias("seg"), F.array(F.lpad(F.col("ordinal").cast("string"), 9, "0")).alias("k"), F.concat(F.encode("text", "UTF-8"), zero).alias("chunk"))
     parts = head.unionByName(doc(documents, 1)).unionByName(doc(extensions, 2)).unionByName(tail)
-    return parts.agg(ordered_digest(F.struct("seg", "k"), F.col("chunk")).alias("digest"))
+    return stream_digest(parts, ["seg", "k"], F.col("chunk")).select("digest")
 
 
 def coverage(found: DataFrame, prefix: str, first: int, last: int, width: int = 3) -> DataFrame:

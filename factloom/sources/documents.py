@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from factloom.functions.canonical import canonical_json
 from factloom.functions.text import normal_eol
@@ -31,6 +33,12 @@ def _yaml():
     return yaml
 
 
+def load_yaml(text: str) -> Any:
+    """By libyaml where PyYAML has it."""
+    yaml = _yaml()
+    return yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+
+
 def as_json(value: Any) -> str:
     """Canonical JSON of what YAML gave; a scalar that JSON hasn't (a date, say) is an error."""
     try:
@@ -51,29 +59,31 @@ def split_front_matter(text: str) -> tuple[str, str]:
 
 def parse_markdown(text: str) -> tuple[str, str]:
     head, body = split_front_matter(text)
-    meta = _yaml().safe_load(head)
+    meta = load_yaml(head)
     if not isinstance(meta, dict):
         raise ValueError("front matter is not a mapping")
     return as_json(meta), body
 
 
 def parse_yaml(text: str) -> tuple[str, str]:
-    root = _yaml().safe_load(text)
+    root = load_yaml(text)
     if not isinstance(root, dict):
         raise ValueError("YAML root is not a mapping")
     return as_json(root), ""
 
 
+def attempt(parse: Callable[[str], tuple[str, str]], text: str) -> tuple[str | None, str | None, str | None]:
+    """(meta, body, parse_error) of a text."""
+    try:
+        return (*parse(text), None)
+    except Exception as e:  # any parse failure is a finding
+        return None, None, (str(e) if isinstance(e, ValueError) else f"{type(e).__name__}: {e}").split("\n")[0]
+
+
 def _parser(parse: Callable[[str], tuple[str, str]]):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = []
-            for text in texts:
-                try:
-                    rows.append((*parse(text), None))
-                except Exception as e:  # any parse failure is a finding
-                    rows.append((None, None, f"{type(e).__name__}: {e}".split("\n")[0] if not isinstance(e, ValueError) else str(e).split("\n")[0]))
-            yield pd.DataFrame(rows, columns=PARSED.names)
+            yield pd.DataFrame([attempt(parse, text) for text in texts], columns=PARSED.names)
 
     return F.pandas_udf(run, PARSED)
 
@@ -112,25 +122,50 @@ def read_yaml(spark: SparkSession, path: str, glob: str = "*.yml", recursive: bo
     return read_documents(spark, path, recursive, (), parse_yaml, glob)
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, record, parse_error): record is canonical JSON of an object; other lines carry an error with their number."""
-    ship(spark)
-    rows = files(spark, path, "*.jsonl").withColumn("text", normal_eol(F.decode("content", "UTF-8")))
-    lines = rows.select("path", F.posexplode(F.split("text", "\n")).alias("_at", "raw")).where("trim(raw) <> ''")
+#: Whether a line of these bytes is white space only.
+_SPACES = b" \t\n\r\x0b\x0c"
 
-    @F.pandas_udf(T.StructType([T.StructField("record", T.StringType()), T.StructField("problem", T.StringType())]))
-    def parsed(raw: pd.Series) -> pd.DataFrame:
-        out = []
-        for x in raw:
+
+def _json_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, start, raw) in the order of the file to (path, start, at, record, problem), at counting the lines of a split from 1."""
+    split, count = None, 0
+    for batch in batches:
+        out: list[tuple] = []
+        for path, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (path, start) != split:
+                split, count = (path, start), 0
+            count += 1
+            if not raw.strip(_SPACES):
+                continue
             try:
-                value = json.loads(x)
-                out.append((canonical_json(value), None) if isinstance(value, dict) else (None, "line is not an object"))
+                value = json.loads(raw.decode())
+                out.append((path, start, count, canonical_json(value), None) if isinstance(value, dict) else (path, start, count, None, "line is not an object"))
+            except UnicodeDecodeError:
+                out.append((path, start, count, None, "line is not UTF-8"))
             except ValueError as e:
-                out.append((None, f"line is not JSON: {e}"))
-        return pd.DataFrame(out, columns=["record", "problem"])
+                out.append((path, start, count, None, f"line is not JSON: {e}"))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["file", "start", "at", "record", "problem"])
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, record, parse_error): record is canonical JSON of an object; other lines carry an error with their number; blank ones give no row.
 
-    found = lines.withColumn("_r", parsed("raw")).withColumn("line", F.col("_at") + 1)
-    return found.select("path", "line", "_r.record", F.when(F.col("_r.problem").isNotNull(), F.format_string("%s:%d: %s", "path", "line", "_r.problem")).alias("parse_error"))
+    Files are split as Spark splits text. A first pass counts the lines of each split, their sums along a file are where
+    the next split's numbers go on; a second one parses and numbers within the split. Line ends are LF, CR or CRLF,
+    also across the ends of splits.
+    """
+    ship(spark)
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("raw"))
+    along = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.groupBy("file", "start").count().select("file", "start", F.coalesce(F.sum("count").over(along), F.lit(0)).alias("before"))
+    found = lines.mapInArrow(_json_lines, "file string, start bigint, at bigint, record string, problem string")
+    root = path.rstrip("/").split(":", 1)[-1].lstrip("/")
+    inner = F.substring_index(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), root + "/", -1) if root else F.col("file")
+    # every split that gives a row has been counted; one that hasn't is another plan of the same files
+    told = found.join(before, ["file", "start"], "left").withColumn("line", F.when(F.col("before").isNull(), F.raise_error(F.lit("splits of a file differ between two reads")).cast("bigint")).otherwise(F.col("before") + F.col("at")))
+    told = told.withColumn("path", inner)
+    return told.select("path", "line", "record", F.when(F.col("problem").isNotNull(), F.format_string("%s:%d: %s", "path", "line", "problem")).alias("parse_error"))
 
 
 def read_triples(spark: SparkSession, path: str, schema: str = "subject string, predicate string, object string, relation_status string, source_atom_id string, evidence_source_ids string") -> DataFrame:
