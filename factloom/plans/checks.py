@@ -112,7 +112,7 @@ def json_lines_read(spark: SparkSession, d: str) -> DataFrame:
     lines = [f'[{r.n_nationkey}]' if r.n_regionkey == 0 else f'{{"name": "{r.n_name}", "key": {r.n_nationkey}}}' for r in rows]
     folder = scratch_path(spark, "lines")
     artifacts.write(spark, folder, {"n.jsonl": "\r\n\r\n".join(lines).encode()})
-    return sources.read_json_lines(spark, folder).select("line", "record", "parse_error")
+    return sources.read_json_lines(spark, folder).select(F.col("line").cast("int").alias("line"), "record", "parse_error")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice <= 400000 THEN 'o' || o_orderkey END AS id, CASE WHEN o_orderstatus = 'F' AND o_totalprice <= 400000 THEN 'body ' || o_orderkey || chr(10) END AS body,

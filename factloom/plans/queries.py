@@ -507,4 +507,4 @@ def document_build(spark: SparkSession, d: str) -> DataFrame:
     return build_from_tables(spark, d)
 
 
-from factloom.plans import checks  # noqa: E402, F401  its queries register themselves
+from factloom.plans import checks, trees  # noqa: E402, F401  their queries register themselves
