@@ -6,13 +6,11 @@ Requests, responses and audits are typed rows after their schema check (function
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.functions.canonical import same_json
+from factloom.functions.canonical import json_equal
 from factloom.functions.text import is_subset, same_multiset, same_set
 from factloom.operators.model import S, struct
 
@@ -50,54 +48,87 @@ def render_answers(responses: DataFrame, claims: DataFrame, gaps: DataFrame, not
     return responses.select("request_id").join(joined, "request_id", "left").select("request_id", F.coalesce("rendered", F.lit("")).alias("rendered"))
 
 
-def _rule(rows: DataFrame, rule: str, message: str | Column, when: Column | None = None, key: str = "request_id") -> DataFrame:
-    found = rows if when is None else rows.where(F.coalesce(when, F.lit(True)))
-    return found.select(F.col(key).alias("key"), F.lit(rule).alias("rule"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+def _findings(rows: DataFrame, key: str, checks: list[tuple[str, Column | str, Column]], many: list[tuple[str, Column]] | None = None) -> DataFrame:
+    """(key, rule, message) of rows, in one pass. checks: rule, message and when it is broken; many: rule and an array of messages."""
+    text = lambda m: F.lit(m) if isinstance(m, str) else m
+    one = lambda rule, message: F.struct(F.lit(rule).alias("rule"), message.alias("message"))
+    found = F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), one(rule, text(message))) for rule, message, when in checks]))
+    if many:
+        each = lambda rule: lambda m: one(rule, m)
+        found = F.flatten(F.array(found, *[F.transform(F.coalesce(messages, F.array().cast("array<string>")), each(rule)) for rule, messages in many]))
+    return rows.select(F.col(key).alias("key"), F.explode(found).alias("f")).select("key", "f.rule", "f.message")
 
 
 def response_violations(responses: DataFrame, requests: DataFrame, claims: DataFrame, sources: DataFrame, required_qualifiers: DataFrame, rendered: DataFrame, contract_id: str, claim_unit: str = CLAIM_UNIT, gap_unit: str = GAP_UNIT) -> DataFrame:
     """(key, rule, message) of responses that must not be served.
 
     claims: (claim_id, entity_ids, evidence). sources: (source_id, title). required_qualifiers: (claim_id, qualifiers JSON); other claims send {}.
-    Qualifiers are compared as mappings, whatever their order and spacing.
+    Qualifiers are compared as mappings, whatever their order and spacing. Rules within a response look at its own arrays; claims and
+    citations are exploded once each, for what they need from other tables.
     """
     r = responses
-    asked = r.join(requests.select("request_id", F.col("knowledge_version").alias("asked_version")), "request_id", "left")
-    material = r.select("request_id", F.explode("material_claims").alias("c")).select("request_id", "c.*")
-    cited = r.select("request_id", F.explode("citations").alias("c")).select("request_id", "c.*")
-    units = r.select("request_id", F.explode("answer_units").alias("u")).select("request_id", "u.*").where(F.col("unit_type") == claim_unit)
-    pairs = units.select("request_id", "claim_id", F.explode("citation_ids").alias("citation_id"))
-    known = claims.select("claim_id", F.col("entity_ids").alias("own"), "evidence")
-    located = known.select("claim_id", F.explode("evidence").alias("e")).select("claim_id", "e.source_id", "e.locator").distinct()
     ids = lambda c, f: F.transform(c, lambda x: x[f])
+    has = lambda values, x: F.coalesce(F.array_contains(values, x), F.lit(False))
     claim_units = F.filter("answer_units", lambda u: u["unit_type"] == claim_unit)
     gap_units = F.filter("answer_units", lambda u: u["unit_type"] == gap_unit)
-    joined = material.join(known, "claim_id", "left")
-    controlled = material.join(required_qualifiers.select("claim_id", F.col("qualifiers").alias("must")), "claim_id", "left")
-    labels = cited.join(sources.select("source_id", "title"), "source_id", "left")
-    shown = r.join(rendered, "request_id")
-    rules = [
-        _rule(asked, "request_known", "request is unknown", F.col("asked_version").isNull()),
-        _rule(asked, "knowledge_version", "knowledge version differs from the request's", F.col("asked_version").isNotNull() & (F.col("asked_version") != F.col("knowledge_version"))),
-        _rule(r, "claims_distinct", "claim is listed twice", F.size("material_claims") != F.size(F.array_distinct(ids("material_claims", "claim_id")))),
-        _rule(r, "citations_distinct", "citation id is listed twice", F.size("citations") != F.size(F.array_distinct(ids("citations", "citation_id")))),
-        _rule(r, "units_distinct", "unit id is listed twice", F.size("answer_units") != F.size(F.array_distinct(ids("answer_units", "unit_id")))),
-        _rule(joined, "claim_known", F.concat(F.lit("unknown claim "), "claim_id"), F.col("own").isNull()),
-        _rule(joined.where("own IS NOT NULL"), "claim_entities", F.concat(F.lit("entities of "), "claim_id", F.lit(" differ")), ~same_set(F.col("entity_ids"), F.col("own"))),
-        _rule(controlled, "claim_qualifiers", F.concat(F.lit("qualifiers of "), "claim_id", F.lit(" differ")), ~same_json(F.coalesce("qualifiers", F.lit("{}")), F.coalesce("must", F.lit("{}")))),
-        _rule(cited.join(material.select("request_id", "claim_id").distinct(), ["request_id", "claim_id"], "left_anti"), "citation_claim", F.concat(F.lit("citation of a claim that isn't made: "), "citation_id")),
-        _rule(labels, "citation_label", F.concat(F.lit("label of "), "citation_id", F.lit(" is not the source's title")), ~F.coalesce(F.col("source_label") == F.col("title"), F.lit(False))),
-        _rule(cited.join(located, ["claim_id", "source_id", "locator"], "left_anti"), "citation_evidence", F.concat("citation_id", F.lit(" is not among the claim's evidence"))),
-        _rule(cited, "citation_visible", F.concat("citation_id", F.lit(" is hidden")), ~F.coalesce("visible_to_student", F.lit(False))),
-        _rule(material.join(cited.select("request_id", "claim_id").distinct(), ["request_id", "claim_id"], "left_anti"), "claim_cited", F.concat("claim_id", F.lit(" has no citation"))),
-        _rule(pairs.join(cited.select("request_id", "citation_id", F.col("claim_id").alias("of")), ["request_id", "citation_id"], "left"), "unit_citation", F.concat("citation_id", F.lit(" belongs to another claim")), ~F.coalesce(F.col("of") == F.col("claim_id"), F.lit(False))),
-        _rule(r, "units_claims", "units and claims don't correspond one to one", ~same_multiset(ids(claim_units, "claim_id"), ids("material_claims", "claim_id"))),
-        _rule(r, "units_citations", "units and citations don't correspond one to one", ~same_multiset(F.flatten(ids(claim_units, "citation_ids")), ids("citations", "citation_id"))),
-        _rule(r, "units_gaps", "units and gaps don't correspond one to one", ~same_multiset(ids(gap_units, "gap_code"), ids("coverage_gaps", "gap_code"))),
-        _rule(r, "contract", "checked against another contract", F.col("validation.checked_contract_id") != contract_id),
-        _rule(shown, "answer_text", "answer text is not the rendering of its units", ~F.col("answer_text").eqNullSafe(F.col("rendered"))),
-    ]
-    return reduce(DataFrame.unionByName, rules)
+
+    def misplaced(unit: Column) -> Column:
+        """A unit's citations that are of another claim, or of none."""
+
+        def each(cited: Column) -> Column:
+            same = F.filter("citations", lambda c: c["citation_id"] == cited)
+            wrong = F.filter(same, lambda c: ~F.coalesce(c["claim_id"] == unit["claim_id"], F.lit(False)))
+            return F.array_repeat(cited, F.when(F.size(same) == 0, 1).otherwise(F.size(wrong)))
+
+        return F.flatten(F.transform(unit["citation_ids"], each))
+
+    asked = r.join(requests.select("request_id", F.col("knowledge_version").alias("asked_version")), "request_id", "left").join(rendered, "request_id", "left")
+    whole = _findings(
+        asked,
+        "request_id",
+        [
+            ("request_known", "request is unknown", F.col("asked_version").isNull()),
+            ("knowledge_version", "knowledge version differs from the request's", F.col("asked_version") != F.col("knowledge_version")),
+            ("claims_distinct", "claim is listed twice", F.size("material_claims") != F.size(F.array_distinct(ids("material_claims", "claim_id")))),
+            ("citations_distinct", "citation id is listed twice", F.size("citations") != F.size(F.array_distinct(ids("citations", "citation_id")))),
+            ("units_distinct", "unit id is listed twice", F.size("answer_units") != F.size(F.array_distinct(ids("answer_units", "unit_id")))),
+            ("units_claims", "units and claims don't correspond one to one", ~same_multiset(ids(claim_units, "claim_id"), ids("material_claims", "claim_id"))),
+            ("units_citations", "units and citations don't correspond one to one", ~same_multiset(F.flatten(ids(claim_units, "citation_ids")), ids("citations", "citation_id"))),
+            ("units_gaps", "units and gaps don't correspond one to one", ~same_multiset(ids(gap_units, "gap_code"), ids("coverage_gaps", "gap_code"))),
+            ("contract", "checked against another contract", F.coalesce(F.col("validation.checked_contract_id") != contract_id, F.lit(True))),
+            ("answer_text", "answer text is not the rendering of its units", F.col("rendered").isNotNull() & ~F.col("answer_text").eqNullSafe(F.col("rendered"))),
+        ],
+        [
+            ("citation_claim", F.transform(F.filter("citations", lambda c: ~has(ids("material_claims", "claim_id"), c["claim_id"])), lambda c: F.concat(F.lit("citation of a claim that isn't made: "), c["citation_id"]))),
+            ("claim_cited", F.transform(F.filter("material_claims", lambda m: ~has(ids("citations", "claim_id"), m["claim_id"])), lambda m: F.concat(m["claim_id"], F.lit(" has no citation")))),
+            ("unit_citation", F.transform(F.flatten(F.transform(claim_units, misplaced)), lambda c: F.concat(c, F.lit(" belongs to another claim")))),
+        ],
+    )
+    material = r.select("request_id", F.explode("material_claims").alias("c")).select("request_id", "c.*")
+    known = claims.select("claim_id", F.col("entity_ids").alias("own"), "evidence")
+    stated = material.join(known.select("claim_id", "own"), "claim_id", "left").join(required_qualifiers.select("claim_id", F.col("qualifiers").alias("must")), "claim_id", "left")
+    of_claims = _findings(
+        stated,
+        "request_id",
+        [
+            ("claim_known", F.concat(F.lit("unknown claim "), "claim_id"), F.col("own").isNull()),
+            ("claim_entities", F.concat(F.lit("entities of "), "claim_id", F.lit(" differ")), F.col("own").isNotNull() & ~same_set(F.col("entity_ids"), F.col("own"))),
+            ("claim_qualifiers", F.concat(F.lit("qualifiers of "), "claim_id", F.lit(" differ")), ~json_equal(F.coalesce("qualifiers", F.lit("{}")), F.coalesce("must", F.lit("{}")))),
+        ],
+    )
+    located = known.select("claim_id", F.explode("evidence").alias("e")).select("claim_id", "e.source_id", "e.locator").distinct().withColumn("there", F.lit(True))
+    cited = r.select("request_id", F.explode("citations").alias("c")).select("request_id", "c.*")
+    labels = cited.join(located, ["claim_id", "source_id", "locator"], "left").join(sources.select("source_id", "title"), "source_id", "left")
+    of_citations = _findings(
+        labels,
+        "request_id",
+        [
+            ("citation_label", F.concat(F.lit("label of "), "citation_id", F.lit(" is not the source's title")), ~F.coalesce(F.col("source_label") == F.col("title"), F.lit(False))),
+            ("citation_evidence", F.concat("citation_id", F.lit(" is not among the claim's evidence")), F.col("there").isNull()),
+            ("citation_visible", F.concat("citation_id", F.lit(" is hidden")), ~F.coalesce("visible_to_student", F.lit(False))),
+        ],
+    )
+    return whole.unionByName(of_claims).unionByName(of_citations)
 
 
 def audit_violations(audits: DataFrame, requests: DataFrame, responses: DataFrame, contract_version: str, claims: DataFrame | None = None) -> DataFrame:
@@ -110,7 +141,7 @@ def audit_violations(audits: DataFrame, requests: DataFrame, responses: DataFram
     row = audits.join(requests.select("request_id", F.col("sha256").alias("request_hash"), F.col("schema_version").alias("request_version")), "request_id", "left")
     answer = responses.select(
         F.col("request_id"), F.col("sha256").alias("response_hash"), F.col("disposition").alias("answered"), F.transform("material_claims", lambda c: c["claim_id"]).alias("claims"), F.transform("coverage_gaps", lambda g: g["gap_code"]).alias("gaps"),
-        F.size(F.filter("citations", lambda c: c["visible_to_student"])).alias("visible"), F.col("runtime_bundle_sha256").alias("bundle"), F.col("validation.result").alias("validated"), F.col("validation.hard_fail_codes").alias("codes"),
+        F.size("citations").alias("all_citations"), F.col("runtime_bundle_sha256").alias("bundle"), F.col("validation.result").alias("validated"), F.col("validation.hard_fail_codes").alias("codes"),
     )
     row = row.join(answer, "request_id", "left")
     served = F.col("response_sha256").isNotNull() | F.col("disposition").isin(*SERVED)
@@ -127,16 +158,16 @@ def audit_violations(audits: DataFrame, requests: DataFrame, responses: DataFram
         ("disposition", "disposition differs", has & (F.col("answered") != F.col("disposition"))),
         ("claims", "claims differ", has & ~same_set(F.col("claims"), F.col("material_claim_ids"))),
         ("gaps", "gaps differ", has & ~same_set(F.col("gaps"), F.col("coverage_gaps"))),
-        ("citations", "citation count differs", has & (F.col("visible") != F.col("citation_count"))),
-        ("bundle", "bundle differs", has & F.col("hash_verified") & (F.col("bundle") != F.col("bundle_sha256"))),
+        ("citations", "citation count differs", has & (F.col("all_citations") != F.col("citation_count"))),
+        ("bundle", "bundle differs", has & (F.col("bundle") != F.col("bundle_sha256"))),
         ("result", "validation result differs", has & (F.col("validated") != F.col("result"))),
         ("codes", "hard failure codes differ", has & ~same_set(F.col("codes"), F.col("hard_fail_codes"))),
         ("unverified", "an unverified bundle must abstain without a response", ~F.col("hash_verified") & (F.col("response_sha256").isNotNull() | (F.col("disposition") != "ABSTAIN"))),
         ("version", "request schema version is not the contract's", F.col("request_schema_version") != contract_version),
     ]
-    found = [_rule(row, name, message, F.coalesce(when, F.lit(False)), "audit_id") for name, message, when in checks]
+    found = _findings(row, "audit_id", checks)
     if claims is not None:
         admitted = audits.select("audit_id", F.explode(F.array_distinct("admitted_claim_ids")).alias("claim_id"))
         unknown = admitted.join(claims.select("claim_id").distinct(), "claim_id", "left_anti")
-        found.append(_rule(unknown, "admitted_known", F.concat(F.lit("unknown claim was admitted: "), "claim_id"), key="audit_id"))
-    return reduce(DataFrame.unionByName, found)
+        found = found.unionByName(unknown.select(F.col("audit_id").alias("key"), F.lit("admitted_known").alias("rule"), F.concat(F.lit("unknown claim was admitted: "), "claim_id").alias("message")))
+    return found

@@ -332,7 +332,7 @@ def response_findings(spark: SparkSession, d: str) -> DataFrame:
   SELECT id, 'request_known' AS rule FROM a WHERE b IS NULL UNION ALL SELECT id, 'request_hash' FROM a WHERE b IS NOT NULL AND b < 0 UNION ALL SELECT id, 'admitted_subset' FROM a WHERE pr = '1-URGENT' UNION ALL SELECT id, 'decided_subset' FROM a WHERE pr = '2-HIGH'
   UNION ALL SELECT id, 'admitted_known' FROM a WHERE t > 300000 AND pr <> '2-HIGH' UNION ALL SELECT id, 'citations_cover' FROM a WHERE st = 'O' UNION ALL SELECT id, 'response_needed' FROM a WHERE pr = '3-MEDIUM' UNION ALL SELECT id, 'response_hash' FROM a WHERE pr = '4-NOT SPECIFIED'
   UNION ALL SELECT id, 'disposition' FROM a WHERE pr <> '3-MEDIUM' AND st = 'P' UNION ALL SELECT id, 'citations' FROM a WHERE pr <> '3-MEDIUM' AND st = 'O' UNION ALL SELECT id, 'unverified' FROM a WHERE b > 9000
-  UNION ALL SELECT id, 'bundle' FROM a WHERE pr NOT IN ('3-MEDIUM') AND st = 'F' AND t < 20000 AND coalesce(b <= 9000, TRUE)
+  UNION ALL SELECT id, 'bundle' FROM a WHERE pr NOT IN ('3-MEDIUM') AND st = 'F' AND t < 20000
 )
 SELECT id AS o_orderkey, string_agg(rule, ',' ORDER BY rule) AS rules FROM f GROUP BY id""")
 def audit_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -625,3 +625,69 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
     k = X.variant_at(v, "$.k", "bigint")
     raw = F.concat("event_type", F.when(F.col("user_id") > 50, "").otherwise("　"))
     return e.select("event_id", X.truthy(F.try_variant_get(v, "$.k", "variant")).alias("truthy"), X.numbered_id("k-", k).alias("numbered"), raw.alias("raw"), X.strip(F.concat(F.lit("\t "), raw, F.lit("\n"))).alias("stripped"), X.variant_kind(F.try_variant_get(v, "$.k", "variant")).alias("kind"))
+
+
+# ---- structure of answers and audits
+
+#: Customers as answers of two claims; what is wrong with their arrays goes by segment and nation.
+WITH_PAIRS = """a AS (SELECT c_custkey AS k, c_mktsegment AS m, c_nationkey % 4 AS z FROM customer)"""
+
+
+@query(f"""WITH {WITH_PAIRS}, f AS (
+  SELECT k, 'claims_distinct' AS rule, 1 AS n FROM a WHERE m = 'BUILDING' UNION ALL SELECT k, 'units_claims', 1 FROM a WHERE m = 'BUILDING'
+  UNION ALL SELECT k, 'citations_distinct', 1 FROM a WHERE m = 'MACHINERY' UNION ALL SELECT k, 'units_citations', 1 FROM a WHERE m = 'MACHINERY'
+  UNION ALL SELECT k, 'units_distinct', 1 FROM a WHERE z = 1
+  UNION ALL SELECT k, 'citation_claim', 1 FROM a WHERE m = 'HOUSEHOLD' UNION ALL SELECT k, 'claim_cited', 1 FROM a WHERE m = 'HOUSEHOLD'
+  UNION ALL SELECT k, 'unit_citation', CASE WHEN m = 'HOUSEHOLD' THEN 1 ELSE 0 END + CASE WHEN z = 2 THEN CASE m WHEN 'HOUSEHOLD' THEN 1 WHEN 'MACHINERY' THEN 3 ELSE 2 END ELSE 0 END FROM a WHERE m = 'HOUSEHOLD' OR z = 2
+)
+SELECT k AS c_custkey, rule, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY 1, 2""")
+def response_structure_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of two claims and two citations, with repeated claims, citations and unit ids, citations of claims not made, and units with each other's citations."""
+    c = table(spark, d, "customer")
+    m, z = F.col("c_mktsegment"), F.col("c_nationkey") % 4
+    claim = lambda x: F.concat(F.col("c_custkey").cast("string"), F.lit("/" + x))
+    unit = lambda n, x, y: F.struct(F.when(z == 1, "u").otherwise(n).alias("unit_id"), F.lit(contract.CLAIM_UNIT).alias("unit_type"), claim(x).alias("claim_id"), F.array(claim(y)).alias("citation_ids"), nothing().alias("gap_code"))
+    made = lambda x: F.struct(claim(x).alias("claim_id"), F.array(F.lit("e")).alias("entity_ids"), F.lit("{}").alias("qualifiers"))
+    cite = lambda x, of: F.struct(claim(x).alias("citation_id"), of.alias("claim_id"), F.lit("s").alias("source_id"), F.lit("S").alias("source_label"), F.lit("l").alias("locator"), F.lit(True).alias("visible_to_student"))
+    # citation c2 is of a claim that isn't made in one segment
+    second = cite("c2", F.when(m == "HOUSEHOLD", claim("other")).otherwise(claim("m2")))
+    units = F.when(z == 2, F.array(unit("1", "m1", "c2"), unit("2", "m2", "c1"))).otherwise(F.array(unit("1", "m1", "c1"), unit("2", "m2", "c2")))
+    none = F.filter(F.array(F.struct(F.lit("g").alias("gap_code"))), lambda g: F.lit(False))
+    answers = c.select(
+        F.col("c_custkey").cast("string").alias("request_id"), F.lit("k").alias("knowledge_version"), units.alias("answer_units"), F.when(m == "BUILDING", F.array(made("m1"), made("m2"), made("m2"))).otherwise(F.array(made("m1"), made("m2"))).alias("material_claims"),
+        F.when(m == "MACHINERY", F.array(cite("c1", claim("m1")), second, second)).otherwise(F.array(cite("c1", claim("m1")), second)).alias("citations"), none.alias("coverage_gaps"), F.lit("t").alias("answer_text"), F.struct(F.lit("K").alias("checked_contract_id")).alias("validation"),
+    )
+    responses = materialize(answers, "answers")
+    proof = F.array(F.struct(F.lit("s").alias("source_id"), F.lit("l").alias("locator")))
+    ids = c.select(F.explode(F.array(claim("m1"), claim("m2"), claim("other"))).alias("claim_id"))
+    claims = ids.select("claim_id", F.array(F.lit("e")).alias("entity_ids"), proof.alias("evidence"))
+    asked = responses.select("request_id", "knowledge_version")
+    rendered = responses.select("request_id", F.lit("t").alias("rendered"))
+    found = contract.response_violations(responses, asked, claims, spark.createDataFrame([("s", "S")], "source_id string, title string"), ids.select("claim_id", F.lit("{}").alias("qualifiers")), rendered, "K")
+    return found.groupBy(F.col("key").cast("bigint").alias("c_custkey"), "rule").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, c_mktsegment AS m, c_nationkey % 3 AS z, c_acctbal AS b FROM customer), f AS (
+  SELECT k, 'request_version' AS rule FROM a WHERE m = 'BUILDING' UNION ALL SELECT k, 'version' FROM a WHERE m IN ('BUILDING', 'MACHINERY') UNION ALL SELECT k, 'claims' FROM a WHERE z = 0 UNION ALL SELECT k, 'gaps' FROM a WHERE z = 1
+  UNION ALL SELECT k, 'result' FROM a WHERE b < 0 UNION ALL SELECT k, 'codes' FROM a WHERE b > 5000
+)
+SELECT k AS c_custkey, string_agg(rule, ',' ORDER BY rule) AS rules FROM f GROUP BY k""")
+def audit_record_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as audits whose versions, claims, gaps, results and failure codes differ from the request's or the response's."""
+    c = table(spark, d, "customer")
+    key, m, z, b = F.col("c_custkey").cast("string"), F.col("c_mktsegment"), F.col("c_nationkey") % 3, F.col("c_acctbal")
+    one, two = F.array(F.lit("c1")), F.array(F.lit("c2"), F.lit("c1"))
+    none = F.array().cast("array<string>")
+    audits = c.select(
+        key.alias("audit_id"), key.alias("request_id"), F.lit("q").alias("request_sha256"), F.when(m.isin("BUILDING", "MACHINERY"), "0").otherwise("1").alias("request_schema_version"), F.lit("a").alias("response_sha256"), F.lit(True).alias("hash_verified"),
+        F.lit("b").alias("bundle_sha256"), two.alias("candidate_claim_ids"), two.alias("admitted_claim_ids"), F.lit("PARTIAL").alias("disposition"), F.when(z == 0, one).otherwise(two).alias("material_claim_ids"), F.when(z == 1, none).otherwise(F.array(F.lit("g"))).alias("coverage_gaps"),
+        F.when(b < 0, "FAIL").otherwise("PASS").alias("result"), F.when(b > 5000, F.array(F.lit("h"))).otherwise(none).alias("hard_fail_codes"), F.lit(2).alias("citation_count"),
+    )
+    requests = c.select(key.alias("request_id"), F.lit("q").alias("sha256"), F.when(m == "MACHINERY", "0").otherwise("1").alias("schema_version"))
+    shown = F.struct(F.lit(True).alias("visible_to_student"))
+    responses = c.select(
+        key.alias("request_id"), F.lit("a").alias("sha256"), F.lit("PARTIAL").alias("disposition"), F.array(F.struct(F.lit("c1").alias("claim_id")), F.struct(F.lit("c2").alias("claim_id"))).alias("material_claims"), F.array(F.struct(F.lit("g").alias("gap_code"))).alias("coverage_gaps"),
+        F.array(shown, shown).alias("citations"), F.lit("b").alias("runtime_bundle_sha256"), F.struct(F.lit("PASS").alias("result"), none.alias("hard_fail_codes")).alias("validation"),
+    )
+    found = contract.audit_violations(audits, requests, responses, "1", spark.createDataFrame([("c1",), ("c2",)], "claim_id string"))
+    return found.groupBy(F.col("key").cast("bigint").alias("c_custkey")).agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("rules"))
