@@ -237,6 +237,18 @@ def later_batch_leakage(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("case_id").alias("l_orderkey"), F.substring_index("atom_id", "-", -1).cast("bigint").alias("l_partkey"))
 
 
+@query("""WITH x AS (SELECT o_custkey AS c, l_suppkey AS s, l_shipdate > (SELECT quantile_disc(l_shipdate, 0.5) FROM lineitem) AS late FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT c AS c_custkey, s AS s_suppkey FROM x WHERE NOT late INTERSECT SELECT c, s FROM x WHERE late""")
+def later_supplier_leakage(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as cases that ask for the suppliers they had in the first half of the line items by date; those they had later belong to a later batch."""
+    atom = F.concat_ws("-", "o_custkey", "l_suppkey")
+    middle = table(spark, d, "lineitem").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(CAST(l_shipdate AS TIMESTAMP)))")).first()[0]
+    items = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select("o_custkey", atom.alias("atom_id"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) > F.lit(middle).cast("bigint")).alias("late"))
+    cases = items.where(~F.col("late")).groupBy(F.col("o_custkey").alias("case_id")).agg(F.collect_set("atom_id").alias("required_relation_atom_ids"))
+    found = evaluate.leakage(cases, items.where("late"))
+    return found.select(F.col("case_id").alias("c_custkey"), F.substring_index("atom_id", "-", -1).cast("bigint").alias("s_suppkey"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN n = k THEN 'subset' ELSE 'not_subset' END AS relation FROM (SELECT o_orderkey, count(DISTINCT l_suppkey) AS n, count(DISTINCT CASE WHEN s_acctbal >= 1000 THEN l_suppkey END) AS k
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY o_orderkey) x""")
 def subset_of_allowed(spark: SparkSession, d: str) -> DataFrame:
@@ -507,4 +519,4 @@ def document_build(spark: SparkSession, d: str) -> DataFrame:
     return build_from_tables(spark, d)
 
 
-from factloom.plans import checks, trees  # noqa: E402, F401  their queries register themselves
+from factloom.plans import checks, gate_checks, trees  # noqa: E402, F401  their queries register themselves
