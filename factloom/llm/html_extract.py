@@ -9,16 +9,18 @@ also tell whether its template marks the main text by an article or main element
 left outside of it goes too. The rest is the text, block by block.
 
 On a page without such an element the innermost container of over half of the words that aren't links stands for it; beside
-that, containers and lists of links go by shape, prose doesn't.
+that, containers and lists of links go by shape, prose doesn't. A page without such a container is main text and frame at once: there
+containers go by shape, and what recurs on about article_share of the pages.
 
 What HTML itself says isn't text (UNSHOWN, DROPPED_TAGS, DROPPED_ROLES) is never text. Lists of class words (DROPPED_WORDS)
-decide in two places only: on hosts of fewer than `min_pages` pages, where nothing can recur, and for whole classes
-within articles, where text recurs in shape as well. No class or id deletes a heading or hides a page's only article.
+decide in two places only: on hosts of fewer than `min_pages` pages, where next to nothing can recur, and for whole classes
+within the main text, where text recurs in shape as well. No class or id deletes a heading or hides a page's only article.
+What stands in the main text is kept alike on either side of min_pages; beside it, class words decide below and counts from there on.
 
-Within an article a subtree goes at article_share of the host's pages; a box (BOXES) goes, in and outside of
-articles, when it stands in article_pages different articles (else main elements, else pages) of its host, however many pages that
-has. Copies of an article count once, and where boxes hold more than half of the words none goes. A
-recurring line alone isn't taken for a template below these shares: it may be the article's own.
+Within the main text, be it an article, a main element or a container, a subtree goes at article_share of the host's pages; a box
+(BOXES) goes, in and outside of it, when it stands in article_pages different articles (else main elements, else pages) of its
+host, however many pages that has. Copies of an article count once, and where boxes hold more than half of the words none
+goes. A recurring line alone isn't taken for a template below these shares: it may be the text's own.
 
 The templates found are few for each host: one recurs on at least `share` of its pages, so there are at
 most 1 / share times the mean number of subtrees a page; boxes are as many as the host has in
@@ -350,17 +352,25 @@ def outside(tree: Node, kept: list[Node], marked: bool) -> Iterator[Node]:
 def main_text(page: str | None, site: Site | None = None, article_share: float = ARTICLE_SHARE) -> str:
     """The text of a page; site: of its host, None for a page on its own.
 
-    Within an article only subtrees of article_share of the host's pages go, and boxes at any share.
+    Within the main text, marked or not, only subtrees of article_share of the host's pages go, and boxes at any share.
     """
     if not page:
         return ""
     site = site or Site()
     tree = parse(page)
     found, marked = main_parts(tree)
-    listed = not site.counted  # class words outside of articles
+    listed = not site.counted  # class words beside the main text
     # the whole page is gone through unless its main text is marked, by it alone or as on most pages of its host
     starts = found if marked and (site.marked or listed) else [tree]
     kept = {id(n) for n in found} if marked or not listed else set()
+    framed = not marked and found[0].tag in ("", "html", "body")  # no container: the main text and the frame stand side by side
+
+    def least(node: Node, main: bool) -> float:
+        """The share of the host's pages from which a subtree goes; those on few pages have a little less than article_share at most."""
+        if not main:
+            return 1e-9
+        return article_share if marked or node.tag in PROSE and not framed else 0.99 * article_share
+
     holders = holders_of(tree, found) if kept and starts is not found else set()
     blocks, line = [], []
 
@@ -392,8 +402,8 @@ def main_text(page: str | None, site: Site | None = None, article_share: float =
                 if is_boilerplate(item, main, listed or main):
                     continue
                 inside = inside or main and item.tag == "article"
-                shaped = not main and shape_of(item, marked) in site.shapes and may_be_frame(item, marked)
-                if shaped or item.hash in gone or site.shares.get(item.hash, -1.0) >= (article_share if inside else 1e-9):
+                shaped = (framed or not main) and shape_of(item, marked) in site.shapes and may_be_frame(item, marked)
+                if shaped or item.hash in gone or site.shares.get(item.hash, -1.0) >= least(item, main):
                     line.append(" ")
                     continue
                 if is_header(item, main, listed or main):

@@ -155,3 +155,72 @@ def test_templates_decide_on_the_tables(spark):
         shapes.setdefault(r.host, set()).add(r.subtree % (1 << 64))
     same = sum(H.main_text(r["html"], H.Site(counted=True, shapes=shapes.get(H.host_of(r["url"]), set()))) == got[r["page_id"]] for r in counted)
     assert same > 0.98 * len(counted)
+
+
+LINE = "The study was funded by the council."
+
+
+def funded(n, tag, where, host="h.example"):
+    """Pages with a text of their own, some of which end with the same line."""
+    rows = []
+    for i in range(n):
+        own = "".join(f"<p>Text {i}.{k} of this page alone, and some words more.</p>" for k in range(3))
+        last = f"<p>{LINE}</p>" if i < where else ""
+        rows.append((i, f"http://{host}/{i}", f'<body><ul class="top"><li><a href="/">Home</a></li></ul><{tag}>{own}{last}</{tag}><div class="low">Page {i} of {host}</div></body>'))
+    return rows
+
+
+def test_lines_of_main_parts_stay(spark):
+    """A line on a tenth of a host's pages stays in articles, main elements and bare containers alike, with 3 pages and with 4."""
+    for n, where in ((40, 4), (3, 3), (4, 4), (4, 1), (12, 5)):
+        for tag in ("article", "main", "div", "section"):
+            rows = funded(n, tag, where)
+            got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()} if (n, where) in ((40, 4), (4, 4)) else {i: H.main_text(h, alone(rows)) for i, _, h in rows}
+            for i in range(n):
+                assert (LINE in got[i]) == (i < where) and f"Text {i}.2 of this page alone" in got[i], (n, where, tag)
+            if n > 3 or tag in ("article", "main"):
+                assert all("Page" not in t and "Home" not in t for t in got.values()), (n, where, tag)
+
+
+def alone(rows, min_pages=4):
+    """What a host's pages have in common, counted without Spark."""
+    import pyarrow as pa
+
+    sums = {}
+    for batch in H._count(10**9)(iter([pa.RecordBatch.from_pydict({"u": [r[1] for r in rows], "h": [r[2] for r in rows]})])):
+        for x in batch.to_pylist():
+            sums[x["kind"], x["subtree"], x["content"]] = x["pages"]
+    n = len(rows)
+    site = H.Site(counted=n >= min_pages)
+    if not site.counted:
+        return site
+    site.marked = sums.get((H.MARKED, None, None), 0) / n >= 0.5
+    boxes = {}
+    for (kind, subtree, _), pages in sums.items():
+        if kind == H.SUBTREE and pages >= min_pages and pages / n >= 0.1:
+            site.shares[subtree % (1 << 64)] = pages / n if pages >= 10 else min(pages / n, 0.495)
+        elif kind == H.SHAPE and pages >= min_pages and pages / n >= 0.1:
+            site.shapes.add(subtree % (1 << 64))
+        elif kind == H.BOX:
+            boxes[subtree] = boxes.get(subtree, 0) + 1
+    site.boxes = {b % (1 << 64) for b, k in boxes.items() if k >= 10}
+    return site
+
+
+def test_query_against_counts_without_spark(spark, tmp_path):
+    """The whole query over hosts of all sizes equals texts from counts made without Spark; and the counts alone change pages."""
+    from factloom.llm import queries as Q
+
+    rows = []
+    for k, (n, where, tag) in enumerate(((40, 4, "main"), (12, 6, "div"), (3, 3, "article"), (9, 9, "section"), (1, 1, "div"), (25, 25, "div"))):
+        rows += [(100 * k + i, u, h) for i, u, h in funded(n, tag, where, f"h{k}.example")]
+    rows += [(900 + i, u, h) for i, u, h, _ in site(14, "s.example")] + [(990, None, None), (991, "http://long.example/", "<p>" + "word " * 300_000)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    by = {}
+    for r in rows:
+        by.setdefault(H.host_of(r[1]), []).append(r)
+    want = {i: H.main_text(h, alone(group)) for group in by.values() for i, _, h in group}
+    got = {r.page_id: r for r in Q.QUERIES["op3_html_extraction"](spark, str(tmp_path)).collect()}
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+    off = {i: H.main_text(h) for i, _, h in rows}
+    assert sum(off[i] != want[i] for i in want) >= 40  # class lists without counts
