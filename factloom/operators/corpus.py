@@ -65,14 +65,17 @@ def _automaton(words):
 
 
 def found_in(rows: DataFrame, column: str, words: DataFrame, word: str, most: int = 200_000) -> DataFrame:
-    """rows with one of the words that their text contains, a row for each. words: a checked number of them, told to all tasks.
+    """rows with one of the words that their text contains, a row for each.
 
-    All are searched in one walk over each text by an Aho-Corasick automaton.
+    Up to `most` words are told to all tasks and searched in one walk over each text by an Aho-Corasick automaton; more
+    are joined with the texts by their rarest pieces (operators.search).
     """
     ship(rows.sparkSession)
     known = [r[0] for r in words.where(F.col(word).isNotNull() & (F.col(word) != "")).select(word).distinct().limit(most + 1).collect()]
     if len(known) > most:
-        raise ValueError(f"over {most} words to search for at once")
+        from factloom.operators.search import contained
+
+        return contained(rows, column, words, word)
     shared = rows.sparkSession.sparkContext.broadcast(known)
 
     @F.pandas_udf("array<string>")
@@ -87,7 +90,7 @@ def found_in(rows: DataFrame, column: str, words: DataFrame, word: str, most: in
 def passage_counts(docs: DataFrame, passages: DataFrame, most: int = 200_000) -> DataFrame:
     """(item_id, documents): in how many documents each passage stands; passages in none are left out.
 
-    docs: (text). passages: (item_id, passage), a checked number of them. All are searched in one walk over each
+    docs: (text). passages: (item_id, passage), a checked number of them; operators.search counts more. All are searched in one walk over each
     text by an Aho-Corasick automaton, so the cost doesn't grow with their number; tasks add up first.
     """
     import ahocorasick

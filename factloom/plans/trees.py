@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import document_chunk
-from factloom.operators import artifacts, graph, sink
+from factloom.operators import artifacts, graph, search, sink
 from factloom.plans.queries import query
 from factloom.plans.tables import ident
 from factloom.session import scratch_path, table
@@ -150,3 +150,14 @@ def manifest_file(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch_path(spark, "manifest")
     artifacts.write(spark, folder, {"manifest.yml": artifacts.manifest({"title": "Parts", "input_sha256": digest}, {r.p_brand: r.n for r in brands}, made, {"public": True})})
     return sources.read_texts(spark, folder).select(F.col("text").alias("manifest"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("""WITH p AS (SELECT item_id, text AS p FROM benchmark UNION ALL SELECT 100000 + item_id, substr(text, 1, 20) FROM benchmark UNION ALL SELECT 200000 + item_id, substr(text, 3, 7) FROM benchmark UNION ALL SELECT 300000 + item_id, substr(text, 5, 3) FROM benchmark UNION ALL SELECT 1000000 + p_partkey, p_name FROM part), q AS (SELECT DISTINCT item_id, p FROM p WHERE p <> '')
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(count(*) AS BIGINT) AS documents FROM q JOIN documents ON contains(text, p) GROUP BY 1""")
+def joined_passages(spark: SparkSession, d: str) -> DataFrame:
+    """In how many documents passages and pieces of them of several lengths stand, by the join on rarest pieces."""
+    b, p = table(spark, d, "benchmark"), table(spark, d, "part")
+    parts = [b.select(F.col("item_id").cast("bigint"), F.col("text").alias("passage"))]
+    parts += [b.select((k * 100_000 + F.col("item_id")).cast("bigint").alias("item_id"), F.substring("text", at, n).alias("passage")) for k, at, n in ((1, 1, 20), (2, 3, 7), (3, 5, 3))]
+    named = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(p.select((1_000_000 + F.col("p_partkey")).cast("bigint").alias("item_id"), F.col("p_name").alias("passage")))
+    return search.passage_counts(table(spark, d, "documents"), named)
