@@ -68,15 +68,15 @@ def _bitmap(pieces: DataFrame, bits: int):
     return spark.sparkContext.broadcast((table, sizes))
 
 
-def _passes(shared, bits: int, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and places of the text's pieces that the bitmap lets through."""
+def _passes(shared, bits: int, text: str, once: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and places of the text's pieces that the bitmap lets through; once: of equal pieces the first."""
     table, sizes = shared.value
     points = code_points(text)
     for size in sizes:
         h = piece_hashes(points, size)
         slot = h % bits
         at = np.flatnonzero((table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1)
-        yield h[at], at
+        yield _first_of_each(points, h[at], at, size) if once else (h[at], at)
 
 
 def _counts(shared, bits: int, limit: int):
@@ -103,12 +103,24 @@ def _counts(shared, bits: int, limit: int):
     return run
 
 
-def _places(shared, bits: int):
+def _first_of_each(points: np.ndarray, h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Less the places that repeat, code point by code point, what stands at the first place of the same hash."""
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    origin = at[first][inverse]
+    same = origin != at
+    for k in range(size):
+        same &= points[at + k] == points[origin + k]
+    return h[~same], at[~same]
+
+
+def _places(shared, bits: int, whole: bool):
+    """whole: the patterns are pieces themselves, so one place of each is enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, pieces, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for h, at in _passes(shared, bits, text or ""):
+                for h, at in _passes(shared, bits, text or "", whole):
                     rows.append(np.full(len(h), row, dtype=np.int64))
                     pieces.append(h)
                     places.append(at)
@@ -124,16 +136,19 @@ def contained(rows: DataFrame, column: str, words: DataFrame, word: str, bits: i
     held = materialize(own.withColumn("_row", F.monotonically_increasing_id()), "search-rows")
     patterns = words.where(F.col(word).isNotNull() & (F.col(word) != "")).select(F.col(word).cast("string").alias("pattern")).distinct()
     pieces = materialize(patterns.mapInArrow(_pattern_pieces, "pattern string, piece bigint, size int, offset int"), "search-pieces")
-    texts = held.select(F.col(f"`{column}`").cast("string").alias("text"))
-    counts = texts.mapInArrow(_counts(_bitmap(pieces, bits), bits, limit), "piece bigint, times bigint").groupBy("piece").agg(F.sum("times").alias("times"))
+    counts = held.select(F.col(f"`{column}`").cast("string").alias("text")).mapInArrow(_counts(_bitmap(pieces, bits), bits, limit), "piece bigint, times bigint").groupBy("piece").agg(F.sum("times").alias("times"))
     told = pieces.join(counts, "piece", "left")
     best = told.groupBy("pattern").agg(F.min("times").alias("times"), F.count_if(F.col("times").isNull()).alias("nowhere"), F.min_by(F.struct("piece", "size", "offset"), F.struct("times", "piece")).alias("b")).where("nowhere = 0")
     picked = materialize(best.select("pattern", "b.*"), "search-picked")
-    places = held.select("_row", F.col(f"`{column}`").cast("string").alias("text")).mapInArrow(_places(_bitmap(picked, bits), bits), "_row bigint, piece bigint, place bigint")
-    candidates = places.join(picked.select("piece", "pattern", "offset"), "piece").select("_row", "pattern", (F.col("place") - F.col("offset")).alias("start")).where("start >= 0")
-    at = F.col("start").cast("int") + 1
-    # the text is read once for each row's candidates, which are compared where the join makes them
-    found = candidates.join(held.select("_row", F.col(f"`{column}`").cast("string").alias("text")), "_row").where(F.substring(F.col("text"), at, F.length("pattern")) == F.col("pattern"))
+    texts = held.select("_row", F.col(f"`{column}`").cast("string").alias("text"))
+    candidates = None
+    for whole in (True, False):
+        own = picked.where((F.length("pattern") == F.col("size")) == whole)
+        places = texts.mapInArrow(_places(_bitmap(own, bits), bits, whole), "_row bigint, piece bigint, place bigint")
+        met = places.join(own.select("piece", "pattern", "offset"), "piece").select("_row", "pattern", (F.col("place") - F.col("offset")).alias("start")).where("start >= 0")
+        candidates = met if candidates is None else candidates.unionByName(met)
+    # a row's text meets its candidates where they are compared
+    found = candidates.join(texts, "_row").where(F.substring(F.col("text"), F.col("start").cast("int") + 1, F.length("pattern")) == F.col("pattern"))
     return held.join(found.select("_row", F.col("pattern").alias(word)).distinct(), "_row").drop("_row")
 
 
