@@ -119,5 +119,5 @@ def regression_report_file(spark: SparkSession, d: str) -> DataFrame:
     missing = F.filter(F.from_json(got("$.case_results"), "array<struct<case_id:string,result:string,missing_claim_ids:array<string>>>"), lambda c: (c["result"] == "FAIL") & (F.size(c["missing_claim_ids"]) == 1))
     return sources.read_yaml(spark, folder).select(
         got("$.status").alias("status"), *[got(f"$.counts.{c}").cast("bigint").alias(c) for c in ("cases", "passed", "failed")], F.size(F.from_json(got("$.failures"), "array<string>")).cast("bigint").alias("failures"),
-        F.array_join(F.transform(missing, lambda c: c["case_id"]), ",").alias("missing"), got("$.boundary_checks.required_qualifiers").alias("qualifiers"), got("$.boundary_checks.excluded_terms").alias("terms"), F.lit(current).alias("current"),
+        F.nullif(F.array_join(F.transform(missing, lambda c: c["case_id"]), ","), F.lit("")).alias("missing"), got("$.boundary_checks.required_qualifiers").alias("qualifiers"), got("$.boundary_checks.excluded_terms").alias("terms"), F.lit(current).alias("current"),
     )
