@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from factloom.llm import jaccard_join, mixing, packing, words
@@ -38,8 +40,16 @@ def test_long_texts(spark):
     assert (cut[1].n_removed, cut[3].n_removed, cut[5].n_removed) == (0, 0, 0) and cut[4].n_removed == 30
     # every unchanged run of 99 words of the near copy repeats the first text
     assert cut[2].n_removed == len(near) - near.count("zz")
-    packed = packing.pack(docs).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("most"), F.max("piece").alias("last")).collect()
-    assert all(r.n == 4096 * r.last + r.n - 4096 * r.last and r.most <= 4096 and 4096 * r.last < r.n <= 4096 * (r.last + 1) for r in packed)
+    pieces = {}
+    for r in packing.pack(docs).collect():
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    tokenizer = packing.Tokens.of(packing.tokenizer_path()).tokenizer
+    for i, text, _ in rows:
+        if i in (1, 4, 6):
+            ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END]
+            assert sorted(pieces[i]) == [(k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], dtype="<u4").tobytes())) for k in range(0, len(ids), 4096)]
+    for own in pieces.values():
+        assert [p[:2] for p in sorted(own)] == [(k, 4096 * k) for k in range(len(own))] and all(p[2] == 4096 for p in sorted(own)[:-1])
 
 
 def test_many_copies_and_no_list_of_them(spark, monkeypatch):
