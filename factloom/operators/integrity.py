@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.canonical import blob_sha1, file_sha256
 from factloom.functions.text import every
+from factloom.operators import hash_tree
 from factloom.operators.graph import atom_id, triples
 from factloom.operators.rules import missing_and_extra, multiset_difference
 
@@ -47,9 +48,10 @@ def other_atoms(batches: DataFrame, batch: str) -> DataFrame:
     return batches.where(~F.col("batch_id").eqNullSafe(F.lit(batch))).select(F.explode(F.concat(F.coalesce("edge_atom_ids", none), F.coalesce("qualifier_atom_ids", none))).alias("atom_id")).distinct()
 
 
-def triples_differ(stored: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows by which stored triples and the edges' own triples differ, as multisets."""
-    return multiset_difference(stored.select("subject", "predicate", "object", "relation_status", "source_atom_id", "evidence_source_ids"), triples(edges))
+def triples_differ(stored: DataFrame, edges: DataFrame, by_ranges: bool = False) -> DataFrame:
+    """Rows by which stored triples and the edges' own triples differ, as multisets. by_ranges: most agree, and hash trees find the ranges that don't."""
+    difference = hash_tree.multiset_difference if by_ranges else multiset_difference
+    return difference(stored.select("subject", "predicate", "object", "relation_status", "source_atom_id", "evidence_source_ids"), triples(edges))
 
 
 #: Fixed values of the review protocol: what each field of a reviewer's record must be for it to be aggregated.

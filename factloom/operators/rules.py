@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import membership
+
 COLUMNS = ["level", "rule_id", "ordinal", "path", "locus", "message"]
 Tables = dict[str, DataFrame]
 
@@ -50,11 +52,14 @@ def report(findings: DataFrame) -> tuple[list[str], int]:
     return [f"{r.level}: {r.path}: {r.message}" for r in rows], int(any(r.level == "ERROR" for r in rows))
 
 
-def not_in(rows: DataFrame, keys: dict[str, str], known: DataFrame, vocabulary: bool = False) -> DataFrame:
+def not_in(rows: DataFrame, keys: dict[str, str], known: DataFrame, vocabulary: bool = False, sparse: bool = False) -> DataFrame:
     """Rows without a partner in known; null keys are without one. keys: column of rows to column of known.
 
     vocabulary: known is a controlled vocabulary, small by nature, and is broadcast.
+    sparse: most rows have no partner; a bitmap says so of nearly all of them, and only the others are shuffled.
     """
+    if sparse:
+        return membership.not_in(rows, keys, known)
     right = known.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys.values())])
     right = F.broadcast(right) if vocabulary else right
     on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
@@ -74,10 +79,11 @@ def expect_values(actual: DataFrame, expected: DataFrame) -> DataFrame:
     return both.where(~F.col("want").eqNullSafe(F.col("have")))
 
 
-def missing_and_extra(want: DataFrame, have: DataFrame, key: str) -> DataFrame:
-    """(key, side): what only one of two lists has."""
+def missing_and_extra(want: DataFrame, have: DataFrame, key: str, sparse: bool = False) -> DataFrame:
+    """(key, side): what only one of two lists has. sparse: as in not_in, for lists that have little in common."""
     a, b = want.select(key).distinct(), have.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("extra")))
+    missing, extra = (not_in(x, {key: key}, y, sparse=sparse) for x, y in ((a, b), (b, a)))
+    return missing.withColumn("side", F.lit("missing")).unionByName(extra.withColumn("side", F.lit("extra")))
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:

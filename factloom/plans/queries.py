@@ -519,4 +519,4 @@ def document_build(spark: SparkSession, d: str) -> DataFrame:
     return build_from_tables(spark, d)
 
 
-from factloom.plans import checks, gate_checks, trees  # noqa: E402, F401  their queries register themselves
+from factloom.plans import checks, gate_checks, ranges, trees  # noqa: E402, F401  their queries register themselves
