@@ -8,7 +8,9 @@ letter or when its cross-entropy lies beyond what held-back training texts of th
 
 Training reads at most about `train_docs` labelled rows a language, chosen by a hash of their id (the
 documented bound of the sample); everything else covers all rows. The sample's letters and n-grams are counted in
-Spark, and what its held-back rows show is measured there; the driver gets counts, never texts. Symbols have 16 bits: beyond
+Spark, and what its held-back rows show is measured there; the driver gets counts, never texts. The arrays have a column for each language, so
+distinct n-grams times languages are bounded too (`max_cells`, 33,554,432: 128 MB of log probabilities): beyond it the model is fitted on the n-grams that
+are most frequent in some language; ten languages may have 3.3 million, 2,000 languages 16,777. Symbols have 16 bits: beyond
 the ALPHABET most frequent letters of the sample all are one symbol. A language without held-back rows has
 the limit of a cross-entropy of 5. Where two languages tie, the first by name wins.
 
@@ -25,7 +27,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,16 +206,22 @@ def lookup(model: Model, grams: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-#: Positions scored at once; the totals of a longer text are carried on.
+#: Positions scored at once under up to 16 languages; the totals of a longer text are carried on.
 BLOCK = 1 << 18
 
 
+def block(model: Model) -> int:
+    """Positions scored at once: fewer under more languages, so that the scores take the same memory."""
+    return max(1, BLOCK * 16 // max(16, len(model.langs)))
+
+
 def cross_entropy(model: Model, cp: np.ndarray) -> np.ndarray:
     """Nats per symbol under each language."""
     grams = packed(symbols(cp, model.alphabet), ORDER)[1:]
     total = np.zeros(len(model.langs))
-    for lo in range(0, len(grams), BLOCK):
-        total += lookup(model, grams[lo : lo + BLOCK], ORDER).sum(axis=0, dtype=np.float64)
+    step = block(model)
+    for lo in range(0, len(grams), step):
+        total += lookup(model, grams[lo : lo + step], ORDER).sum(axis=0, dtype=np.float64)
     return -total / max(1, len(grams))
 
 
@@ -233,7 +241,7 @@ def predict(model: Model | None, texts: pd.Series) -> pd.DataFrame:
     out = pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "cross_entropy": np.full(len(texts), np.nan), "accepted": False})
     if model is None:
         return out.astype({"cross_entropy": object}).where(out.notna(), None)
-    todo, parts, size = [], [], 0
+    todo, parts, size, most = [], [], 0, block(model)
 
     def flush() -> None:
         nonlocal todo, parts, size
@@ -263,13 +271,13 @@ def predict(model: Model | None, texts: pd.Series) -> pd.DataFrame:
         cp = codes(text)
         if len(cp) < 3 and not letters()[cp].any():
             continue
-        if len(cp) > BLOCK:
+        if len(cp) > most:
             out.iloc[k] = decide(model, cross_entropy(model, cp)[None, :], np.array([len(cp) - 1])).to_numpy()[0]
             continue
         todo.append(k)
         parts.append(cp)
         size += len(cp)
-        if size > BLOCK:
+        if size > most:
             flush()
     flush()
     return out.astype({"lang_pred": str, "score": float, "cross_entropy": float, "accepted": bool})
@@ -280,8 +288,31 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> Column:
     return F.col("lang").isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 500, max_languages: int = 2000) -> Model | None:
-    """Fit on about train_docs rows a language; the largest training table is train_docs * max_languages rows."""
+def within(grams: DataFrame, most: int) -> DataFrame:
+    """The rows (lang, gram, n) of at most `most` distinct n-grams.
+
+    All rows where that holds of itself. Otherwise an n-gram stays, in every language, if it is among the K most frequent of one language, ties to
+    the smaller, with one K for all languages: the largest that keeps within the bound, in steps of an eighth of a doubling.
+    """
+    if grams.count() <= most:
+        return grams
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    best = grams.withColumn("_r", rank).groupBy("gram").agg(F.ceil(F.log2(F.min("_r")) * 8).cast("int").alias("step"))
+    best = materialize(best, "language-ranks")
+    kept, limit = 0, -1
+    for step, n in sorted((r.step, r["count"]) for r in best.groupBy("step").count().collect()):  # eight rows a doubling
+        kept += n
+        if kept > most:
+            break
+        limit = step
+    return grams.join(best.where(F.col("step") <= limit), "gram", "left_semi").select("lang", "gram", "n")
+
+
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 500, max_languages: int = 2000, max_cells: int = 1 << 25) -> Model | None:
+    """Fit on about train_docs rows a language; the largest training table is train_docs * max_languages rows.
+
+    max_cells: distinct n-grams of the highest order times languages that the model may have (`within`), at least the square of the languages.
+    """
     labelled = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = labelled.groupBy(lang_col).count().limit(max_languages + 1).collect()
     if len(counts) > max_languages:
@@ -300,12 +331,22 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not found:
         return None
     alphabet = alphabet_of(np.array([r[0] for r in found], dtype=np.uint32), np.array([r[1] for r in found], dtype=np.int64))
-    grams = sample.mapInArrow(_grams_of(alphabet), "lang string, held boolean, gram bigint, n bigint").groupBy("lang", "held", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = {}
-    for lang, own in grams.groupby("lang"):
-        own = own[~own.held] if not own.held.all() else own
-        gram, order = own.gram.to_numpy().view(np.uint64), np.argsort(own.gram.to_numpy().view(np.uint64))
-        counts[lang] = gram[order], own.n.to_numpy()[order]
+    counted = materialize(sample.mapInArrow(_grams_of(alphabet), "lang string, held boolean, gram bigint, n bigint").groupBy("lang", "held", "gram").agg(F.sum("n").alias("n")), "language-grams")
+    names = {held: sorted(r[0] for r in counted.where(F.col("held") == held).select("lang").distinct().collect()) for held in (False, True)}  # max_languages each at most
+    langs = sorted({*names[False], *names[True]})
+    if max_cells < len(langs) ** 2:
+        raise ValueError(f"{len(langs)} languages need at least {len(langs) ** 2} cells")
+    # a language without other rows is learned from its held-back ones
+    own = counted.where(~F.col("held") | ~F.col("lang").isin(names[False]))
+    number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])
+    grams = within(own.select(number[F.col("lang")].alias("lang"), "gram", "n"), max_cells // len(langs)).toPandas()
+    counts = {lang: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for lang in langs}
+    for k, rows in grams.groupby("lang"):
+        gram = rows.gram.to_numpy().view(np.uint64)
+        order = np.argsort(gram)
+        counts[langs[k]] = gram[order], rows.n.to_numpy()[order]
+    del grams
+    discard(counted)
     model = fit_counts(alphabet, counts)
     told = spark.sparkContext.broadcast(model)
     entropy: dict[str, list[float]] = {}

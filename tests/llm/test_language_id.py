@@ -129,3 +129,47 @@ def test_alphabet_keeps_the_most_frequent(monkeypatch):
     monkeypatch.setattr(L, "ALPHABET", 2)
     assert L.alphabet_of(np.array([9, 5, 7]), np.array([3, 1, 3])).tolist() == [7, 9]
     assert L.alphabet_of(np.array([9, 5, 7]), np.array([1, 1, 1])).tolist() == [5, 7]
+
+
+@pytest.mark.parametrize("most", [1, 3, 10, 40, 200, 10**6])
+def test_ngrams_within_a_bound(spark, most):
+    """Against the rule applied row by row: best ranks over languages, cut at the last step that fits."""
+    import math
+    import random
+
+    r = random.Random(most)
+    rows = [(lang, g, r.choice([1, 1, 1, 2, 3, 9])) for lang in range(3) for g in r.sample(range(-150, 150), 120)]
+    best = {}
+    for lang in range(3):
+        own = sorted((x for x in rows if x[0] == lang), key=lambda x: (-x[2], x[1]))
+        for k, (_, g, _) in enumerate(own, 1):
+            best[g] = min(best.get(g, k), k)
+    steps = sorted({math.ceil(math.log2(k) * 8) for k in best.values()})
+    of = {s: {g for g, k in best.items() if math.ceil(math.log2(k) * 8) <= s} for s in steps}
+    fits = [s for s in steps if len(of[s]) <= most]
+    kept = set(best) if len(rows) <= most else of[fits[-1]] if fits else set()
+    got = L.within(spark.createDataFrame(rows, "lang int, gram bigint, n bigint").repartition(3), most)
+    assert sorted(map(tuple, got.collect())) == sorted(x for x in rows if x[1] in kept)
+    assert got.select("gram").distinct().count() <= most or len(rows) <= most
+
+
+def test_a_bounded_model_still_tells_languages(spark):
+    import numpy as np
+
+    rows = samples().drop(columns="held").assign(doc_id=range(120))
+    df = spark.createDataFrame(rows).repartition(3)
+    model = L.train(df, max_cells=2 * 60)
+    assert 8 <= len(model.grams[-1]) <= 60
+    assert L.predict(model, pd.Series([EN, DE])).lang_pred.tolist() == ["en", "de"]
+    for sym in (np.zeros(0, np.uint64), model.grams[0][-1:]):  # smoothed probabilities still sum to one
+        grams = np.array([(int(sym[0]) << 16 if len(sym) else 0) | s for s in range(len(model.alphabet) + L.FIRST)], dtype=np.uint64)
+        assert np.exp(L.lookup(model, grams, len(sym) + 1).astype(float)).sum(axis=0) == pytest.approx([1, 1], abs=1e-3)
+    with pytest.raises(ValueError, match="at least 4 cells"):
+        L.train(df, max_cells=3)
+
+
+def test_many_languages_score_in_smaller_blocks():
+    model = L.fit(samples())
+    assert L.block(model) == L.BLOCK
+    model.langs = [str(k) for k in range(1600)]
+    assert L.block(model) == L.BLOCK // 100
