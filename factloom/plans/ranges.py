@@ -12,14 +12,14 @@ from factloom.plans.tables import contains
 from factloom.session import table
 
 
-@query("""WITH a AS (SELECT o_orderkey AS name, o_totalprice::DECIMAL(18, 2) AS h FROM orders WHERE o_totalprice > 3000), b AS (SELECT o_orderkey AS name, CASE WHEN o_totalprice > 400000 THEN -1 ELSE o_totalprice::DECIMAL(18, 2) END AS h FROM orders WHERE NOT (o_orderstatus = 'P' AND o_totalprice > 300000))
+@query("""WITH a AS (SELECT o_orderkey AS name, o_totalprice::DECIMAL(18, 2) AS h FROM orders WHERE o_totalprice > 1600), b AS (SELECT o_orderkey AS name, CASE WHEN o_totalprice > 499000 THEN -1 ELSE o_totalprice::DECIMAL(18, 2) END AS h FROM orders WHERE NOT (o_orderstatus = 'P' AND o_totalprice > 480000))
 SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'EXTRA' WHEN b.name IS NULL THEN 'MISSING' WHEN a.h <> b.h THEN 'STALE' ELSE 'OK' END AS status FROM a FULL JOIN b ON a.name = b.name""")
 def drift_by_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Orders as artifacts of which few have changed: the dearest are stale, some are missing and the cheapest extra."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("name"), "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
     digest = lambda c: F.sha2(c.cast("string"), 256).alias("sha256")
-    want = o.where("p > 3000").select("name", digest(F.col("p")))
-    have = o.where("NOT (o_orderstatus = 'P' AND p > 300000)").select("name", digest(F.when(F.col("p") > 400000, F.lit(-1)).otherwise(F.col("p"))))
+    want = o.where("p > 1600").select("name", digest(F.col("p")))
+    have = o.where("NOT (o_orderstatus = 'P' AND p > 160000)").select("name", digest(F.when(F.col("p") > 499000, F.lit(-1)).otherwise(F.col("p"))))
     return hash_tree.drift(want, have)
 
 
