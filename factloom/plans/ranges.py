@@ -19,7 +19,7 @@ def drift_by_ranges(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("name"), "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
     digest = lambda c: F.sha2(c.cast("string"), 256).alias("sha256")
     want = o.where("p > 1600").select("name", digest(F.col("p")))
-    have = o.where("NOT (o_orderstatus = 'P' AND p > 160000)").select("name", digest(F.when(F.col("p") > 499000, F.lit(-1)).otherwise(F.col("p"))))
+    have = o.where("NOT (o_orderstatus = 'P' AND p > 480000)").select("name", digest(F.when(F.col("p") > 499000, F.lit(-1)).otherwise(F.col("p"))))
     return hash_tree.drift(want, have)
 
 
