@@ -37,5 +37,5 @@ def test_edges_and_extra_columns(spark, empty):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in QUERIES and set(SQL) <= set(QUERIES)
