@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,7 +110,12 @@ def _one_of(found: DataFrame, keys: list[str], order: list[str], pick) -> DataFr
 class Graph:
     nodes: DataFrame
     edges: DataFrame
-    digest: DataFrame
+    make_digest: Callable[[], DataFrame]
+
+    @cached_property
+    def digest(self) -> DataFrame:
+        """One row, made when it is first asked for."""
+        return self.make_digest()
 
     @property
     def triples(self) -> DataFrame:
@@ -125,7 +132,7 @@ def build(docs: DataFrame, batch: str) -> Graph:
     found = edges(chosen)
     _refuse(unreviewed(found), "relation is not reviewed")
     _refuse(found.where(atom_id().isNull()), "relation has no source_atom_id")
-    return Graph(nodes(chosen), found, batch_digest(chosen))
+    return Graph(nodes(chosen), found, lambda: batch_digest(chosen))
 
 
 def extend(base: Graph, docs: DataFrame, extensions: DataFrame, batch: str, catalogs: DataFrame) -> Graph:
@@ -136,7 +143,7 @@ def extend(base: Graph, docs: DataFrame, extensions: DataFrame, batch: str, cata
     added = edges(new).unionByName(edges(more, "extends_entity"))
     _refuse(unreviewed(added), "relation is not reviewed")
     _refuse(more.select(F.col("m.extends_entity").alias("id")).join(all_nodes, "id", "left_anti"), "extended entity is unknown")
-    return Graph(all_nodes, base.edges.unionByName(added), union_digest(base.digest, new, more, catalogs))
+    return Graph(all_nodes, base.edges.unionByName(added), lambda: union_digest(base.digest, new, more, catalogs))
 
 
 def _refuse(rows: DataFrame, message: str) -> None:

@@ -15,20 +15,25 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import itertools
 import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.canonical import canonical_json
+from factloom.functions.resumable import Sha256, resumable
 from factloom.functions.text import rstrip
 from factloom.operators.artifacts import _hadoop
-from factloom.session import partitions, scratch_path, ship
+from factloom.session import materialize, partitions, scratch_path, ship
 
 BUFFER = 1 << 20
+#: Bytes that one task of a digest reads.
+READ = 128 << 20
 
 
 def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,34 +160,133 @@ def write_file(lines: DataFrame, target: str, head: str | None = None, parts: in
         remove(spark, folder)
 
 
-def _hasher(algorithm: str):
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk) to (at, chunks, size, block): the bytes of all chunks in blocks of BUFFER at most, at their place within the partition."""
+    at = 0
+    for b in batches:
+        column = b.column(0)
+        if not len(column):
+            continue
+        wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+        ends = np.frombuffer(column.buffers()[1], dtype=wide)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        first, last = int(ends[0]), int(ends[-1])
+        cuts = list(range(first, last, BUFFER)) or [first]
+        for k, start in enumerate(cuts):  # one by one, as a batch may be large
+            size = min(BUFFER, last - start)
+            row = (at + start - first, len(column) if k == 0 else 0, size, data.slice(start, size).to_pybytes() if size else b"")
+            yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int64()) for x in row[:3]], pa.array([row[3]], pa.binary())], names=["at", "chunks", "size", "block"])
+        at += last - first
+
+
+BLOCKS = "part bigint, at bigint, chunks bigint, size bigint, block binary"
+
+
+def _hasher(algorithm: str, state: bytes | None, most: int, last: bool):
+    """(block) to (found): the digest if it is the last step, else the state to go on from. most: bytes to take."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, size, n = hashlib.new(algorithm), 0, 0
+        resumed = state is not None or not last
+        h = Sha256(state) if resumed else hashlib.new(algorithm)
+        left = most
         for b in batches:
             for x in b.column(0):
-                if x.is_valid:
-                    data = memoryview(x.as_buffer())
-                    h.update(data)
-                    size += len(data)
-                    n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()]), pa.array([size]), pa.array([n])], names=["digest", "bytes", "chunks"])
+                data = x.as_buffer()
+                data = data.slice(0, min(left, data.size))
+                h.update(data)
+                left -= data.size
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest().encode() if last else h.state()], pa.binary())], names=["found"])
 
     return run
 
 
-def stream_digest(df: DataFrame, order: list[Column | str], chunk: Column, algorithm: str = "sha256", parts: int | None = None) -> DataFrame:
+def _steps(rows: list, limit: int) -> Iterator[list]:
+    """Index rows (part, step, size) in order, in runs of limit bytes; a longer one is alone."""
+    run: list = []
+    for r in rows:
+        if run and sum(x.size for x in run) + r.size > limit:
+            yield run
+            run = []
+        run.append(r)
+    if run:
+        yield run
+
+
+def _chained(blocks: DataFrame, algorithm: str, limit: int, whole: int | None = None) -> tuple[str, int, int]:
+    """(digest, bytes, chunks) of BLOCKS in the order of part and at. whole: how many bytes they are, where what follows isn't to be hashed.
+
+    Blocks are stored once. A serial hash then goes from task to task: each reads limit bytes or so, and takes its state on to the next.
+    """
+    from factloom.session import discard
+
+    spark = blocks.sparkSession
+    held = materialize(blocks, "digest")
+    try:
+        step = F.expr(f"at div {limit}L").alias("step")
+        index = held.groupBy("part", step).agg(F.sum("size").alias("size"), F.sum("chunks").alias("chunks"), F.min("_metadata.file_path").alias("file")).orderBy("part", "step").collect()  # a row for each part and limit bytes
+        size = sum(r.size for r in index)
+        left = size = size if whole is None else min(whole, size)
+        state, found = None, hashlib.new(algorithm).hexdigest()
+        runs = list(_steps(index, limit)) if resumable(algorithm) else [index] if index else []
+        for k, run in enumerate(runs):
+            at, end = F.struct("part", step), [F.struct(F.lit(r.part).cast("bigint").alias("part"), F.lit(r.step).cast("bigint").alias("step")) for r in (run[0], run[-1])]
+            rows = spark.read.schema(BLOCKS).parquet(*sorted({r.file for r in run})).where((at >= end[0]) & (at <= end[1]))
+            few = [F.col("part").between(run[0].part, run[-1].part)] if run[0].part != run[-1].part else [F.col("part") == run[0].part, F.col("at").between(run[0].step * limit, (run[-1].step + 1) * limit - 1)]  # for the reader's own filters
+            for f in few:
+                rows = rows.where(f)
+            last = k == len(runs) - 1
+            got = rows.coalesce(1).sortWithinPartitions("part", "at").select("block").mapInArrow(_hasher(algorithm, state, left, last), "found binary").first().found
+            state, found = bytes(got), bytes(got).decode() if last else found
+            left -= sum(r.size for r in run)
+        return found, size, sum(r.chunks for r in index)
+    finally:
+        discard(held)
+
+
+def stream_digest(df: DataFrame, order: list[Column | str], chunk: Column, algorithm: str = "sha256", parts: int | None = None, limit: int = READ) -> DataFrame:
     """One row (digest, bytes, chunks): the hash of all chunks in order, null ones left out.
 
-    A serial hash has to see all bytes one after the other; the chunks are range-partitioned, and one task takes the partitions in
-    turn, sorts each with spilling and feeds a single hasher batch by batch, so its memory doesn't follow the corpus. For
-    a digest that tasks make side by side use `canonical.tree_digest`. Rows equal in the order are taken by their bytes.
+    A serial hash has to see all bytes one after the other. The chunks are range-partitioned and sorted, and written as blocks, by tasks side by
+    side; then one task after the other hashes about limit bytes and hands its state to the next, so no task reads or holds more. Without OpenSSL, or
+    for another algorithm than SHA-256, the state can't be handed on and one task reads all blocks. For a digest that tasks make side by side use
+    `canonical.tree_digest`. Rows equal in the order are taken by their bytes. The work is done when this is called.
     """
+    ship(df.sparkSession)
     keys = [(F.col(c) if isinstance(c, str) else c).alias(f"o{k}") for k, c in enumerate(order)]
-    rows = df.select(*keys, chunk.cast("binary").alias("chunk"))
-    parted = ordered(rows, parts)
-    found = parted.select("chunk").coalesce(1).mapInArrow(_hasher(algorithm), "digest string, bytes bigint, chunks bigint")
-    nothing = F.lit(hashlib.new(algorithm).hexdigest())  # no rows may be no partition
-    return found.agg(F.coalesce(F.max("digest"), nothing).alias("digest"), F.coalesce(F.max("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.max("chunks"), F.lit(0)).alias("chunks"))
+    rows = df.select(*keys, chunk.cast("binary").alias("chunk")).where("chunk IS NOT NULL")
+    blocks = ordered(rows, parts).select("chunk").mapInArrow(_blocks, BLOCKS.split(", ", 1)[1])
+    found = _chained(blocks.select(F.spark_partition_id().cast("bigint").alias("part"), "*"), algorithm, limit)
+    return df.sparkSession.createDataFrame([found], "digest string, bytes bigint, chunks bigint")
+
+
+def file_digest(spark: SparkSession, path: str, algorithm: str = "sha256", limit: int = READ) -> DataFrame:
+    """One row (name, bytes, digest) of a file of any size, read in splits; its lines may not be longer than a row can be."""
+    ship(spark)
+    store, target = _hadoop(spark, path)
+    size = store.getFileStatus(target).getLen()
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_block_start").alias("part"), F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("chunk"))
+    # a partition has one split or several that are whole files, and there is one file: its splits are told apart by where they begin
+    blocks = lines.mapInArrow(_split_blocks, BLOCKS)
+    digest, have, _ = _chained(blocks, algorithm, limit, size)
+    if have != size:
+        raise OSError(f"{path} has {size} bytes, and {have} were read")
+    return spark.createDataFrame([(target.getName(), size, digest)], "name string, bytes bigint, digest string")
+
+
+def _split_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, chunk) to BLOCKS, of one part after the other."""
+
+    def runs() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for b in batches:
+            starts = b.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(starts)) + 1).tolist(), len(starts)]
+            for x, y in zip(cuts, cuts[1:]):
+                if y > x:
+                    yield int(starts[x]), b.slice(x, y - x).select([1])
+
+    for part, group in itertools.groupby(runs(), key=lambda r: r[0]):
+        for out in _blocks(b for _, b in group):
+            yield pa.RecordBatch.from_arrays([pa.array([part] * out.num_rows, pa.int64()), *out.columns], names=["part", *out.schema.names])
 
 
 def write_graph(graph, folder: str, parts: int | None = None) -> dict[str, int]:

@@ -67,3 +67,23 @@ def test_corpus_file(spark, rows, tmp_path):
 def test_empty(spark, rows, tmp_path):
     sink.write_file(sink.json_line(rows.limit(0), ["id"]), f"file://{tmp_path}/e")
     assert (tmp_path / "e").read_bytes() == b""
+
+
+def test_no_task_reads_the_whole_stream(spark, rows):
+    docs = rows.select("id", F.repeat(F.col("id"), F.col("n") * 20).alias("text"))
+    whole = b"".join(r.id.encode() + b"\0" + r.text.encode() + b"\0" for r in docs.orderBy("id").collect())
+    jobs = {}
+    for parts, limit in ((3, 1 << 30), (3, 2_000_000), (40, 3_000_000)):
+        spark.sparkContext.setJobGroup(name := f"digest-{parts}-{limit}", name)
+        got = sink.stream_digest(docs, ["id"], document_chunk(F.col("id"), F.col("text")), parts=parts, limit=limit).first()
+        jobs[limit] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        assert tuple(got) == (hashlib.sha256(whole).hexdigest(), len(whole), 2000)
+    assert min(jobs[2_000_000], jobs[3_000_000]) >= jobs[1 << 30] + len(whole) // 3_000_000  # a job of one task for each limit bytes
+    got = sink.stream_digest(docs, ["id"], document_chunk(F.col("id"), F.col("text")), "md5", limit=100_000).first()
+    assert got.digest == hashlib.md5(whole).hexdigest()
+
+
+def test_large_chunk_is_cut(spark):
+    one = spark.sql("SELECT 'k' AS k, repeat('abcdefg', 700000) AS t UNION ALL SELECT 'a', '' UNION ALL SELECT 'z', NULL")
+    got = sink.stream_digest(one, ["k"], F.col("t"), limit=1_500_000).first()
+    assert tuple(got) == (hashlib.sha256(b"abcdefg" * 700_000).hexdigest(), 4_900_000, 2)
