@@ -13,6 +13,7 @@ from factloom.functions.canonical import document_chunk
 from factloom.functions.text import numbered_id
 from factloom.operators.model import EDGE_COLUMNS, NODE_COLUMNS, TRIPLE_COLUMNS, typed
 from factloom.operators.sink import stream_digest
+from factloom.session import materialize
 
 
 def in_batch(docs: DataFrame, batch: str | Column, reviewed_only: bool = True) -> DataFrame:
@@ -128,7 +129,7 @@ class Graph:
 
 def build(docs: DataFrame, batch: str) -> Graph:
     """The graph of one batch. Raises where a relation of a reviewed document isn't reviewed itself or an atom id is missing."""
-    chosen = in_batch(docs, batch)
+    chosen = materialize(in_batch(docs, batch), "batch")  # read by nodes, edges, checks and digest
     found = edges(chosen)
     _refuse(unreviewed(found), "relation is not reviewed")
     _refuse(found.where(atom_id().isNull()), "relation has no source_atom_id")
@@ -137,7 +138,7 @@ def build(docs: DataFrame, batch: str) -> Graph:
 
 def extend(base: Graph, docs: DataFrame, extensions: DataFrame, batch: str, catalogs: DataFrame) -> Graph:
     """The graph of a base and a later batch with its extension documents."""
-    new, more = in_batch(docs, batch), in_batch(extensions, batch)
+    new, more = (materialize(in_batch(x, batch), "batch") for x in (docs, extensions))
     all_nodes = base.nodes.unionByName(nodes(new))
     _refuse(repeated(all_nodes, "id"), "node id is repeated")
     added = edges(new).unionByName(edges(more, "extends_entity"))
