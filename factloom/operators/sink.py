@@ -19,6 +19,7 @@ import itertools
 import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -273,6 +274,17 @@ def file_digest(spark: SparkSession, path: str, algorithm: str = "sha256", limit
     return spark.createDataFrame([(target.getName(), size, digest)], "name string, bytes bigint, digest string")
 
 
+def file_digests(spark: SparkSession, folder: str, limit: int = READ) -> DataFrame:
+    """(name, bytes, sha256) of the files in a folder: those over limit bytes in splits, the others whole."""
+    store, target = _hadoop(spark, folder)
+    found = sorted((f.getPath().getName(), f.getLen()) for f in store.listStatus(target) if f.isFile())
+    large = [name for name, size in found if size > limit]
+    listed = spark.read.format("binaryFile").load(folder.rstrip("/") + "/*")
+    small = listed.where((F.col("length") > 0) & (F.col("length") <= limit)).select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    empty = spark.createDataFrame([(name, 0, hashlib.sha256(b"").hexdigest()) for name, size in found if not size], "name string, bytes bigint, sha256 string")  # Spark reads none of them
+    return reduce(DataFrame.unionByName, [file_digest(spark, f"{folder}/{name}", limit=limit).withColumnRenamed("digest", "sha256") for name in large], small.unionByName(empty))
+
+
 def _split_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, chunk) to BLOCKS, of one part after the other."""
 

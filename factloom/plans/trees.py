@@ -72,7 +72,7 @@ def ordered_files(spark: SparkSession, d: str) -> DataFrame:
     sink.write_file(sink.json_line(nodes, ["id"]), f"{folder}/nodes.jsonl")
     sink.write_file(sink.csv_line(triples, ["subject"]), f"{folder}/triples.csv", sink.csv_header(triples))
     sink.write_file(sink.corpus_line(docs), f"{folder}/corpus.md", "# Parts")
-    return sources.files(spark, folder, recursive=False).select("name", "bytes", F.sha2("content", 256).alias("sha256"))
+    return sink.file_digests(spark, folder)
 
 
 @query("""WITH t AS (SELECT 'd/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)

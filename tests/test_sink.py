@@ -87,3 +87,16 @@ def test_large_chunk_is_cut(spark):
     one = spark.sql("SELECT 'k' AS k, repeat('abcdefg', 700000) AS t UNION ALL SELECT 'a', '' UNION ALL SELECT 'z', NULL")
     got = sink.stream_digest(one, ["k"], F.col("t"), limit=1_500_000).first()
     assert tuple(got) == (hashlib.sha256(b"abcdefg" * 700_000).hexdigest(), 4_900_000, 2)
+
+
+def test_digests_of_files_in_splits(spark, tmp_path):
+    lines = b"".join(b"%d,%s\r\n\n" % (k, b"x" * (k % 300)) for k in range(30_000))
+    for name, data in (("a", lines), ("b", lines[:-1]), ("c", lines + b"no end"), ("d", b"\n" * 3_000_000), ("e", b""), ("f", b"small\n")):
+        (tmp_path / name).write_bytes(data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700000")
+    try:
+        got = {r.name: (r.bytes, r.sha256) for r in sink.file_digests(spark, f"file://{tmp_path}", limit=2_000_000).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n in "abcdef" for b in [(tmp_path / n).read_bytes()]}
