@@ -38,7 +38,7 @@ def implementation_problems(planned: DataFrame, implemented: DataFrame, key: str
 
 
 def first_batch(batches: DataFrame, batch: str) -> DataFrame:
-    """The batch's row; an empty result is a failure for the caller to report."""
+    """A row of the batch, which may have several; an empty result is a failure for the caller to report."""
     return batches.where(F.col("batch_id") == batch).limit(1)
 
 

@@ -36,7 +36,8 @@ def intake_findings(spark: SparkSession, d: str) -> DataFrame:
     r, n = table(spark, d, "region"), table(spark, d, "nation")
     size = F.length("r_name").cast("bigint")
     tables = {
-        "batches": o.where("o_orderpriority = '1-URGENT'").agg(F.collect_list(atom).alias("edge_atom_ids")).select(F.lit("B1").alias("batch_id"), "edge_atom_ids", F.lit(None).cast("array<string>").alias("qualifier_atom_ids")),
+        # a batch's atoms stand in many rows, each of those within 10,000 keys
+        "batches": o.where("o_orderpriority = '1-URGENT'").groupBy(F.floor(F.col("o_orderkey") / 10_000)).agg(F.collect_list(atom).alias("edge_atom_ids")).select(F.lit("B1").alias("batch_id"), "edge_atom_ids", F.lit(None).cast("array<string>").alias("qualifier_atom_ids")),
         "nodes": nodes, "edges": edges.drop("p"), "registry": o.where("o_orderpriority <> '5-LOW'").select(source.alias("source_id")).distinct(), "planned_entities": ids.where("c_nationkey <> 4").select("id").unionByName(orders),
         "planned_atoms": o.where("o_totalprice <= 300000").select(atom.alias("atom_id")), "triples": graph.triples(edges.where("p <> '4-NOT SPECIFIED'")), "manifest": r.select(F.col("r_name").alias("name"), F.lit("h").alias("sha256"), size.alias("size_bytes")),
         "files": r.where("r_regionkey <> 0").select(F.col("r_name").alias("name"), F.when(F.col("r_regionkey") == 1, "x").otherwise("h").alias("sha256"), (size + (F.col("r_regionkey") == 2).cast("int")).alias("size_bytes")),

@@ -147,3 +147,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["build", *build], spark) == 1 and "BUILD=FAIL relation is not reviewed" in capsys.readouterr().out
     (tmp_path / "schema" / "entity-types.yml").unlink()
     assert main(args, spark) == 2
+
+
+def test_no_batch_is_one_row(spark):
+    """The plan of the intake query collects a batch's atoms by key range and never all of them into one list."""
+    from factloom.plans.gate_checks import intake_findings
+
+    plan = intake_findings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [collect_list" not in plan and "collect_list" in plan
