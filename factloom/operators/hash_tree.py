@@ -118,7 +118,8 @@ def divide(rows: DataFrame, keys: list[str], ranges: DataFrame, depth: int, null
 
 
 def trees(a: DataFrame, b: DataFrame, keys: list[str], per_range: int = 16) -> tuple[HashTree, HashTree]:
-    depth = depth_for(max(a.count(), b.count()), per_range)
+    """Trees for one comparison. Ranges beyond 2 ** BITS would share places of the bitmap, so such trees are no deeper."""
+    depth = min(BITS, depth_for(max(a.count(), b.count()), per_range))
     return build(a, keys, depth), build(b, keys, depth)
 
 

@@ -87,5 +87,11 @@ def missing_and_extra(want: DataFrame, have: DataFrame, key: str, sparse: bool =
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that one table has more often than the other, with its side."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows that one table has more often than the other, with its side. Columns are matched by position; each table is read once."""
+    n, most = F.col("_n"), 1_000_000
+    both = a.select("*", F.lit(1).cast("bigint").alias("_n")).union(b.select("*", F.lit(-1).cast("bigint").alias("_n")))
+    more = both.groupBy(*[F.col(f"`{c}`") for c in a.columns]).agg(F.sum("_n").alias("_n")).where(n != 0)
+    sided = more.withColumn("side", F.when(n > 0, "left").otherwise("right")).withColumn("_n", F.abs(n))
+    blocks = sided.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_n - 1) div {most}"))))  # a row for each difference, by arrays of bounded length
+    each = F.array_repeat(F.lit(0), F.least(n - F.col("_k") * most, F.lit(most)).cast("int"))
+    return blocks.select("*", F.explode(each).alias("_e")).drop("_n", "_k", "_e")

@@ -96,3 +96,26 @@ def test_absences(spark):
     assert rules.not_in(rows.limit(0), {"a": "x"}, known, sparse=True).count() == 0
     a, b = rows.select("a"), known.select(F.col("x").alias("a"))
     assert counted(rules.missing_and_extra(a, b, "a", sparse=True)) == counted(rules.missing_and_extra(a, b, "a"))
+
+
+def test_multiset_difference_reads_each_side_once(spark):
+    from collections import Counter
+
+    a = spark.createDataFrame([(k % 5, "x" if k % 3 else None) for k in range(60)], "a int, b string")
+    b = spark.createDataFrame([(k % 7, "x" if k % 2 else None) for k in range(40)], "c int, d string")
+    found = rules.multiset_difference(a, b)
+    left, right = (Counter(map(tuple, x.collect())) for x in (a, b))
+    want = Counter({(*k, "left"): n for k, n in (left - right).items()}) + Counter({(*k, "right"): n for k, n in (right - left).items()})
+    assert Counter(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
+
+
+def test_trees_for_one_comparison_are_no_deeper_than_the_bitmap(spark):
+    from unittest.mock import patch
+
+    rows = spark.range(3000).select("id", (F.col("id") % 11).alias("v"))
+    other = rows.withColumn("v", F.when(F.col("id") % 500 == 0, -1).otherwise(F.col("v")))
+    with patch.object(hash_tree, "BITS", 5):
+        assert hash_tree.trees(rows, other, ["id"], 1)[0].depth == 5
+        assert hash_tree.multiset_difference(rows, other).count() == 12
