@@ -63,8 +63,8 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
     """(key, rule, message) of responses that must not be served.
 
     claims: (claim_id, entity_ids, evidence). sources: (source_id, title). required_qualifiers: (claim_id, qualifiers JSON); other claims send {}.
-    Qualifiers are compared as mappings, whatever their order and spacing. Rules within a response look at its own arrays; claims and
-    citations are exploded once each, for what they need from other tables.
+    Qualifiers are compared as mappings, whatever their order and spacing. Rules within a response look at its own arrays, without a shuffle;
+    claims and citations are exploded once each, for what they need from other tables, and whole responses meet no table.
     """
     r = responses
     ids = lambda c, f: F.transform(c, lambda x: x[f])
@@ -82,13 +82,21 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
 
         return F.flatten(F.transform(unit["citation_ids"], each))
 
-    asked = r.join(requests.select("request_id", F.col("knowledge_version").alias("asked_version")), "request_id", "left").join(rendered, "request_id", "left")
-    whole = _findings(
+    slim = r.select("request_id", "knowledge_version", "answer_text")  # arrays stay where they are
+    asked = slim.join(requests.select("request_id", F.col("knowledge_version").alias("asked_version")), "request_id", "left").join(rendered, "request_id", "left")
+    of_requests = _findings(
         asked,
         "request_id",
         [
             ("request_known", "request is unknown", F.col("asked_version").isNull()),
             ("knowledge_version", "knowledge version differs from the request's", F.col("asked_version") != F.col("knowledge_version")),
+            ("answer_text", "answer text is not the rendering of its units", F.col("rendered").isNotNull() & ~F.col("answer_text").eqNullSafe(F.col("rendered"))),
+        ],
+    )
+    whole = _findings(
+        r,
+        "request_id",
+        [
             ("claims_distinct", "claim is listed twice", F.size("material_claims") != F.size(F.array_distinct(ids("material_claims", "claim_id")))),
             ("citations_distinct", "citation id is listed twice", F.size("citations") != F.size(F.array_distinct(ids("citations", "citation_id")))),
             ("units_distinct", "unit id is listed twice", F.size("answer_units") != F.size(F.array_distinct(ids("answer_units", "unit_id")))),
@@ -96,12 +104,12 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
             ("units_citations", "units and citations don't correspond one to one", ~same_multiset(F.flatten(ids(claim_units, "citation_ids")), ids("citations", "citation_id"))),
             ("units_gaps", "units and gaps don't correspond one to one", ~same_multiset(ids(gap_units, "gap_code"), ids("coverage_gaps", "gap_code"))),
             ("contract", "checked against another contract", F.coalesce(F.col("validation.checked_contract_id") != contract_id, F.lit(True))),
-            ("answer_text", "answer text is not the rendering of its units", F.col("rendered").isNotNull() & ~F.col("answer_text").eqNullSafe(F.col("rendered"))),
         ],
         [
             ("citation_claim", F.transform(F.filter("citations", lambda c: ~has(ids("material_claims", "claim_id"), c["claim_id"])), lambda c: F.concat(F.lit("citation of a claim that isn't made: "), c["citation_id"]))),
             ("claim_cited", F.transform(F.filter("material_claims", lambda m: ~has(ids("citations", "claim_id"), m["claim_id"])), lambda m: F.concat(m["claim_id"], F.lit(" has no citation")))),
             ("unit_citation", F.transform(F.flatten(F.transform(claim_units, misplaced)), lambda c: F.concat(c, F.lit(" belongs to another claim")))),
+            ("citation_visible", F.transform(F.filter("citations", lambda c: ~F.coalesce(c["visible_to_student"], F.lit(False))), lambda c: F.concat(c["citation_id"], F.lit(" is hidden")))),
         ],
     )
     material = r.select("request_id", F.explode("material_claims").alias("c")).select("request_id", "c.*")
@@ -117,7 +125,7 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
         ],
     )
     located = known.select("claim_id", F.explode("evidence").alias("e")).select("claim_id", "e.source_id", "e.locator").distinct().withColumn("there", F.lit(True))
-    cited = r.select("request_id", F.explode("citations").alias("c")).select("request_id", "c.*")
+    cited = r.select("request_id", F.explode("citations").alias("c")).select("request_id", "c.citation_id", "c.claim_id", "c.source_id", "c.source_label", "c.locator")
     labels = cited.join(located, ["claim_id", "source_id", "locator"], "left").join(sources.select("source_id", "title"), "source_id", "left")
     of_citations = _findings(
         labels,
@@ -125,10 +133,9 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
         [
             ("citation_label", F.concat(F.lit("label of "), "citation_id", F.lit(" is not the source's title")), ~F.coalesce(F.col("source_label") == F.col("title"), F.lit(False))),
             ("citation_evidence", F.concat("citation_id", F.lit(" is not among the claim's evidence")), F.col("there").isNull()),
-            ("citation_visible", F.concat("citation_id", F.lit(" is hidden")), ~F.coalesce("visible_to_student", F.lit(False))),
         ],
     )
-    return whole.unionByName(of_claims).unionByName(of_citations)
+    return of_requests.unionByName(whole).unionByName(of_claims).unionByName(of_citations)
 
 
 def audit_violations(audits: DataFrame, requests: DataFrame, responses: DataFrame, contract_version: str, claims: DataFrame | None = None) -> DataFrame:

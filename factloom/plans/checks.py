@@ -292,29 +292,41 @@ def response_findings(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).agg(F.min("l_suppkey").alias("s"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_orderpriority").alias("pr"), F.col("o_orderstatus").alias("st"), "o_totalprice")
     suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("s"), "s_name", "s_acctbal")
-    rows = items.join(orders, "o").join(suppliers, "s")
+    # only narrow rows are dealt and stored; answers and claims are made of them where they are read
+    item = F.struct("p", "s", "s_name", "s_acctbal")
+    per = items.join(suppliers, "s").repartition("o").groupBy("o").agg(F.array_sort(F.collect_list(item)).alias("es")).join(orders, "o")
+    per = materialize(per, "answers")  # each rule reads it
+    rows = per.select("o", F.explode("es").alias("e")).select("o", "e.*")
     key, part, source = F.col("o").cast("string"), ident("part", "p"), ident("supplier", "s")
     place = lambda x: F.concat_ws("/", "o", "p", x)
     claim = F.concat_ws("/", key, part)  # a claim is of one order
     qualifiers = '{"n": 1.0, "a": "x"}'
-    entry = F.struct(
-        F.struct(F.lit("1").alias("unit_id"), F.lit(contract.CLAIM_UNIT).alias("unit_type"), claim.alias("claim_id"), F.array(place(F.lit("c"))).alias("citation_ids"), nothing().alias("gap_code")).alias("u"),
-        F.struct(claim.alias("claim_id"), F.array(F.when(F.col("pr") == "1-URGENT", F.lit("other")).otherwise(source), part).alias("entity_ids"), F.when(F.col("pr") == "2-HIGH", "{}").otherwise('{"a":"x","n":1}').alias("qualifiers")).alias("m"),
-        F.struct(place(F.lit("c")).alias("citation_id"), claim.alias("claim_id"), source.alias("source_id"), F.when(F.col("s_acctbal") < 0, "other").otherwise(F.col("s_name")).alias("source_label"), F.when(F.col("pr") == "3-MEDIUM", "none").otherwise(place(F.lit("x"))).alias("locator"), (F.col("s_acctbal") <= 9000).alias("visible_to_student")).alias("c"),
+
+    def each(make):
+        """An array of what make gives for each part of the order: of its part, source, claim and places."""
+
+        def one(x: Column, i: Column) -> Column:
+            of = F.concat(F.lit("part."), x["p"].cast("string"))
+            at = lambda y: F.concat_ws("/", F.col("o").cast("string"), x["p"].cast("string"), F.lit(y))
+            return make(x, i, of, F.concat(F.lit("supplier."), x["s"].cast("string")), F.concat_ws("/", key, of), at)
+
+        return F.transform("es", one)
+
+    units = each(lambda x, i, part, source, claim, at: F.struct(i.cast("string").alias("unit_id"), F.lit(contract.CLAIM_UNIT).alias("unit_type"), claim.alias("claim_id"), F.array(at("c")).alias("citation_ids"), nothing().alias("gap_code")))
+    made = each(lambda x, i, part, source, claim, at: F.struct(claim.alias("claim_id"), F.array(F.when(F.col("pr") == "1-URGENT", F.lit("other")).otherwise(source), part).alias("entity_ids"), F.when(F.col("pr") == "2-HIGH", "{}").otherwise('{"a":"x","n":1}').alias("qualifiers")))
+    cites = each(
+        lambda x, i, part, source, claim, at: F.struct(
+            at("c").alias("citation_id"), claim.alias("claim_id"), source.alias("source_id"), F.when(x["s_acctbal"] < 0, "other").otherwise(x["s_name"]).alias("source_label"), F.when(F.col("pr") == "3-MEDIUM", "none").otherwise(at("x")).alias("locator"), (x["s_acctbal"] <= 9000).alias("visible_to_student"),
+        )
     )
-    per = rows.groupBy("o", "pr", "st", "o_totalprice").agg(F.array_sort(F.collect_list(F.struct("p", entry.alias("e")))).alias("es"))
-    get = lambda name: F.transform("es", lambda x: x["e"][name])
-    units = F.transform(get("u"), lambda u, i: u.withField("unit_id", i.cast("string")))
-    text = F.array_join(F.transform(get("u"), lambda u: F.concat(F.lit("text of "), u["claim_id"])), "\n")
+    text = F.array_join(each(lambda x, i, part, source, claim, at: F.concat(F.lit("text of "), claim)), "\n")
     gap = F.struct(F.lit("g").alias("gap_code"))
     none = F.filter(F.array(gap), lambda g: F.lit(False))
-    answers = per.select(
-        key.alias("request_id"), F.lit("k1").alias("knowledge_version"), units.alias("answer_units"), get("m").alias("material_claims"), get("c").alias("citations"), F.when(F.col("st") == "O", F.array(gap)).otherwise(none).alias("coverage_gaps"),
+    responses = per.select(
+        key.alias("request_id"), F.lit("k1").alias("knowledge_version"), units.alias("answer_units"), made.alias("material_claims"), cites.alias("citations"), F.when(F.col("st") == "O", F.array(gap)).otherwise(none).alias("coverage_gaps"),
         F.when((F.col("st") == "F") & (F.col("pr") == "5-LOW"), "wrong").otherwise(text).alias("answer_text"), F.struct(F.when(F.col("st") == "P", "L").otherwise("K").alias("checked_contract_id")).alias("validation"),
     )
-    responses = materialize(answers, "answers")  # each rule reads it
     last = table(spark, d, "part").agg(F.max("p_partkey")).first()[0] or 0
-    rows = materialize(rows, "answer-claims")
     known = rows.where(F.col("p") <= 0.9 * last)
     proof = F.array(F.struct(source.alias("source_id"), place(F.lit("x")).alias("locator"), F.lit("item").alias("evidence_type")))
     claims = known.select(claim.alias("claim_id"), F.array(part, source).alias("entity_ids"), proof.alias("evidence"))

@@ -193,3 +193,19 @@ def test_audit_stream(spark, tmp_path):
         q.stop()
     got = {(r.window.start.minute, r.records, r.invalid) for r in spark.table("audits").collect()}
     assert got == {(0, 5, 1), (5, 1, 0)}
+
+
+def test_arrays_of_responses_are_not_joined(spark):
+    """Rules within a response are told without a shuffle; only its id, version and text meet requests and renderings."""
+    from factloom.plans.queries import QUERIES
+
+    for name in ("response_findings", "response_structure_findings"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+        joins, todo = [], [plan]
+        while todo:
+            node = todo.pop()
+            joins += [node] if node.nodeName() == "Join" else []
+            children = node.children()
+            todo += [children.apply(k) for k in range(children.size())]
+        names = {a.split("#")[0] for j in joins for a in j.output().mkString(" ").split(" ")}
+        assert joins and not names & {"answer_units", "material_claims", "citations", "coverage_gaps", "es"}
