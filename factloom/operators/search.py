@@ -27,17 +27,28 @@ SIZES = (1, 2, 3, 4, 8, 16)
 BITS = 1 << 26
 
 
-def piece_hashes(points: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the pieces of that size from every place on."""
-    n = len(points) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    h = np.full(n, size, dtype=np.uint64)
-    for k in range(size):
-        h = (h ^ points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(29))).astype(np.int64)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def piece_hashes(points: np.ndarray, size: int, known: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """A hash of the pieces of that size from every place on, made of those of its two halves. known: hashes of the same points by size, which grow."""
+    known = {} if known is None else known
+    return (_halves(points, size, known) * np.uint64(0xBF58476D1CE4E5B9)).astype(np.int64)
+
+
+def _halves(points: np.ndarray, size: int, known: dict[int, np.ndarray]) -> np.ndarray:
+    if size not in known:
+        n = max(0, len(points) - size + 1)
+        if size == 1:
+            known[size] = _mixed(points + np.uint64(1))
+        else:
+            first = (size + 1) // 2
+            left, right = _halves(points, first, known), _halves(points, size - first, known)
+            known[size] = _mixed((left[:n] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(size)) ^ right[first : first + n])
+    return known[size]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -68,12 +79,11 @@ def _bitmap(pieces: DataFrame, bits: int):
     return spark.sparkContext.broadcast((table, sizes))
 
 
-def _passes(shared, bits: int, text: str, once: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and places of the text's pieces that the bitmap lets through; once: of equal pieces the first."""
+def _passes(shared, bits: int, points: np.ndarray, known: dict[int, np.ndarray], once: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and places of the text's pieces that the bitmap lets through; once: of equal pieces the first. known: as in piece_hashes."""
     table, sizes = shared.value
-    points = code_points(text)
     for size in sizes:
-        h = piece_hashes(points, size)
+        h = piece_hashes(points, size, known)
         slot = h % bits
         at = np.flatnonzero((table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1)
         yield _first_of_each(points, h[at], at, size) if once else (h[at], at)
@@ -90,7 +100,7 @@ def _counts(shared, bits: int, limit: int):
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for h, _ in _passes(shared, bits, text or ""):
+                for h, _ in _passes(shared, bits, code_points(text or ""), {}):
                     held.append(h)
                     size += len(h)
                 if size > limit:
@@ -113,18 +123,21 @@ def _first_of_each(points: np.ndarray, h: np.ndarray, at: np.ndarray, size: int)
     return h[~same], at[~same]
 
 
-def _places(shared, bits: int, whole: bool):
-    """whole: the patterns are pieces themselves, so one place of each is enough."""
+def _places(whole, parts, bits: int):
+    """Places of picked pieces, in one pass over the texts. whole: the bitmap of patterns that are pieces themselves, of which one place each is enough; parts: of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, pieces, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            rows, pieces, places, kinds = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.bool_))
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for h, at in _passes(shared, bits, text or "", whole):
-                    rows.append(np.full(len(h), row, dtype=np.int64))
-                    pieces.append(h)
-                    places.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, pieces, places)], names=["_row", "piece", "place"])
+                points, known = code_points(text or ""), {}
+                for shared, once in ((whole, True), (parts, False)):
+                    for h, at in _passes(shared, bits, points, known, once):
+                        rows.append(np.full(len(h), row, dtype=np.int64))
+                        pieces.append(h)
+                        places.append(at)
+                        kinds.append(np.full(len(h), once))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, pieces, places, kinds)], names=["_row", "piece", "place", "whole"])
 
     return run
 
@@ -141,12 +154,9 @@ def contained(rows: DataFrame, column: str, words: DataFrame, word: str, bits: i
     best = told.groupBy("pattern").agg(F.min("times").alias("times"), F.count_if(F.col("times").isNull()).alias("nowhere"), F.min_by(F.struct("piece", "size", "offset"), F.struct("times", "piece")).alias("b")).where("nowhere = 0")
     picked = materialize(best.select("pattern", "b.*"), "search-picked")
     texts = held.select("_row", F.col(f"`{column}`").cast("string").alias("text"))
-    candidates = None
-    for whole in (True, False):
-        own = picked.where((F.length("pattern") == F.col("size")) == whole)
-        places = texts.mapInArrow(_places(_bitmap(own, bits), bits, whole), "_row bigint, piece bigint, place bigint")
-        met = places.join(own.select("piece", "pattern", "offset"), "piece").select("_row", "pattern", (F.col("place") - F.col("offset")).alias("start")).where("start >= 0")
-        candidates = met if candidates is None else candidates.unionByName(met)
+    own = picked.withColumn("whole", F.length("pattern") == F.col("size"))
+    places = texts.mapInArrow(_places(*[_bitmap(own.where(F.col("whole") == whole), bits) for whole in (True, False)], bits), "_row bigint, piece bigint, place bigint, whole boolean")
+    candidates = places.join(own.select("piece", "pattern", "offset", "whole"), ["piece", "whole"]).select("_row", "pattern", (F.col("place") - F.col("offset")).alias("start")).where("start >= 0")
     # a row's text meets its candidates where they are compared
     found = candidates.join(texts, "_row").where(F.substring(F.col("text"), F.col("start").cast("int") + 1, F.length("pattern")) == F.col("pattern"))
     return held.join(found.select("_row", F.col("pattern").alias(word)).distinct(), "_row").drop("_row")

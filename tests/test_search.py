@@ -36,3 +36,15 @@ def test_many_patterns(spark):
     texts = spark.range(200).select("id", F.format_string("hay needle-%06d-of-many hay needle-%06d-of-many", F.col("id") * 1499, F.col("id") + 500_000).alias("text"))
     found = corpus.found_in(texts, "text", words, "word").collect()
     assert {(x.id, x.word) for x in found} == {(k, f"needle-{k * 1499:06d}-of-many") for k in range(200)} and len(found) == 200
+
+
+def test_pieces_are_hashed_from_their_halves():
+    text = "the quick brown fox jumps over the quick brown dog, " * 5
+    points, known = search.code_points(text), {}
+    for size in search.SIZES:
+        h = search.piece_hashes(points, size, known)
+        pieces = [text[k : k + size] for k in range(len(text) - size + 1)]
+        assert len(h) == len(pieces) and len(set(h.tolist())) == len(set(pieces)) == len(set(zip(h.tolist(), pieces, strict=True)))
+        assert search.piece_hashes(search.code_points(text[7 : 7 + size]), size).tolist() == [h[7]]
+    assert search.piece_hashes(points[:3], 16).size == 0
+    assert set(known) == set(search.SIZES)  # each size once; the longest takes no round for each of its code points
