@@ -124,7 +124,9 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
             ("claim_qualifiers", F.concat(F.lit("qualifiers of "), "claim_id", F.lit(" differ")), ~json_equal(F.coalesce("qualifiers", F.lit("{}")), F.coalesce("must", F.lit("{}")))),
         ],
     )
-    located = known.select("claim_id", F.explode("evidence").alias("e")).select("claim_id", "e.source_id", "e.locator").distinct().withColumn("there", F.lit(True))
+    # nearly all places are distinct, so they are dealt before and not held in the tasks that read them
+    places = known.select("claim_id", F.explode("evidence").alias("e")).select("claim_id", "e.source_id", "e.locator")
+    located = places.repartition("claim_id", "source_id", "locator").distinct().withColumn("there", F.lit(True))
     cited = r.select("request_id", F.explode("citations").alias("c")).select("request_id", "c.citation_id", "c.claim_id", "c.source_id", "c.source_label", "c.locator")
     labels = cited.join(located, ["claim_id", "source_id", "locator"], "left").join(sources.select("source_id", "title"), "source_id", "left")
     of_citations = _findings(
