@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.canonical import document_chunk
 from factloom.operators import artifacts, corpus, sink
+from factloom.plans.queries import QUERIES
 
 ODD = ["plain", 'with "quotes"', "a,b", "line\nbreak", "cr\rhere", "", None, "中\u0001", " lead", "z'"]
 
@@ -83,6 +84,27 @@ def test_no_task_reads_the_whole_stream(spark, rows):
     assert got.digest == hashlib.md5(whole).hexdigest()
 
 
+def test_no_task_holds_a_sorter_for_each_partition(spark):
+    sc = spark._jsc.sc()
+
+    def most(parts: int) -> int:
+        """Peak memory of one task of manifest_file with so many partitions."""
+        old, (tracker, group) = spark.conf.get("spark.sql.shuffle.partitions"), (spark.sparkContext.statusTracker(), f"manifest-{parts}")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert QUERIES["manifest_file"](spark, "/root/testdata/sf0.001").count() == 1
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+        sc.listenerBus().waitUntilEmpty()
+        stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+        tasks = [found.apply(k).taskMetrics() for s in stages for found in [sc.statusStore().taskList(s, 0, 10_000)] for k in range(found.size())]
+        return max(t.get().peakExecutionMemory() for t in tasks if t.isDefined())
+
+    few, many = most(3), most(24)
+    assert 0 < many < 1.5 * few
+
+
 def test_large_chunk_is_cut(spark):
     one = spark.sql("SELECT 'k' AS k, repeat('abcdefg', 700000) AS t UNION ALL SELECT 'a', '' UNION ALL SELECT 'z', NULL")
     got = sink.stream_digest(one, ["k"], F.col("t"), limit=1_500_000).first()
