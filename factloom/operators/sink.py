@@ -224,14 +224,14 @@ def _chained(blocks: DataFrame, algorithm: str, limit: int, whole: int | None =
     held = materialize(blocks, "digest")
     try:
         step = F.expr(f"at div {limit}L").alias("step")
-        index = held.groupBy("part", step).agg(F.sum("size").alias("size"), F.sum("chunks").alias("chunks"), F.min("_metadata.file_path").alias("file")).orderBy("part", "step").collect()  # a row for each part and limit bytes
+        index = held.groupBy("part", step).agg(F.sum("size").alias("size"), F.sum("chunks").alias("chunks"), F.collect_set("_metadata.file_path").alias("files")).orderBy("part", "step").collect()  # a row for each part and limit bytes
         size = sum(r.size for r in index)
         left = size = size if whole is None else min(whole, size)
         state, found = None, hashlib.new(algorithm).hexdigest()
         runs = list(_steps(index, limit)) if resumable(algorithm) else [index] if index else []
         for k, run in enumerate(runs):
             at, end = F.struct("part", step), [F.struct(F.lit(r.part).cast("bigint").alias("part"), F.lit(r.step).cast("bigint").alias("step")) for r in (run[0], run[-1])]
-            rows = spark.read.schema(BLOCKS).parquet(*sorted({r.file for r in run})).where((at >= end[0]) & (at <= end[1]))
+            rows = spark.read.schema(BLOCKS).parquet(*sorted({f for r in run for f in r.files})).where((at >= end[0]) & (at <= end[1]))
             few = [F.col("part").between(run[0].part, run[-1].part)] if run[0].part != run[-1].part else [F.col("part") == run[0].part, F.col("at").between(run[0].step * limit, (run[-1].step + 1) * limit - 1)]  # for the reader's own filters
             for f in few:
                 rows = rows.where(f)

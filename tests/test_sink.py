@@ -111,6 +111,17 @@ def test_large_chunk_is_cut(spark):
     assert tuple(got) == (hashlib.sha256(b"abcdefg" * 700_000).hexdigest(), 4_900_000, 2)
 
 
+def test_blocks_of_a_part_in_several_files(spark):
+    one = spark.sql("SELECT 'k' AS k, repeat('abcdefg', 700000) AS t")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 2)
+    try:
+        for limit in (1_500_000, sink.READ):
+            got = sink.stream_digest(one, ["k"], F.col("t"), limit=limit).first()
+            assert tuple(got) == (hashlib.sha256(b"abcdefg" * 700_000).hexdigest(), 4_900_000, 1)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def test_digests_of_files_in_splits(spark, tmp_path):
     lines = b"".join(b"%d,%s\r\n\n" % (k, b"x" * (k % 300)) for k in range(30_000))
     for name, data in (("a", lines), ("b", lines[:-1]), ("c", lines + b"no end"), ("d", b"\n" * 3_000_000), ("e", b""), ("f", b"small\n")):
