@@ -65,8 +65,10 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
     claims: (claim_id, entity_ids, evidence). sources: (source_id, title). required_qualifiers: (claim_id, qualifiers JSON); other claims send {}.
     Qualifiers are compared as mappings, whatever their order and spacing. Rules within a response look at its own arrays, without a shuffle;
     claims and citations are exploded once each, for what they need from other tables, and whole responses meet no table.
+    Tables that grow with the responses are dealt by their keys: sizes of compressed files say little of their rows, and a broadcast passes all of them through the driver.
     """
     r = responses
+    growing = lambda t: t.hint("merge")
     ids = lambda c, f: F.transform(c, lambda x: x[f])
     has = lambda values, x: F.coalesce(F.array_contains(values, x), F.lit(False))
     claim_units = F.filter("answer_units", lambda u: u["unit_type"] == claim_unit)
@@ -83,7 +85,7 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
         return F.flatten(F.transform(unit["citation_ids"], each))
 
     slim = r.select("request_id", "knowledge_version", "answer_text")  # arrays stay where they are
-    asked = slim.join(requests.select("request_id", F.col("knowledge_version").alias("asked_version")), "request_id", "left").join(rendered, "request_id", "left")
+    asked = slim.join(growing(requests.select("request_id", F.col("knowledge_version").alias("asked_version"))), "request_id", "left").join(growing(rendered), "request_id", "left")
     of_requests = _findings(
         asked,
         "request_id",
@@ -114,7 +116,7 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
     )
     material = r.select("request_id", F.explode("material_claims").alias("c")).select("request_id", "c.*")
     known = claims.select("claim_id", F.col("entity_ids").alias("own"), "evidence")
-    stated = material.join(known.select("claim_id", "own"), "claim_id", "left").join(required_qualifiers.select("claim_id", F.col("qualifiers").alias("must")), "claim_id", "left")
+    stated = material.join(growing(known.select("claim_id", "own")), "claim_id", "left").join(growing(required_qualifiers.select("claim_id", F.col("qualifiers").alias("must"))), "claim_id", "left")
     of_claims = _findings(
         stated,
         "request_id",
@@ -128,7 +130,7 @@ def response_violations(responses: DataFrame, requests: DataFrame, claims: DataF
     places = known.select("claim_id", F.explode("evidence").alias("e")).select("claim_id", "e.source_id", "e.locator")
     located = places.repartition("claim_id", "source_id", "locator").distinct().withColumn("there", F.lit(True))
     cited = r.select("request_id", F.explode("citations").alias("c")).select("request_id", "c.citation_id", "c.claim_id", "c.source_id", "c.source_label", "c.locator")
-    labels = cited.join(located, ["claim_id", "source_id", "locator"], "left").join(sources.select("source_id", "title"), "source_id", "left")
+    labels = cited.join(growing(located), ["claim_id", "source_id", "locator"], "left").join(sources.select("source_id", "title"), "source_id", "left")
     of_citations = _findings(
         labels,
         "request_id",

@@ -1,5 +1,6 @@
 import copy
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +210,14 @@ def test_arrays_of_responses_are_not_joined(spark):
             todo += [children.apply(k) for k in range(children.size())]
         names = {a.split("#")[0] for j in joins for a in j.output().mkString(" ").split(" ")}
         assert joins and not names & {"answer_units", "material_claims", "citations", "coverage_gaps", "es"}
+
+
+def test_tables_that_grow_with_responses_are_not_broadcast(spark):
+    """Requests, renderings, claims and places are dealt by their keys at any size; only the list of sources may be broadcast."""
+    from factloom.plans.queries import QUERIES
+
+    df = QUERIES["response_structure_findings"](spark, "/root/testdata/sf0.001")
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()  # of the run, with what was planned anew on the way
+    assert "isFinalPlan=true" in plan and plan.count("SortMergeJoin") >= 5
+    assert set(re.findall(r"BroadcastHashJoin \[(\w+)#", plan)) <= {"source_id"}
